@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import canonical_uuid, is_blank, is_uuid_text, java_trim, matches_symbol
 from ..functions.timefn import format_instant, nonneg_millis_between, parse_instant
@@ -67,60 +68,78 @@ def fence(c: Column) -> Column:
     return F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(c)
 
 
+_INT_LITERAL = r"\A[+-]?[0-9]+\z"
+_JSON_NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
+_TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in WIRE_FIELDS]
+                            + [T.StructField("_corrupt_record", T.StringType(), True)])
+
+
 def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
     """Add typed wire columns ``w_<field>`` and ``decode_error`` to ``df``.
 
-    Staged projections that refer to each other by name, so that no large
-    sub-expression is copied into several consumers.
+    Fast path: one ``from_json`` with every field as text (scalars come out as
+    their text, objects and arrays as their JSON). The JSON *type* of a value
+    matters only where that text is ambiguous - a text field holding ``{...}``
+    or ``[...]`` (object, or a string that looks like one?), and an integer
+    field holding a fractional number (truncated if it is a number, rejected if
+    it is a string). Only such rows are parsed a second time, as VARIANT, in a
+    lazily evaluated CASE branch. Stages refer to each other by name, so no
+    large sub-expression is copied into several consumers.
     """
     raw = F.col(value_col)
-    out = df.withColumn("_j", F.from_json(raw, WIRE_DECODE_SCHEMA, _JSON_OPTIONS))
-    # stage 1: JSON kind, text form and numeric forms of every field
+    out = df.withColumn("_j", F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS))
     stage1 = {"_root_bad": (F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
                             | ~F.coalesce(raw.rlike(r"\A\s*\{"), F.lit(False)))}
     for f in WIRE_FIELDS:
-        v = F.col(f"_j.{f}")
-        stage1[f"_k_{f}"] = _kind(F.schema_of_variant(v))
-        stage1[f"_s_{f}"] = F.try_variant_get(v, "$", "string")
-        if f == "price":
-            stage1[f"_n_{f}"] = F.try_variant_get(v, "$", PRICE.simpleString())
-        elif f in ("quantity", "sequence"):
-            target = "int" if f == "quantity" else "long"
-            lo, hi = _INT_BOUNDS[target]
-            d = F.try_variant_get(v, "$", "double")
-            in_range = d.isNotNull() & (d >= F.lit(float(lo))) & (d <= F.lit(float(hi)))
-            # integral numbers convert exactly; a fractional one is truncated
-            stage1[f"_n_{f}"] = F.coalesce(
-                F.try_variant_get(v, "$", target),
-                F.when(in_range, F.try_variant_get(v, "$", "decimal(38,6)").try_cast(target)))
+        stage1[f"_s_{f}"] = F.col(f"_j.{f}")
     out = out.withColumns(stage1).drop("_j")
-    # stage 2: trimmed text of the numeric fields
-    out = out.withColumns({f"_t_{f}": java_trim(F.col(f"_s_{f}")) for f in ("price", "quantity", "sequence")})
-    # stage 3: typed values and per-field decode failures
+    # which rows need the JSON types of their values
+    ambiguous = F.lit(False)
+    for f in TEXT_FIELDS:
+        s = F.col(f"_s_{f}")
+        ambiguous = ambiguous | F.coalesce(s.startswith("{") | s.startswith("["), F.lit(False))
+    for f in ("quantity", "sequence"):
+        s = F.col(f"_s_{f}")
+        ambiguous = ambiguous | F.coalesce(~s.rlike(_INT_LITERAL) & java_trim(s).rlike(_JSON_NUMBER), F.lit(False))
+    out = out.withColumn("_v", F.when(ambiguous, F.from_json(raw, WIRE_DECODE_SCHEMA, _JSON_OPTIONS)))
+    stage2 = {}
+    for f in WIRE_FIELDS:
+        stage2[f"_k_{f}"] = _kind(F.schema_of_variant(F.col(f"_v.{f}")))
+    for f in ("price", "quantity", "sequence"):
+        stage2[f"_t_{f}"] = java_trim(F.col(f"_s_{f}"))
+    out = out.withColumns(stage2)
     stage3 = {}
     for f in WIRE_FIELDS:
-        k, s = F.col(f"_k_{f}"), F.col(f"_s_{f}")
+        s, k = F.col(f"_s_{f}"), F.col(f"_k_{f}")
         if f in TEXT_FIELDS:
-            stage3[f"w_{f}"] = F.when(k.isin("STRING", "NUMBER", "BOOLEAN"), s)
-            stage3[f"_bad_{f}"] = F.coalesce(k.isin("OBJECT", "ARRAY"), F.lit(False))
+            bad = F.coalesce(k.isin("OBJECT", "ARRAY"), F.lit(False))
+            stage3[f"w_{f}"] = F.when(~bad, s)
+            stage3[f"_bad_{f}"] = bad
             continue
-        t, n = F.col(f"_t_{f}"), F.col(f"_n_{f}")
-        empty = (t == "") | (t == "null")
+        t = F.col(f"_t_{f}")
+        empty = t.isNull() | (t == "") | (t == "null")
         if f == "price":
-            from_text = t.try_cast(PRICE.simpleString())
-        else:
-            target = "int" if f == "quantity" else "long"
-            from_text = F.when(t.rlike(r"\A[+-]?[0-9]+\z"), F.regexp_replace(t, r"\A\+", "").try_cast(target))
-        stage3[f"w_{f}"] = F.when(k == "NUMBER", n).when((k == "STRING") & ~empty, from_text)
-        stage3[f"_bad_{f}"] = F.coalesce(
-            k.isin("OBJECT", "ARRAY", "BOOLEAN")
-            | ((k == "NUMBER") & n.isNull())
-            | ((k == "STRING") & ~empty & from_text.isNull()), F.lit(False))
+            value = t.try_cast(PRICE.simpleString())
+            stage3[f"w_{f}"] = F.when(~empty, value)
+            stage3[f"_bad_{f}"] = ~empty & value.isNull()
+            continue
+        target = "int" if f == "quantity" else "long"
+        lo, hi = _INT_BOUNDS[target]
+        from_int = F.when(t.rlike(_INT_LITERAL), F.regexp_replace(t, r"\A\+", "").try_cast(target))
+        v = F.col(f"_v.{f}")
+        d = F.try_variant_get(v, "$", "double")
+        in_range = d.isNotNull() & (d >= F.lit(float(lo))) & (d <= F.lit(float(hi)))
+        # a fractional JSON number is truncated toward zero
+        from_fraction = F.when((k == "NUMBER") & in_range,
+                               F.try_variant_get(v, "$", "decimal(38,6)").try_cast(target))
+        value = F.coalesce(from_int, from_fraction)
+        stage3[f"w_{f}"] = F.when(~empty, value)
+        stage3[f"_bad_{f}"] = ~empty & value.isNull()
     out = out.withColumns(stage3)
     err = F.when(F.col("_root_bad"), F.lit(MSG_MALFORMED))
     for f in WIRE_FIELDS:
         err = err.when(F.col(f"_bad_{f}"), F.lit(f"invalid {f}"))
-    helpers = [c for c in out.columns if c.startswith(("_k_", "_s_", "_n_", "_t_", "_bad_"))] + ["_root_bad"]
+    helpers = [c for c in out.columns if c.startswith(("_k_", "_s_", "_t_", "_bad_"))] + ["_root_bad", "_v"]
     return out.withColumn("decode_error", err).drop(*helpers)
 
 

@@ -41,6 +41,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a source with fewer input splits than task slots one split per
+    slot (round robin), so that per-message decoding uses every core. A large
+    source already has many splits and is left as it is (no shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def _epoch_micros() -> F.Column:
     return F.unix_micros(F.to_timestamp(F.lit(EPOCH)))
 
@@ -48,6 +56,7 @@ def _epoch_micros() -> F.Column:
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw messages ``(value STRING, processing_time TIMESTAMP, arrival BIGINT)``."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    ev = spread(ev)
     first = ev.withColumn("copy", F.lit(0))
     again = ev.filter(F.col("event_id") % COPY_EVERY == 0).withColumn("copy", F.lit(1))
     src = first.unionByName(again)
@@ -85,8 +94,8 @@ def bench_stream(spark: SparkSession, sf_dir: str, per_second: int = 1000) -> Da
     extendedprice, quantity = quantity; the sequence number is
     ``l_orderkey * 8 + l_linenumber`` (unique and monotone in line order, since
     line numbers are 1..7), so no global sort or window is needed."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_suppkey")
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_suppkey"))
     seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     step_us = 1_000_000 // per_second
     base = _epoch_micros() + seq * step_us
