@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefn import interval_micros, time_bucket
 from ..schema import ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, ROLLUP_KEY, rollup_schema
+from ..session import checkpoint_dir
 from .tables import _table_exists, time_range
 
 # Fixed values of the two roll-ups: bucket widths and refresh policies
@@ -121,6 +122,7 @@ def refresh(spark: SparkSession, source: DataFrame, rollup_path: str, which: str
         merged = kept.unionByName(fresh)
     else:
         merged = fresh
+    checkpoint_dir(spark)
     merged = merged.checkpoint(eager=True)
     (merged.repartitionByRange("bucket_date", "bucket").sortWithinPartitions("bucket_date", "bucket", "symbol")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, matches_symbol
 from ..schema import METRIC_COLUMNS, METRICS_KEY, METRICS_TABLE_COLUMNS, RAW_KEY, RAW_TABLE_COLUMNS
+from ..session import checkpoint_dir
 
 
 # ---------------------------------------------------------------- layout
@@ -142,10 +143,15 @@ def write_raw(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
-                             order: list[str] | None = None) -> DataFrame:
+                             order: list[str] | None = None, rejected_path: str | None = None) -> DataFrame:
     """Insert raw-table ``rows`` into the table at ``path``; keys already present
-    (or repeated inside ``rows``) keep their first row. Returns the inserted rows
-    (lazily re-readable: they are computed from a checkpointed frame)."""
+    (or repeated inside ``rows``) keep their first row. Rows breaking a table
+    rule are not inserted (appended to ``rejected_path`` when given). Returns
+    the inserted rows (computed from a reliably checkpointed frame)."""
+    checkpoint_dir(spark)
+    rows, rejected = enforce(rows, raw_constraint_violation(rows))
+    if rejected_path:
+        rejected.write.mode("append").parquet(rejected_path)
     batch = dedupe_raw(rows, order).checkpoint(eager=True)
     if _table_exists(spark, path):
         lo, hi = _bounds(batch, "event_time")
@@ -165,7 +171,9 @@ def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
     """Upsert window metrics on ``(bucket_start, symbol, scenario)``: every
     non-key column of an existing key is replaced (last write wins, not
     additive) and ``created_at`` is refreshed."""
-    new = metrics_table_rows(metrics, created_at).checkpoint(eager=True)
+    checkpoint_dir(spark)
+    new, _ = enforce(metrics, metrics_constraint_violation(metrics))
+    new = metrics_table_rows(new, created_at).checkpoint(eager=True)
     if _table_exists(spark, path):
         lo, hi = _bounds(new, "bucket_date")
         if lo is None:

@@ -36,13 +36,18 @@ def raw_topic(env: dict | None = None) -> str:
 
 # ------------------------------------------------------------------ sources
 
-def kafka_source(spark: SparkSession, bootstrap: str, topic: str, **options) -> DataFrame:
+def kafka_source(spark: SparkSession, bootstrap: str, topic: str, min_partitions: int | None = None,
+                 **options) -> DataFrame:
     """Stream of message values from the earliest offset; the key is ignored.
-    ``partition``/``offset`` are kept as the arrival order."""
+    ``partition``/``offset`` are kept as the arrival order. ``min_partitions``
+    splits the offset ranges of a few topic partitions over more tasks (the
+    per-message JSON decode is CPU-bound)."""
     reader = (spark.readStream.format("kafka")
               .option("kafka.bootstrap.servers", bootstrap)
               .option("subscribe", topic)
               .option("startingOffsets", "earliest"))
+    if min_partitions:
+        reader = reader.option("minPartitions", str(min_partitions))
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load().select(F.col("value").cast("string").alias("value"),

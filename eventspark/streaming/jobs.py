@@ -14,6 +14,7 @@ at-least-once: a redone batch of A can emit its processed messages twice.
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import invalid_events, invalid_json, process_events, processed_json, valid_events
+from ..functions.timefn import time_bucket
 from ..operators.metrics import DEFAULT_WINDOW_SECONDS, streaming_window_metrics
+from ..operators.rollups import refresh
 from ..operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_metrics
 from ..schema import PRICE
 
@@ -88,14 +91,17 @@ def parse_processed(messages: DataFrame, value_col: str = "value") -> DataFrame:
 
 
 def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Paths,
-                  window_seconds: int = DEFAULT_WINDOW_SECONDS, trigger: dict | None = None) -> StreamingQuery:
+                  window_seconds: int = DEFAULT_WINDOW_SECONDS, trigger: dict | None = None,
+                  created_at_col: str | None = None) -> StreamingQuery:
     """Query B: windowed metrics in update mode, upserted per micro-batch (an
     open window is replaced until it is final, so the table ends equal to a
-    once-per-window emission)."""
+    once-per-window emission). ``created_at`` is the write time unless a
+    column is named (replays)."""
     metrics = streaming_window_metrics(parse_processed(processed_messages), window_seconds)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        upsert_metrics(spark, batch, paths.metrics_table, F.col("bucket_end"))
+        ca = F.col(created_at_col) if created_at_col else None
+        upsert_metrics(spark, batch, paths.metrics_table, ca)
 
     w = (metrics.writeStream.outputMode("update").foreachBatch(run)
          .option("checkpointLocation", paths.checkpoint_b))
@@ -105,3 +111,39 @@ def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Pat
 
 def text_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").load(path)
+
+
+def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "15 minutes") -> list[tuple]:
+    """The distinct ``width`` buckets holding rows of ``batch``, merged into
+    contiguous ``[start, end)`` spans. Bounded by the number of distinct
+    buckets a micro-batch touches (a handful; late data adds a few more), never
+    by its row count."""
+    w = _dt.timedelta(minutes=15) if width == "15 minutes" else _dt.timedelta(minutes=1)
+    starts = sorted(r[0] for r in batch.select(time_bucket(F.col(time_col), width).alias("b")).distinct().collect())
+    spans: list[list] = []
+    for b in starts:
+        b = b.replace(tzinfo=None)
+        if spans and spans[-1][1] == b:
+            spans[-1][1] = b + w
+        else:
+            spans.append([b, b + w])
+    return [tuple(x) for x in spans]
+
+
+def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str, quarter_table: str,
+                         checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Periodic roll-up refresh: a stream over the raw table's new files; each
+    micro-batch recomputes the 15-minute spans it touched, 1 minute first and
+    then 15 minutes (the second reads what the first wrote). Spans are
+    15-minute aligned, so both roll-ups see whole buckets."""
+    schema = spark.read.parquet(raw_table).schema
+
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        for start, end in touched_spans(batch):
+            refresh(spark, spark.read.parquet(raw_table), minute_table, "events_1min", start, end)
+            refresh(spark, spark.read.parquet(minute_table), quarter_table, "events_15min", start, end)
+
+    src = spark.readStream.schema(schema).parquet(raw_table)
+    w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
+    return w.start()

@@ -6,7 +6,8 @@ from eventspark.operators.metrics import window_metrics
 from eventspark.plans.derive import from_sf
 from eventspark.schema import METRIC_COLUMNS, RAW_TABLE_COLUMNS
 from eventspark.sources.fixtures import event_stream
-from eventspark.streaming.jobs import Paths, start_ingest, start_metrics, text_stream
+from eventspark.operators.rollups import rollup_15min, rollup_1min
+from eventspark.streaming.jobs import Paths, start_ingest, start_metrics, start_rollup_refresh, text_stream
 from tests.conftest import SF001
 
 SOURCE_SCHEMA = "value string, processing_time timestamp, arrival long"
@@ -77,3 +78,21 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark, scratch):
     # then A: every key is already in the raw table, nothing is inserted
     _run_ingest(spark, src_dirs, replay)
     assert sorted(spark.read.parquet(paths.raw_table).select(*cols).collect()) == raw_before
+
+
+def test_streaming_rollup_refresh(spark, scratch):
+    src_dir = _write_source(spark, f"{scratch}/source")
+    paths = _paths(scratch, "1")
+    _run_ingest(spark, src_dir, paths)
+    minute, quarter = f"{scratch}/m1", f"{scratch}/m15"
+    q = start_rollup_refresh(spark, paths.raw_table, minute, quarter, f"{scratch}/ckpt-r",
+                             trigger={"availableNow": True})
+    q.awaitTermination()
+    assert q.exception() is None
+    raw = spark.read.parquet(paths.raw_table)
+    r6 = F.round("avg_latency_ms", 6).alias("avg_latency_ms")
+    for path, expected in ((minute, rollup_1min(raw)), (quarter, rollup_15min(rollup_1min(raw)))):
+        cols = [c if c != "avg_latency_ms" else r6 for c in spark.read.parquet(path).columns]
+        got, exp = spark.read.parquet(path).select(*cols), expected.select(*cols)
+        assert got.count() == exp.count() > 0
+        assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
