@@ -81,7 +81,7 @@ def main() -> None:
         "q12_rollup_last_24_hours": collect(lambda: Q.q12_rollup_last_24_hours(quarter, now)),
         "q04_latency_by_scenario": collect(lambda: Q.q04_latency_by_scenario(raw)),
         "q05_throughput_per_second": collect(lambda: Q.q05_throughput_per_second(raw)),
-        "q06_recent_events": collect(lambda: Q.q06_recent_events(raw)),
+        "q06_recent_events": collect(lambda: Q.q06_recent_events(raw, prefilter=True)),
         "q07_aggregated_metrics_recent": collect(lambda: Q.q07_aggregated_metrics_recent(metrics)),
         "q08_aggregated_throughput": collect(lambda: Q.q08_aggregated_throughput(metrics)),
         "q09_events_by_producer": collect(lambda: Q.q09_events_by_producer(raw)),

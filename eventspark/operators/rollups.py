@@ -69,12 +69,21 @@ def rollup_15min(minute: DataFrame) -> DataFrame:
 
 
 def create_empty(spark: SparkSession, path: str, which: str = "events_1min") -> None:
-    """Create a roll-up table with its schema and no rows."""
-    fields = ROLLUP_1MIN_FIELDS if which == "events_1min" else ROLLUP_15MIN_FIELDS
-    spark.createDataFrame([], rollup_schema(fields)).write.mode("overwrite") \
+    """Create a roll-up table with no rows (read it with ``read_rollup``)."""
+    spark.createDataFrame([], rollup_schema(_fields(which))).write.mode("overwrite") \
         .partitionBy("bucket_date").parquet(path)
 
 
+def _fields(which: str):
+    return ROLLUP_1MIN_FIELDS if which == "events_1min" else ROLLUP_15MIN_FIELDS
+
+
+def read_rollup(spark: SparkSession, path: str, which: str = "events_1min") -> DataFrame:
+    """A roll-up table read with its declared schema, so an empty table (no
+    data files yet) reads as zero rows instead of failing schema inference."""
+    return spark.read.schema(rollup_schema(_fields(which))).parquet(path)
+
+
 def aligned_range(start: _dt.datetime, end: _dt.datetime, width: str) -> tuple[_dt.datetime, _dt.datetime]:
     """The buckets lying wholly inside ``[start, end)``: start rounded up, end
     rounded down to the bucket width (epoch-aligned)."""

@@ -45,8 +45,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a source with fewer input splits than task slots one split per
     slot (round robin), so that per-message decoding uses every core. A large
     source already has many splits and is left as it is (no shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - a session without RDD access: leave as is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def _epoch_micros() -> F.Column:

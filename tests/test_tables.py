@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from eventspark.operators import tables as K
 from eventspark.operators.metrics import window_metrics
-from eventspark.operators.rollups import aligned_range, refresh, rollup_1min, rollup_15min
+from eventspark.operators.rollups import (aligned_range, create_empty, read_rollup, refresh, refresh_policy_window,
+                                         rollup_1min, rollup_15min)
 from eventspark.plans.derive import from_sf
-from eventspark.plans.queries import q01_last_5_minutes
+from eventspark.plans.queries import q01_last_5_minutes, q06_recent_events
 from eventspark.schema import METRIC_COLUMNS, RAW_TABLE_COLUMNS
 from tests.conftest import SF001
 
@@ -120,3 +121,23 @@ def test_relative_time_query_prunes_partitions(spark, scratch):
     assert "ReadSchema: struct<price:decimal(38,18),quantity:int,event_time:timestamp,symbol:string," \
            "ingestion_latency_ms:bigint>" in scan or "ReadSchema" in scan
     assert "created_at" not in scan.split("ReadSchema")[1]
+
+
+def test_recent_events_prefilter_is_exact(spark, scratch):
+    d = from_sf(spark, SF001)
+    raw_path = f"{scratch}/raw"
+    K.write_raw(d.raw, raw_path, "overwrite")
+    raw = spark.read.parquet(raw_path)
+    fast = q06_recent_events(raw, prefilter=True)
+    assert "GreaterThanOrEqual(created_at" in fast._jdf.queryExecution().executedPlan().toString()
+    assert fast.collect() == q06_recent_events(raw).collect()
+
+
+def test_empty_rollup_and_policy_window(spark, scratch):
+    create_empty(spark, f"{scratch}/empty", "events_15min")
+    e = read_rollup(spark, f"{scratch}/empty", "events_15min")
+    assert e.count() == 0 and "stddev_latency_ms" not in e.columns and "bucket_date" in e.columns
+    now = dt.datetime(2024, 1, 2, 12, 0, 0)
+    assert refresh_policy_window(now, "events_1min") == (dt.datetime(2024, 1, 2, 10, 0), dt.datetime(2024, 1, 2, 11, 59))
+    assert refresh_policy_window(now, "events_15min") == (dt.datetime(2024, 1, 1, 10, 0),
+                                                          dt.datetime(2024, 1, 2, 11, 45))
