@@ -23,8 +23,12 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | c.rlike(_JAVA_BLANK_RE)
 
 
+_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
+
+
 def java_trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    """Java ``String.trim()``: strip every char <= U+0020 from both ends."""
+    return F.btrim(c, F.lit(_JAVA_TRIM_CHARS))
 
 
 def matches_symbol(c: Column) -> Column:
@@ -37,6 +41,8 @@ def is_uuid_text(c: Column) -> Column:
 
 
 def canonical_uuid(c: Column) -> Column:
-    """Lower-case 8-4-4-4-12 form of a text accepted by ``is_uuid_text``."""
+    """Lower-case 8-4-4-4-12 form of a text accepted by ``is_uuid_text``. A
+    36-character accepted text already has full groups: only the case changes."""
     parts = F.split(F.lower(c), "-")
-    return F.concat_ws("-", *[F.lpad(F.get(parts, i), w, "0") for i, w in enumerate(UUID_GROUP_WIDTHS)])
+    padded = F.concat_ws("-", *[F.lpad(F.get(parts, i), w, "0") for i, w in enumerate(UUID_GROUP_WIDTHS)])
+    return F.when(F.length(c) == UUID_MAX_LENGTH, F.lower(c)).otherwise(padded)

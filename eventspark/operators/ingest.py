@@ -101,10 +101,16 @@ def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
     for f in ("quantity", "sequence"):
         s = F.col(f"_s_{f}")
         ambiguous = ambiguous | F.coalesce(~s.rlike(_INT_LITERAL) & java_trim(s).rlike(_JSON_NUMBER), F.lit(False))
-    out = out.withColumn("_v", F.when(ambiguous, F.from_json(raw, WIRE_DECODE_SCHEMA, _JSON_OPTIONS)))
+    # a codegen'd parse (not a from_json with a VARIANT schema, which is not)
+    out = out.withColumn("_amb", ambiguous)
+    out = out.withColumn("_v", F.when(F.col("_amb"), F.try_parse_json(raw)))
     stage2 = {}
     for f in WIRE_FIELDS:
-        stage2[f"_k_{f}"] = _kind(F.schema_of_variant(F.col(f"_v.{f}")))
+        stage2[f"_fv_{f}"] = F.when(F.col("_amb"), F.try_variant_get(F.col("_v"), f"$.{f}", "variant"))
+    out = out.withColumns(stage2)
+    stage2 = {}
+    for f in WIRE_FIELDS:
+        stage2[f"_k_{f}"] = F.when(F.col("_amb"), _kind(F.schema_of_variant(F.col(f"_fv_{f}"))))
     for f in ("price", "quantity", "sequence"):
         stage2[f"_t_{f}"] = java_trim(F.col(f"_s_{f}"))
     out = out.withColumns(stage2)
@@ -126,7 +132,7 @@ def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
         target = "int" if f == "quantity" else "long"
         lo, hi = _INT_BOUNDS[target]
         from_int = F.when(t.rlike(_INT_LITERAL), F.regexp_replace(t, r"\A\+", "").try_cast(target))
-        v = F.col(f"_v.{f}")
+        v = F.col(f"_fv_{f}")
         d = F.try_variant_get(v, "$", "double")
         in_range = d.isNotNull() & (d >= F.lit(float(lo))) & (d <= F.lit(float(hi)))
         # a fractional JSON number is truncated toward zero
@@ -139,7 +145,7 @@ def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
     err = F.when(F.col("_root_bad"), F.lit(MSG_MALFORMED))
     for f in WIRE_FIELDS:
         err = err.when(F.col(f"_bad_{f}"), F.lit(f"invalid {f}"))
-    helpers = [c for c in out.columns if c.startswith(("_k_", "_s_", "_t_", "_bad_"))] + ["_root_bad", "_v"]
+    helpers = [c for c in out.columns if c.startswith(("_k_", "_s_", "_t_", "_bad_", "_fv_"))] + ["_root_bad", "_v", "_amb"]
     return out.withColumn("decode_error", err).drop(*helpers)
 
 
