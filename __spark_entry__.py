@@ -239,7 +239,7 @@ _BASE = """
 src AS (
   SELECT event_id, user_id, event_type, value, props, 0 AS copy FROM events
   UNION ALL
-  SELECT event_id, user_id, event_type, value, props, 1 AS copy FROM events WHERE event_id % 50 = 0
+  SELECT event_id, user_id, event_type, value, props, 1 AS copy FROM events WHERE CAST(props->>'k' AS INTEGER) = 4
 ),
 f AS (
   SELECT event_id, copy,

@@ -1,8 +1,9 @@
 """Event streams derived from the driver's tables.
 
 ``event_stream(spark, sf_dir)`` turns every row of ``events`` into one raw
-JSON event message, plus a second delivery of every fiftieth event (a
-re-sent copy whose UUID text is upper-case and which arrives 1.5 s later), so
+JSON event message, plus a second delivery of the events with ``props.k = 4``
+(about 1 %: a re-sent copy whose UUID text is upper-case and which arrives
+1.5 s later), so
 that duplicate handling, case-insensitive keys and "first copy wins" are
 exercised on the whole table. The processing stamp is injected (a replay
 clock) instead of the wall clock so that results are reproducible:
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 EPOCH = "2024-01-01 00:00:00"
 STEP_MS = 200
 COPY_DELAY_MS = 1500
-COPY_EVERY = 50
+RESEND_K = 4
 SCENARIOS = ["low", "medium", "high"]
 UUID_PREFIX = "00000000-0000-4000-a000-"
 
@@ -62,7 +63,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
     ev = spread(ev)
     first = ev.withColumn("copy", F.lit(0))
-    again = ev.filter(F.col("event_id") % COPY_EVERY == 0).withColumn("copy", F.lit(1))
+    again = ev.filter(F.get_json_object("props", "$.k").cast("int") == RESEND_K).withColumn("copy", F.lit(1))
     src = first.unionByName(again)
 
     eid = F.col("event_id")
