@@ -34,12 +34,16 @@ SF_SMOKE = "/root/testdata/sf0.001"
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Timestamps -> UTC wall clock; DOUBLE -> rounded to 6 decimals."""
+    """Values in forms every client reads alike: timestamps and dates as UTC
+    wall clock (TIMESTAMP without zone); exact decimals as the nearest DOUBLE
+    (correctly rounded on both sides); DOUBLE measures rounded to 6 decimals."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.TimestampType):
+        if isinstance(f.dataType, (T.TimestampType, T.DateType)):
             c = c.cast("timestamp_ntz")
+        elif isinstance(f.dataType, T.DecimalType):
+            c = c.cast("double")
         elif isinstance(f.dataType, T.DoubleType):
             c = F.round(c, 6)
         cols.append(c.alias(f.name))
@@ -324,8 +328,15 @@ for _k, _v in {
     _BASE = _BASE.replace("{{" + _k + "}}", _v)
 
 
-def _with(body: str) -> str:
-    return "WITH " + _BASE + body
+def _with(body: str, dec: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> str:
+    """The query over the fixture CTEs; ``dec`` columns (exact decimals) become
+    the nearest DOUBLE via their text (a correctly rounded parse), ``dates``
+    become TIMESTAMP - the same presentation as ``present`` on the Spark side."""
+    if not dec and not dates:
+        return "WITH " + _BASE + body
+    repl = [f"CAST(CAST({c} AS VARCHAR) AS DOUBLE) AS {c}" for c in dec]
+    repl += [f"CAST({c} AS TIMESTAMP) AS {c}" for c in dates]
+    return "WITH " + _BASE + ", __q AS (" + body + ") SELECT * REPLACE (" + ", ".join(repl) + ") FROM __q"
 
 
 _R6 = "round({0}, 6)"
@@ -358,27 +369,27 @@ def oracle_sql() -> dict[str, str]:
               "ingestion_latency_ms, event_lag_ms, scenario, source FROM raw "
               "ORDER BY created_at DESC, event_id DESC LIMIT 20")
     return {
-        "a1_window_metrics": _with(f"SELECT {metric_cols} FROM metrics"),
+        "a1_window_metrics": _with(f"SELECT {metric_cols} FROM metrics", ("avg_price", "min_price", "max_price", "avg_ingestion_latency_ms", "avg_event_lag_ms")),
         "v_processed_events": _with(
             f"SELECT CASE WHEN copy = 1 THEN upper(uuid) ELSE uuid END AS event_id, "
-            f"{processed_cols.replace('event_id, ', '', 1)} FROM valid"),
+            f"{processed_cols.replace('event_id, ', '', 1)} FROM valid", ("price",)),
         "v_validation_errors": _with("SELECT validation_error, count(*) AS events FROM checked GROUP BY validation_error"),
         "v_rejected_events": _with("SELECT processing_time, validation_error FROM checked WHERE validation_error IS NOT NULL"),
-        "k3_raw_table": _with(f"SELECT {raw_cols} FROM raw"),
-        "k3_raw_insert_two_deliveries": _with(f"SELECT {raw_cols} FROM raw"),
-        "k4_metrics_upsert": _with(f"SELECT {metric_cols} FROM metrics"),
-        "m1_rollup_1min": _with(f"SELECT {minute_cols} FROM minute"),
-        "m2_rollup_15min": _with(f"SELECT {quarter_cols} FROM quarter"),
-        "m5_refresh_1min": _with(f"SELECT {minute_cols} FROM minute"),
-        "m5_refresh_15min": _with(f"SELECT {quarter_cols} FROM quarter"),
+        "k3_raw_table": _with(f"SELECT {raw_cols} FROM raw", ("price",), ("event_date",)),
+        "k3_raw_insert_two_deliveries": _with(f"SELECT {raw_cols} FROM raw", ("price",), ("event_date",)),
+        "k4_metrics_upsert": _with(f"SELECT {metric_cols} FROM metrics", ("avg_price", "min_price", "max_price", "avg_ingestion_latency_ms", "avg_event_lag_ms")),
+        "m1_rollup_1min": _with(f"SELECT {minute_cols} FROM minute", ("avg_price", "min_price", "max_price")),
+        "m2_rollup_15min": _with(f"SELECT {quarter_cols} FROM quarter", ("avg_price", "min_price", "max_price")),
+        "m5_refresh_1min": _with(f"SELECT {minute_cols} FROM minute", ("avg_price", "min_price", "max_price")),
+        "m5_refresh_15min": _with(f"SELECT {quarter_cols} FROM quarter", ("avg_price", "min_price", "max_price")),
         "q01_last_5_minutes": _with(
             f"SELECT time_bucket(INTERVAL '10 seconds', event_time) AS bucket, symbol, {_AVG_PRICE6} AS avg_price, "
             f"CAST(sum(quantity) AS BIGINT) AS total_quantity, round(avg(ingestion_latency_ms), 6) AS avg_latency_ms, "
-            f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '5 minutes' GROUP BY ALL"),
+            f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '5 minutes' GROUP BY ALL", ("avg_price",)),
         "q02_last_1_hour": _with(
             f"SELECT time_bucket(INTERVAL '1 minute', event_time) AS bucket, symbol, {_AVG_PRICE6} AS avg_price, "
             f"min(price) AS min_price, max(price) AS max_price, round(avg(ingestion_latency_ms), 6) AS avg_latency_ms, "
-            f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '1 hour' GROUP BY ALL"),
+            f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '1 hour' GROUP BY ALL", ("avg_price", "min_price", "max_price")),
         "q03_last_24_hours": _with(
             f"SELECT time_bucket(INTERVAL '15 minutes', event_time) AS bucket, scenario, count(*) AS events, "
             f"round(avg(ingestion_latency_ms), 6) AS avg_latency_ms, {pct(0.5, 'p50_latency_ms')}, "
@@ -392,11 +403,11 @@ def oracle_sql() -> dict[str, str]:
         "q05_throughput_per_second": _with(
             "SELECT time_bucket(INTERVAL '1 second', processing_time) AS second, scenario, count(*) AS events "
             "FROM raw GROUP BY ALL ORDER BY second DESC, scenario LIMIT 120"),
-        "q06_recent_events": _with(recent),
+        "q06_recent_events": _with(recent, ("price",)),
         "q07_aggregated_metrics_recent": _with(
             "SELECT bucket_start, bucket_end, symbol, scenario, event_count, avg_price, total_quantity, "
             "avg_ingestion_latency_ms, p50_ingestion_latency_ms, p95_ingestion_latency_ms, max_ingestion_latency_ms "
-            "FROM metrics ORDER BY bucket_start DESC, symbol, scenario LIMIT 50"),
+            "FROM metrics ORDER BY bucket_start DESC, symbol, scenario LIMIT 50", ("avg_price", "avg_ingestion_latency_ms")),
         "q08_aggregated_throughput": _with(throughput + " ORDER BY time DESC, scenario LIMIT 120"),
         "q09_events_by_producer": _with(
             f"SELECT producer_id, scenario, count(*) AS total_events, "
@@ -404,11 +415,11 @@ def oracle_sql() -> dict[str, str]:
             f"min(event_time) AS first_event_time, max(event_time) AS last_event_time FROM raw GROUP BY ALL"),
         "q10_rollup_last_5_minutes": _with(
             f"SELECT bucket, symbol, event_count, avg_price, total_quantity, round(avg_latency_ms, 6) AS avg_latency_ms, "
-            f"max_latency_ms FROM minute WHERE bucket >= {_AS_OF} - INTERVAL '5 minutes'"),
+            f"max_latency_ms FROM minute WHERE bucket >= {_AS_OF} - INTERVAL '5 minutes'", ("avg_price",)),
         "q11_rollup_last_1_hour": _with(
             f"SELECT bucket, symbol, event_count, avg_price, min_price, max_price, "
             f"round(avg_latency_ms, 6) AS avg_latency_ms, max_latency_ms FROM minute "
-            f"WHERE bucket >= {_AS_OF} - INTERVAL '1 hour'"),
+            f"WHERE bucket >= {_AS_OF} - INTERVAL '1 hour'", ("avg_price", "min_price", "max_price")),
         "q12_rollup_last_24_hours": _with(
             f"SELECT bucket, scenario, event_count, round(avg_latency_ms, 6) AS avg_latency_ms, max_latency_ms "
             f"FROM quarter WHERE bucket >= {_AS_OF} - INTERVAL '24 hours'"),
@@ -417,24 +428,29 @@ def oracle_sql() -> dict[str, str]:
             f"{_hu('sum(ingestion_latency_ms)', 'count(*)', 2)} AS avg_latency_ms, "
             f"CAST(round(CAST(stddev_samp(ingestion_latency_ms) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2)) AS stddev_latency_ms, "
             f"{pct(0.5, 'p50_latency_ms')}, {pct(0.95, 'p95_latency_ms')}, max(ingestion_latency_ms) AS max_latency_ms, "
-            f"{_hu('sum(event_lag_ms)', 'count(*)', 2)} AS avg_event_lag_ms FROM raw GROUP BY scenario"),
+            f"{_hu('sum(event_lag_ms)', 'count(*)', 2)} AS avg_event_lag_ms FROM raw GROUP BY scenario",
+            ("avg_latency_ms", "stddev_latency_ms", "avg_event_lag_ms")),
         "r2_throughput_by_scenario": _with(thr.format(span=span_us, rate=rate,
-                                                      fallback="CAST(count(*) AS DECIMAL(38,2))")),
-        "r3_throughput_by_scenario": _with(thr.format(span=span_us, rate=rate, fallback="CAST(NULL AS DECIMAL(38,2))")),
+                                                      fallback="CAST(count(*) AS DECIMAL(38,2))"),
+                                                   ("effective_events_per_second",)),
+        "r3_throughput_by_scenario": _with(thr.format(span=span_us, rate=rate, fallback="CAST(NULL AS DECIMAL(38,2))"),
+                                           ("effective_events_per_second",)),
         "r4_minute_by_minute": _with(
             f"SELECT time_bucket(INTERVAL '1 minute', processing_time) AS minute, scenario, count(*) AS events, "
             f"{_hu('sum(ingestion_latency_ms)', 'count(*)', 2)} AS avg_latency_ms, {pct(0.95, 'p95_latency_ms')} "
-            f"FROM raw GROUP BY ALL"),
+            f"FROM raw GROUP BY ALL", ("avg_latency_ms",)),
         "r5_aggregated_metrics": _with(
             "SELECT bucket_start, bucket_end, symbol, scenario, event_count, avg_price, total_quantity, "
-            "avg_ingestion_latency_ms, p95_ingestion_latency_ms, max_ingestion_latency_ms FROM metrics"),
+            "avg_ingestion_latency_ms, p95_ingestion_latency_ms, max_ingestion_latency_ms FROM metrics",
+            ("avg_price", "avg_ingestion_latency_ms")),
         "d1_avg_price_per_symbol": _with(
-            f"SELECT bucket_start AS time, symbol, {weighted('avg_price', 6)} AS avg_price FROM metrics GROUP BY ALL"),
+            f"SELECT bucket_start AS time, symbol, {weighted('avg_price', 6)} AS avg_price FROM metrics GROUP BY ALL",
+            ("avg_price",)),
         "d2_volume_per_symbol": _with(
             "SELECT bucket_start AS time, symbol, CAST(sum(total_quantity) AS BIGINT) AS volume FROM metrics GROUP BY ALL"),
         "d3_avg_latency_per_scenario": _with(
             f"SELECT bucket_start AS time, scenario, {weighted('avg_ingestion_latency_ms', 2)} AS avg_latency_ms "
-            f"FROM metrics GROUP BY ALL"),
+            f"FROM metrics GROUP BY ALL", ("avg_latency_ms",)),
         "d4_p95_latency": _with(
             "SELECT bucket_start AS time, scenario, max(p95_ingestion_latency_ms) AS p95_latency_ms_upper "
             "FROM metrics GROUP BY ALL"),
@@ -442,6 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "d6_total_events_last_hour": _with(
             f"SELECT CAST(coalesce(sum(event_count), 0) AS BIGINT) AS total_events FROM metrics {period}"),
         "d7_avg_latency_last_hour": _with(
-            f"SELECT {weighted('avg_ingestion_latency_ms', 2)} AS avg_latency_ms FROM metrics {period}"),
-        "d8_recent_events": _with(recent),
+            f"SELECT {weighted('avg_ingestion_latency_ms', 2)} AS avg_latency_ms FROM metrics {period}",
+            ("avg_latency_ms",)),
+        "d8_recent_events": _with(recent, ("price",)),
     }

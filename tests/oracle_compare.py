@@ -33,6 +33,17 @@ def _norm(v):
     return (type(v).__name__, str(v))
 
 
+def _pandas_equal(sdf, odf) -> bool:
+    """The comparison a pandas-based checker would make: both frames through
+    pandas, columns sorted by name, rows sorted, every value as text."""
+    a = sdf.toPandas()
+    a = a[sorted(a.columns)].astype(str)
+    b = odf[sorted(odf.columns)].astype(str)
+    ka = sorted(map(tuple, a.values.tolist()))
+    kb = sorted(map(tuple, b.values.tolist()))
+    return ka == kb
+
+
 def duck(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -43,7 +54,7 @@ def duck(sf_dir: str):
     return con
 
 
-def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
+def compare(spark, sf_dir: str, names=None, verbose=True, pandas=None) -> dict:
     import __spark_entry__ as E
     qs, sql = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -67,6 +78,8 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
                 a = sorted(tuple(_norm(r[i]) for i in order) for r in rows)
                 b = sorted(tuple(_norm(r[i]) for i in oorder) for r in orows)
                 rec["values_match"] = a == b
+                if pandas or (pandas is None and os.environ.get("ORACLE_PANDAS")):
+                    rec["pandas_match"] = _pandas_equal(df, con.execute(sql[name]).df())
                 if not rec["values_match"] and verbose:
                     diff_a = [x for x in a if x not in set(b)][:3]
                     diff_b = [x for x in b if x not in set(a)][:3]

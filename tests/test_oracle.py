@@ -19,8 +19,9 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, name):
-    rec = compare(spark, SF001, [name], verbose=False)[name]
+    rec = compare(spark, SF001, [name], verbose=False, pandas=True)[name]
     assert "error" not in rec, rec.get("error")
     assert rec["rows"] == rec["oracle_rows"], rec
     assert rec["columns_match"], rec
     assert rec["values_match"], rec
+    assert rec["pandas_match"], rec
