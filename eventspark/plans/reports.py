@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import bankers, decimal_half_up, exact_avg_half_up, interpolated, ratio_half_up
+from ..functions.numeric import bankers, decimal_half_up, exact_avg_half_up, ratio_half_up
 from ..functions.timefn import time_bucket
+from ..operators.percentiles import with_percentiles
 from ..sources.connect import read_run_csv
 
 
@@ -19,14 +20,15 @@ def r1_latency_by_scenario(raw: DataFrame) -> DataFrame:
     """count, avg, stddev, p50, p95, max latency and avg lag per scenario;
     averages and stddev rounded to 2 decimals (HALF_UP)."""
     n = F.count(F.lit(1))
-    return (raw.groupBy("scenario")
-            .agg(n.alias("total_events"),
-                 exact_avg_half_up(F.sum("ingestion_latency_ms"), n, 2).alias("avg_latency_ms"),
-                 decimal_half_up(F.stddev_samp("ingestion_latency_ms"), 2).alias("stddev_latency_ms"),
-                 interpolated("ingestion_latency_ms", 0.5).alias("p50_latency_ms"),
-                 interpolated("ingestion_latency_ms", 0.95).alias("p95_latency_ms"),
-                 F.max("ingestion_latency_ms").alias("max_latency_ms"),
-                 exact_avg_half_up(F.sum("event_lag_ms"), n, 2).alias("avg_event_lag_ms"))
+    lat = "ingestion_latency_ms"
+    return (with_percentiles(raw, ["scenario"], lat, {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
+                             n.alias("total_events"),
+                             exact_avg_half_up(F.sum(lat), n, 2).alias("avg_latency_ms"),
+                             decimal_half_up(F.stddev_samp(lat), 2).alias("stddev_latency_ms"),
+                             F.max(lat).alias("max_latency_ms"),
+                             exact_avg_half_up(F.sum("event_lag_ms"), n, 2).alias("avg_event_lag_ms"))
+            .select("scenario", "total_events", "avg_latency_ms", "stddev_latency_ms", "p50_latency_ms",
+                    "p95_latency_ms", "max_latency_ms", "avg_event_lag_ms")
             .orderBy("scenario"))
 
 
@@ -55,10 +57,11 @@ def r3_throughput_by_scenario(raw: DataFrame) -> DataFrame:
 
 def r4_minute_by_minute(raw: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
-    return (raw.groupBy(time_bucket(F.col("processing_time"), "1 minute").alias("minute"), "scenario")
-            .agg(n.alias("events"),
-                 exact_avg_half_up(F.sum("ingestion_latency_ms"), n, 2).alias("avg_latency_ms"),
-                 interpolated("ingestion_latency_ms", 0.95).alias("p95_latency_ms"))
+    df = raw.withColumn("minute", time_bucket(F.col("processing_time"), "1 minute"))
+    return (with_percentiles(df, ["minute", "scenario"], "ingestion_latency_ms", {"p95_latency_ms": 0.95},
+                             n.alias("events"),
+                             exact_avg_half_up(F.sum("ingestion_latency_ms"), n, 2).alias("avg_latency_ms"))
+            .select("minute", "scenario", "events", "avg_latency_ms", "p95_latency_ms")
             .orderBy("minute", "scenario"))
 
 

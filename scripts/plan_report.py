@@ -25,7 +25,7 @@ from eventspark.plans import feeds, queries as Q, reports as R  # noqa: E402
 from eventspark.plans.derive import from_sf  # noqa: E402
 from eventspark.session import build_session  # noqa: E402
 
-KEEP = ("Exchange", "Aggregate", "TakeOrderedAndProject", "Join", "Window", "Sort ", "Union", "Filter")
+KEEP = ("Exchange", "Aggregate", "TakeOrderedAndProject", "Join", "Window", "Sort ", "Union", "Filter", "Expand")
 
 
 def essentials(df) -> list[str]:

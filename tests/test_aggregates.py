@@ -72,3 +72,32 @@ def test_metrics_plan_is_partial_then_one_exchange(spark):
     plan = d.metrics._jdf.queryExecution().executedPlan().toString()
     assert "partial_percentile" in plan or "partial_" in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_histogram_percentiles_equal_builtin(spark):
+    """with_percentiles / exact_percentiles give percentile_cont bit for bit,
+    also for a group holding most rows and with NULL values."""
+    import random
+    from eventspark.operators.percentiles import exact_percentiles, with_percentiles
+    rnd = random.Random(7)
+    rows = []
+    for g in range(30):
+        for _ in range(6000 if g == 0 else rnd.randint(1, 200)):
+            rows.append((g % 4, g, rnd.choice([rnd.randint(0, 40), rnd.randint(0, 4000), None]), rnd.randint(0, 9)))
+    df = spark.createDataFrame(rows, "a int, g int, x long, y long")
+    wanted = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    ref = {(r["a"], r["g"]): r for r in df.groupBy("a", "g").agg(
+        F.count(F.lit(1)).alias("n"), F.max("y").alias("my"),
+        *[interpolated("x", p).alias(k) for k, p in wanted.items()]).collect()}
+    only = exact_percentiles(df, ["a", "g"], "x", wanted).collect()
+    # a group with no non-NULL value has no histogram rows: absent there, NULL percentiles here
+    missing = set(ref) - {(r["a"], r["g"]) for r in only}
+    assert all(ref[k]["p50"] is None for k in missing)
+    for got in (only, with_percentiles(df, ["a", "g"], "x", wanted, F.count(F.lit(1)).alias("n"),
+                                       F.max("y").alias("my")).collect()):
+        assert len(got) == len(ref) - (len(missing) if got is only else 0)
+        for r in got:
+            for k in wanted:
+                assert r[k] == ref[(r["a"], r["g"])][k], (r["a"], r["g"], k)
+            if "n" in r.asDict():
+                assert (r["n"], r["my"]) == (ref[(r["a"], r["g"])]["n"], ref[(r["a"], r["g"])]["my"])
