@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.timefn import interval_micros, time_bucket
 from ..schema import ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, ROLLUP_KEY, rollup_schema
 from ..session import checkpoint_dir
-from .tables import _table_exists, time_range
+from .tables import days_between, read_days, time_range
 
 # Fixed values of the two roll-ups: bucket widths and refresh policies
 # (start offset, end offset, schedule interval).
@@ -124,9 +124,8 @@ def refresh(spark: SparkSession, source: DataFrame, rollup_path: str, which: str
                          "bucket_date" if "bucket_date" in source.columns else None)
         fresh = rollup_15min(src)
         cols = _COLS_15MIN
-    if _table_exists(spark, rollup_path):
-        old = spark.read.parquet(rollup_path).filter(
-            (F.col("bucket_date") >= F.to_date(lo_c)) & (F.col("bucket_date") <= F.to_date(hi_c)))
+    old = read_days(spark, rollup_path, "bucket_date", days_between(lo, hi), rollup_schema(_fields(which)))
+    if old is not None:
         kept = old.filter((F.col("bucket") < lo_c) | (F.col("bucket") >= hi_c)).select(*cols, "bucket_date")
         merged = kept.unionByName(fresh)
     else:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, matches_symbol
-from ..schema import METRIC_COLUMNS, METRICS_KEY, METRICS_TABLE_COLUMNS, RAW_KEY, RAW_TABLE_COLUMNS
+from ..schema import (METRIC_COLUMNS, METRICS_KEY, METRICS_TABLE_COLUMNS, METRICS_TABLE_SCHEMA, RAW_KEY,
+                      RAW_TABLE_COLUMNS, RAW_TABLE_SCHEMA)
 from ..session import checkpoint_dir
 
 
@@ -100,12 +101,30 @@ def dedupe_raw(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- helpers
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
+def days_between(lo, hi) -> list[_dt.date]:
+    """Every calendar day from ``lo`` to ``hi`` (dates or datetimes), inclusive."""
+    a = lo.date() if isinstance(lo, _dt.datetime) else lo
+    b = hi.date() if isinstance(hi, _dt.datetime) else hi
+    return [a + _dt.timedelta(days=i) for i in range((b - a).days + 1)]
+
+
+def read_days(spark: SparkSession, path: str, part_col: str, days, schema) -> DataFrame | None:
+    """Only the given day partitions of a day-partitioned Parquet table, or
+    None when none of them exists. A Hadoop glob over the partition
+    directories (``col={d1,d2,...}``) with ``basePath`` lists just those
+    directories - not the whole table, as reading the table root would on
+    every micro-batch - and the declared schema avoids reading footers to
+    infer one."""
+    days = sorted({d.isoformat() for d in days})
+    if not days:
+        return None
+    glob = f"{path.rstrip('/')}/{part_col}={{{','.join(days)}}}"
     try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the file listing
-        return True
-    except Exception:  # noqa: BLE001 - no table yet
-        return False
+        return spark.read.schema(schema).option("basePath", path).parquet(glob)
+    except Exception as e:  # noqa: BLE001 - no such partition yet
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return None
+        raise
 
 
 def _bounds(df: DataFrame, col: str) -> tuple:
@@ -133,37 +152,49 @@ def time_range(df: DataFrame, time_col: str, lo, hi=None, date_col: str | None =
 
 # ------------------------------------------------------------------ writes
 
-def write_raw(rows: DataFrame, path: str, mode: str = "append") -> None:
-    # Range-partition on (day, time): a busy day is spread over many tasks
-    # (never one task per day), and every file covers a narrow time range.
-    (rows.select(*RAW_TABLE_COLUMNS)
-     .repartitionByRange("event_date", "event_time")
-     .sortWithinPartitions("event_date", "event_time")
+def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = True) -> None:
+    """Append (or overwrite) raw-table rows, time-sorted inside each file.
+
+    ``spread=True`` (bulk loads) range-partitions on (day, time): a busy day
+    is spread over many tasks - never one task per day - and every file covers
+    a narrow time range. ``spread=False`` keeps the input partitioning (rows
+    that come out of the key de-duplication are already hash-spread), which
+    saves the sampling job of range partitioning in every micro-batch."""
+    out = rows.select(*RAW_TABLE_COLUMNS)
+    if spread:
+        out = out.repartitionByRange("event_date", "event_time")
+    (out.sortWithinPartitions("event_date", "event_time")
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 
 def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
-                             order: list[str] | None = None, rejected_path: str | None = None) -> DataFrame:
+                             order: list[str] | None = None, rejected_path: str | None = None) -> None:
     """Insert raw-table ``rows`` into the table at ``path``; keys already present
     (or repeated inside ``rows``) keep their first row. Rows breaking a table
-    rule are not inserted (appended to ``rejected_path`` when given). Returns
-    the inserted rows (computed from a reliably checkpointed frame)."""
-    checkpoint_dir(spark)
+    rule are not inserted (appended to ``rejected_path`` when given).
+
+    Meant for one delivery (a micro-batch): the de-duplicated batch is kept
+    with ``persist`` for its two uses (time bounds, insert) - its lineage is one
+    shuffle long, and a lost block is recomputed from the replayable source.
+    Re-running the same delivery inserts nothing twice."""
     rows, rejected = enforce(rows, raw_constraint_violation(rows))
     if rejected_path:
         rejected.write.mode("append").parquet(rejected_path)
-    batch = dedupe_raw(rows, order).checkpoint(eager=True)
-    if _table_exists(spark, path):
+    batch = dedupe_raw(rows, order).persist()
+    try:
         lo, hi = _bounds(batch, "event_time")
         if lo is None:
-            return batch
+            return
         # Only the touched days, and inside them only the row groups whose
         # event_time range overlaps the batch (Parquet statistics).
-        existing = time_range(spark.read.parquet(path), "event_time", lo, hi, "event_date",
-                              hi_inclusive=True).select(*RAW_KEY)
-        batch = batch.join(existing, RAW_KEY, "left_anti")
-    write_raw(batch, path, "append")
-    return batch
+        touched = read_days(spark, path, "event_date", days_between(lo, hi), RAW_TABLE_SCHEMA)
+        new = batch
+        if touched is not None:
+            existing = time_range(touched, "event_time", lo, hi, hi_inclusive=True).select(*RAW_KEY)
+            new = batch.join(existing, RAW_KEY, "left_anti")
+        write_raw(new, path, "append", spread=False)
+    finally:
+        batch.unpersist()
 
 
 def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
@@ -174,12 +205,11 @@ def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
     checkpoint_dir(spark)
     new, _ = enforce(metrics, metrics_constraint_violation(metrics))
     new = metrics_table_rows(new, created_at).checkpoint(eager=True)
-    if _table_exists(spark, path):
-        lo, hi = _bounds(new, "bucket_date")
-        if lo is None:
-            return
-        old = (spark.read.parquet(path)
-               .filter((F.col("bucket_date") >= F.lit(lo)) & (F.col("bucket_date") <= F.lit(hi))))
+    lo, hi = _bounds(new, "bucket_date")
+    if lo is None:
+        return
+    old = read_days(spark, path, "bucket_date", days_between(lo, hi), METRICS_TABLE_SCHEMA)
+    if old is not None:
         kept = old.join(new.select(*METRICS_KEY), METRICS_KEY, "left_anti").select(*METRICS_TABLE_COLUMNS)
         merged = kept.unionByName(new)
     else:

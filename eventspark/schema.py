@@ -40,6 +40,11 @@ PROCESSED_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in PROCESSED
 # Raw event table: processed columns with the canonical UUID, the insert time
 # and the date partition column.
 RAW_TABLE_COLUMNS = [n for n, _ in PROCESSED_FIELDS] + ["created_at", "event_date"]
+RAW_TABLE_SCHEMA = T.StructType(
+    [T.StructField(n, t, True) for n, t in PROCESSED_FIELDS]
+    + [T.StructField("created_at", T.TimestampType(), True),
+       T.StructField("event_date", T.DateType(), True)]
+)
 RAW_KEY = ["event_id", "event_time"]
 
 METRIC_FIELDS = [
