@@ -10,6 +10,8 @@ projection after the scan: no shuffle, no Python.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,79 +76,97 @@ _TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in WIR
                             + [T.StructField("_corrupt_record", T.StringType(), True)])
 
 
-def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
-    """Add typed wire columns ``w_<field>`` and ``decode_error`` to ``df``.
+def _context_key() -> int:
+    from pyspark import SparkContext
+    return id(SparkContext._active_spark_context)
 
-    Fast path: one ``from_json`` with every field as text (scalars come out as
-    their text, objects and arrays as their JSON). The JSON *type* of a value
-    matters only where that text is ambiguous - a text field holding ``{...}``
-    or ``[...]`` (object, or a string that looks like one?), and an integer
-    field holding a fractional number (truncated if it is a number, rejected if
-    it is a string). Only such rows are parsed a second time, as VARIANT, in a
-    lazily evaluated CASE branch. Stages refer to each other by name, so no
-    large sub-expression is copied into several consumers.
+
+@functools.lru_cache(maxsize=64)
+def _decode_stages(ctx: int, value_col: str, columns: tuple[str, ...]) -> list[list[Column]]:
+    """The six projections of ``decode`` for an input with ``columns``.
+
+    Built once per Spark context and input shape: the expressions are plain
+    unresolved Columns, reusable in every DataFrame (and every micro-batch)
+    with the same columns; building them is thousands of calls into the JVM.
     """
     raw = F.col(value_col)
-    out = df.withColumn("_j", F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS))
-    stage1 = {"_root_bad": (F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
-                            | ~F.coalesce(raw.rlike(r"\A\s*\{"), F.lit(False)))}
-    for f in WIRE_FIELDS:
-        stage1[f"_s_{f}"] = F.col(f"_j.{f}")
-    out = out.withColumns(stage1).drop("_j")
-    # which rows need the JSON types of their values
+    keep = [F.col(f"`{c}`") for c in columns]
+    stages: list[list[Column]] = []
+    # 1: text parse
+    stages.append([*keep, F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS).alias("_j")])
+    # 2: field texts, trimmed numeric texts, root check, ambiguity flag
+    j = lambda f: F.col(f"_j.{f}")
     ambiguous = F.lit(False)
     for f in TEXT_FIELDS:
-        s = F.col(f"_s_{f}")
-        ambiguous = ambiguous | F.coalesce(s.startswith("{") | s.startswith("["), F.lit(False))
+        ambiguous = ambiguous | F.coalesce(j(f).startswith("{") | j(f).startswith("["), F.lit(False))
     for f in ("quantity", "sequence"):
-        s = F.col(f"_s_{f}")
-        ambiguous = ambiguous | F.coalesce(~s.rlike(_INT_LITERAL) & java_trim(s).rlike(_JSON_NUMBER), F.lit(False))
-    # a codegen'd parse (not a from_json with a VARIANT schema, which is not)
-    out = out.withColumn("_amb", ambiguous)
-    out = out.withColumn("_v", F.when(F.col("_amb"), F.try_parse_json(raw)))
-    stage2 = {}
-    for f in WIRE_FIELDS:
-        stage2[f"_fv_{f}"] = F.when(F.col("_amb"), F.try_variant_get(F.col("_v"), f"$.{f}", "variant"))
-    out = out.withColumns(stage2)
-    stage2 = {}
-    for f in WIRE_FIELDS:
-        stage2[f"_k_{f}"] = F.when(F.col("_amb"), _kind(F.schema_of_variant(F.col(f"_fv_{f}"))))
-    for f in ("price", "quantity", "sequence"):
-        stage2[f"_t_{f}"] = java_trim(F.col(f"_s_{f}"))
-    out = out.withColumns(stage2)
-    stage3 = {}
+        ambiguous = ambiguous | F.coalesce(~j(f).rlike(_INT_LITERAL) & java_trim(j(f)).rlike(_JSON_NUMBER),
+                                           F.lit(False))
+    root_bad = (F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
+                | ~F.coalesce(raw.rlike(r"\A\s*\{"), F.lit(False)))
+    stages.append([*keep, root_bad.alias("_root_bad"), ambiguous.alias("_amb"),
+                   *[j(f).alias(f"_s_{f}") for f in WIRE_FIELDS],
+                   *[java_trim(j(f)).alias(f"_t_{f}") for f in ("price", "quantity", "sequence")]])
+    passthrough = [F.col("_root_bad"), F.col("_amb")] + [F.col(f"_s_{f}") for f in WIRE_FIELDS] \
+        + [F.col(f"_t_{f}") for f in ("price", "quantity", "sequence")]
+    # 3: second parse, only for ambiguous rows (a codegen'd parse, not a
+    #    from_json with a VARIANT schema, which is not)
+    v_col = F.when(F.col("_amb"), F.try_parse_json(raw)).alias("_v")
+    stages.append([*keep, *passthrough, v_col])
+    # 4: JSON kinds (ambiguous rows only) and the sub-values needed later
+    fv = lambda f: F.try_variant_get(F.col("_v"), f"$.{f}", "variant")
+    stage4 = [F.when(F.col("_amb"), _kind(F.schema_of_variant(fv(f)))).alias(f"_k_{f}") for f in WIRE_FIELDS]
+    stage4 += [F.when(F.col("_amb"), fv(f)).alias(f"_fv_{f}") for f in ("quantity", "sequence")]
+    stages.append([*keep, *passthrough, *stage4])
+    # 5: typed values and per-field failures
+    stage5 = []
     for f in WIRE_FIELDS:
         s, k = F.col(f"_s_{f}"), F.col(f"_k_{f}")
         if f in TEXT_FIELDS:
             bad = F.coalesce(k.isin("OBJECT", "ARRAY"), F.lit(False))
-            stage3[f"w_{f}"] = F.when(~bad, s)
-            stage3[f"_bad_{f}"] = bad
+            stage5 += [F.when(~bad, s).alias(f"w_{f}"), bad.alias(f"_bad_{f}")]
             continue
         t = F.col(f"_t_{f}")
         empty = t.isNull() | (t == "") | (t == "null")
         if f == "price":
             value = t.try_cast(PRICE.simpleString())
-            stage3[f"w_{f}"] = F.when(~empty, value)
-            stage3[f"_bad_{f}"] = ~empty & value.isNull()
-            continue
-        target = "int" if f == "quantity" else "long"
-        lo, hi = _INT_BOUNDS[target]
-        from_int = F.when(t.rlike(_INT_LITERAL), F.regexp_replace(t, r"\A\+", "").try_cast(target))
-        v = F.col(f"_fv_{f}")
-        d = F.try_variant_get(v, "$", "double")
-        in_range = d.isNotNull() & (d >= F.lit(float(lo))) & (d <= F.lit(float(hi)))
-        # a fractional JSON number is truncated toward zero
-        from_fraction = F.when((k == "NUMBER") & in_range,
-                               F.try_variant_get(v, "$", "decimal(38,6)").try_cast(target))
-        value = F.coalesce(from_int, from_fraction)
-        stage3[f"w_{f}"] = F.when(~empty, value)
-        stage3[f"_bad_{f}"] = ~empty & value.isNull()
-    out = out.withColumns(stage3)
+        else:
+            target = "int" if f == "quantity" else "long"
+            lo, hi = _INT_BOUNDS[target]
+            from_int = F.when(t.rlike(_INT_LITERAL), F.regexp_replace(t, r"\A\+", "").try_cast(target))
+            v = F.col(f"_fv_{f}")
+            d = F.try_variant_get(v, "$", "double")
+            in_range = d.isNotNull() & (d >= F.lit(float(lo))) & (d <= F.lit(float(hi)))
+            # a fractional JSON number is truncated toward zero
+            from_fraction = F.when((k == "NUMBER") & in_range,
+                                   F.try_variant_get(v, "$", "decimal(38,6)").try_cast(target))
+            value = F.coalesce(from_int, from_fraction)
+        stage5 += [F.when(~empty, value).alias(f"w_{f}"), (~empty & value.isNull()).alias(f"_bad_{f}")]
+    stages.append([*keep, F.col("_root_bad"), *stage5])
+    # 6: first decode failure; helpers dropped in the same projection
     err = F.when(F.col("_root_bad"), F.lit(MSG_MALFORMED))
     for f in WIRE_FIELDS:
         err = err.when(F.col(f"_bad_{f}"), F.lit(f"invalid {f}"))
-    helpers = [c for c in out.columns if c.startswith(("_k_", "_s_", "_t_", "_bad_", "_fv_"))] + ["_root_bad", "_v", "_amb"]
-    return out.withColumn("decode_error", err).drop(*helpers)
+    stages.append([*keep, *[F.col(f"w_{f}") for f in WIRE_FIELDS], err.alias("decode_error")])
+    return stages
+
+
+def decode(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """Add typed wire columns ``w_<field>`` and ``decode_error`` to ``df``.
+
+    Fast path: one ``from_json`` with every field as text (scalars come out as
+    their text, objects and arrays as their JSON). The JSON *type* of a value
+    matters only where that text is ambiguous - a text field holding ``{...}``
+    or ``[...]`` (object, or a string that looks like one?), and an integer
+    field holding a fractional number (truncated if it is a number, rejected if
+    it is a string). Only such rows are parsed a second time, as VARIANT, in a
+    lazily evaluated CASE branch. Stages refer to each other by name, so no
+    large sub-expression is copied into several consumers.
+    """
+    out = df
+    for stage in _decode_stages(_context_key(), value_col, tuple(df.columns)):
+        out = out.select(*stage)
+    return out
 
 
 def validation_error(decoded: DataFrame) -> Column:
@@ -167,24 +187,18 @@ def validation_error(decoded: DataFrame) -> Column:
             .when(c("sequence").isNull() | (c("sequence") < 0), MSG_SEQUENCE))
 
 
-def process_events(df: DataFrame, value_col: str = "value",
-                   processing_time_col: str | None = None) -> DataFrame:
-    """Decode + validate + enrich.
-
-    Returns every input column, the processed event columns (typed), the
-    canonical key column ``event_uuid`` and ``validation_error``. The processing
-    stamp is ``processing_time_col`` when given (replay, tests), else
-    ``current_timestamp()``: one value per query / micro-batch, kept in the
-    streaming offset log, so a replayed batch gets the same stamp.
-    """
+@functools.lru_cache(maxsize=64)
+def _process_stages(ctx: int, processing_time_col: str | None, columns: tuple[str, ...],
+                    originals: tuple[str, ...]) -> list[list[Column]]:
+    """The projections of ``process_events`` after ``decode`` (cached like
+    ``_decode_stages``): stamps and parsed times, the rule chain, enrichment."""
     pt = F.col(processing_time_col) if processing_time_col else F.current_timestamp()
-    d = decode(df, value_col)
-    d = d.withColumns({
-        "_pt": pt.cast("timestamp"),
-        "_event_ts": parse_instant(F.col("w_event_time")),
-        "_producer_ts": parse_instant(F.col("w_producer_time")),
-    })
-    d = d.withColumn("validation_error", fence(validation_error(d)))
+    keep = [F.col(f"`{c}`") for c in columns]
+    stages = [[*keep, pt.cast("timestamp").alias("_pt"),
+               parse_instant(F.col("w_event_time")).alias("_event_ts"),
+               parse_instant(F.col("w_producer_time")).alias("_producer_ts")]]
+    stages.append([*keep, F.col("_pt"), F.col("_event_ts"), F.col("_producer_ts"),
+                   fence(validation_error(None)).alias("validation_error")])
     ok = F.col("validation_error").isNull()
     enriched = {
         "event_id": F.col("w_event_id"),
@@ -203,8 +217,25 @@ def process_events(df: DataFrame, value_col: str = "value",
         "event_lag_ms": nonneg_millis_between(F.col("_event_ts"), F.col("_pt")),
         "event_uuid": F.when(ok, canonical_uuid(F.col("w_event_id"))),
     }
-    keep = [c for c in df.columns if c not in enriched and c != "validation_error"]
-    return d.select(*keep, *[e.alias(n) for n, e in enriched.items()], "validation_error")
+    passed = [F.col(f"`{c}`") for c in originals if c not in enriched and c != "validation_error"]
+    stages.append([*passed, *[e.alias(n) for n, e in enriched.items()], F.col("validation_error")])
+    return stages
+
+
+def process_events(df: DataFrame, value_col: str = "value",
+                   processing_time_col: str | None = None) -> DataFrame:
+    """Decode + validate + enrich.
+
+    Returns every input column, the processed event columns (typed), the
+    canonical key column ``event_uuid`` and ``validation_error``. The processing
+    stamp is ``processing_time_col`` when given (replay, tests), else
+    ``current_timestamp()``: one value per query / micro-batch, kept in the
+    streaming offset log, so a replayed batch gets the same stamp.
+    """
+    out = decode(df, value_col)
+    for stage in _process_stages(_context_key(), processing_time_col, tuple(out.columns), tuple(df.columns)):
+        out = out.select(*stage)
+    return out
 
 
 PROCESSED_COLUMNS = [n for n, _ in PROCESSED_FIELDS]
