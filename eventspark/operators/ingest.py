@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import canonical_uuid, is_blank, is_uuid_text, java_trim, matches_symbol
 from ..functions.timefn import format_instant, nonneg_millis_between, parse_instant
-from ..schema import PRICE, PROCESSED_FIELDS, TEXT_FIELDS, WIRE_DECODE_SCHEMA, WIRE_FIELDS
+from ..schema import PRICE, PROCESSED_FIELDS, TEXT_FIELDS, WIRE_FIELDS
 
 # The rejection messages of the event contract, in rule order,
 # and the default producer id.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefn import interval_micros, time_bucket
-from ..schema import ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, ROLLUP_KEY, rollup_schema
+from ..schema import ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, rollup_schema
 from ..session import checkpoint_dir
 from .tables import days_between, read_days, time_range
 

@@ -11,7 +11,6 @@ from eventspark.operators.rollups import (aligned_range, create_empty, read_roll
                                          rollup_1min, rollup_15min)
 from eventspark.plans.derive import from_sf
 from eventspark.plans.queries import q01_last_5_minutes, q06_recent_events
-from eventspark.schema import METRIC_COLUMNS, RAW_TABLE_COLUMNS
 from tests.conftest import SF001
 
 T0 = dt.datetime(2024, 1, 1, 0, 0, 0)
