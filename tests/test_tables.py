@@ -140,3 +140,24 @@ def test_empty_rollup_and_policy_window(spark, scratch):
     assert refresh_policy_window(now, "events_1min") == (dt.datetime(2024, 1, 2, 10, 0), dt.datetime(2024, 1, 2, 11, 59))
     assert refresh_policy_window(now, "events_15min") == (dt.datetime(2024, 1, 1, 10, 0),
                                                           dt.datetime(2024, 1, 2, 11, 45))
+
+
+def test_read_days_lists_only_touched_partitions(spark, scratch):
+    from eventspark.schema import RAW_TABLE_SCHEMA
+    path = f"{scratch}/raw"
+    t = T0 + dt.timedelta(minutes=1)
+    K.write_raw(_raw_rows(spark, [_row("a", t, t), _row("b", t + dt.timedelta(days=2), t)]), path, "overwrite")
+    assert K.read_days(spark, path, "event_date", [dt.date(2023, 1, 1)], RAW_TABLE_SCHEMA) is None
+    assert K.read_days(spark, path, "event_date", [], RAW_TABLE_SCHEMA) is None
+    one = K.read_days(spark, path, "event_date", [t.date(), dt.date(2024, 1, 2)], RAW_TABLE_SCHEMA)
+    assert [r["event_id"] for r in one.collect()] == ["a"]
+    assert K.days_between(dt.datetime(2024, 1, 1, 23), dt.datetime(2024, 1, 3, 1)) == [
+        dt.date(2024, 1, 1), dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
+
+
+def test_touched_spans_merge_adjacent_buckets(spark):
+    from eventspark.streaming.jobs import touched_spans
+    times = [T0 + dt.timedelta(minutes=m) for m in (1, 14, 16, 50)]
+    df = spark.createDataFrame([(x,) for x in times], "event_time timestamp")
+    assert touched_spans(df) == [(T0, T0 + dt.timedelta(minutes=30)),
+                                 (T0 + dt.timedelta(minutes=45), T0 + dt.timedelta(minutes=60))]
