@@ -15,6 +15,7 @@ sum or interpolation); decimals keep their exact scale.
 from __future__ import annotations
 
 import datetime as _dt
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,15 @@ from eventspark.session import prepare, work_path
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
+# The training-data operators and the corpus pipeline are optional parts.
+if importlib.util.find_spec("eventspark.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+    from eventspark.llm import entry as _llm
+    LLM_QUERIES = {**_llm.queries(), "pipeline": corpus_pipeline.run}
+    LLM_SQL = _llm.oracle_sql()
+else:
+    LLM_QUERIES, LLM_SQL = {}, {}
+
 
 def present(df: DataFrame) -> DataFrame:
     """Values in forms every client reads alike: timestamps and dates as UTC
@@ -222,6 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d6_total_events_last_hour": _period_q(feeds.d6_total_events),
         "d7_avg_latency_last_hour": _period_q(feeds.d7_avg_latency),
         "d8_recent_events": _raw_q(feeds.d8_recent_events, False),
+        **LLM_QUERIES,
     }
 
 
@@ -461,4 +472,5 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {weighted('avg_ingestion_latency_ms', 2)} AS avg_latency_ms FROM metrics {period}",
             ("avg_latency_ms",)),
         "d8_recent_events": _with(recent, ("price",)),
+        **LLM_SQL,
     }
