@@ -6,19 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventspark.llm import mixing, odd_sketch, secret_ledger, wu_manber
 from eventspark.llm.common import read_table
-from eventspark.llm.odd_sketch import near_duplicates
 
 
 def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, threshold=(85, 100))
+    return odd_sketch.near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, threshold=(85, 100))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.digest(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wu_manber.digest(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+        "op5_source_mixing": op5_source_mixing,
+        "op6_secret_ledger": op6_secret_ledger,
+        "op10_wu_manber": op10_wu_manber,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_source_mixing": mixing.SQL,
+        "op6_secret_ledger": secret_ledger.SQL,
+        "op10_wu_manber": wu_manber.SQL,
+    }
