@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import mixing, odd_sketch, secret_ledger, wu_manber
+from eventspark.llm import arrow_output, mixing, odd_sketch, secret_ledger, wu_manber
 from eventspark.llm.common import read_table
 
 
@@ -14,6 +14,16 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, threshold=(85, 100))
 
 
+def tokenizer_path() -> str:
+    """Where this machine keeps the public byte-level vocabulary."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_output.digest(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(spark, read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +39,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+        "op4_arrow_token_files": op4_arrow_token_files,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_ledger": op6_secret_ledger,
         "op10_wu_manber": op10_wu_manber,
