@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import arrow_output, mixing, odd_sketch, secret_ledger, wu_manber
+from eventspark.llm import arrow_output, mixing, odd_sketch, secret_ledger, suffix_dedup, wu_manber
 from eventspark.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(spark, read_table(spark, sf_dir, "documents"), shingle_words=3, threshold=(85, 100))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(spark, read_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """Where this machine keeps the public byte-level vocabulary."""
     import public_tokenizers
@@ -39,6 +43,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op4_arrow_token_files": op4_arrow_token_files,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_ledger": op6_secret_ledger,
