@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import arrow_output, mixing, odd_sketch, secret_ledger, suffix_dedup, wu_manber
+from eventspark.llm import arrow_output, mixing, nn_descent, odd_sketch, secret_ledger, suffix_dedup, wu_manber
 from eventspark.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path() -> str:
     """Where this machine keeps the public byte-level vocabulary."""
     import public_tokenizers
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_nn_descent": op3_nn_descent,
         "op4_arrow_token_files": op4_arrow_token_files,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_ledger": op6_secret_ledger,
