@@ -16,13 +16,18 @@ from eventspark.session import work_path
 ARROW_ROWS, ARROW_BYTES = 1000, "16m"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python task holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 class Workspace:
     """Tables of one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, work_path(spark, name)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

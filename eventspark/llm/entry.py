@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import arrow_output, mixing, nn_descent, odd_sketch, secret_ledger, suffix_dedup, wu_manber
+from eventspark.llm import arrow_output, lsa_vote, mixing, nn_descent, odd_sketch, secret_ledger, suffix_dedup, wu_manber
 from eventspark.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op7_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsa_vote.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.digest(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_arrow_token_files": op4_arrow_token_files,
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_ledger": op6_secret_ledger,
+        "op7_lsa_vote": op7_lsa_vote,
         "op10_wu_manber": op10_wu_manber,
     }
 
