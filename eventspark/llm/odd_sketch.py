@@ -9,10 +9,11 @@
 3. In a bucket (equal band key) every node is paired with one centre, the node
    that shares buckets with most others. A pair goes on if sizes and sketches
    allow the threshold; the full sets then decide.
-4. Buckets whose nodes still lie in several components get further centres,
-   and finally all pairs of nodes in different components, so that a link is
-   never lost to the choice of a centre. Nodes already in one component are
-   not compared with each other: a group of n copies costs n, not n*n.
+4. Where a bucket's nodes still lie in several components, pairs from different
+   components are compared as well, so that a link is never lost to the choice
+   of a centre. These pairs come from an exact prefix filter over the shingles
+   of the nodes concerned (``_prefix_pairs``). Nodes of one component are not
+   compared with each other, so a group of n copies costs n pairs, not n*n.
 
 A pair with similarity s meets in some bucket with probability
 1 - (1 - s**ROWS)**BANDS: 0.99999998 at s = 0.85, 0.9999996 at 0.8. The sketch turns a
@@ -29,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
@@ -38,8 +40,8 @@ from eventspark.llm.components import components
 BANDS, ROWS = 28, 4
 SKETCH_BITS = 512
 MARGIN = 0.25
-#: Rounds of one centre a bucket before the remaining pairs are listed.
-CENTRE_ROUNDS = 3
+#: Rounds of one centre a bucket before the remaining pairs are compared.
+CENTRE_ROUNDS = 1
 
 _SAMPLES = BANDS * ROWS
 _MULTIPLIERS = K.mix64(np.arange(1, _SAMPLES + 1, dtype=K.U64)) | K.U64(1)
@@ -118,6 +120,19 @@ def _features(size: int):
     return run
 
 
+def _shingles(size: int):
+    """The distinct shingles of (node, text), one a row."""
+    def run(batches):
+        for batch in batches:
+            data, offsets = K.string_buffers(batch.column("text"))
+            for i, j in K.slices(offsets, 1 << 20):
+                code, first = shingle_codes(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], size)
+                sets = [np.unique(code[a:b]) for a, b in zip(first[:-1], first[1:])]
+                node = batch.column("node").slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([node, pa.array(K.as_long(np.concatenate(sets)))], names=["node", "shingle"])
+    return run
+
+
 def _set_of(text: bytes | str | None, size: int) -> np.ndarray:
     raw = (text or "").encode() if not isinstance(text, bytes) else text
     code, _ = shingle_codes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), size)
@@ -165,6 +180,44 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num
     return rows.mapInArrow(_overlaps(size), "a binary, b binary, n_both long, n_any long")
 
 
+def _prefix_pairs(ws: Workspace, open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """All pairs of nodes of different components that can reach the threshold.
+
+    Every set is put in one order, rarest shingles first. If the first common
+    shingle of a pair stands at places p and q (from 0), the overlap is at
+    most min(n_a - p, n_b - q), and num / den needs an overlap of
+    num * (n_a + n_b) / (num + den). So a pair is made only at a shingle that
+    stands early enough in both; shingles that one edited copy has alone push
+    all others back.
+    """
+    sets = (open_nodes.join(nodes, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"))
+            .join(texts, ["doc_id", "text_key"]).select("node", "text"))
+    ids = open_nodes.join(nodes.select("node", F.col("n_shingles").alias("n")), "node").withColumn("id", F.xxhash64("node"))
+    each = ws.save(sets.mapInArrow(_shingles(size), "node binary, shingle long").select(F.xxhash64("node").alias("id"), "shingle"), "shingles")
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("often", "shingle")) - 1)
+    early = (ranked.where("often > 1").join(ids.select("id", "n", "comp"), "id")
+             .where((F.col("n") - F.col("place")) * den >= F.col("n") * num).select("shingle", "id", "n", "place", "comp"))
+    early = ws.save(early, "early")
+    ws.drop("shingles")
+    # the smallest set at a shingle says how early any pair there must be
+    least = early.groupBy("shingle").agg(F.min("n").alias("least"))
+    early = early.join(least, "shingle").where((F.col("n") - F.col("place")) * (num + den) >= (F.col("n") + F.col("least")) * num)
+    apart = early.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("shingle")
+    early = ws.save(early.join(apart, "shingle"), "at-shingles")
+    ws.drop("early")
+
+    def side(s):
+        return early.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "comp")])
+
+    need = (F.col("n_a") + F.col("n_b")) * num
+    near = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (num + den) >= need
+    met = (side("a").join(side("b"), "shingle").where((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+           .select("id_a", "id_b").distinct())
+    return (met.join(ids.select(F.col("id").alias("id_a"), F.col("node").alias("a")), "id_a")
+            .join(ids.select(F.col("id").alias("id_b"), F.col("node").alias("b")), "id_b").select("a", "b"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100),
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest id
@@ -191,32 +244,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
         return (members.join(centre, "bucket").where(F.col("comp") != F.col("c.comp"))
                 .select(F.col("node").alias("a"), F.col("c.node").alias("b")))
 
-    members = shared.withColumn("comp", F.col("node"))
-    checked = linked = comp = None
-    for step in range(CENTRE_ROUNDS + 1):
-        if step < CENTRE_ROUNDS:
-            order = F.col("n_met") if step == 0 else F.xxhash64(F.lit(step), "node")
-            pairs = against_centres(members, order).distinct()
-        else:
-            left = members.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = members.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-        if checked is not None:
-            done = checked.select("a", "b").union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+    def spread(comp: DataFrame, name: str) -> DataFrame:
+        """The members of buckets whose nodes lie in several components."""
+        members = shared.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+        return ws.save(members.join(apart, "bucket"), name)
+
+    def check(pairs: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
         pairs = ws.save(pairs, f"pairs-{step}")
         found = ws.save(_verify(pairs, nodes, texts, shingle_words, num, den), f"found-{step}")
+        return pairs, found.where(F.col("n_both") * den >= F.col("n_any") * num).select("a", "b")
+
+    members = shared.withColumn("comp", F.col("node"))
+    checked = links = comp = None
+    for step in range(CENTRE_ROUNDS):
+        order = F.col("n_met") if step == 0 else F.xxhash64(F.lit(step), "node")
+        pairs = against_centres(members, order).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs, found = check(pairs, step)
         checked = pairs if checked is None else checked.union(pairs)
-        new = found.where(F.col("n_both") * den >= F.col("n_any") * num).select("a", "b")
-        linked = new if linked is None else linked.union(new)
-        comp = ws.save(components(linked, ws, f"cc-{step}"), f"components-{step}")
-        if step == CENTRE_ROUNDS:
-            break
-        members = shared.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        apart = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-        members = ws.save(members.join(apart, "bucket"), f"members-{step}")
+        links = found if links is None else links.union(found)
+        comp = ws.save(components(links, ws, f"cc-{step}"), f"components-{step}")
+        members = spread(comp, f"members-{step}")
         if members.isEmpty():
             break
+    else:
+        pairs = _prefix_pairs(ws, members.select("node", "comp").distinct(), nodes, texts, shingle_words, num, den)
+        done = checked.union(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        _, found = check(pairs.join(done, ["a", "b"], "left_anti"), CENTRE_ROUNDS)
+        comp = ws.save(components(links.union(found), ws, "cc"), "components")
 
     # the smallest id of each component, over all rows
     keyed = feats.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn(
