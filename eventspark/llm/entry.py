@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import arrow_output, lexicon_toxicity, lsa_vote, mixing, nn_descent, odd_sketch, secret_ledger, suffix_dedup, wu_manber
+from eventspark.llm import arrow_output, lexicon_toxicity, lsa_vote, mixing, nn_descent, odd_sketch, script_viterbi, secret_ledger, suffix_dedup, wu_manber
 from eventspark.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op7_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsa_vote.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script_viterbi.identify(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_toxicity.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mixing": op5_source_mixing,
         "op6_secret_ledger": op6_secret_ledger,
         "op7_lsa_vote": op7_lsa_vote,
+        "op8_script_viterbi": op8_script_viterbi,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op10_wu_manber": op10_wu_manber,
     }
