@@ -202,4 +202,6 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
     small_batches(spark)
     space = spark.sparkContext.broadcast(fit(docs, labels))
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(_scored(space, docs.columns, True), docs.schema)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
+    rows = docs.select(row, docs["text"].cast("string").alias("_text"))
+    return rows.mapInArrow(_scored(space, ["row"], True), rows.select("row").schema).select("row.*")

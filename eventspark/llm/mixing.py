@@ -35,7 +35,7 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
 
 
-def n_words(text: str) -> Column:
+def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
@@ -70,31 +70,29 @@ def draw(doc_id: Column, text: Column) -> Column:
 
 
 def plan(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text, source and any others) with the columns
-    ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
+    """(row, size, source_size, target, copies) of every row of ``docs``
+    (doc_id, text, source and any others), kept as a struct."""
     ws = Workspace(spark, "mixing")
-    sized = docs.withColumn("_size", n_words("text"))
-    per_source = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    t = ws.save(targets(per_source, **options), "targets").select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("source"), n_words(docs["text"]).alias("size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    t = ws.save(targets(per_source, **options), "targets").withColumnRenamed("source", "of")
     if t.count() <= BROADCAST_SOURCES:
         t = F.broadcast(t)
-    joined = sized.join(t, sized["source"].eqNullSafe(t["_source"])).drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    extra = (draw(F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("_copies", (F.floor(rate) + extra).cast("int"))
+    joined = sized.join(t, sized["source"].eqNullSafe(t["of"]))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    extra = (draw(F.col("row.doc_id"), F.col("row.text")) < rate - F.floor(rate)).cast("int")
+    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("int").alias("copies"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as many times as its rate says."""
-    planned = plan(spark, docs, **options).where("_copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    planned = plan(spark, docs, **options).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     p = plan(spark, docs.select("doc_id", "text", "source"))
-    return p.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-                    (F.col("_size") * F.col("_copies")).alias("taken"))
+    return p.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = r"""

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventspark.llm import kernels as K
 from eventspark.llm.common import Workspace, text_docs
@@ -278,7 +279,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
     # the smallest id of each component, over all rows
     keyed = feats.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    low = keyed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("low"))
+    # written, so that the join below can split a large component
+    low = ws.save(keyed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("low")), "low")
     out = (keyed.join(low, "component", "left")
            .select("doc_id", "n_shingles",
                    F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
@@ -289,9 +291,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that a near-duplicate filter keeps: of each group
     the document with the smallest id. Rows that repeat an id are one document
-    (the smallest row stands for it); rows without an id all stay."""
+    (the row with the smallest plain values stands for it); rows without an id
+    all stay."""
     gone = near_duplicates(spark, docs, **options).where("not kept").select("doc_id").distinct()
     named = docs.where(docs["doc_id"].isNotNull())
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    plain = [docs[f.name] for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(*plain)).alias("row"))
     kept = one.join(gone, "doc_id", "left_anti").select("row.*")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -156,14 +156,15 @@ def _scanner(patterns, columns):
 
 
 def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``docs`` with ``_text``, ``_words``, ``_hits`` and ``_items``."""
+    """(row, _text, _words, _hits, _items): each row of ``docs`` as a struct,
+    so that its own columns may have any names."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     ws = Workspace(spark, "wu-manber")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-    out = docs.withColumns({"_text": F.coalesce(F.col("text").cast("string"), F.lit("")), "_words": F.lit(0).cast("long"),
-                            "_hits": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"),
+                      F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
         tables = spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], window))
@@ -182,13 +183,13 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     """One row per document: doc_id, n_words, hit_words (their numbers),
     item_ids (sorted as text) and contaminated (hit words are a twentieth)."""
     found = _hits(spark, docs.select("doc_id", "text"), benchmark, window)
-    return found.select("doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"),
+    return found.select("row.doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"),
                         F.col("_items").alias("item_ids"), _contaminated().alias("contaminated"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
-    return _hits(spark, docs, benchmark, window).where(~_contaminated()).select(*docs.columns)
+    return _hits(spark, docs, benchmark, window).where(~_contaminated()).select("row.*")
 
 
 def digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
