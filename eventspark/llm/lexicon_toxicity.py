@@ -107,10 +107,11 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
         same = np.concatenate(([False], text[1:] == text[:-1]))
         before = np.concatenate(([False], letter[:-1])) & same
         after = np.concatenate((letter[1:], [False])) & np.concatenate((same[1:], [False]))
-        twice = np.concatenate(([False], code[1:] == code[:-1])) & same & ~(code < 0x3A)
+        digit = (code >= 0x30) & (code < 0x3A)
+        twice = np.concatenate(([False], code[1:] == code[:-1])) & same & ~digit
         into = stand & (before | after) & ~twice
         # a run of stand-ins next to a letter counts as a whole (as in f00l)
-        run = np.concatenate(([False], into[:-1])) & same & stand & (code < 0x3A)
+        run = np.concatenate(([False], into[:-1])) & same & stand & digit
         kind = np.where(into | run, kind - _STAND_IN, np.where(stand, _BLANK, kind))
     out = np.where(kind == 0, 32, kind + 96).astype(np.uint8)
     n = np.bincount(text, minlength=len(offsets) - 1)
