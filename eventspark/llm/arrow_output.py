@@ -146,17 +146,18 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Packs ids into the sequences of one Arrow file after another."""
 
-    def __init__(self, folder: str, name: str, dtype, sequence: int):
+    def __init__(self, folder: str, name: str, dtype, sequence: int, shard_tokens: int = SHARD_TOKENS):
         self.fs, self.folder = filesystem(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.sequence, self.number, self.file = name, sequence, -1, None
+        self.shard_tokens = shard_tokens
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.full = sequence * BATCH_SEQUENCES
         self.buffer, self.filled = np.zeros(self.full, dtype), 0
 
     def add(self, ids: np.ndarray) -> tuple[str, int]:
         """Write one document; returns its shard and its place there."""
-        if self.file is None or self.tokens >= SHARD_TOKENS:
+        if self.file is None or self.tokens >= self.shard_tokens:
             self.close()
             self.number, self.tokens, self.filled = self.number + 1, 0, 0
             self.shard = f"{self.name}-{self.number:04d}.arrow"
@@ -189,11 +190,11 @@ class ShardWriter:
             self.file = None
 
 
-def _write(folder: str, tokenizer_path: str, sequence: int, end_id: int):
+def _write(folder: str, tokenizer_path: str, sequence: int, end_id: int, shard_tokens: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer_path)
-        out = ShardWriter(folder, f"part-{part:06d}-{uuid.uuid4().hex[:12]}", encode.dtype, sequence)
+        out = ShardWriter(folder, f"part-{part:06d}-{uuid.uuid4().hex[:12]}", encode.dtype, sequence, shard_tokens)
         so_far = 0
         for batch in batches:
             data, offsets = K.string_buffers(batch.column("text"))
@@ -215,12 +216,13 @@ def _write(folder: str, tokenizer_path: str, sequence: int, end_id: int):
 _INDEX = "doc_id long, part int, part_start long, n_tokens long, shard string, place long"
 
 
-def write(spark: SparkSession, docs: DataFrame, ws: Workspace, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def write(spark: SparkSession, docs: DataFrame, ws: Workspace, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
+          shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write the shards below ``ws.path("shards")``; returns the index
     (doc_id, start, n_tokens, shard, place)."""
     ordered = (text_docs(docs).withColumn("key", F.xxhash64("text"))
                .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key"))
-    index = ws.save(ordered.select("doc_id", "text").mapInArrow(_write(ws.path("shards"), tokenizer_path, sequence, end_id), _INDEX), "index")
+    index = ws.save(ordered.select("doc_id", "text").mapInArrow(_write(ws.path("shards"), tokenizer_path, sequence, end_id, shard_tokens), _INDEX), "index")
     # one number for each partition
     totals = sorted((r["part"], r["n"]) for r in index.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
     base, rows = 0, []

@@ -6,15 +6,16 @@ signs that stand in for letters are replaced by what they look like (a sign
 only next to a letter); invisible characters vanish.
 
 Lexicon: in a bounded sample of labelled documents of the training folds every
-word beginning is counted once a document. Beginnings that mark toxic
-documents get their log odds as weight; of nested ones the longest stays that
-still covers nearly as many toxic documents, so a word's own stem is found
+word beginning is counted once a document. Beginnings that are far more
+frequent in toxic documents are candidates; of nested ones the longest stays
+that still covers nearly as many toxic documents, so a word's own stem is found
 whatever its endings. An automaton finds all stems at word starts in one pass
 over the whole folded text.
 
 Exceptions: a stem with the word before or after it that occurs mostly in
 clean documents is an exception phrase, learned in a second count; such a hit
-is ignored. Further phrases can be given.
+is ignored. Further phrases can be given. Stems that mark toxic documents by
+what hits are left stay, with their log odds as weight.
 
 Score: the summed weight of the hits, also divided by the root of the number
 of words, the heaviest hit, and whether there is one go into a logistic curve
@@ -42,9 +43,10 @@ from eventspark.llm.common import fold_of, small_batches
 SAMPLE = 9000
 FOLDS, HELD_OUT = 3, 1
 PREDICT = 0.7
-#: Word beginnings counted, documents a stem needs, share of them toxic, and the
-#: share of a shorter stem's toxic documents that a longer one must cover.
-SHORTEST, LONGEST, SUPPORT, PRECISION, COVER = 4, 12, 6, 0.6, 0.95
+#: Word beginnings counted; toxic documents a stem needs, and by how many standard
+#: deviations over chance; the share of its documents that must be toxic after
+#: exceptions; the share of a shorter stem's toxic documents that a longer one covers.
+SHORTEST, LONGEST, SUPPORT, DEVIATIONS, PRECISION, COVER = 4, 12, 6, 6.0, 0.6, 0.95
 LEXICON = 5000
 #: An exception phrase occurs in so many clean documents, and so many times as often as in toxic ones.
 CLEAN_SUPPORT, CLEAN_TIMES = 3, 4
@@ -138,28 +140,20 @@ def _beginnings(batches):
                                           pa.array([n[1] for _, n in rows], pa.int64())], names=["stem", "clean", "toxic"])
 
 
-def choose_stems(counted: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> dict[str, float]:
-    """The lexicon: of each chain of nested beginnings the longest that covers
-    nearly what the shortest does."""
-    good = {s: (c, t) for s, c, t in counted}
-    weight = {s: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))) for s, (c, t) in good.items()}
-    chosen = {}
+def choose_stems(counted: list[tuple[str, int, int]]) -> list[str]:
+    """Of each chain of nested beginnings (stem, clean, toxic) the longest that
+    covers nearly what the shortest does."""
+    good = {s: t for s, _, t in counted}
+    chosen = []
     for stem in sorted(good, key=lambda s: (len(s), s)):
         if any(stem[:k] in good for k in range(SHORTEST, len(stem))):
             continue
-        best = stem
-        grown = True
-        while grown:
-            longer = [s for s in good if len(s) == len(best) + 1 and s.startswith(best) and good[s][1] >= COVER * good[stem][1]]
-            grown = bool(longer)
-            best = max(longer, key=lambda s: (good[s][1], s)) if longer else best
-        chosen[best] = weight[best]
-    # a shorter stem that is too common hides precise longer ones: add those no chosen stem covers
-    for stem in sorted(good, key=lambda s: (len(s), s)):
-        if not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
-            chosen[stem] = weight[stem]
-    top = sorted(chosen, key=lambda s: (-good[s][1], s))[:LEXICON]
-    return {s: chosen[s] for s in sorted(top)}
+        best, longer = stem, [stem]
+        while longer:
+            best = max(longer, key=lambda s: (good[s], s))
+            longer = [s for s in good if len(s) == len(best) + 1 and s.startswith(best) and good[s] >= COVER * good[stem]]
+        chosen.append(best)
+    return sorted(sorted(chosen, key=lambda s: (-good[s], s))[:LEXICON])
 
 
 class Lexicon:
@@ -190,27 +184,31 @@ class Lexicon:
         after = folded[at: at + 80].split(None, 2)
         return (f"{before[-1] if before else ''} {stem}", f"{stem} {after[1] if len(after) > 1 else ''}")
 
-    def features(self, data: np.ndarray, offsets: np.ndarray, keep_phrases: bool = False):
+    def features(self, data: np.ndarray, offsets: np.ndarray, collect: str | None = None):
+        """The inputs of the curve for each text; and its ``phrases`` around
+        hits or its ``stems`` hit outside exceptions, if asked for."""
         folded, start = fold(data, offsets)
         n = len(offsets) - 1
-        total, top, phrases = np.zeros(n), np.zeros(n), [set() for _ in range(n)]
+        total, top, seen = np.zeros(n), np.zeros(n), [set() for _ in range(n)]
         raw = np.frombuffer(folded.encode("ascii"), np.uint8) != 32
         first = np.flatnonzero(raw[1:] & ~raw[:-1])
         n_words = np.bincount(np.searchsorted(start, first, side="right") - 1, minlength=n)[:n] if len(first) else np.zeros(n, np.int64)
         for at, stem in self.hits(folded):
             d = int(np.searchsorted(start, at, side="right")) - 1
-            if keep_phrases or self.exceptions:
+            if collect == "phrases" or self.exceptions:
                 # phrases stay within the text
                 own = folded[start[d]: start[d + 1]]
                 two = self.phrases(own, at - int(start[d]), stem)
-                if keep_phrases:
-                    phrases[d].update(two)
-                if self.exceptions and not self.exceptions.isdisjoint(two):
+                if collect == "phrases":
+                    seen[d].update(two)
+                if not self.exceptions.isdisjoint(two):
                     continue
+            if collect == "stems":
+                seen[d].add(stem)
             total[d] += self.stems[stem]
             top[d] = max(top[d], self.stems[stem])
         x = np.stack([np.ones(n), np.log1p(total), total / np.sqrt(np.maximum(1, n_words)), top, (top > 0).astype(float)], axis=1)
-        return x, phrases
+        return x, seen
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.curve is None:
@@ -231,15 +229,15 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _measured(lexicon, keep_phrases: bool):
+def _measured(lexicon, collect: str | None):
     def run(batches):
         model = lexicon.value
         for batch in batches:
             data, offsets = K.string_buffers(batch.column("text"))
             for i, j in K.slices(offsets, 1 << 20):
-                x, phrases = model.features(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], keep_phrases)
+                x, seen = model.features(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], collect)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64())),
-                                                  pa.array([sorted(p) for p in phrases], pa.list_(pa.string()))], names=["label", "x", "phrases"])
+                                                  pa.array([sorted(p) for p in seen], pa.list_(pa.string()))], names=["label", "x", "seen"])
     return run
 
 
@@ -249,20 +247,29 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon({}, base=1.0 if n.get(1) else 0.0)
+    chance = n[1] / (n[0] + n[1])
+    both = F.col("toxic") + F.col("clean")
     counted = (sample.mapInArrow(_beginnings, "stem string, clean long, toxic long").groupBy("stem")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-               .where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
+               .where((F.col("toxic") >= SUPPORT) & (F.col("toxic") - both * chance >= DEVIATIONS * F.sqrt(both * chance * (1 - chance))))
                .orderBy(F.desc("toxic"), "stem").limit(4 * LEXICON).collect())
-    stems = choose_stems([(r["stem"], r["clean"], r["toxic"]) for r in counted], n[0], n[1])
-
-    def measured(model, keep):
-        return sample.mapInArrow(_measured(spark.sparkContext.broadcast(model), keep), "label int, x array<double>, phrases array<string>")
-
-    clean, toxic = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
-    learned = (measured(Lexicon(stems), True).select("label", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(clean.alias("c"), toxic.alias("t"))
-               .where((F.col("c") >= CLEAN_SUPPORT) & (F.col("c") >= CLEAN_TIMES * F.col("t"))).orderBy(F.desc("c"), "phrase").limit(LEXICON).collect())
-    model = Lexicon(stems, set(exceptions) | {r["phrase"] for r in learned})
-    rows = sorted((r["label"], *r["x"]) for r in measured(model, False).select("label", "x").collect())
+    stems = choose_stems([(r["stem"], r["clean"], r["toxic"]) for r in counted])
+
+    def measured(model, collect):
+        return sample.mapInArrow(_measured(spark.sparkContext.broadcast(model), collect), "label int, x array<double>, seen array<string>")
+
+    def tallied(model, collect):
+        return (measured(model, collect).select("label", F.explode("seen").alias("what")).groupBy("what")
+                .agg(F.count_if(F.col("label") == 0).alias("c"), F.count_if(F.col("label") == 1).alias("t")))
+
+    model = Lexicon(dict.fromkeys(stems, 1.0))
+    learned = (tallied(model, "phrases").where((F.col("c") >= CLEAN_SUPPORT) & (F.col("c") >= CLEAN_TIMES * F.col("t")))
+               .orderBy(F.desc("c"), "what").limit(LEXICON).collect())
+    model = Lexicon(model.stems, set(exceptions) | {r["what"] for r in learned})
+    left = tallied(model, "stems").where((F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c")))).collect()
+    weight = {r["what"]: float(np.log((r["t"] + 0.5) / (n[1] + 1)) - np.log((r["c"] + 0.5) / (n[0] + 1))) for r in left}
+    model = Lexicon(dict(sorted(weight.items())), model.exceptions)
+    rows = sorted((r["label"], *r["x"]) for r in measured(model, None).select("label", "x").collect())
     table = np.array(rows)
     model.curve = _curve(table[:, 1:], table[:, 0])
     return model

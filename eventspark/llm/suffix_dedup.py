@@ -66,12 +66,12 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span:])
 
 
-def anchors(data: np.ndarray, n: int, k: int):
+def anchors(data: np.ndarray, n: int, k: int, block: int = BLOCK):
     """(k-gram hash, hull hash, hull start, windows, anchor offset) of every
     anchor of one text, as arrays."""
     out = []
-    for a in range(0, len(data) - n + 1, BLOCK):
-        part = data[a: a + BLOCK + n - 1]
+    for a in range(0, len(data) - n + 1, block):
+        part = data[a: a + block + n - 1]
         s = K.prefix_sums(part, K.BYTE_CODES)
         inverse = K.powers(len(part))[1]
         gram = K.mix64((s[k:] - s[:-k]) * inverse[: len(s) - k])
@@ -91,7 +91,7 @@ def anchors(data: np.ndarray, n: int, k: int):
 _ANCHOR = "gram long, hull long, text_key long, place long, lead binary"
 
 
-def _anchor_rows(n: int, k: int):
+def _anchor_rows(n: int, k: int, sample: int, block: int):
     def run(batches):
         for batch in batches:
             data, offsets = K.string_buffers(batch.column("text"))
@@ -99,10 +99,10 @@ def _anchor_rows(n: int, k: int):
             rows, leads = [], []
             for d in np.flatnonzero(np.diff(offsets) >= n):
                 own = data[offsets[d]: offsets[d + 1]]
-                gram, hull, first, windows, offset = anchors(own, n, k)
+                gram, hull, first, windows, offset = anchors(own, n, k, block)
                 rows.append((gram, hull, np.full(len(gram), keys[d]), (first << (_SPAN_BITS + _OFFSET_BITS)) | (windows << _OFFSET_BITS) | offset))
                 lead = np.full(len(gram), None, dtype=object)
-                for i in np.flatnonzero((K.mix64(hull) & K.U64(SAMPLE - 1)) == 0):
+                for i in np.flatnonzero((K.mix64(hull) & K.U64(sample - 1)) == 0):
                     lead[i] = own[first[i] + offset[i]: first[i] + windows[i] - 1 + n].tobytes()
                 leads.append(lead)
             if rows:
@@ -315,7 +315,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     texts = docs.where(F.col("n_bytes") >= length).groupBy("text_key").agg(F.first("text").alias("text"))
 
-    found = ws.save(docs.select("text_key", "text").mapInArrow(_anchor_rows(length, gram), _ANCHOR), "anchors")
+    found = ws.save(docs.select("text_key", "text").mapInArrow(_anchor_rows(length, gram, SAMPLE, BLOCK), _ANCHOR), "anchors")
     hulls = ws.save(found.groupBy("gram", "hull").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "place")).alias("at")), "hulls")
     open_grams = hulls.groupBy("gram").agg(F.count(F.lit(1)).alias("hulls"), F.min("n").alias("least")).where("hulls > 1 AND least = 1").select("gram")

@@ -119,7 +119,7 @@ def folded(text):
 def test_folding():
     for text in ("idiot", "IDIOT", "1d10t", "іdіоt", "ïdíôt", "i​diot", "id­iot", "ｉｄｉｏｔ", "ID1OT"):
         assert folded(text) == "idiot", text
-    assert folded("$tupid") == "stupid" and folded("f00l") == "fool" and folded("$$$idiot").endswith(" idiot") is True
+    assert folded("$tupid") == "stupid" and folded("f00l") == "fool" and folded("$$$idiot") == "idiot"
     assert folded("12 34") == "" and folded("a-b") == "a b"
 
 
@@ -131,7 +131,7 @@ def toxic_corpus(seed, n):
         kind = i % 4
         if kind == 0:
             words.insert(rng.randrange(len(words)), rng.choice(["grumbold", "grumbolds", "snarvic", "sn4rvic"]))
-        elif kind == 1:  # harmless: the phrase is an exception
+        elif i % 12 == 1:  # harmless: the phrase is an exception
             at = rng.randrange(len(words))
             words[at:at] = ["snarvic", "salad"]
         rows.append((i, " ".join(words)))

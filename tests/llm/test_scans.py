@@ -198,12 +198,11 @@ def test_pieces_give_the_library_s_ids(most):
     assert all(ids[e - c: e].tolist() == w.ids for e, c, w in zip(ends, n, want))
 
 
-def test_token_files_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(arrow_output, "SHARD_TOKENS", 3000)
+def test_token_files_round_trip(spark):
     texts = [prose(i, i * 13 % 400) for i in range(60)] + [None, ""]
     docs = docs_of(spark, texts).repartition(5)
     ws = Workspace(spark, "test-arrow")
-    index = arrow_output.write(spark, docs, ws, tokenizer_path(), sequence=64).orderBy("start").collect()
+    index = arrow_output.write(spark, docs, ws, tokenizer_path(), sequence=64, shard_tokens=3000).orderBy("start").collect()
     enc = arrow_output.Encoder(tokenizer_path())
     start, folder = 0, ws.path("shards")
     for r, text in zip(index, texts):
