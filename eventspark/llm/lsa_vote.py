@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_order, small_batches
+from eventspark.llm.common import fold_of, hash_head, small_batches
 
 SAMPLE = 3000
 DIMENSIONS, NEIGHBOURS = 48, 25
@@ -153,7 +153,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # hash order over labelled ids that have a document
     there = known.join(texts.select("_id").distinct(), "_id", "left_semi")
-    chosen = there.orderBy(hash_order("_id"), "_id").limit(most)
+    chosen = hash_head(there, most, "_id")
     return texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("label", "text")
 
 

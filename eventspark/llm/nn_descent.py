@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import Workspace
+from eventspark.llm.common import Workspace, hash_head
 from eventspark.llm.components import components
 
 THRESHOLD = 0.9
@@ -213,7 +213,7 @@ def _descend(ws: Workspace, nodes: DataFrame, graph: DataFrame, name: str) -> Da
 def _audit(nodes: DataFrame, graph: DataFrame, theta: float) -> float:
     """The share of pivot pairs within reach that the lists hold, for a sample
     of pivots against all, by exact blocked products."""
-    asked = nodes.orderBy(F.xxhash64(F.lit(11), "id")).limit(AUDIT).select("id", "unit", "radius").collect()
+    asked = hash_head(nodes, AUDIT, "id").select("id", "unit", "radius").collect()
     if not asked:
         return 1.0
     q = np.stack([np.frombuffer(r["unit"], np.float64) for r in asked])

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_order, small_batches
+from eventspark.llm.common import fold_of, hash_place, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 DOCS_EACH = 300
@@ -204,13 +204,19 @@ def _tally(batches):
 def fit(docs: DataFrame) -> Model | None:
     known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
-    # rank <= limit is cut on the map side, so no task holds all of a language
-    chosen = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(hash_order("doc_id"), "doc_id"))).where(
+    # all but about twice the documents wanted of a language are left out by
+    # their place in hash order, so no task ranks all of a language
+    share = {r["lang"]: (2 * DOCS_EACH + 50) / r["count"] for r in known.groupBy("lang").count().collect()}
+    if not share:
+        return None
+    shares = F.create_map(*[x for lang, s in sorted(share.items()) for x in (F.lit(lang), F.lit(s))])
+    few = known.select("doc_id", "lang").where(hash_place("doc_id") < shares[F.col("lang")])
+    chosen = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(hash_place("doc_id"), "doc_id"))).where(
         F.col("rank") <= DOCS_EACH).select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     sample = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("lang", "text")
     rows = sample.mapInArrow(_tally, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(rows.column("lang").to_pylist()))
-    if not languages:
+    if not languages:  # learned from texts without a letter
         return None
     table = np.zeros((3 * BUCKETS + 256, len(languages)))
     at = np.searchsorted(languages, rows.column("lang").to_pylist())
