@@ -7,14 +7,13 @@ enrich, de-duplicate, aggregate. The oracle SQL recomputes the expected
 result in DuckDB straight from ``events`` with the fixture's rules.
 
 For comparison, results are presented the same way on both sides:
-timestamps as UTC wall-clock (TIMESTAMP without zone) and DOUBLE measures
+timestamps as UTC wall-clock (TIMESTAMP without zone), DOUBLE measures
 rounded to 6 decimals (two engines may differ in the last bits of a float
-sum or interpolation); decimals keep their exact scale.
+sum or interpolation) and decimals as text, with all digits of their scale.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
 import importlib.util
 from collections.abc import Callable
 
@@ -22,14 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventspark.operators.ingest import PROCESSED_COLUMNS, invalid_events
+from eventspark.functions.timefn import instant
+from eventspark.operators.ingest import (PROCESSED_COLUMNS, invalid_events, invalid_json, process_events, processed_json,
+                                         valid_events)
 from eventspark.operators.metrics import window_metrics
-from eventspark.operators.rollups import refresh
-from eventspark.operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_metrics
+from eventspark.operators.rollups import read_rollup, refresh
+from eventspark.operators.tables import insert_ignore_duplicates, metrics_table, raw_table_rows, upsert_metrics, write_raw
 from eventspark.plans import feeds, queries as Q, reports as R
 from eventspark.plans.derive import Derived, from_sf
-from eventspark.schema import METRIC_COLUMNS, RAW_TABLE_COLUMNS
+from eventspark.schema import METRIC_COLUMNS, RAW_TABLE_COLUMNS, RAW_TABLE_SCHEMA
 from eventspark.session import prepare, work_path
+from eventspark.sources.fixtures import BROKEN, RULE_CASES, rule_stream
+from eventspark.streaming.jobs import PROCESSED_MESSAGE_SCHEMA, add_partials
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -45,15 +48,15 @@ else:
 
 def present(df: DataFrame) -> DataFrame:
     """Values in forms every client reads alike: timestamps and dates as UTC
-    wall clock (TIMESTAMP without zone); exact decimals as the nearest DOUBLE
-    (correctly rounded on both sides); DOUBLE measures rounded to 6 decimals."""
+    wall clock (TIMESTAMP without zone); exact decimals as text; DOUBLE measures
+    rounded to 6 decimals."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.DateType)):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
+            c = c.cast("string")
         elif isinstance(f.dataType, T.DoubleType):
             c = F.round(c, 6)
         cols.append(c.alias(f.name))
@@ -94,6 +97,10 @@ def _k3(spark, sf):
     return present(_d(spark, sf).raw)
 
 
+def _quantile(df: DataFrame, col: str, p: float) -> int:
+    return df.select(F.percentile_approx(F.unix_micros(col), p)).first()[0]
+
+
 def _k3_insert(spark, sf):
     """Raw-table insert through real Parquet files in two deliveries that
     overlap in time: everything up to the median processing stamp, then
@@ -102,26 +109,55 @@ def _k3_insert(spark, sf):
     d = _d(spark, sf)
     path = work_path(spark, "k3-raw")
     rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
-    cut = rows.select(F.percentile_approx("processing_time", 0.5).alias("c")).first()["c"]
-    cut2 = rows.select(F.percentile_approx("processing_time", 0.4).alias("c")).first()["c"]
-    insert_ignore_duplicates(spark, rows.filter(F.col("processing_time") <= F.lit(cut)), path, ["processing_time"])
-    insert_ignore_duplicates(spark, rows.filter(F.col("processing_time") >= F.lit(cut2)), path, ["processing_time"])
-    return present(spark.read.parquet(path).select(*RAW_TABLE_COLUMNS))
+    stamp = F.unix_micros("processing_time")
+    cut, cut2 = _quantile(rows, "processing_time", 0.5), _quantile(rows, "processing_time", 0.4)
+    insert_ignore_duplicates(spark, rows.filter(stamp <= cut), path, ["processing_time"])
+    insert_ignore_duplicates(spark, rows.filter(stamp >= cut2), path, ["processing_time"])
+    return present(spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*RAW_TABLE_COLUMNS))
 
 
 def _k4_upsert(spark, sf):
-    """Metrics upserted twice: first from the events up to a cut in the middle
-    of the stream (partial windows), then the complete windows from the cut on
-    (an update-mode re-emission). The table must end equal to the metrics."""
+    """Metrics upserted twice: first every window from half of its events (even
+    sequence numbers), then every window complete, so that each stored row with
+    an even event is replaced. The table must end equal to the metrics."""
     d = _d(spark, sf)
     path = work_path(spark, "k4-metrics")
-    cut = d.valid.select(F.percentile_approx("processing_time", 0.5).alias("c")).first()["c"]
-    first = window_metrics(d.valid.filter(F.col("processing_time") <= F.lit(cut)))
-    upsert_metrics(spark, first, path, F.col("bucket_end"))
-    full = window_metrics(d.valid)
-    again = full.filter(F.col("bucket_end") > F.lit(cut))
-    upsert_metrics(spark, again, path, F.col("bucket_end"))
-    return present(spark.read.parquet(path).select(*METRIC_COLUMNS))
+    upsert_metrics(spark, window_metrics(d.valid.where("sequence % 2 = 0")), path, F.col("bucket_end"))
+    upsert_metrics(spark, window_metrics(d.valid), path, F.col("bucket_end"))
+    return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
+
+
+def _w1_out_of_order(spark, sf):
+    """The streaming job's metrics step on three deliveries that each hold a
+    third of every window, the latest events first."""
+    d = _d(spark, sf)
+    partials, path = work_path(spark, "w1-partials"), work_path(spark, "w1-metrics")
+    for epoch, third in enumerate((2, 0, 1)):
+        batch = d.valid.where(F.col("sequence") % 3 == third)
+        upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10), path, F.col("bucket_end"))
+    return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
+
+
+def _messages(spark, sf):
+    prepare(spark)
+    return process_events(rule_stream(spark, sf), "value", "processing_time")
+
+
+def _v_rules(spark, sf):
+    return _messages(spark, sf).groupBy("validation_error").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _v_processed_messages(spark, sf):
+    """The fields of the processed messages, read back from their JSON."""
+    m = processed_json(valid_events(_messages(spark, sf))).select(F.from_json("value", PROCESSED_MESSAGE_SCHEMA).alias("m"))
+    return present(m.select("m.*"))
+
+
+def _v_invalid_messages(spark, sf):
+    m = invalid_json(invalid_events(_messages(spark, sf)))
+    get = lambda p: F.get_json_object("value", p)
+    return m.select(get("$.valid").alias("valid"), get("$.validation_error").alias("validation_error"), get("$.processing_time").alias("processing_time"),
+                    get("$.raw").alias("raw"), get("$.payload.source").alias("payload_source"), get("$.payload.sequence").alias("payload_sequence"))
 
 
 def _m1(spark, sf):
@@ -132,33 +168,73 @@ def _m2(spark, sf):
     return present(_d(spark, sf).quarter().drop("bucket_date"))
 
 
-def _refresh_as_of(d: Derived) -> _dt.datetime:
-    t = d.raw.agg(F.max("event_time").alias("t")).first()["t"]
-    t = t.replace(tzinfo=None) if t.tzinfo else t
-    # next whole quarter hour: every bucket of the data lies inside the range
-    q = _dt.datetime(t.year, t.month, t.day, t.hour) + _dt.timedelta(minutes=15 * (t.minute // 15 + 1))
-    return q
+QUARTER, HOUR = 900_000_000, 3_600_000_000
+
+
+def _refresh_as_of(d: Derived) -> int:
+    """The next whole quarter hour: every bucket of the data lies before it."""
+    return (d.raw.agg(F.max(F.unix_micros("event_time"))).first()[0] // QUARTER + 1) * QUARTER
 
 
 def _m5_minute(spark, sf):
-    """1-minute roll-up built by range refresh into a Parquet table: first a
-    partial range, then the manual 25-hour refresh over it."""
+    """1-minute roll-up built by range refresh into a table: first a partial
+    range, then the manual 25-hour refresh over it."""
     d = _d(spark, sf)
     path = work_path(spark, "m1")
     as_of = _refresh_as_of(d)
-    refresh(spark, d.raw, path, "events_1min", as_of - _dt.timedelta(minutes=17, seconds=30),
-            as_of - _dt.timedelta(minutes=3, seconds=10))
-    refresh(spark, d.raw, path, "events_1min", as_of - _dt.timedelta(hours=25), as_of)
-    return present(spark.read.parquet(path).drop("bucket_date"))
+    refresh(spark, d.raw, path, "events_1min", as_of - 1_050_000_000, as_of - 190_000_000)
+    refresh(spark, d.raw, path, "events_1min", as_of - 25 * HOUR, as_of)
+    return present(read_rollup(spark, path, "events_1min").drop("bucket_date"))
 
 
 def _m5_quarter(spark, sf):
     d = _d(spark, sf)
     mpath, qpath = work_path(spark, "m1"), work_path(spark, "m15")
     as_of = _refresh_as_of(d)
-    refresh(spark, d.raw, mpath, "events_1min", as_of - _dt.timedelta(hours=25), as_of)
-    refresh(spark, spark.read.parquet(mpath), qpath, "events_15min", as_of - _dt.timedelta(hours=26), as_of)
-    return present(spark.read.parquet(qpath).drop("bucket_date"))
+    refresh(spark, d.raw, mpath, "events_1min", as_of - 25 * HOUR, as_of)
+    refresh(spark, read_rollup(spark, mpath, "events_1min"), qpath, "events_15min", as_of - 26 * HOUR, as_of)
+    return present(read_rollup(spark, qpath, "events_15min").drop("bucket_date"))
+
+
+def _m5_emptied(spark, sf):
+    """A 30-day roll-up; then the source loses every third day, and the whole
+    range is refreshed: the buckets of these days must go."""
+    prepare(spark)
+    d = from_sf(spark, sf, table_times=True)
+    path = work_path(spark, "m1")
+    end = _refresh_as_of(d)
+    start = end - 60 * 24 * HOUR
+    refresh(spark, d.raw, path, "events_1min", start, end)
+    refresh(spark, d.raw.where("day(event_time) % 3 != 0"), path, "events_1min", start, end)
+    return present(read_rollup(spark, path, "events_1min").drop("bucket_date"))
+
+
+def _stored(fn, table):
+    """A relative-time query over stored, partitioned tables of the 30-day
+    stream, with "now" as a literal: the latest event time."""
+    def run(spark, sf):
+        prepare(spark)
+        d = from_sf(spark, sf, table_times=True)
+        raw_path = work_path(spark, "stored-raw")
+        write_raw(d.raw, raw_path)
+        raw = spark.read.schema(RAW_TABLE_SCHEMA).parquet(raw_path)
+        now = raw.agg(F.max(F.unix_micros("event_time"))).first()[0]
+        if table == "raw":
+            return present(fn(raw, now))
+        if table == "metrics":
+            path = work_path(spark, "stored-metrics")
+            upsert_metrics(spark, window_metrics(d.valid), path, F.col("bucket_end"))
+            m = metrics_table(spark, path).read()
+            last = m.agg(F.max(F.unix_micros("bucket_start"))).first()[0]
+            return present(fn(m, start=instant(last - HOUR)))
+        end = (now // QUARTER + 1) * QUARTER
+        minute, quarter = work_path(spark, "stored-m1"), work_path(spark, "stored-m15")
+        refresh(spark, raw, minute, "events_1min", end - 60 * 24 * HOUR, end)
+        if table == "minute":
+            return present(fn(read_rollup(spark, minute, "events_1min"), now))
+        refresh(spark, read_rollup(spark, minute, "events_1min"), quarter, "events_15min", end - 60 * 24 * HOUR, end)
+        return present(fn(read_rollup(spark, quarter, "events_15min"), now))
+    return run
 
 
 def _raw_q(fn, with_as_of=True):
@@ -203,6 +279,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k3_raw_table": _k3,
         "k3_raw_insert_two_deliveries": _k3_insert,
         "k4_metrics_upsert": _k4_upsert,
+        "w1_stream_metrics_out_of_order": _w1_out_of_order,
+        "v_rule_errors": _v_rules,
+        "v_processed_messages": _v_processed_messages,
+        "v_invalid_messages": _v_invalid_messages,
+        "m5_refresh_emptied_days": _m5_emptied,
+        "q02_stored_30_days": _stored(Q.q02_last_1_hour, "raw"),
+        "q03_stored_30_days": _stored(Q.q03_last_24_hours, "raw"),
+        "q11_stored_30_days": _stored(Q.q11_rollup_last_1_hour, "minute"),
+        "q12_stored_30_days": _stored(Q.q12_rollup_last_24_hours, "quarter"),
+        "d6_stored_30_days": _stored(feeds.d6_total_events, "metrics"),
+        "d7_stored_30_days": _stored(feeds.d7_avg_latency, "metrics"),
         "m1_rollup_1min": _m1,
         "m2_rollup_15min": _m2,
         "m5_refresh_1min": _m5_minute,
@@ -252,9 +339,9 @@ _AVG_PRICE18 = _hu("sum(CAST(price * 1000000 AS BIGINT))", "count(*)", 18, 6)
 # The fixture stream and the ingestion rules, as SQL.
 _BASE = """
 src AS (
-  SELECT event_id, user_id, event_type, value, props, 0 AS copy FROM events
+  SELECT event_id, user_id, event_type, value, props, ts, 0 AS copy FROM events
   UNION ALL
-  SELECT event_id, user_id, event_type, value, props, 1 AS copy FROM events WHERE CAST(props->>'k' AS INTEGER) = 4
+  SELECT event_id, user_id, event_type, value, props, ts, 1 AS copy FROM events WHERE CAST(props->>'k' AS INTEGER) = 4
 ),
 f AS (
   SELECT event_id, copy,
@@ -267,10 +354,9 @@ f AS (
          CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS scenario,
          'synthetic' AS source,
          event_id AS sequence,
-         TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 200 + copy * 1500) AS processing_time,
-         TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 200 - (event_id * 7919) % 997) AS producer_time,
-         TIMESTAMP '2024-01-01 00:00:00'
-           + to_milliseconds(event_id * 200 - (event_id * 7919) % 997 - event_id % 13) AS event_time,
+         {{CLOCK}} + to_milliseconds(copy * 1500) AS processing_time,
+         {{CLOCK}} - to_milliseconds((event_id * 7919) % 997) AS producer_time,
+         {{CLOCK}} - to_milliseconds((event_id * 7919) % 997 + event_id % 13) AS event_time,
          CAST((event_id * 7919) % 997 + copy * 1500 AS BIGINT) AS ingestion_latency_ms,
          CAST((event_id * 7919) % 997 + event_id % 13 + copy * 1500 AS BIGINT) AS event_lag_ms
   FROM src
@@ -339,15 +425,52 @@ for _k, _v in {
     _BASE = _BASE.replace("{{" + _k + "}}", _v)
 
 
-def _with(body: str, dec: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> str:
+REPLAY_CLOCK = "TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 200)"
+TABLE_CLOCK = "date_trunc('millisecond', ts)"
+
+
+def _with(body: str, dec: tuple[str, ...] = (), dates: tuple[str, ...] = (), clock: str = REPLAY_CLOCK) -> str:
     """The query over the fixture CTEs; ``dec`` columns (exact decimals) become
-    the nearest DOUBLE via their text (a correctly rounded parse), ``dates``
-    become TIMESTAMP - the same presentation as ``present`` on the Spark side."""
+    text, ``dates`` become TIMESTAMP - the same presentation as ``present`` on
+    the Spark side."""
+    base = _BASE.replace("{{CLOCK}}", "(" + clock + ")")
     if not dec and not dates:
-        return "WITH " + _BASE + body
-    repl = [f"CAST(CAST({c} AS VARCHAR) AS DOUBLE) AS {c}" for c in dec]
+        return "WITH " + base + body
+    repl = [f"CAST({c} AS VARCHAR) AS {c}" for c in dec]
     repl += [f"CAST({c} AS TIMESTAMP) AS {c}" for c in dates]
-    return "WITH " + _BASE + ", __q AS (" + body + ") SELECT * REPLACE (" + ", ".join(repl) + ") FROM __q"
+    return "WITH " + base + ", __q AS (" + body + ") SELECT * REPLACE (" + ", ".join(repl) + ") FROM __q"
+
+
+def _broken(field: str, text: str) -> str:
+    """The JSON text of a field of ``rule_stream``."""
+    cases = " ".join(f"WHEN {n} THEN " + ("NULL" if v is None else "'" + v + "'") for n, (f, v) in BROKEN.items() if f == field)
+    return f"CASE event_id % {RULE_CASES} {cases} ELSE {text} END" if cases else text
+
+
+# The outcome of every case of ``rule_stream``, stated independently of the decoder.
+_RULES = """
+e AS (
+  SELECT event_id, event_id % {{N}} AS c, user_id, upper(event_type) AS symbol, TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(event_id * 200) AS t FROM events
+), outcome AS (
+  SELECT *, CASE c WHEN 0 THEN 'event_id is required' WHEN 1 THEN 'event_id must be a UUID'
+      WHEN 2 THEN 'symbol is required and must match [A-Za-z0-9._-]+' WHEN 17 THEN 'symbol is required and must match [A-Za-z0-9._-]+'
+      WHEN 3 THEN 'price must be greater than zero' WHEN 4 THEN 'invalid price' WHEN 5 THEN 'quantity must be greater than zero' WHEN 6 THEN 'invalid quantity'
+      WHEN 7 THEN 'event_time is required' WHEN 8 THEN 'producer_time is required'
+      WHEN 9 THEN 'event_time is not an ISO-8601 instant' WHEN 10 THEN 'producer_time is not an ISO-8601 instant'
+      WHEN 11 THEN 'source is required' WHEN 12 THEN 'scenario is required'
+      WHEN 13 THEN 'sequence must be greater than or equal to zero' WHEN 14 THEN 'sequence must be greater than or equal to zero'
+      WHEN 15 THEN 'malformed JSON' END AS validation_error FROM e
+)
+""".replace("{{N}}", str(RULE_CASES))
+
+
+def _rule_text() -> str:
+    iso = lambda ms: f"'\"' || strftime(t - to_milliseconds({ms}), '%Y-%m-%dT%H:%M:%S.%g') || 'Z\"'"
+    fields = {
+        "event_id": "'\"00000000-0000-4000-a000-' || lpad(event_id::VARCHAR, 12, '0') || '\"'", "producer_id": "'\"producer-' || user_id % 5 || '\"'",
+        "symbol": "'\"' || lower(symbol) || '\"'", "price": "(event_id % 900 + 1) || '.25'", "quantity": "(event_id % 7 + 1)::VARCHAR",
+        "event_time": iso(5), "producer_time": iso(2), "source": "'\"rules\"'", "scenario": "'\"low\"'", "sequence": "event_id::VARCHAR"}
+    return "'{' || concat_ws(',', " + ", ".join(f"'\"{f}\":' || ({_broken(f, t)})" for f, t in fields.items()) + ") || '}'"
 
 
 _R6 = "round({0}, 6)"
@@ -379,7 +502,7 @@ def oracle_sql() -> dict[str, str]:
     recent = ("SELECT event_id, producer_id, symbol, price, quantity, event_time, producer_time, processing_time, "
               "ingestion_latency_ms, event_lag_ms, scenario, source FROM raw "
               "ORDER BY created_at DESC, event_id DESC LIMIT 20")
-    return {
+    sql = {
         "a1_window_metrics": _with(f"SELECT {metric_cols} FROM metrics", ("avg_price", "min_price", "max_price", "avg_ingestion_latency_ms", "avg_event_lag_ms")),
         "v_processed_events": _with(
             f"SELECT CASE WHEN copy = 1 THEN upper(uuid) ELSE uuid END AS event_id, "
@@ -394,11 +517,11 @@ def oracle_sql() -> dict[str, str]:
         "m5_refresh_1min": _with(f"SELECT {minute_cols} FROM minute", ("avg_price", "min_price", "max_price")),
         "m5_refresh_15min": _with(f"SELECT {quarter_cols} FROM quarter", ("avg_price", "min_price", "max_price")),
         "q01_last_5_minutes": _with(
-            f"SELECT time_bucket(INTERVAL '10 seconds', event_time) AS bucket, symbol, {_AVG_PRICE6} AS avg_price, "
+            f"SELECT time_bucket(INTERVAL '10 seconds', event_time) AS bucket, symbol, {_AVG_PRICE18} AS avg_price, "
             f"CAST(sum(quantity) AS BIGINT) AS total_quantity, round(avg(ingestion_latency_ms), 6) AS avg_latency_ms, "
             f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '5 minutes' GROUP BY ALL", ("avg_price",)),
         "q02_last_1_hour": _with(
-            f"SELECT time_bucket(INTERVAL '1 minute', event_time) AS bucket, symbol, {_AVG_PRICE6} AS avg_price, "
+            f"SELECT time_bucket(INTERVAL '1 minute', event_time) AS bucket, symbol, {_AVG_PRICE18} AS avg_price, "
             f"min(price) AS min_price, max(price) AS max_price, round(avg(ingestion_latency_ms), 6) AS avg_latency_ms, "
             f"count(*) AS events FROM raw WHERE event_time >= {_AS_OF} - INTERVAL '1 hour' GROUP BY ALL", ("avg_price", "min_price", "max_price")),
         "q03_last_24_hours": _with(
@@ -472,5 +595,24 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT {weighted('avg_ingestion_latency_ms', 2)} AS avg_latency_ms FROM metrics {period}",
             ("avg_latency_ms",)),
         "d8_recent_events": _with(recent, ("price",)),
-        **LLM_SQL,
     }
+    on_table_clock = lambda q: q.replace(f"({REPLAY_CLOCK})", f"({TABLE_CLOCK})")
+    for stored, name in {"q02": "q02_last_1_hour", "q03": "q03_last_24_hours", "q11": "q11_rollup_last_1_hour", "q12": "q12_rollup_last_24_hours",
+                         "d6": "d6_total_events_last_hour", "d7": "d7_avg_latency_last_hour"}.items():
+        sql[f"{stored}_stored_30_days"] = on_table_clock(sql[name])
+    sql["m5_refresh_emptied_days"] = on_table_clock(sql["m1_rollup_1min"]).replace("FROM valid WHERE copy = 0", "FROM valid WHERE copy = 0 AND day(event_time) % 3 != 0")
+    sql["w1_stream_metrics_out_of_order"] = sql["a1_window_metrics"]
+    rules = "WITH " + _RULES
+    stamp = lambda t: f"strftime({t}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
+    sql["v_rule_errors"] = rules + "SELECT validation_error, count(*) AS events FROM outcome GROUP BY validation_error"
+    sql["v_processed_messages"] = rules + f"""
+      SELECT '00000000-0000-4000-a000-' || lpad(event_id::VARCHAR, 12, '0') AS event_id, CASE c WHEN 16 THEN 'unknown' ELSE 'producer-' || user_id % 5 END AS producer_id,
+        symbol, CASE c WHEN 19 THEN '0.123456789012345678' WHEN 20 THEN '123456789.123456789012000000' ELSE (event_id % 900 + 1) || '.250000000000000000' END AS price,
+        CASE c WHEN 18 THEN 2 ELSE event_id % 7 + 1 END::INTEGER AS quantity, {stamp("t - to_milliseconds(5)")} AS event_time, {stamp("t - to_milliseconds(2)")} AS producer_time,
+        {stamp("t")} AS processing_time, 'rules' AS source, 'low' AS scenario, event_id AS sequence, 2::BIGINT AS ingestion_latency_ms, 5::BIGINT AS event_lag_ms, true AS valid
+      FROM outcome WHERE validation_error IS NULL"""
+    sql["v_invalid_messages"] = rules + f"""
+      SELECT 'false' AS valid, validation_error, {stamp("t")} AS processing_time, CASE WHEN c = 15 THEN {_rule_text()} END AS raw,
+        CASE c WHEN 15 THEN NULL WHEN 11 THEN ' ' ELSE 'rules' END AS payload_source, CASE c WHEN 13 THEN '-5' WHEN 14 THEN NULL WHEN 15 THEN NULL ELSE event_id::VARCHAR END AS payload_sequence
+      FROM (SELECT *, lower(symbol) AS s FROM outcome) WHERE validation_error IS NOT NULL"""
+    return {**sql, **LLM_SQL}

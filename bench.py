@@ -13,7 +13,6 @@ Prints one JSON line.
 
 from __future__ import annotations
 
-import datetime as _dt
 import json
 import os
 import statistics
@@ -26,14 +25,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from eventspark.operators.metrics import window_metrics  # noqa: E402
-from eventspark.operators.rollups import refresh  # noqa: E402
-from eventspark.operators.tables import metrics_table_rows, write_raw  # noqa: E402
+from eventspark.operators.rollups import read_rollup, refresh  # noqa: E402
+from eventspark.operators.tables import metrics_table, upsert_metrics, write_raw  # noqa: E402
 from eventspark.plans import queries as Q  # noqa: E402
 from eventspark.plans import reports as R  # noqa: E402
 from eventspark.plans.derive import bench_from_sf, from_sf  # noqa: E402
 from eventspark.session import build_session  # noqa: E402
+from eventspark.sources.connect import text_sink, text_source  # noqa: E402
 from eventspark.sources.fixtures import event_stream  # noqa: E402
-from eventspark.streaming.jobs import Paths, start_ingest  # noqa: E402
+from eventspark.streaming.jobs import Paths, start_ingest, start_metrics, start_rollup_refresh  # noqa: E402
+
+HOUR = 3_600_000_000
 
 
 def main() -> None:
@@ -50,21 +52,24 @@ def main() -> None:
     spark.sparkContext.setCheckpointDir(f"{scratch}/checkpoints")
 
     # ---------------------------------------------------------------- setup
-    d = from_sf(spark, sf_dir)
+    splits = int(cpus)  # the tables are one file each
+    d = from_sf(spark, sf_dir, splits)
     raw_path, metrics_path = f"{scratch}/financial_events", f"{scratch}/financial_event_metrics"
     minute_path, quarter_path = f"{scratch}/events_1min", f"{scratch}/events_15min"
     write_raw(d.raw, raw_path, "overwrite")
-    metrics_table_rows(window_metrics(d.valid), F.col("bucket_end")).write.mode("overwrite") \
-        .partitionBy("bucket_date").parquet(metrics_path)
+    upsert_metrics(spark, window_metrics(d.valid), metrics_path, F.col("bucket_end"))
     raw = spark.read.parquet(raw_path)
-    t_max = raw.agg(F.max("event_time")).first()[0]
-    as_of = _dt.datetime(t_max.year, t_max.month, t_max.day, t_max.hour) + _dt.timedelta(hours=1)
-    refresh(spark, raw, minute_path, "events_1min", as_of - _dt.timedelta(hours=25), as_of)
-    refresh(spark, spark.read.parquet(minute_path), quarter_path, "events_15min",
-            as_of - _dt.timedelta(hours=26), as_of)
-    metrics = spark.read.parquet(metrics_path)
-    minute, quarter = spark.read.parquet(minute_path), spark.read.parquet(quarter_path)
-    now = t_max  # a literal "now", as now() is at query time: static pruning + pushed filters
+    now = raw.agg(F.max(F.unix_micros("event_time"))).first()[0]  # a literal "now": static pruning + pushed filters
+    as_of = (now // HOUR + 1) * HOUR
+    refresh(spark, raw, minute_path, "events_1min", as_of - 25 * HOUR, as_of)
+    refresh(spark, read_rollup(spark, minute_path, "events_1min"), quarter_path, "events_15min", as_of - 26 * HOUR, as_of)
+    metrics = metrics_table(spark, metrics_path).read()
+    minute, quarter = read_rollup(spark, minute_path, "events_1min"), read_rollup(spark, quarter_path, "events_15min")
+    # the same over the table's own 30 days, where partitions can be pruned
+    long_path = f"{scratch}/financial_events_30d"
+    write_raw(from_sf(spark, sf_dir, splits, table_times=True).raw, long_path, "overwrite")
+    long_raw = spark.read.parquet(long_path)
+    long_now = long_raw.agg(F.max(F.unix_micros("event_time"))).first()[0]
     rows = {"raw": raw.count(), "metrics": metrics.count(), "minute": minute.count(), "quarter": quarter.count(),
             "lineitem_events": spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()}
 
@@ -83,16 +88,21 @@ def main() -> None:
         "q12_rollup_last_24_hours": collect(lambda: Q.q12_rollup_last_24_hours(quarter, now)),
         "q04_latency_by_scenario": collect(lambda: Q.q04_latency_by_scenario(raw)),
         "q05_throughput_per_second": collect(lambda: Q.q05_throughput_per_second(raw)),
-        "q06_recent_events": collect(lambda: Q.q06_recent_events(raw, prefilter=True)),
+        "q06_recent_events": collect(lambda: Q.q06_recent_events(raw)),
         "q07_aggregated_metrics_recent": collect(lambda: Q.q07_aggregated_metrics_recent(metrics)),
         "q08_aggregated_throughput": collect(lambda: Q.q08_aggregated_throughput(metrics)),
         "q09_events_by_producer": collect(lambda: Q.q09_events_by_producer(raw)),
         "r1_latency_by_scenario": collect(lambda: R.r1_latency_by_scenario(raw)),
         "r4_minute_by_minute": collect(lambda: R.r4_minute_by_minute(raw)),
+        "q02_last_1_hour_of_30_days": collect(lambda: Q.q02_last_1_hour(long_raw, long_now)),
+        "q03_last_24_hours_of_30_days": collect(lambda: Q.q03_last_24_hours(long_raw, long_now)),
+        # upsert of one hour's windows into the stored metrics
+        "k4_metrics_upsert_one_hour": lambda: upsert_metrics(
+            spark, metrics.where(F.unix_micros("bucket_start") >= now - HOUR).drop("created_at", "bucket_date"), metrics_path, F.col("bucket_end")),
         # the streaming job's work, in batch form, on the whole stream
-        "a1_ingest_window_metrics": noop(lambda: from_sf(spark, sf_dir).metrics),
-        "k3_ingest_raw_table": noop(lambda: from_sf(spark, sf_dir).raw),
-        "a1_ingest_window_metrics_lineitem": noop(lambda: bench_from_sf(spark, sf_dir).metrics),
+        "a1_ingest_window_metrics": noop(lambda: from_sf(spark, sf_dir, splits).metrics),
+        "k3_ingest_raw_table": noop(lambda: from_sf(spark, sf_dir, splits).raw),
+        "a1_ingest_window_metrics_lineitem": noop(lambda: bench_from_sf(spark, sf_dir, splits).metrics),
     }
     timings = {}
     for name, job in jobs.items():
@@ -108,28 +118,33 @@ def main() -> None:
     # micro-batch per file; decode, processed + invalid sinks, first-wins
     # insert into the day-partitioned raw table. Fresh output per run.
     src_dir = f"{scratch}/stream-source"
-    stream = event_stream(spark, sf_dir)
-    lo, hi = stream.agg(F.min("processing_time"), F.max("processing_time")).first()
-    step = (hi - lo) / 4
+    stream = event_stream(spark, sf_dir, splits)
+    stamp = F.unix_micros("processing_time")
+    lo, hi = stream.agg(F.min(stamp), F.max(stamp)).first()
     for i in range(4):
-        part = stream.filter((F.col("processing_time") >= F.lit(lo + step * i))
-                             & ((F.col("processing_time") < F.lit(lo + step * (i + 1))) if i < 3 else F.lit(True)))
+        part = stream.filter(F.floor((stamp - lo) * 4 / (hi - lo + 1)) == i)
         part.coalesce(1).write.mode("append").parquet(src_dir)  # one file per delivery
     n_messages = spark.read.parquet(src_dir).count()
 
     def stream_run(tag):
+        """Seconds of queries A, B and the roll-up refresh, one after another."""
         base = f"{scratch}/stream-{tag}"
-        paths = Paths(f"{base}/processed", f"{base}/invalid", f"{base}/raw", f"{base}/metrics",
-                      f"{base}/ckpt-a", f"{base}/ckpt-b")
+        paths = Paths(f"{base}/raw", f"{base}/metrics", f"{base}/ckpt-a", f"{base}/ckpt-b", f"{base}/rejected")
         src = spark.readStream.schema("value string, processing_time timestamp, arrival long") \
             .option("maxFilesPerTrigger", 1).parquet(src_dir)
-        t0 = time.perf_counter()
-        q = start_ingest(spark, src, paths, processing_time_col="processing_time", trigger={"availableNow": True})
-        q.awaitTermination()
-        return time.perf_counter() - t0
+        out, once = [], {"availableNow": True}
+        for start in (lambda: start_ingest(spark, src, paths, text_sink(f"{base}/processed"), text_sink(f"{base}/invalid"), processing_time_col="processing_time", trigger=once),
+                      lambda: start_metrics(spark, text_source(spark, f"{base}/processed"), paths, trigger=once),
+                      lambda: start_rollup_refresh(spark, paths.raw_table, f"{base}/m1", f"{base}/m15", f"{base}/ckpt-r", trigger=once)):
+            t0 = time.perf_counter()
+            start().awaitTermination()
+            out.append(time.perf_counter() - t0)
+        return out
 
     stream_run("warm")
-    timings["stream_query_a_ingest"] = round(statistics.median(stream_run(f"r{i}") for i in range(runs)), 4)
+    timed = [stream_run(f"r{i}") for i in range(runs)]
+    for k, name in enumerate(("stream_query_a_ingest", "stream_query_b_metrics", "stream_rollup_refresh")):
+        timings[name] = round(statistics.median(t[k] for t in timed), 4)
 
     headline = ["q01_last_5_minutes", "q02_last_1_hour", "q03_last_24_hours",
                 "q10_rollup_last_5_minutes", "q11_rollup_last_1_hour", "q12_rollup_last_24_hours"]

@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def half_up(c: Column, scale: int) -> Column:
-    """Round half away from zero (HALF_UP on decimals)."""
-    return F.round(c, scale)
-
-
 def bankers(c: Column, scale: int) -> Column:
     """Round half to even."""
     return F.bround(c, scale)
@@ -42,6 +37,40 @@ def exact_avg_half_up(total: Column, n: Column, scale: int) -> Column:
     return ratio_half_up(total, n, scale)
 
 
+def price_parts(price: Column) -> tuple[Column, Column]:
+    """A non-negative DECIMAL(38,18) as its whole part and its 10^-18 units;
+    both can be summed without overflow for any number of rows."""
+    whole = F.floor(price).cast("decimal(20,0)")
+    units = ((price % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(18,0)")
+    return whole, units
+
+
+def average_of_parts(whole: Column, units: Column, n: Column, scale: int) -> Column:
+    """Exact HALF_UP average at ``scale`` (at most 18) of ``n`` prices, given
+    the sums of their parts: long division, so nothing passes 38 digits."""
+    d38 = "decimal(38,0)"
+    w, count = whole.cast(d38), n.cast(d38)
+    rest = F.pmod(w, count)
+    quotient = ((w - rest) / count).cast(d38)
+    below = rest * F.lit(10**18).cast(d38) + units.cast(d38)
+    den = (count * F.lit(10 ** (18 - scale)).cast(d38)).cast(d38)
+    num = (below.cast(d38) * F.lit(2).cast(d38) + den).cast(d38)
+    twice = (den * F.lit(2).cast(d38)).cast(d38)
+    fraction = ((num - F.pmod(num, twice)) / twice).cast(d38)
+    one = F.lit(10**scale).cast(d38)
+    low = F.pmod(fraction, one)  # the units of many prices make up whole ones
+    whole_text = (quotient + ((fraction - low) / one).cast(d38)).cast(d38).cast("string")
+    digits = F.lpad(low.cast(d38).cast("string"), scale, "0")
+    # a sum of decimals this wide would be rounded; their digits are not
+    return F.concat(whole_text, F.lit("."), digits).cast(f"decimal(38,{scale})")
+
+
+def average_price(price: str, scale: int) -> Column:
+    """``avg(price)``, exact, HALF_UP at ``scale``, for prices of any size."""
+    whole, units = price_parts(F.col(price))
+    return average_of_parts(F.sum(whole), F.sum(units), F.count(F.col(price)), scale).cast(f"decimal(38,{scale})")
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """``a / nullif(b, 0)``."""
     return a / F.nullif(b, F.lit(0))

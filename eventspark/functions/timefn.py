@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,17 @@ def time_bucket(c: Column, width: str | int) -> Column:
     return F.timestamp_micros(m - F.pmod(m, F.lit(w)))
 
 
-def to_ntz(c: Column) -> Column:
-    """Instant -> UTC wall clock without zone (for exchange with zone-less systems)."""
-    return F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+def to_micros(t) -> int:
+    """Epoch microseconds of an int (taken as such), a datetime or an ISO text;
+    without a zone they are UTC, whatever the machine's zone is."""
+    if isinstance(t, int):
+        return t
+    if isinstance(t, str):
+        t = _dt.datetime.fromisoformat(t)
+    t = t if t.tzinfo else t.replace(tzinfo=_dt.timezone.utc)
+    return (t - _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)) // _dt.timedelta(microseconds=1)
+
+
+def instant(t) -> Column:
+    """A literal instant (see ``to_micros``)."""
+    return F.timestamp_micros(F.lit(to_micros(t)).cast("long"))

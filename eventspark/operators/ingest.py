@@ -71,6 +71,9 @@ def fence(c: Column) -> Column:
 
 
 _INT_LITERAL = r"\A[+-]?[0-9]+\z"
+# Numerals of more digits than a double is sure to hold, and a price with an exponent.
+_LONG_NUMBER = r"[0-9][0-9.]{15,}|\"price\"\s*:\s*-?[0-9.]+[eE]"
+_PRICE_NUMBER = r"\"price\"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 _JSON_NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 _TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in WIRE_FIELDS]
                             + [T.StructField("_corrupt_record", T.StringType(), True)])
@@ -94,6 +97,10 @@ def _decode_stages(ctx: int, value_col: str, columns: tuple[str, ...]) -> list[l
     stages: list[list[Column]] = []
     # 1: text parse
     stages.append([*keep, F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS).alias("_j")])
+    # A number's text went through a double. Where it may have lost digits, the
+    # digits come from the message, if they name the same double.
+    exact = F.regexp_extract(raw, _PRICE_NUMBER, 1)
+    long_number = F.coalesce(raw.rlike(_LONG_NUMBER), F.lit(False))
     # 2: field texts, trimmed numeric texts, root check, ambiguity flag
     j = lambda f: F.col(f"_j.{f}")
     ambiguous = F.lit(False)
@@ -104,9 +111,10 @@ def _decode_stages(ctx: int, value_col: str, columns: tuple[str, ...]) -> list[l
                                            F.lit(False))
     root_bad = (F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
                 | ~F.coalesce(raw.rlike(r"\A\s*\{"), F.lit(False)))
+    price = F.when(long_number & (exact.try_cast("double") == j("price").try_cast("double")), exact).otherwise(java_trim(j("price")))
     stages.append([*keep, root_bad.alias("_root_bad"), ambiguous.alias("_amb"),
                    *[j(f).alias(f"_s_{f}") for f in WIRE_FIELDS],
-                   *[java_trim(j(f)).alias(f"_t_{f}") for f in ("price", "quantity", "sequence")]])
+                   price.alias("_t_price"), *[java_trim(j(f)).alias(f"_t_{f}") for f in ("quantity", "sequence")]])
     passthrough = [F.col("_root_bad"), F.col("_amb")] + [F.col(f"_s_{f}") for f in WIRE_FIELDS] \
         + [F.col(f"_t_{f}") for f in ("price", "quantity", "sequence")]
     # 3: second parse, only for ambiguous rows (a codegen'd parse, not a
@@ -277,8 +285,3 @@ def invalid_json(invalid: DataFrame) -> DataFrame:
         F.when(payload.isNull(), F.col("raw")).alias("raw"),
         payload.alias("payload"))
     return invalid.select(F.to_json(s).alias("value"))
-
-
-def error_counts(processed: DataFrame) -> DataFrame:
-    """Count of rejected events by reason (valid rows under NULL)."""
-    return processed.groupBy("validation_error").agg(F.count(F.lit(1)).alias("events"))

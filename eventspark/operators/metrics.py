@@ -1,72 +1,89 @@
 """Tumbling-window metrics per (symbol, scenario) - the flagship aggregate.
 
-One ``groupBy(bucket, symbol, scenario)`` with built-in aggregates only:
-count, exact averages (HALF_UP), min/max, sum, nearest-rank p50/p95 and max.
-Every aggregate is partial-aggregatable (the percentiles keep a value->count
-map per group), so a hot (symbol, scenario) key is combined map-side before
-the single hash exchange on the group key.
+Two steps. ``window_partials`` groups by (window, symbol, scenario, latency)
+with plain sums, counts and extremes: a hash aggregate with a map-side phase,
+so a hot key is combined before the exchange. ``metrics_of_partials`` reads all
+measures off this small histogram: sums of sums, and the nearest-rank
+percentiles from running counts over each group's distinct latencies. Partials
+of several deliveries of one window simply add up, in any order, which is what
+the streaming job relies on for events that arrive late.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.numeric import exact_avg_half_up, nearest_rank
+from ..functions.numeric import average_of_parts, exact_avg_half_up, price_parts
 from ..functions.timefn import interval_micros, time_bucket
-from ..schema import AVG_PRICE, METRIC_COLUMNS
+from ..schema import METRIC_COLUMNS, PRICE
 
 DEFAULT_WINDOW_SECONDS = 10
+LATENCY = "ingestion_latency_ms"
+KEY = ["bucket_start", "symbol", "scenario"]
 
+_WIDE = T.DecimalType(38, 0)
+PARTIALS_SCHEMA = T.StructType([
+    T.StructField("bucket_start", T.TimestampType()), T.StructField("symbol", T.StringType()),
+    T.StructField("scenario", T.StringType()), T.StructField(LATENCY, T.LongType()),
+    T.StructField("n", T.LongType()), T.StructField("price_whole", _WIDE), T.StructField("price_units", _WIDE),
+    T.StructField("min_price", PRICE), T.StructField("max_price", PRICE),
+    T.StructField("quantity", T.LongType()), T.StructField("lag", T.LongType()),
+])
 
-def window_metrics(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
-                   time_col: str = "processing_time") -> DataFrame:
-    """Metrics of ``valid`` events per tumbling window of ``time_col``.
 
-    Duplicated deliveries are counted (the raw table de-duplicates, the
-    metrics do not). Window bounds are aligned to the Unix epoch.
-    """
-    w = f"{window_seconds} seconds"
-    n = F.count(F.lit(1))
-    bucket = time_bucket(F.col(time_col), w)
-    agg = (valid
-           .groupBy(bucket.alias("bucket_start"), "symbol", "scenario")
-           .agg(n.alias("event_count"),
-                F.round(F.avg("price"), 6).cast(AVG_PRICE).alias("avg_price"),
-                F.min("price").alias("min_price"),
-                F.max("price").alias("max_price"),
-                F.sum("quantity").cast("long").alias("total_quantity"),
-                exact_avg_half_up(F.sum("ingestion_latency_ms"), n, 2).alias("avg_ingestion_latency_ms"),
-                nearest_rank("ingestion_latency_ms", 0.5).cast("long").alias("p50_ingestion_latency_ms"),
-                nearest_rank("ingestion_latency_ms", 0.95).cast("long").alias("p95_ingestion_latency_ms"),
-                F.max("ingestion_latency_ms").alias("max_ingestion_latency_ms"),
-                exact_avg_half_up(F.sum("event_lag_ms"), n, 2).alias("avg_event_lag_ms")))
-    end = F.timestamp_micros(F.unix_micros("bucket_start") + F.lit(interval_micros(w)))
+def window_partials(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
+                    time_col: str = "processing_time") -> DataFrame:
+    """Counts, sums and extremes per (window, symbol, scenario, latency).
+    Window bounds are aligned to the Unix epoch."""
+    whole, units = price_parts(F.col("price"))
+    bucket = time_bucket(F.col(time_col), window_seconds)
+    return (valid.groupBy(bucket.alias("bucket_start"), "symbol", "scenario", LATENCY)
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(whole).cast(_WIDE).alias("price_whole"), F.sum(units).cast(_WIDE).alias("price_units"),
+                 F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+                 F.sum("quantity").cast("long").alias("quantity"), F.sum("event_lag_ms").cast("long").alias("lag")))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """One row per (window, symbol, scenario, latency) of any number of partials."""
+    add = lambda c: F.sum(c).cast(partials.schema[c].dataType).alias(c)
+    return partials.groupBy(*KEY, LATENCY).agg(
+        add("n"), add("price_whole"), add("price_units"), F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"), add("quantity"), add("lag"))
+
+
+def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> DataFrame:
+    """Metrics of merged partials. The percentile p of n latencies is the one at
+    rank ceil(p * n), in integer arithmetic."""
+    by_key = Window.partitionBy(*KEY)
+    so_far = by_key.orderBy(LATENCY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = partials.withColumns({"_upto": F.sum("n").over(so_far), "_all": F.sum("n").over(by_key)})
+
+    def rank(percent: int) -> Column:
+        reached = F.col("_upto") * 100 >= F.col("_all") * percent
+        return F.min(F.when(reached, F.col(LATENCY)))
+
+    n = F.sum("n")
+    agg = ranked.groupBy(*KEY).agg(
+        n.alias("event_count"),
+        average_of_parts(F.sum("price_whole"), F.sum("price_units"), n, 6).alias("avg_price"),
+        F.min("min_price").alias("min_price"),
+        F.max("max_price").alias("max_price"),
+        F.sum("quantity").cast("long").alias("total_quantity"),
+        exact_avg_half_up(F.sum(F.col(LATENCY) * F.col("n")), n, 2).alias("avg_ingestion_latency_ms"),
+        rank(50).alias("p50_ingestion_latency_ms"),
+        rank(95).alias("p95_ingestion_latency_ms"),
+        F.max(LATENCY).alias("max_ingestion_latency_ms"),
+        exact_avg_half_up(F.sum("lag"), n, 2).alias("avg_event_lag_ms"))
+    end = F.timestamp_micros(F.unix_micros("bucket_start") + F.lit(interval_micros(window_seconds)))
     return agg.withColumn("bucket_end", end).select(*METRIC_COLUMNS)
 
 
-def streaming_window_metrics(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
-                             time_col: str = "processing_time") -> DataFrame:
-    """The same measures on a stream: ``window()`` + a zero watermark on the
-    processing stamp (state of closed windows is dropped; nothing is late,
-    since the stamp never goes back)."""
-    w = f"{window_seconds} seconds"
-    n = F.count(F.lit(1))
-    agg = (valid.withWatermark(time_col, "0 seconds")
-           .groupBy(F.window(time_col, w).alias("win"), "symbol", "scenario")
-           .agg(n.alias("event_count"),
-                F.round(F.avg("price"), 6).cast(AVG_PRICE).alias("avg_price"),
-                F.min("price").alias("min_price"),
-                F.max("price").alias("max_price"),
-                F.sum("quantity").cast("long").alias("total_quantity"),
-                F.sum("ingestion_latency_ms").alias("_lat_sum"),
-                nearest_rank("ingestion_latency_ms", 0.5).cast("long").alias("p50_ingestion_latency_ms"),
-                nearest_rank("ingestion_latency_ms", 0.95).cast("long").alias("p95_ingestion_latency_ms"),
-                F.max("ingestion_latency_ms").alias("max_ingestion_latency_ms"),
-                F.sum("event_lag_ms").alias("_lag_sum")))
-    return agg.select(
-        F.col("win.start").alias("bucket_start"), F.col("win.end").alias("bucket_end"),
-        "symbol", "scenario", "event_count", "avg_price", "min_price", "max_price", "total_quantity",
-        exact_avg_half_up(F.col("_lat_sum"), F.col("event_count"), 2).alias("avg_ingestion_latency_ms"),
-        "p50_ingestion_latency_ms", "p95_ingestion_latency_ms", "max_ingestion_latency_ms",
-        exact_avg_half_up(F.col("_lag_sum"), F.col("event_count"), 2).alias("avg_event_lag_ms"))
+def window_metrics(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
+                   time_col: str = "processing_time") -> DataFrame:
+    """Metrics of ``valid`` events per tumbling window of ``time_col``.
+    Duplicated deliveries are counted (the raw table de-duplicates, the
+    metrics do not)."""
+    return metrics_of_partials(window_partials(valid, window_seconds, time_col), window_seconds)

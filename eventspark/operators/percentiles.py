@@ -4,41 +4,51 @@ The built-in ``percentile_cont`` combines map-side into one value->count map
 per group and task, and then merges all of a group's maps in one reducer: for
 a group holding a third of the data that reducer receives
 (map tasks x distinct values) entries. Here the same exact result is composed
-from plain DataFrame steps:
-
-1. histogram: ``count`` per (group, value) - combined map-side, and a hot
-   group is spread over as many reducers as it has distinct values;
-2. running count per group (a window over the group's *distinct values*,
-   bounded by the value domain, not by the row count);
-3. per group, the values at ranks ``floor((n-1)p)`` and ``ceil((n-1)p)``,
-   interpolated as ``(hi - pos) * x_lo + (pos - lo) * x_hi``.
-
-Steps 2 and 3 run on the partitioning of step 2 (no further exchange).
+from plain DataFrame steps over a histogram, ``count`` per (group, value),
+which is combined map-side and spread over reducers by value. The percentile
+of n values is interpolated between those at ranks ``floor((n-1)p)`` and
+``ceil((n-1)p)`` as ``(hi - pos) * x_lo + (pos - lo) * x_hi``.
+
+``with_percentiles`` is for many groups whose values are few (time buckets):
+running counts over each group's distinct values, in one window.
+``spread_percentiles`` is for few groups of any size: counts of value ranges
+first, and then running counts only inside the ranges that hold a wanted rank.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """One row per group of ``keys``: ``{name: percentile_cont(p)}`` of
-    ``value`` (DOUBLE; NULL values ignored), for every ``name, p`` in ``wanted``.
-    A group without any non-NULL value has no row (``with_percentiles`` keeps
-    it, with NULL percentiles)."""
-    hist = (df.filter(F.col(value).isNotNull())
-            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    return _from_histogram(hist, keys, value, wanted)
+#: Width of a value range; a range has at most so many distinct whole values.
+RANGE = 1024
 
 
-def _from_histogram(hist: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def spread_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
+                       *aggs: Column) -> DataFrame:
+    """``df.groupBy(keys).agg(*aggs)`` plus ``{name: percentile_cont(p)}`` of
+    ``value`` (DOUBLE; NULL values ignored), for every ``name, p`` in ``wanted``."""
+    measures = df.groupBy(*keys).agg(*aggs)
+    hist = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_range", F.floor(F.col(value) / RANGE)))
     by_key = Window.partitionBy(*keys)
-    running = by_key.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"_cum": F.sum("_c").over(running), "_n": F.sum("_c").over(by_key)})
-    hist = hist.withColumn("_lo", F.col("_cum") - F.col("_c"))
-    aggs, finals = _percentile_aggs(value, wanted)
-    return hist.groupBy(*keys).agg(*aggs).select(*keys, *finals)
+    before = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (hist.groupBy(*keys, "_range").agg(F.sum("_c").alias("_in"))
+              .withColumns({"_base": F.coalesce(F.sum("_in").over(before), F.lit(0)), "_n": F.sum("_in").over(by_key)}))
+    ranks = [f((F.col("_n") - 1).cast("double") * F.lit(float(p))) for p in wanted.values() for f in (F.floor, F.ceil)]
+    holds = functools.reduce(operator.or_, [(F.col("_base") <= r) & (r < F.col("_base") + F.col("_in")) for r in ranks])
+    few = ranges.where(holds).select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "_range")], "_base", "_n")
+    on = functools.reduce(operator.and_, [hist[k].eqNullSafe(few[f"_k_{k}"]) for k in (*keys, "_range")])
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = hist.join(few, on).select(*keys, value, "_range", "_c", "_base", "_n").withColumn("_cum", F.col("_base") + F.sum("_c").over(inside))
+    rows = rows.withColumn("_lo", F.col("_cum") - F.col("_c"))
+    pcts, finals = _percentile_aggs(value, wanted)
+    found = rows.groupBy(*keys).agg(*pcts).select(*[F.col(k).alias(f"_k_{k}") for k in keys], *finals)
+    on = functools.reduce(operator.and_, [measures[k].eqNullSafe(found[f"_k_{k}"]) for k in keys])
+    return measures.join(found, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def with_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],

@@ -6,23 +6,22 @@ means) and has no standard deviation - it is built from the 1-minute table,
 not from raw events, so it is cheap at any scale (~1/60 of the raw rows per
 symbol and scenario are read at most).
 
-A refresh recomputes the buckets lying wholly inside ``[start, end)``, reads
-only the day partitions of that range, and rewrites only those partitions
-(dynamic partition overwrite), after cutting lineage with a reliable
-checkpoint (the plan reads the partitions it overwrites).
+A roll-up is an ``HourTable``. A refresh recomputes the buckets lying wholly
+inside its spans, reads only what these spans need, gives the hours it touches
+new contents and switches the table in one step; buckets whose source rows are
+gone disappear. Times are epoch microseconds (``timefn.to_micros``).
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timefn import interval_micros, time_bucket
-from ..schema import ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, rollup_schema
-from ..session import checkpoint_dir
-from .tables import days_between, read_days, time_range
+from ..functions.numeric import average_price
+from ..functions.timefn import interval_micros, time_bucket, to_micros
+from ..schema import RAW_TABLE_SCHEMA, ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, rollup_schema
+from .store import HOUR_MICROS, HourTable
+from .tables import read_days
 
 # Fixed values of the two roll-ups: bucket widths and refresh policies
 # (start offset, end offset, schedule interval).
@@ -42,7 +41,7 @@ def rollup_1min(raw: DataFrame) -> DataFrame:
     (minute, symbol, scenario) of ``event_time``."""
     return (raw.groupBy(time_bucket(F.col("event_time"), "1 minute").alias("bucket"), "symbol", "scenario")
             .agg(F.count(F.lit(1)).alias("event_count"),
-                 F.avg("price").cast("decimal(38,18)").alias("avg_price"),
+                 average_price("price", 18).alias("avg_price"),
                  F.min("price").alias("min_price"),
                  F.max("price").alias("max_price"),
                  F.sum("quantity").cast("long").alias("total_quantity"),
@@ -58,7 +57,7 @@ def rollup_15min(minute: DataFrame) -> DataFrame:
     unweighted means of the minute means."""
     return (minute.groupBy(time_bucket(F.col("bucket"), "15 minutes").alias("bucket"), "symbol", "scenario")
             .agg(F.sum("event_count").cast("long").alias("event_count"),
-                 F.avg("avg_price").cast("decimal(38,18)").alias("avg_price"),
+                 average_price("avg_price", 18).alias("avg_price"),
                  F.min("min_price").alias("min_price"),
                  F.max("max_price").alias("max_price"),
                  F.sum("total_quantity").cast("long").alias("total_quantity"),
@@ -68,92 +67,122 @@ def rollup_15min(minute: DataFrame) -> DataFrame:
             .select(*_COLS_15MIN, "bucket_date"))
 
 
-def create_empty(spark: SparkSession, path: str, which: str = "events_1min") -> None:
-    """Create a roll-up table with no rows (read it with ``read_rollup``)."""
-    spark.createDataFrame([], rollup_schema(_fields(which))).write.mode("overwrite") \
-        .partitionBy("bucket_date").parquet(path)
-
-
 def _fields(which: str):
     return ROLLUP_1MIN_FIELDS if which == "events_1min" else ROLLUP_15MIN_FIELDS
 
 
-def read_rollup(spark: SparkSession, path: str, which: str = "events_1min") -> DataFrame:
-    """A roll-up table read with its declared schema, so an empty table (no
-    data files yet) reads as zero rows instead of failing schema inference."""
-    return spark.read.schema(rollup_schema(_fields(which))).parquet(path)
+def rollup_table(spark: SparkSession, path: str, which: str = "events_1min") -> HourTable:
+    return HourTable(spark, path, rollup_schema(_fields(which)), "bucket")
 
 
-def aligned_range(start: _dt.datetime, end: _dt.datetime, width: str) -> tuple[_dt.datetime, _dt.datetime]:
-    """The buckets lying wholly inside ``[start, end)``: start rounded up, end
-    rounded down to the bucket width (epoch-aligned)."""
-    w = interval_micros(width)
-    epoch = _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)
+def create_empty(spark: SparkSession, path: str, which: str = "events_1min") -> None:
+    """Create a roll-up table with no rows."""
+    rollup_table(spark, path, which).create()
 
-    def micros(t):
-        t = t if t.tzinfo else t.replace(tzinfo=_dt.timezone.utc)
-        return (t - epoch) // _dt.timedelta(microseconds=1)
 
-    s, e = micros(start), micros(end)
-    s_al = -(-s // w) * w
-    e_al = (e // w) * w
-    to_dt = lambda m: (epoch + _dt.timedelta(microseconds=m)).replace(tzinfo=None)
-    return to_dt(s_al), to_dt(max(e_al, s_al))
+def read_rollup(spark: SparkSession, path: str, which: str = "events_1min", lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """A roll-up table (no rows before its first refresh), or its time range."""
+    return rollup_table(spark, path, which).read(lo, hi)
 
 
-def refresh(spark: SparkSession, source: DataFrame, rollup_path: str, which: str,
-            start: _dt.datetime, end: _dt.datetime) -> tuple[_dt.datetime, _dt.datetime]:
+def aligned_range(start, end, width: str) -> tuple[int, int]:
+    """The buckets lying wholly inside ``[start, end)``: start rounded up, end
+    rounded down to the bucket width (epoch-aligned), in epoch microseconds."""
+    w = interval_micros(width)
+    lo = -(-to_micros(start) // w) * w
+    return lo, max(to_micros(end) // w * w, lo)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, touching and overlapping ones joined; empty ones left out."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if lo < hi:
+            if out and lo <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], hi)
+            else:
+                out.append([lo, hi])
+    return [tuple(x) for x in out]
+
+
+def _in_spans(time_col: str, spans: list[tuple[int, int]]) -> Column:
+    at, cond = F.unix_micros(time_col), F.lit(False)
+    for lo, hi in spans:
+        cond = cond | ((at >= F.lit(lo)) & (at < F.lit(hi)))
+    return cond
+
+
+def _source_rows(source: DataFrame, time_col: str, spans: list[tuple[int, int]]) -> DataFrame:
+    """The source's rows in the spans; day predicates prune its partitions."""
+    instant = lambda m: F.timestamp_micros(F.lit(m).cast("long"))
+    day = next((c for c in ("event_date", "bucket_date") if c in source.columns), None)
+    cond = F.lit(False)
+    for lo, hi in spans:
+        one = (F.col(time_col) >= instant(lo)) & (F.col(time_col) < instant(hi))
+        if day:
+            one = one & (F.col(day) >= F.to_date(instant(lo))) & (F.col(day) <= F.to_date(instant(hi)))
+        cond = cond | one
+    return source.where(cond)
+
+
+def refresh_spans(spark: SparkSession, source: DataFrame, rollup_path: str, which: str, spans: list[tuple[int, int]]) -> None:
+    """Recompute the buckets of ``which`` inside all (bucket-aligned) spans, in
+    one pass over the source and one switch of the table."""
+    spans = merged(spans)
+    if not spans:
+        return
+    time_col, build = ("event_time", rollup_1min) if which == "events_1min" else ("bucket", rollup_15min)
+    table = rollup_table(spark, rollup_path, which)
+    fresh = build(_source_rows(source, time_col, spans))
+    # the hours the table has in the spans, and those that new rows come to
+    has = [h for h in table.hours() if any(h * HOUR_MICROS < hi and lo < (h + 1) * HOUR_MICROS for lo, hi in spans)]
+    table.replace(lambda old: old.where(~_in_spans("bucket", spans)).unionByName(fresh.select(*old.columns)), has)
+
+
+def refresh(spark: SparkSession, source: DataFrame, rollup_path: str, which: str, start, end) -> tuple[int, int]:
     """Recompute the buckets of ``which`` wholly inside ``[start, end)`` from
-    ``source`` (raw table for 1 min, 1-minute table for 15 min). Times are UTC.
-
-    Rows of those buckets are replaced, buckets with no source rows any more
-    disappear, rows outside the range are kept.
-    """
+    ``source`` (raw table for 1 min, 1-minute table for 15 min): rows of those
+    buckets are replaced, buckets with no source rows any more disappear, rows
+    outside the range are kept. Returns the range (epoch microseconds)."""
     cfg = ROLLUP_1MIN if which == "events_1min" else ROLLUP_15MIN
     lo, hi = aligned_range(start, end, cfg["width"])
-    if lo >= hi:
-        return lo, hi
-    lo_c, hi_c = F.to_timestamp(F.lit(lo)), F.to_timestamp(F.lit(hi))
-    if which == "events_1min":
-        src = time_range(source, "event_time", lo_c, hi_c,
-                         "event_date" if "event_date" in source.columns else None)
-        fresh = rollup_1min(src)
-        cols = _COLS_1MIN
-    else:
-        src = time_range(source, "bucket", lo_c, hi_c,
-                         "bucket_date" if "bucket_date" in source.columns else None)
-        fresh = rollup_15min(src)
-        cols = _COLS_15MIN
-    old = read_days(spark, rollup_path, "bucket_date", days_between(lo, hi), rollup_schema(_fields(which)))
-    if old is not None:
-        kept = old.filter((F.col("bucket") < lo_c) | (F.col("bucket") >= hi_c)).select(*cols, "bucket_date")
-        merged = kept.unionByName(fresh)
-    else:
-        merged = fresh
-    checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
-    (merged.repartitionByRange("bucket_date", "bucket").sortWithinPartitions("bucket_date", "bucket", "symbol")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket_date").parquet(rollup_path))
+    refresh_spans(spark, source, rollup_path, which, [(lo, hi)])
     return lo, hi
 
 
-def refresh_policy_window(as_of: _dt.datetime, which: str) -> tuple[_dt.datetime, _dt.datetime]:
+def refresh_policy_window(as_of, which: str) -> tuple[int, int]:
     """``[as_of - start_offset, as_of - end_offset)`` of a roll-up's policy."""
     cfg = ROLLUP_1MIN if which == "events_1min" else ROLLUP_15MIN
     so, eo, _ = cfg["policy"]
-    return (as_of - _dt.timedelta(microseconds=interval_micros(so)),
-            as_of - _dt.timedelta(microseconds=interval_micros(eo)))
+    return to_micros(as_of) - interval_micros(so), to_micros(as_of) - interval_micros(eo)
+
+
+def raw_days(spark: SparkSession, raw_path: str, days: list[str]) -> DataFrame:
+    """Some days of the raw table, without listing the others."""
+    rows = read_days(spark, raw_path, "event_date", days, RAW_TABLE_SCHEMA)
+    return spark.createDataFrame([], RAW_TABLE_SCHEMA) if rows is None else rows
+
 
+def days_of(spark: SparkSession, lo: int, hi: int) -> list[str]:
+    """The days that ``[lo, hi)`` touches, as text."""
+    day = 24 * HOUR_MICROS
+    days = spark.range(lo // day, -(-hi // day)).select(F.date_from_unix_date(F.col("id").cast("int")).cast("string"))
+    return [r[0] for r in days.collect()]
 
-def refresh_all(spark: SparkSession, raw: DataFrame, minute_path: str, quarter_path: str,
-                as_of: _dt.datetime, ranges=None) -> None:
+
+def refresh_by_policy(spark: SparkSession, raw_path: str, minute_path: str, quarter_path: str, as_of) -> None:
+    """Both refresh policies at ``as_of``, in dependency order: the range
+    behind the open bucket, of the last 2 hours (1 min) and 26 hours (15 min)."""
+    lo, hi = refresh_policy_window(as_of, "events_1min")
+    refresh(spark, raw_days(spark, raw_path, days_of(spark, lo, hi)), minute_path, "events_1min", lo, hi)
+    lo, hi = refresh_policy_window(as_of, "events_15min")
+    refresh(spark, read_rollup(spark, minute_path, "events_1min", lo, hi), quarter_path, "events_15min", lo, hi)
+
+
+def refresh_all(spark: SparkSession, raw: DataFrame, minute_path: str, quarter_path: str, as_of, ranges=None) -> None:
     """Manual refresh in dependency order: 1 minute first, then 15 minutes
     (the second reads what the first wrote)."""
-    ranges = dict(ranges or MANUAL_REFRESH)
-    one = interval_micros(ranges["events_1min"])
-    refresh(spark, raw, minute_path, "events_1min", as_of - _dt.timedelta(microseconds=one), as_of)
-    minute = spark.read.parquet(minute_path)
-    fifteen = interval_micros(ranges["events_15min"])
-    refresh(spark, minute, quarter_path, "events_15min", as_of - _dt.timedelta(microseconds=fifteen), as_of)
-
+    ranges, now = dict(ranges or MANUAL_REFRESH), to_micros(as_of)
+    refresh(spark, raw, minute_path, "events_1min", now - interval_micros(ranges["events_1min"]), now)
+    lo = now - interval_micros(ranges["events_15min"])
+    refresh(spark, read_rollup(spark, minute_path, "events_1min", lo, now), quarter_path, "events_15min", lo, now)

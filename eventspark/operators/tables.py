@@ -1,27 +1,32 @@
 """Raw event table and metrics table: layout, constraints, keyed writes.
 
-Plain Parquet tables partitioned by day (``event_date`` / ``bucket_date``),
-rows sorted by time inside each file so that Parquet min/max statistics skip
-row groups for time-range predicates.
+The raw table is plain Parquet partitioned by ``event_date``, rows sorted by
+time inside each file so that Parquet min/max statistics skip row groups for
+time-range predicates. The metrics table is an ``HourTable``.
 
 * ``insert_ignore_duplicates`` - insert, first copy of a key wins; keys
   already in the table are left alone (ON CONFLICT DO NOTHING).
 * ``upsert_metrics`` - replace every non-key column of existing keys and add
-  new keys (ON CONFLICT DO UPDATE), by rewriting only the touched day
-  partitions (dynamic partition overwrite).
+  new keys (ON CONFLICT DO UPDATE), by giving the touched hours new contents.
+
+Days and hours that a batch touches reach the driver as text and integers,
+never as timestamps, so neither the machine's zone nor a calendar matters.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, matches_symbol
 from ..schema import (METRIC_COLUMNS, METRICS_KEY, METRICS_TABLE_COLUMNS, METRICS_TABLE_SCHEMA, RAW_KEY,
                       RAW_TABLE_COLUMNS, RAW_TABLE_SCHEMA)
-from ..session import checkpoint_dir
+from .store import HourTable, hour_of
+
+
+class ConstraintError(ValueError):
+    """Rows break a table rule and no place was named for them."""
 
 
 # ---------------------------------------------------------------- layout
@@ -77,20 +82,30 @@ def enforce(df: DataFrame, violation: Column) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("constraint_error").isNotNull()))
 
 
+def pass_or_put_aside(df: DataFrame, violation: Column, rejected_path: str | None) -> DataFrame:
+    """The rows that keep the table's rules. The others are appended to
+    ``rejected_path`` with their reason; without a path they are an error."""
+    good, bad = enforce(df, violation)
+    if rejected_path:
+        bad.write.mode("append").parquet(rejected_path)
+    else:
+        first = bad.select("constraint_error").first()
+        if first is not None:
+            raise ConstraintError(first[0])
+    return good
+
+
 # ----------------------------------------------------------- de-duplication
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the row with the smallest ``order`` tuple.
 
-    ``min_by`` is an ordinary aggregate, so it combines map-side: a key with
-    a huge number of copies is reduced to one row per input partition before
-    the exchange and never gathered into one task.
+    One exchange by key and one sort; ``row_number() = 1`` lets Spark keep only
+    the first row of a key in each map task, so a key with a huge number of
+    copies reaches the exchange as one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[F.col(c) for c in order])
-    return (df.groupBy(*keys)
-            .agg(F.min_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_first"))
-            .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def dedupe_raw(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -101,52 +116,40 @@ def dedupe_raw(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- helpers
 
-def days_between(lo, hi) -> list[_dt.date]:
-    """Every calendar day from ``lo`` to ``hi`` (dates or datetimes), inclusive."""
-    a = lo.date() if isinstance(lo, _dt.datetime) else lo
-    b = hi.date() if isinstance(hi, _dt.datetime) else hi
-    return [a + _dt.timedelta(days=i) for i in range((b - a).days + 1)]
+def distinct_days(df: DataFrame, day_col: str) -> list[str]:
+    """The days of ``df`` as text. Bounded by the days a delivery touches."""
+    return sorted(r[0] for r in df.select(F.col(day_col).cast("string")).distinct().collect() if r[0] is not None)
+
+
+def distinct_hours(df: DataFrame, time_col: str) -> list[int]:
+    """The hours (since 1970) of ``df``. Bounded by the hours a delivery touches."""
+    return sorted(r[0] for r in df.select(hour_of(time_col)).distinct().collect() if r[0] is not None)
 
 
-def read_days(spark: SparkSession, path: str, part_col: str, days, schema) -> DataFrame | None:
+def read_days(spark: SparkSession, path: str, part_col: str, days: list[str], schema) -> DataFrame | None:
     """Only the given day partitions of a day-partitioned Parquet table, or
-    None when none of them exists. A Hadoop glob over the partition
-    directories (``col={d1,d2,...}``) with ``basePath`` lists just those
-    directories - not the whole table, as reading the table root would on
-    every micro-batch - and the declared schema avoids reading footers to
-    infer one."""
-    days = sorted({d.isoformat() for d in days})
-    if not days:
-        return None
-    glob = f"{path.rstrip('/')}/{part_col}={{{','.join(days)}}}"
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(glob)
-    except Exception as e:  # noqa: BLE001 - no such partition yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return None
-        raise
-
-
-def _bounds(df: DataFrame, col: str) -> tuple:
-    """min/max of one column: a single-row aggregate."""
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return (r["lo"], r["hi"]) if r is not None else (None, None)
-
-
-def time_range(df: DataFrame, time_col: str, lo, hi=None, date_col: str | None = None,
-               hi_inclusive: bool = False) -> DataFrame:
-    """``lo <= time_col < hi`` plus the matching predicate on the day partition
-    column, so that the scan prunes partitions (a predicate on the time column
-    alone does not reach the partition column)."""
-    lo_c = lo if isinstance(lo, Column) else F.lit(lo)
-    cond = F.col(time_col) >= lo_c
+    None when none of them exists. The existing folders are named one by one
+    with ``basePath`` - the whole table is never listed - and the declared
+    schema avoids reading footers to infer one."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f for f in (f"{path.rstrip('/')}/{part_col}={d}" for d in sorted(set(days))) if fs.exists(jvm_path(f))]
+    return spark.read.schema(schema).option("basePath", path).parquet(*folders) if folders else None
+
+
+def time_range(df: DataFrame, time_col: str, lo: int | Column, hi: int | Column | None = None,
+               date_col: str | None = None) -> DataFrame:
+    """``lo <= time_col < hi`` (epoch microseconds, or Columns) plus the matching
+    predicate on the day partition column, so that the scan prunes partitions
+    (a predicate on the time column alone does not reach the partition column)."""
+    as_column = lambda t: t if isinstance(t, Column) else F.timestamp_micros(F.lit(t).cast("long"))
+    cond = F.col(time_col) >= as_column(lo)
     if date_col:
-        cond = cond & (F.col(date_col) >= F.to_date(lo_c))
+        cond = cond & (F.col(date_col) >= F.to_date(as_column(lo)))
     if hi is not None:
-        hi_c = hi if isinstance(hi, Column) else F.lit(hi)
-        cond = cond & ((F.col(time_col) <= hi_c) if hi_inclusive else (F.col(time_col) < hi_c))
+        cond = cond & (F.col(time_col) < as_column(hi))
         if date_col:
-            cond = cond & (F.col(date_col) <= F.to_date(hi_c))
+            cond = cond & (F.col(date_col) <= F.to_date(as_column(hi)))
     return df.filter(cond)
 
 
@@ -171,56 +174,41 @@ def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
                              order: list[str] | None = None, rejected_path: str | None = None) -> None:
     """Insert raw-table ``rows`` into the table at ``path``; keys already present
     (or repeated inside ``rows``) keep their first row. Rows breaking a table
-    rule are not inserted (appended to ``rejected_path`` when given).
+    rule are appended to ``rejected_path``, or an error without one.
 
     Meant for one delivery (a micro-batch): the de-duplicated batch is kept
-    with ``persist`` for its two uses (time bounds, insert) - its lineage is one
+    with ``persist`` for its two uses (its days, insert) - its lineage is one
     shuffle long, and a lost block is recomputed from the replayable source.
-    Re-running the same delivery inserts nothing twice."""
-    rows, rejected = enforce(rows, raw_constraint_violation(rows))
-    if rejected_path:
-        rejected.write.mode("append").parquet(rejected_path)
+    Re-running the same delivery inserts nothing twice. Only the days that the
+    batch holds are read, however far apart they are."""
+    rows = pass_or_put_aside(rows, raw_constraint_violation(rows), rejected_path)
     batch = dedupe_raw(rows, order).persist()
     try:
-        lo, hi = _bounds(batch, "event_time")
-        if lo is None:
-            return
-        # Only the touched days, and inside them only the row groups whose
-        # event_time range overlaps the batch (Parquet statistics).
-        touched = read_days(spark, path, "event_date", days_between(lo, hi), RAW_TABLE_SCHEMA)
+        touched = read_days(spark, path, "event_date", distinct_days(batch, "event_date"), RAW_TABLE_SCHEMA)
         new = batch
         if touched is not None:
-            existing = time_range(touched, "event_time", lo, hi, hi_inclusive=True).select(*RAW_KEY)
-            new = batch.join(existing, RAW_KEY, "left_anti")
+            new = batch.join(touched.select(*RAW_KEY), RAW_KEY, "left_anti")
         write_raw(new, path, "append", spread=False)
     finally:
         batch.unpersist()
 
 
+def metrics_table(spark: SparkSession, path: str) -> HourTable:
+    return HourTable(spark, path, METRICS_TABLE_SCHEMA, "bucket_start")
+
+
 def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
-                   created_at: Column | None = None) -> None:
+                   created_at: Column | None = None, rejected_path: str | None = None) -> None:
     """Upsert window metrics on ``(bucket_start, symbol, scenario)``: every
     non-key column of an existing key is replaced (last write wins, not
-    additive) and ``created_at`` is refreshed."""
-    checkpoint_dir(spark)
-    new, _ = enforce(metrics, metrics_constraint_violation(metrics))
-    new = metrics_table_rows(new, created_at).checkpoint(eager=True)
-    lo, hi = _bounds(new, "bucket_date")
-    if lo is None:
-        return
-    old = read_days(spark, path, "bucket_date", days_between(lo, hi), METRICS_TABLE_SCHEMA)
-    if old is not None:
-        kept = old.join(new.select(*METRICS_KEY), METRICS_KEY, "left_anti").select(*METRICS_TABLE_COLUMNS)
-        merged = kept.unionByName(new)
-    else:
-        merged = new
-    # Cut lineage before overwriting partitions that the plan itself reads.
-    merged = merged.checkpoint(eager=True)
-    (merged.repartitionByRange("bucket_date", "bucket_start")
-     .sortWithinPartitions("bucket_date", "bucket_start", "symbol")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket_date").parquet(path))
-
-
-def date_literal(d) -> _dt.date:
-    return d if isinstance(d, _dt.date) else _dt.date.fromisoformat(str(d))
+    additive) and ``created_at`` is refreshed. Rows breaking a table rule are
+    appended to ``rejected_path``, or an error without one."""
+    good = pass_or_put_aside(metrics, metrics_constraint_violation(metrics), rejected_path)
+    new = metrics_table_rows(good, created_at).persist()
+    try:
+        hours = distinct_hours(new, "bucket_start")
+        if hours:
+            metrics_table(spark, path).replace(
+                lambda old: old.join(new.select(*METRICS_KEY), METRICS_KEY, "left_anti").select(*METRICS_TABLE_COLUMNS).unionByName(new), hours)
+    finally:
+        new.unpersist()

@@ -53,11 +53,11 @@ def derive(messages: DataFrame, processing_time_col: str | None = "processing_ti
     return Derived(processed=processed, valid=valid.drop(*extra), raw=raw, metrics=metrics)
 
 
-def from_sf(spark: SparkSession, sf_dir: str) -> Derived:
+def from_sf(spark: SparkSession, sf_dir: str, splits: int | None = None, table_times: bool = False) -> Derived:
     prepare(spark)
-    return derive(event_stream(spark, sf_dir))
+    return derive(event_stream(spark, sf_dir, splits, table_times))
 
 
-def bench_from_sf(spark: SparkSession, sf_dir: str) -> Derived:
+def bench_from_sf(spark: SparkSession, sf_dir: str, splits: int | None = None) -> Derived:
     prepare(spark)
-    return derive(bench_stream(spark, sf_dir))
+    return derive(bench_stream(spark, sf_dir, splits=splits))

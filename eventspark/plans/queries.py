@@ -2,22 +2,21 @@
 roll-ups (Q00-Q12).
 
 Each takes the table(s) as DataFrames and ``as_of`` - the "now" of the
-relative-time predicates: ``None`` means ``current_timestamp()``; a
-``datetime`` or a Column (for example a scalar subquery) may be given. Each
+relative-time predicates: ``None`` means ``current_timestamp()``; epoch
+microseconds, a ``datetime`` or ISO text (UTC without a zone) or a Column (for
+example a scalar subquery) may be given. Each
 relative-time predicate also constrains the day partition column when the
 table has one, so that the scan prunes partitions.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import safe_div
-from ..functions.timefn import interval_micros, seconds_between, time_bucket
-from ..operators.percentiles import with_percentiles
+from ..functions.numeric import average_price, safe_div
+from ..functions.timefn import instant, interval_micros, seconds_between, time_bucket
+from ..operators.percentiles import spread_percentiles, with_percentiles
 
 LAT = "ingestion_latency_ms"
 
@@ -27,9 +26,7 @@ def as_of_column(as_of) -> Column:
         return F.current_timestamp()
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, _dt.datetime):
-        return F.lit(as_of).cast("timestamp")
-    return F.to_timestamp(F.lit(str(as_of)))
+    return instant(as_of)
 
 
 def since(df: DataFrame, time_col: str, as_of, interval: str, date_col: str | None = None) -> DataFrame:
@@ -44,8 +41,7 @@ def since(df: DataFrame, time_col: str, as_of, interval: str, date_col: str | No
 
 
 def _avg_price() -> Column:
-    # Averages of prices are reported at scale 6, HALF_UP (as in the metrics table).
-    return F.round(F.avg("price"), 6).cast("decimal(38,6)")
+    return average_price("price", 18)
 
 
 # ------------------------------------------------------------------ Q00
@@ -92,8 +88,8 @@ def q02_last_1_hour(raw: DataFrame, as_of=None) -> DataFrame:
             .orderBy(F.col("bucket").desc(), "symbol"))
 
 
-# Interpolated percentiles go through ``with_percentiles`` (histogram per
-# group, exact): a scenario or producer can hold a large share of all rows.
+# Exact interpolated percentiles from histograms: ``with_percentiles`` for time
+# buckets, ``spread_percentiles`` where a group can hold a large share of all rows.
 P50_P95 = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95}
 
 
@@ -110,8 +106,8 @@ def q03_last_24_hours(raw: DataFrame, as_of=None) -> DataFrame:
 
 
 def q04_latency_by_scenario(raw: DataFrame) -> DataFrame:
-    return (with_percentiles(raw, ["scenario"], LAT, P50_P95,
-                             F.count(F.lit(1)).alias("total_events"),
+    return (spread_percentiles(raw, ["scenario"], LAT, P50_P95,
+                               F.count(F.lit(1)).alias("total_events"),
                              F.avg(LAT).alias("avg_latency_ms"),
                              F.max(LAT).alias("max_latency_ms"),
                              F.avg("event_lag_ms").alias("avg_event_lag_ms"))
@@ -133,28 +129,16 @@ RECENT_EVENT_COLUMNS = ["event_id", "producer_id", "symbol", "price", "quantity"
                         "scenario", "source"]
 
 
-def q06_recent_events(raw: DataFrame, limit: int = 20, prefilter: bool = False) -> DataFrame:
-    """Most recently inserted events (ties on ``created_at`` broken by event_id).
-
-    ``prefilter=True`` (for a stored table) first takes the ``limit`` largest
-    ``created_at`` values alone - one column - and then reads full rows only
-    where ``created_at >= cutoff``, a literal predicate that Parquet row-group
-    statistics can skip on. Exact: every row of the top ``limit`` is at or above
-    the ``limit``-th largest stamp.
-    """
-    if prefilter:
-        cut = (raw.select("created_at").orderBy(F.col("created_at").desc()).limit(limit)
-               .agg(F.min("created_at")).first()[0])
-        if cut is not None:
-            raw = raw.filter(F.col("created_at") >= F.lit(cut))
+def q06_recent_events(raw: DataFrame, limit: int = 20) -> DataFrame:
+    """Most recently inserted events (ties on ``created_at`` broken by event_id)."""
     return (raw.orderBy(F.col("created_at").desc(), F.col("event_id").desc())
             .select(*RECENT_EVENT_COLUMNS)
             .limit(limit))
 
 
 def q09_events_by_producer(raw: DataFrame) -> DataFrame:
-    return (with_percentiles(raw, ["producer_id", "scenario"], LAT, {"p95_latency_ms": 0.95},
-                             F.count(F.lit(1)).alias("total_events"),
+    return (spread_percentiles(raw, ["producer_id", "scenario"], LAT, {"p95_latency_ms": 0.95},
+                               F.count(F.lit(1)).alias("total_events"),
                              F.avg(LAT).alias("avg_latency_ms"),
                              F.min("event_time").alias("first_event_time"),
                              F.max("event_time").alias("last_event_time"))

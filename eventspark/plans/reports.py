@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import bankers, decimal_half_up, exact_avg_half_up, ratio_half_up
 from ..functions.timefn import time_bucket
-from ..operators.percentiles import with_percentiles
+from ..operators.percentiles import spread_percentiles, with_percentiles
 from ..sources.connect import read_run_csv
 
 
@@ -21,7 +21,7 @@ def r1_latency_by_scenario(raw: DataFrame) -> DataFrame:
     averages and stddev rounded to 2 decimals (HALF_UP)."""
     n = F.count(F.lit(1))
     lat = "ingestion_latency_ms"
-    return (with_percentiles(raw, ["scenario"], lat, {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
+    return (spread_percentiles(raw, ["scenario"], lat, {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95},
                              n.alias("total_events"),
                              exact_avg_half_up(F.sum(lat), n, 2).alias("avg_latency_ms"),
                              decimal_half_up(F.stddev_samp(lat), 2).alias("stddev_latency_ms"),

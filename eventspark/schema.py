@@ -13,13 +13,6 @@ WIRE_FIELDS = ["event_id", "producer_id", "symbol", "price", "quantity", "event_
                "producer_time", "source", "scenario", "sequence"]
 TEXT_FIELDS = ["event_id", "producer_id", "symbol", "event_time", "producer_time", "source", "scenario"]
 
-# Decoding reads every wire field as VARIANT so that the JSON type of each
-# value stays visible (a number, a string, an object ...).
-WIRE_DECODE_SCHEMA = T.StructType(
-    [T.StructField(f, T.VariantType(), True) for f in WIRE_FIELDS]
-    + [T.StructField("_corrupt_record", T.StringType(), True)]
-)
-
 PROCESSED_FIELDS = [
     ("event_id", T.StringType()),
     ("producer_id", T.StringType()),
@@ -35,7 +28,6 @@ PROCESSED_FIELDS = [
     ("ingestion_latency_ms", T.LongType()),
     ("event_lag_ms", T.LongType()),
 ]
-PROCESSED_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t in PROCESSED_FIELDS])
 
 # Raw event table: processed columns with the canonical UUID, the insert time
 # and the date partition column.
@@ -86,7 +78,6 @@ ROLLUP_1MIN_FIELDS = [
     ("stddev_latency_ms", T.DoubleType()),
 ]
 ROLLUP_15MIN_FIELDS = [f for f in ROLLUP_1MIN_FIELDS if f[0] != "stddev_latency_ms"]
-ROLLUP_KEY = ["bucket", "symbol", "scenario"]
 
 
 def rollup_schema(fields) -> T.StructType:

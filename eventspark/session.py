@@ -23,9 +23,6 @@ DEFAULT_CONF = {
     "spark.sql.parquet.filterPushdown": "true",
     # reliable checkpoints of finished micro-batches are removed once unused
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # streaming window state (percentile value maps) on disk, not on the heap
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -86,12 +83,3 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the checkpoint folder for tables of one job."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/eventspark-work/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so that local tooling can read a path."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)

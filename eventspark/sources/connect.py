@@ -9,6 +9,7 @@ use the text-file twins, which produce the same ``value`` column.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def kafka_source(spark: SparkSession, bootstrap: str, topic: str, min_partitions
 
 
 def text_source(spark: SparkSession, path: str, stream: bool = True, max_files: int | None = None) -> DataFrame:
-    """Local twin of the Kafka source: one message per line of text files.
-    Arrival order = (file, position of the line); files are taken in name order."""
+    """Local twin of the Kafka source: one message per line of text files, with
+    the file's name and the start of the block that was read (see
+    ``with_line_order``)."""
     if stream:
         r = spark.readStream.format("text")
         if max_files:
@@ -64,7 +66,16 @@ def text_source(spark: SparkSession, path: str, stream: bool = True, max_files:
         df = r.load(path)
     else:
         df = spark.read.format("text").load(path)
-    return df.select("value", F.col("_metadata.file_name").alias("source_file"))
+    return df.select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"))
+
+
+def with_line_order(batch: DataFrame) -> DataFrame:
+    """``arrival`` of messages from ``text_source``: file, block, and the row's
+    number in its task, which reads a block from its first line to its last.
+    Other batches stay as they are."""
+    if "source_block" not in batch.columns or "arrival" in batch.columns:
+        return batch
+    return batch.withColumn("arrival", F.struct("source_file", "source_block", F.monotonically_increasing_id().alias("line"))).drop("source_file", "source_block")
 
 
 # -------------------------------------------------------------------- sinks
@@ -74,13 +85,14 @@ def kafka_sink_options(bootstrap: str, topic: str) -> dict[str, str]:
     return {"kafka.bootstrap.servers": bootstrap, "topic": topic}
 
 
-def write_kafka(df: DataFrame, bootstrap: str, topic: str) -> None:
-    df.select("value").write.format("kafka").options(**kafka_sink_options(bootstrap, topic)).save()
+def kafka_sink(bootstrap: str, topic: str) -> Callable[[DataFrame], None]:
+    """Writes messages (``value``) to a topic."""
+    return lambda df: df.select("value").write.format("kafka").options(**kafka_sink_options(bootstrap, topic)).save()
 
 
-def write_text(df: DataFrame, path: str) -> None:
-    """File twin of the Kafka sinks: JSON messages appended as text lines."""
-    df.select("value").write.mode("append").text(path)
+def text_sink(path: str) -> Callable[[DataFrame], None]:
+    """File twin of the Kafka sink: messages appended as text lines."""
+    return lambda df: df.select("value").write.mode("append").text(path)
 
 
 def jdbc_options(url: str, table: str, user: str, password: str, batch_size: int = 500) -> dict[str, str]:
@@ -89,6 +101,11 @@ def jdbc_options(url: str, table: str, user: str, password: str, batch_size: int
             "batchsize": str(batch_size), "driver": "org.postgresql.Driver"}
 
 
+def jdbc_sink(url: str, table: str, user: str, password: str, batch_size: int = 500) -> Callable[[DataFrame], None]:
+    """Appends rows to a database table (needs the database's driver)."""
+    return lambda df: df.write.format("jdbc").options(**jdbc_options(url, table, user, password, batch_size)).mode("append").save()
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV report with a header. ``single_file`` only for bounded reports."""
     out = df.coalesce(1) if single_file else df

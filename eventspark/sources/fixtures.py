@@ -42,33 +42,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a source with fewer input splits than task slots one split per
-    slot (round robin), so that per-message decoding uses every core. A large
-    source already has many splits and is left as it is (no shuffle)."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - a session without RDD access: leave as is
-        return df
-    return df.repartition(slots) if splits < slots else df
+def spread(df: DataFrame, splits: int | None) -> DataFrame:
+    """``splits`` input splits for a source that comes in fewer files than there
+    are cores (a benchmark on one machine); None leaves the source as it is."""
+    return df.repartition(splits) if splits else df
 
 
 def _epoch_micros() -> F.Column:
     return F.unix_micros(F.to_timestamp(F.lit(EPOCH)))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw messages ``(value STRING, processing_time TIMESTAMP, arrival BIGINT)``."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    ev = spread(ev)
+def event_stream(spark: SparkSession, sf_dir: str, splits: int | None = None, table_times: bool = False) -> DataFrame:
+    """Raw messages ``(value STRING, processing_time TIMESTAMP, arrival BIGINT)``.
+    With ``table_times`` the stream runs over the table's own ``ts`` (30 days,
+    whole milliseconds) instead of the replay clock."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", "ts")
+    ev = spread(ev, splits)
     first = ev.withColumn("copy", F.lit(0))
     again = ev.filter(F.get_json_object("props", "$.k").cast("int") == RESEND_K).withColumn("copy", F.lit(1))
     src = first.unionByName(again)
 
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
-    base = _epoch_micros() + eid * (STEP_MS * 1000)
+    own = F.unix_micros(F.col("ts").cast("timestamp"))
+    base = own - F.pmod(own, F.lit(1000)) if table_times else _epoch_micros() + eid * (STEP_MS * 1000)
     pt = F.timestamp_micros(base + F.col("copy") * (COPY_DELAY_MS * 1000))
     prod = F.timestamp_micros(base - ((eid * 7919) % 997) * 1000)
     evt = F.timestamp_micros(base - ((eid * 7919) % 997) * 1000 - (eid % 13) * 1000)
@@ -94,13 +91,52 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(text.alias("value"), "processing_time", "arrival"))
 
 
-def bench_stream(spark: SparkSession, sf_dir: str, per_second: int = 1000) -> DataFrame:
+#: What ``rule_stream`` does to an event: by ``event_id % RULE_CASES``, the field and its JSON text (None: left out).
+RULE_CASES = 24
+BROKEN = {
+    0: ("event_id", '" "'), 1: ("event_id", '"not-a-uuid"'), 2: ("symbol", '"a b"'), 3: ("price", "0"), 4: ("price", '"abc"'), 5: ("quantity", "-1"),
+    6: ("quantity", '"x1"'), 7: ("event_time", None), 8: ("producer_time", '""'), 9: ("event_time", '"2024-01-01"'), 10: ("producer_time", '"yesterday"'),
+    11: ("source", '" "'), 12: ("scenario", None), 13: ("sequence", "-5"), 14: ("sequence", None), 15: ("price", "12,"), 16: ("producer_id", None),
+    17: ("symbol", None), 18: ("quantity", "2.9"), 19: ("price", "0.123456789012345678"), 20: ("price", "123456789.123456789012"),
+}
+
+
+def rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per event; most break one rule each (``BROKEN``), so that
+    every rule, default and conversion occurs. Columns as ``event_stream``."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    eid, case = F.col("event_id"), F.col("event_id") % RULE_CASES
+    base = _epoch_micros() + eid * (STEP_MS * 1000)
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = {
+        "event_id": quoted(F.concat(F.lit(UUID_PREFIX), F.lpad(eid.cast("string"), 12, "0"))),
+        "producer_id": quoted(F.concat(F.lit("producer-"), (F.col("user_id") % 5).cast("string"))),
+        "symbol": quoted(F.lower("event_type")),
+        "price": F.concat((eid % 900 + 1).cast("string"), F.lit(".25")),
+        "quantity": (eid % 7 + 1).cast("string"),
+        "event_time": quoted(F.date_format(F.timestamp_micros(base - 5000), _T_FMT)),
+        "producer_time": quoted(F.date_format(F.timestamp_micros(base - 2000), _T_FMT)),
+        "source": F.lit('"rules"'),
+        "scenario": F.lit('"low"'),
+        "sequence": eid.cast("string"),
+    }
+    members = []
+    for name, text in fields.items():
+        for n, (field, broken) in BROKEN.items():
+            if field == name:
+                text = F.when(case == n, F.lit(broken)).otherwise(text)
+        members.append(F.concat(F.lit(f'"{name}":'), text))  # null: left out below
+    value = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    return ev.select(value.alias("value"), F.timestamp_micros(base).alias("processing_time"), eid.alias("arrival"))
+
+
+def bench_stream(spark: SparkSession, sf_dir: str, per_second: int = 1000, splits: int | None = None) -> DataFrame:
     """``lineitem`` as raw messages: symbol = returnflag||linestatus, price =
     extendedprice, quantity = quantity; the sequence number is
     ``l_orderkey * 8 + l_linenumber`` (unique and monotone in line order, since
     line numbers are 1..7), so no global sort or window is needed."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_suppkey"))
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", "l_suppkey"), splits)
     seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     step_us = 1_000_000 // per_second
     base = _epoch_micros() + seq * step_us

@@ -1,20 +1,31 @@
-"""The streaming job as two Structured Streaming queries.
-
-A (stateless): raw messages -> decode/validate/enrich -> per micro-batch:
-   processed JSON sink, invalid JSON sink, raw-table insert (first copy wins).
-B (stateful): processed messages (A's output, duplicates included, carrying
-   A's processing stamp) -> tumbling processing-time window metrics per
-   (symbol, scenario) in update mode -> upsert into the metrics table.
-
-Each query has its own checkpoint; the table writes are idempotent (insert
-ignores known keys, upsert replaces by key), so a replayed micro-batch
-leaves the tables as they were. Between A and B the guarantee is
-at-least-once: a redone batch of A can emit its processed messages twice.
+"""The streaming job as Structured Streaming queries.
+
+A: raw messages -> decode/validate/enrich -> per micro-batch: processed JSON
+   sink, invalid JSON sink, raw-table insert (first copy wins).
+B: processed messages (A's output, duplicates included, carrying A's
+   processing stamp) -> partial metrics per window, kept in the query's
+   checkpoint folder -> the touched windows' metrics, upserted.
+R: the raw table's new files -> roll-up refresh.
+
+Sinks are functions of a DataFrame of messages (``connect.text_sink``,
+``connect.kafka_sink``). Each query has its own checkpoint, and every write can
+be repeated: the insert ignores known keys, the upsert replaces by key, and a
+micro-batch's partials replace those of the same micro-batch. Between A and B
+the guarantee is at-least-once: a redone batch of A can emit its processed
+messages twice.
+
+B keeps no watermark. A window's partials add up in any order, so an event that
+arrives after its window, whatever its delay, still changes the stored metrics.
+The partials are kept for as long as the query's checkpoint.
+
+The trigger is the checkpoint interval; a micro-batch starts only after the
+one before it has ended, so a least pause between checkpoints has no
+counterpart, and a stuck one is ended by the cluster's task and job limits.
 """
 
 from __future__ import annotations
 
-import datetime as _dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,51 +33,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.timefn import interval_micros
 from ..operators.ingest import invalid_events, invalid_json, process_events, processed_json, valid_events
-from ..functions.timefn import time_bucket
-from ..operators.metrics import DEFAULT_WINDOW_SECONDS, streaming_window_metrics
-from ..operators.rollups import refresh
-from ..operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_metrics
-from ..schema import PRICE
+from ..operators.metrics import (DEFAULT_WINDOW_SECONDS, PARTIALS_SCHEMA, merge_partials, metrics_of_partials,
+                                 window_partials)
+from ..operators.rollups import raw_days, refresh_by_policy, refresh_spans, rollup_table
+from ..operators.store import HOUR_MICROS, hour_of
+from ..operators.tables import distinct_days, insert_ignore_duplicates, raw_table_rows, upsert_metrics
+from ..schema import PRICE, RAW_TABLE_SCHEMA
+from ..sources.connect import (DEFAULT_ERRORS_TOPIC, DEFAULT_PROCESSED_TOPIC, kafka_sink, kafka_source, raw_topic,
+                               text_sink, text_source, with_line_order)
+
+Sink = Callable[[DataFrame], None]
+DEFAULT_TRIGGER = {"processingTime": "30 seconds"}
 
 
 @dataclass
 class Paths:
-    processed: str          # processed-message sink (text twin of the topic)
-    invalid: str            # invalid-message sink (text twin of the topic)
     raw_table: str
     metrics_table: str
     checkpoint_a: str
     checkpoint_b: str
+    rejected: str           # rows that break a table rule, with the reason
 
 
-def _ingest_batch(spark: SparkSession, paths: Paths, value_col: str, processing_time_col: str | None,
-                  order: list[str]):
+def _ingest_batch(spark: SparkSession, paths: Paths, processed_sink: Sink, invalid_sink: Sink, value_col: str,
+                  processing_time_col: str | None, order: list[str]):
     def run(batch: DataFrame, epoch_id: int) -> None:
-        processed = process_events(batch, value_col, processing_time_col).persist()
+        processed = process_events(with_line_order(batch), value_col, processing_time_col).persist()
         try:
             extra = [c for c in order if c in processed.columns and c != "processing_time"]
             valid = valid_events(processed, extra)
-            processed_json(valid).write.mode("append").text(paths.processed)
-            invalid_json(invalid_events(processed, value_col)).write.mode("append").text(paths.invalid)
+            processed_sink(processed_json(valid))
+            invalid_sink(invalid_json(invalid_events(processed, value_col)))
             rows = raw_table_rows(valid)
             inserted_order = [c for c in order if c in rows.columns]
-            insert_ignore_duplicates(spark, rows, paths.raw_table, inserted_order or None)
+            insert_ignore_duplicates(spark, rows, paths.raw_table, inserted_order or None, f"{paths.rejected}/raw")
         finally:
             processed.unpersist()
     return run
 
 
-def start_ingest(spark: SparkSession, source: DataFrame, paths: Paths, value_col: str = "value",
-                 processing_time_col: str | None = None, order: list[str] | None = None,
+def start_ingest(spark: SparkSession, source: DataFrame, paths: Paths, processed_sink: Sink, invalid_sink: Sink,
+                 value_col: str = "value", processing_time_col: str | None = None, order: list[str] | None = None,
                  trigger: dict | None = None) -> StreamingQuery:
     """Query A. ``trigger`` e.g. ``{"processingTime": "30 seconds"}`` or
     ``{"availableNow": True}``."""
     order = order or ["processing_time", "arrival"]
-    w = (source.writeStream.foreachBatch(_ingest_batch(spark, paths, value_col, processing_time_col, order))
-         .option("checkpointLocation", paths.checkpoint_a))
-    w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return w.start()
+    run = _ingest_batch(spark, paths, processed_sink, invalid_sink, value_col, processing_time_col, order)
+    return (source.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint_a)
+            .trigger(**(trigger or DEFAULT_TRIGGER)).start())
 
 
 PROCESSED_MESSAGE_SCHEMA = T.StructType([
@@ -90,60 +106,84 @@ def parse_processed(messages: DataFrame, value_col: str = "value") -> DataFrame:
         "m.source", "m.scenario", "m.sequence", "m.ingestion_latency_ms", "m.event_lag_ms")
 
 
+def add_partials(spark: SparkSession, batch: DataFrame, path: str, epoch_id: int, window_seconds: int) -> DataFrame:
+    """Keep a micro-batch's partials below ``path`` and return the metrics of
+    the windows it touched, from all partials of these windows."""
+    (window_partials(batch, window_seconds).withColumns({"bucket_hour": hour_of("bucket_start"), "epoch": F.lit(epoch_id)})
+     .sortWithinPartitions("bucket_hour", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket_hour", "epoch").parquet(path))
+    windows = batch.select(F.window("processing_time", f"{window_seconds} seconds").alias("w")).select(F.col("w.start").alias("bucket_start")).distinct()
+    hours = [r[0] for r in windows.select(hour_of("bucket_start")).distinct().collect()]
+    if not hours:
+        return spark.createDataFrame([], PARTIALS_SCHEMA).transform(metrics_of_partials, window_seconds)
+    stored = spark.read.schema(PARTIALS_SCHEMA).option("basePath", path).parquet(*[f"{path}/bucket_hour={h}" for h in hours])
+    stored = stored.select(*PARTIALS_SCHEMA.names).join(windows, "bucket_start", "left_semi")
+    return metrics_of_partials(merge_partials(stored), window_seconds)
+
+
 def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Paths,
                   window_seconds: int = DEFAULT_WINDOW_SECONDS, trigger: dict | None = None,
                   created_at_col: str | None = None) -> StreamingQuery:
-    """Query B: windowed metrics in update mode, upserted per micro-batch (an
-    open window is replaced until it is final, so the table ends equal to a
-    once-per-window emission). ``created_at`` is the write time unless a
-    column is named (replays)."""
-    metrics = streaming_window_metrics(parse_processed(processed_messages), window_seconds)
-
+    """Query B: windowed metrics, upserted per micro-batch (an open window is
+    replaced until its last event, so the table ends equal to a once-per-window
+    emission). ``created_at`` is the write time unless a column is named
+    (replays)."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        ca = F.col(created_at_col) if created_at_col else None
-        upsert_metrics(spark, batch, paths.metrics_table, ca)
-
-    w = (metrics.writeStream.outputMode("update").foreachBatch(run)
-         .option("checkpointLocation", paths.checkpoint_b))
-    w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return w.start()
-
-
-def text_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.format("text").load(path)
-
-
-def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "15 minutes") -> list[tuple]:
-    """The distinct ``width`` buckets holding rows of ``batch``, merged into
-    contiguous ``[start, end)`` spans. Bounded by the number of distinct
-    buckets a micro-batch touches (a handful; late data adds a few more), never
-    by its row count."""
-    w = _dt.timedelta(minutes=15) if width == "15 minutes" else _dt.timedelta(minutes=1)
-    starts = sorted(r[0] for r in batch.select(time_bucket(F.col(time_col), width).alias("b")).distinct().collect())
-    spans: list[list] = []
-    for b in starts:
-        b = b.replace(tzinfo=None)
-        if spans and spans[-1][1] == b:
-            spans[-1][1] = b + w
-        else:
-            spans.append([b, b + w])
-    return [tuple(x) for x in spans]
-
-
-def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str, quarter_table: str,
-                         checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Periodic roll-up refresh: a stream over the raw table's new files; each
-    micro-batch recomputes the 15-minute spans it touched, 1 minute first and
-    then 15 minutes (the second reads what the first wrote). Spans are
-    15-minute aligned, so both roll-ups see whole buckets."""
-    schema = spark.read.parquet(raw_table).schema
+        events = parse_processed(batch).persist()
+        try:
+            metrics = add_partials(spark, events, f"{paths.checkpoint_b}/partials", epoch_id, window_seconds)
+            upsert_metrics(spark, metrics, paths.metrics_table, F.col(created_at_col) if created_at_col else None, f"{paths.rejected}/metrics")
+        finally:
+            events.unpersist()
+
+    return (processed_messages.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint_b)
+            .trigger(**(trigger or DEFAULT_TRIGGER)).start())
+
+
+def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "15 minutes") -> list[tuple[int, int]]:
+    """The distinct ``width`` buckets (epoch microseconds) that hold rows of
+    ``batch``: a handful for a micro-batch; late data adds a few more."""
+    w = interval_micros(width)
+    at = F.unix_micros(time_col)
+    starts = sorted(r[0] for r in batch.select((at - F.pmod(at, F.lit(w))).alias("b")).distinct().collect())
+    return [(b, b + w) for b in starts]
+
 
+def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str, quarter_table: str, checkpoint: str,
+                         trigger: dict | None = None, policy_clock: Callable[[], int] | None = None) -> StreamingQuery:
+    """Query R: a stream over the raw table's new files. Each micro-batch
+    recomputes the 15-minute spans it touched, all in one pass, 1 minute first
+    and then 15 minutes (the second reads what the first wrote). With
+    ``policy_clock`` (epoch microseconds) it applies the two refresh policies at
+    that time instead, which leave the open bucket and older data alone."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        for start, end in touched_spans(batch):
-            refresh(spark, spark.read.parquet(raw_table), minute_table, "events_1min", start, end)
-            refresh(spark, spark.read.parquet(minute_table), quarter_table, "events_15min", start, end)
-
-    src = spark.readStream.schema(schema).parquet(raw_table)
-    w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(**(trigger or {"processingTime": "30 seconds"}))
-    return w.start()
+        if policy_clock is not None:
+            refresh_by_policy(spark, raw_table, minute_table, quarter_table, policy_clock())
+            return
+        spans = touched_spans(batch)
+        refresh_spans(spark, raw_days(spark, raw_table, distinct_days(batch, "event_date")), minute_table, "events_1min", spans)
+        hours = {lo // HOUR_MICROS for lo, _ in spans}
+        refresh_spans(spark, rollup_table(spark, minute_table, "events_1min").read(hours=hours), quarter_table, "events_15min", spans)
+
+    return (spark.readStream.schema(RAW_TABLE_SCHEMA).parquet(raw_table).writeStream.foreachBatch(run)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or DEFAULT_TRIGGER)).start())
+
+
+# ---------------------------------------------------------------- the job
+
+def start_text_job(spark: SparkSession, messages: str, processed: str, invalid: str, paths: Paths,
+                   trigger: dict | None = None, max_files: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+    """Queries A and B on folders of text files, one message a line."""
+    for folder in (processed, invalid):
+        text_sink(folder)(spark.createDataFrame([], "value string"))
+    a = start_ingest(spark, text_source(spark, messages, max_files=max_files), paths, text_sink(processed), text_sink(invalid), trigger=trigger)
+    return a, start_metrics(spark, text_source(spark, processed), paths, trigger=trigger)
+
+
+def start_kafka_job(spark: SparkSession, bootstrap: str, paths: Paths, trigger: dict | None = None, topic: str | None = None,
+                    processed_topic: str = DEFAULT_PROCESSED_TOPIC, invalid_topic: str = DEFAULT_ERRORS_TOPIC,
+                    min_partitions: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+    """Queries A and B on topics (needs Spark's Kafka connector)."""
+    source = kafka_source(spark, bootstrap, topic or raw_topic(), min_partitions)
+    a = start_ingest(spark, source, paths, kafka_sink(bootstrap, processed_topic), kafka_sink(bootstrap, invalid_topic), trigger=trigger)
+    return a, start_metrics(spark, kafka_source(spark, bootstrap, processed_topic, min_partitions), paths, trigger=trigger)

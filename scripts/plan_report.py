@@ -8,7 +8,6 @@ PushedFilters and ReadSchema. Output is Markdown (PLANS.md is made from it).
 
 from __future__ import annotations
 
-import datetime as _dt
 import os
 import re
 import sys
@@ -19,8 +18,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from eventspark.operators.metrics import window_metrics  # noqa: E402
-from eventspark.operators.rollups import refresh  # noqa: E402
-from eventspark.operators.tables import metrics_table_rows, write_raw  # noqa: E402
+from eventspark.operators.rollups import read_rollup, refresh, rollup_1min  # noqa: E402
+from eventspark.operators.tables import metrics_table, upsert_metrics, write_raw  # noqa: E402
 from eventspark.plans import feeds, queries as Q, reports as R  # noqa: E402
 from eventspark.plans.derive import from_sf  # noqa: E402
 from eventspark.session import build_session  # noqa: E402
@@ -57,17 +56,16 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     d = from_sf(spark, sf)
     write_raw(d.raw, f"{scratch}/financial_events", "overwrite")
-    metrics_table_rows(window_metrics(d.valid), F.col("bucket_end")).write.mode("overwrite") \
-        .partitionBy("bucket_date").parquet(f"{scratch}/financial_event_metrics")
+    upsert_metrics(spark, window_metrics(d.valid), f"{scratch}/financial_event_metrics", F.col("bucket_end"))
     raw = spark.read.parquet(f"{scratch}/financial_events")
-    t = raw.agg(F.max("event_time")).first()[0]
-    as_of = _dt.datetime(t.year, t.month, t.day, t.hour) + _dt.timedelta(hours=1)
-    refresh(spark, raw, f"{scratch}/events_1min", "events_1min", as_of - _dt.timedelta(hours=25), as_of)
-    refresh(spark, spark.read.parquet(f"{scratch}/events_1min"), f"{scratch}/events_15min", "events_15min",
-            as_of - _dt.timedelta(hours=26), as_of)
-    metrics = spark.read.parquet(f"{scratch}/financial_event_metrics")
-    minute = spark.read.parquet(f"{scratch}/events_1min")
-    quarter = spark.read.parquet(f"{scratch}/events_15min")
+    t = raw.agg(F.max(F.unix_micros("event_time"))).first()[0]
+    hour = 3_600_000_000
+    as_of = (t // hour + 1) * hour
+    refresh(spark, raw, f"{scratch}/events_1min", "events_1min", as_of - 25 * hour, as_of)
+    refresh(spark, read_rollup(spark, f"{scratch}/events_1min"), f"{scratch}/events_15min", "events_15min", as_of - 26 * hour, as_of)
+    metrics = metrics_table(spark, f"{scratch}/financial_event_metrics").read()
+    minute = read_rollup(spark, f"{scratch}/events_1min")
+    quarter = read_rollup(spark, f"{scratch}/events_15min", "events_15min")
     plans = {
         "A1 ingest -> 10-s metrics (JSON text in)": d.metrics,
         "K3 ingest -> raw table, first copy wins": d.raw,
@@ -75,11 +73,11 @@ def main() -> None:
         "Q03 last 24 hours (raw)": Q.q03_last_24_hours(raw, t),
         "Q04 latency by scenario (raw)": Q.q04_latency_by_scenario(raw),
         "Q05 throughput per second, top 120": Q.q05_throughput_per_second(raw),
-        "Q06 recent events, two-step": Q.q06_recent_events(raw, prefilter=True),
+        "Q06 recent events": Q.q06_recent_events(raw),
         "Q08 aggregated throughput, top 120": Q.q08_aggregated_throughput(metrics),
         "Q10 1-min roll-up, last 5 minutes": Q.q10_rollup_last_5_minutes(minute, t),
         "Q12 15-min roll-up, last 24 hours": Q.q12_rollup_last_24_hours(quarter, t),
-        "M1 1-min roll-up over raw": __import__("eventspark.operators.rollups", fromlist=["x"]).rollup_1min(raw),
+        "M1 1-min roll-up over raw": rollup_1min(raw),
         "R1 latency report": R.r1_latency_by_scenario(raw),
         "D1 avg price per symbol": feeds.d1_avg_price_per_symbol(metrics),
     }

@@ -65,39 +65,51 @@ def test_window_metrics_small(spark):
     assert m[t0 + dt.timedelta(seconds=10)]["event_count"] == 1
 
 
-def test_metrics_plan_is_partial_then_one_exchange(spark):
-    from tests.conftest import SF001
+def test_metrics_plan_hashes_and_combines_map_side(spark):
+    """Hash aggregates with a map-side phase; no aggregate that can fall back to sorting."""
     from eventspark.plans.derive import from_sf
-    d = from_sf(spark, SF001)
-    plan = d.metrics._jdf.queryExecution().executedPlan().toString()
-    assert "partial_percentile" in plan or "partial_" in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    from tests.conftest import SF001
+    plan = from_sf(spark, SF001).metrics._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_average_price_is_exact_at_any_size(spark):
+    import random
+    from decimal import ROUND_HALF_UP, localcontext
+    from eventspark.functions.numeric import average_price
+    rng = random.Random(1)
+    rows = [(g, Decimal(rng.randrange(10 ** rng.randrange(1, 38))).scaleb(-18)) for g in range(30) for _ in range(rng.randrange(1, 25))]
+    rows += [(99, Decimal("99999999999999999999.999999999999999999"))] * 40 + [(98, Decimal("1E17"))]
+    got = spark.createDataFrame(rows, "g int, price decimal(38,18)").groupBy("g").agg(
+        average_price("price", 6).alias("six"), average_price("price", 18).alias("eighteen")).collect()
+    with localcontext() as c:
+        c.prec = 80
+        for r in got:
+            prices = [p for g, p in rows if g == r["g"]]
+            for name, scale in (("six", 6), ("eighteen", 18)):
+                assert r[name] == (sum(prices) / len(prices)).quantize(Decimal(1).scaleb(-scale), ROUND_HALF_UP)
 
 
 def test_histogram_percentiles_equal_builtin(spark):
-    """with_percentiles / exact_percentiles give percentile_cont bit for bit,
-    also for a group holding most rows and with NULL values."""
+    """with_percentiles / spread_percentiles give percentile_cont bit for bit,
+    also for a group holding most rows, with NULL values and NULL keys."""
     import random
-    from eventspark.operators.percentiles import exact_percentiles, with_percentiles
+    from eventspark.operators.percentiles import spread_percentiles, with_percentiles
     rnd = random.Random(7)
     rows = []
     for g in range(30):
         for _ in range(6000 if g == 0 else rnd.randint(1, 200)):
-            rows.append((g % 4, g, rnd.choice([rnd.randint(0, 40), rnd.randint(0, 4000), None]), rnd.randint(0, 9)))
+            rows.append((g % 4 or None, g, rnd.choice([rnd.randint(0, 40), rnd.randint(0, 4000), None]), rnd.randint(0, 9)))
     df = spark.createDataFrame(rows, "a int, g int, x long, y long")
     wanted = {"p0": 0.0, "p33": 0.33, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     ref = {(r["a"], r["g"]): r for r in df.groupBy("a", "g").agg(
         F.count(F.lit(1)).alias("n"), F.max("y").alias("my"),
         *[interpolated("x", p).alias(k) for k, p in wanted.items()]).collect()}
-    only = exact_percentiles(df, ["a", "g"], "x", wanted).collect()
-    # a group with no non-NULL value has no histogram rows: absent there, NULL percentiles here
-    missing = set(ref) - {(r["a"], r["g"]) for r in only}
-    assert all(ref[k]["p50"] is None for k in missing)
-    for got in (only, with_percentiles(df, ["a", "g"], "x", wanted, F.count(F.lit(1)).alias("n"),
-                                       F.max("y").alias("my")).collect()):
-        assert len(got) == len(ref) - (len(missing) if got is only else 0)
+    for build in (with_percentiles, spread_percentiles):
+        got = build(df, ["a", "g"], "x", wanted, F.count(F.lit(1)).alias("n"), F.max("y").alias("my")).collect()
+        assert len(got) == len(ref)
         for r in got:
             for k in wanted:
                 assert r[k] == ref[(r["a"], r["g"])][k], (r["a"], r["g"], k)
-            if "n" in r.asDict():
-                assert (r["n"], r["my"]) == (ref[(r["a"], r["g"])]["n"], ref[(r["a"], r["g"])]["my"])
+            assert (r["n"], r["my"]) == (ref[(r["a"], r["g"])]["n"], ref[(r["a"], r["g"])]["my"])
