@@ -35,7 +35,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +57,23 @@ _SLACK = 1e-9
 
 
 def _unit(batches):
+    """Vectors scaled to length 1; null where there is none. Rows of one length
+    are scaled together."""
     for batch in batches:
-        out = []
-        for x in batch.column("embedding").to_pylist():
-            v = None
-            if x and None not in x:
-                a = np.array(x, np.float64)
-                top = np.abs(a).max()
-                if np.isfinite(a).all() and top > 0:
-                    a = a / top
-                    v = (a / math.sqrt(float(a @ a))).tobytes()
-            out.append(v)
+        column = batch.column("embedding")
+        out = np.full(len(column), None, dtype=object)
+        values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null: nan
+        start = column.offsets.to_numpy()[:-1].astype(np.int64)
+        size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), 0)
+        for n in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == n)
+            x = values[start[rows][:, None] + np.arange(n)]
+            top = np.abs(x).max(axis=1)
+            good = np.isfinite(top) & (top > 0)  # the maximum of a row with a nan is nan
+            x = x[good] / top[good][:, None]
+            x = np.ascontiguousarray(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
+            for r, v in zip(rows[good], x):
+                out[r] = v.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "unit"])
 
 
