@@ -118,7 +118,7 @@ class Encoder:
             at[which[::-1]] = np.arange(len(which))[::-1]
             at = at[unknown]
             raw = data.tobytes()
-            self._learn(keys[unknown], [raw[start[i]: end[i]].decode() for i in at])
+            self._learn(keys[unknown], [raw[start[i]: end[i]].decode("utf-8", "replace") for i in at])
             row = np.searchsorted(self.keys, keys)
         first, count = self.first[row][which], self.count[row][which]
         total = np.cumsum(count)

@@ -130,5 +130,17 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts together, and where each starts (n+1);
+    bytes that are no UTF-8 become U+FFFD."""
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        return points, np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        return points, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

@@ -97,8 +97,7 @@ def fold_table() -> np.ndarray:
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
     """All texts folded, each between blanks, and where each starts."""
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-    code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    code, lead = K.code_points(data, offsets)
     kind = fold_table()[code]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(lead))
     seen = kind != _INVISIBLE

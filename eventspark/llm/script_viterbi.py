@@ -51,7 +51,10 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
         lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
         script = np.zeros(sys.maxunicode + 1, np.uint8)
         numbers: dict[str, int] = {}
-        for i in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x10000, 0x12000), *range(0x16800, 0x18B00), *range(0x1B000, 0x1B300), *range(0x1D400, 0x1F000)):
+        large = ((0x3400, 0x4DC0, "CJK"), (0x4E00, 0xA000, "CJK"), (0xAC00, 0xD7A4, "HANGUL"), (0x20000, 0x323B0, "CJK"))
+        for i in range(0x1F000):
+            if any(a <= i < b for a, b, _ in large):
+                continue
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
@@ -59,9 +62,8 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
                 name = unicodedata.name(c, "OTHER").split()[0].split("-")[0]
                 name = "CJK" if name in ("HIRAGANA", "KATAKANA", "HALFWIDTH", "KANGXI", "BOPOMOFO") else "LATIN" if name in ("FULLWIDTH", "MODIFIER", "FEMININE", "MASCULINE") else name
                 script[i] = numbers.setdefault(name, min(len(numbers) + 1, 250))
-        cjk, hangul, other = numbers.setdefault("CJK", len(numbers) + 1), numbers.setdefault("HANGUL", len(numbers) + 1), 251
-        for a, b, n in ((0x3400, 0x4DC0, cjk), (0x4E00, 0xA000, cjk), (0xAC00, 0xD7A4, hangul), (0x20000, 0x323B0, cjk), (0x12000, 0x16800, other)):
-            script[a:b] = np.where([chr(i).isalpha() for i in range(a, b)], n, 0)
+        for a, b, name in large:
+            script[a:b] = np.where([chr(i).isalpha() for i in range(a, b)], numbers.setdefault(name, min(len(numbers) + 1, 250)), 0)
         _tables.extend((lower, script))
     return _tables[0], _tables[1]
 
@@ -71,8 +73,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         lower, scripts = letter_tables()
-        lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-        raw = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        raw, lead = K.code_points(data, offsets)
         n = len(raw)
         self.n_texts = len(offsets) - 1
         code, script = lower[raw].astype(K.U64), scripts[raw]
@@ -259,7 +260,7 @@ def identify(spark: SparkSession, docs: DataFrame, with_spans: bool = False) ->
                     lang = [model.languages[k] if s > 0 else UNKNOWN for k, s in zip(top, share)]
                 cols = [batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(lang, pa.string()), pa.array(share)]
                 if with_spans:
-                    texts = [data[offsets[d]: offsets[d + 1]].tobytes().decode() for d in range(i, j)]
+                    texts = [data[offsets[d]: offsets[d + 1]].tobytes().decode("utf-8", "replace") for d in range(i, j)]
                     cols.append(pa.array([[dict(zip(("start", "end", "lang"), s)) for s in spans(model, t)] if model else [] for t in texts], span))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

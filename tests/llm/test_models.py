@@ -111,6 +111,16 @@ def test_viterbi_is_optimal():
                 assert abs(best.max() - value) < 1e-2
 
 
+def test_bytes_that_are_no_utf8():
+    raw = np.frombuffer(b"ab \xff\xfe cd\xc3" + b"ef", np.uint8)
+    offsets = np.array([0, 8, len(raw)])
+    points, start = K.code_points(raw, offsets)
+    assert start.tolist() == [0, 8, len(points)] and points[3] == 0xFFFD
+    assert lexicon_toxicity.fold(raw, offsets)[0].split() == ["ab", "cd", "ef"]
+    assert len(script_viterbi.Words(raw, offsets).start) == 3
+    assert len(arrow_output.Encoder(tokenizer_path()).encode(raw, offsets)[1]) == 2
+
+
 def folded(text):
     raw = text.encode()
     return lexicon_toxicity.fold(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].strip()
