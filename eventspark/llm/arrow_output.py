@@ -44,7 +44,7 @@ from eventspark.llm.common import Workspace, text_docs
 SEQUENCE = 2048
 #: Sequences in a batch, and tokens after which the next document opens a new shard.
 BATCH_SEQUENCES, SHARD_TOKENS = 256, 1 << 23
-KNOWN_PIECES = 1 << 21
+KNOWN_PIECES, ENCODE_AT_ONCE = 1 << 20, 1 << 13
 END_ID = 0
 
 # Classes of bytes: 0 unknown, 1 letter, 2 digit, 3 mark, 4 white space, 5 apostrophe.
@@ -89,10 +89,14 @@ class Encoder:
         self.ids = np.empty(0, self.dtype)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        ids, count = [self.ids], []
+        for i in range(0, len(pieces), ENCODE_AT_ONCE):  # the library's results are large
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i: i + ENCODE_AT_ONCE], add_special_tokens=False)]
+            count.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), self.dtype, int(count[-1].sum())))
+        count = np.concatenate(count)
         first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), self.dtype, int(count.sum()))])
+        self.ids = np.concatenate(ids)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -198,7 +202,7 @@ def _write(folder: str, tokenizer_path: str, sequence: int, end_id: int, shard_t
         so_far = 0
         for batch in batches:
             data, offsets = K.string_buffers(batch.column("text"))
-            for i, j in K.slices(offsets, 1 << 22):
+            for i, j in K.slices(offsets, 1 << 21):
                 ids, count = encode.encode(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                 upto = np.cumsum(count)
                 rows = [out.add(np.append(ids[upto[d] - count[d]: upto[d]], np.array(end_id, encode.dtype))) for d in range(j - i)]

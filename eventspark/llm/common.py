@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from eventspark.session import work_path
 
 #: Rows and bytes handed to a Python task at once; texts may be long.
-ARROW_ROWS, ARROW_BYTES = 1000, "16m"
+ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -173,7 +173,7 @@ def _scored(space, columns, keep: bool):
     def run(batches):
         model = space.value
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column("_text"))
+            data, offsets = K.string_buffers(K.text_in(batch.column("row")) if keep else batch.column("_text"))
             for i, j in K.slices(offsets, 1 << 20):
                 part = batch.slice(i, j - i)
                 if model is None:
@@ -203,5 +203,5 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     space = spark.sparkContext.broadcast(fit(docs, labels))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
-    rows = docs.select(row, docs["text"].cast("string").alias("_text"))
-    return rows.mapInArrow(_scored(space, ["row"], True), rows.select("row").schema).select("row.*")
+    rows = docs.select(row)
+    return rows.mapInArrow(_scored(space, ["row"], True), rows.schema).select("row.*")

@@ -136,7 +136,7 @@ def _scanner(patterns, columns):
     def run(batches):
         tables = patterns.value
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column("_text"))
+            data, offsets = K.string_buffers(K.text_in(batch.column("row")))
             for i, j in K.slices(offsets, 1 << 21):
                 part = batch.slice(i, j - i)
                 n_words, hit, first, items = _scan_texts(tables, data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
@@ -156,15 +156,14 @@ def _scanner(patterns, columns):
 
 
 def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(row, _text, _words, _hits, _items): each row of ``docs`` as a struct,
-    so that its own columns may have any names."""
+    """(row, _words, _hits, _items): each row of ``docs`` as a struct, so that
+    its own columns may have any names."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     ws = Workspace(spark, "wu-manber")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"),
-                      F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
         tables = spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], window))
