@@ -36,8 +36,14 @@ from eventspark.streaming.jobs import PROCESSED_MESSAGE_SCHEMA, add_partials
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
+def _there(module: str) -> bool:
+    """Whether a module or package (not just a folder of its name) can be imported."""
+    spec = importlib.util.find_spec(module)
+    return spec is not None and spec.origin is not None
+
+
 # The training-data operators and the corpus pipeline are optional parts.
-if importlib.util.find_spec("eventspark.llm") and importlib.util.find_spec("corpus_pipeline"):
+if _there("eventspark.llm") and _there("corpus_pipeline"):
     import corpus_pipeline
     from eventspark.llm import entry as _llm
     LLM_QUERIES = {**_llm.queries(), "pipeline": corpus_pipeline.run}
