@@ -37,12 +37,29 @@ def exact_avg_half_up(total: Column, n: Column, scale: int) -> Column:
     return ratio_half_up(total, n, scale)
 
 
-def price_parts(price: Column) -> tuple[Column, Column]:
-    """A non-negative DECIMAL(38,18) as its whole part and its 10^-18 units;
-    both can be summed without overflow for any number of rows."""
-    whole = F.floor(price).cast("decimal(20,0)")
-    units = ((price % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(18,0)")
-    return whole, units
+#: Prices below this are summed as they are: 10^11 of them stay within 38 digits.
+LARGE_PRICE = 10**9
+
+
+def price_sums(price: str) -> dict[str, Column]:
+    """Three sums that no number of rows overflows: of the prices below
+    ``LARGE_PRICE``, and of the whole parts and 10^-18 units of the others."""
+    p = F.col(price)
+    large = p >= F.lit(LARGE_PRICE).cast("decimal(10,0)")
+    whole = F.floor(p).cast("decimal(20,0)")
+    units = ((p % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(18,0)")
+    return {"price_sum": F.sum(F.when(~large, p)).cast("decimal(38,18)"), "price_whole": F.sum(F.when(large, whole)).cast("decimal(38,0)"),
+            "price_units": F.sum(F.when(large, units)).cast("decimal(38,0)")}
+
+
+def average_of_sums(price_sum: Column, price_whole: Column, price_units: Column, n: Column, scale: int) -> Column:
+    """Exact HALF_UP average at ``scale`` (at most 18) from ``price_sums``."""
+    d38, zero = "decimal(38,0)", F.lit(0).cast("decimal(38,0)")
+    small = F.coalesce(price_sum, F.lit(0).cast("decimal(38,18)"))
+    whole = F.floor(small).cast(d38) + F.coalesce(price_whole.cast(d38), zero)
+    units = (((small % F.lit(1).cast("decimal(1,0)")).cast("decimal(18,18)") * F.lit(10**18).cast("decimal(19,0)")).cast(d38)
+             + F.coalesce(price_units.cast(d38), zero))
+    return average_of_parts(whole, units, n, scale)
 
 
 def average_of_parts(whole: Column, units: Column, n: Column, scale: int) -> Column:
@@ -66,9 +83,8 @@ def average_of_parts(whole: Column, units: Column, n: Column, scale: int) -> Col
 
 
 def average_price(price: str, scale: int) -> Column:
-    """``avg(price)``, exact, HALF_UP at ``scale``, for prices of any size."""
-    whole, units = price_parts(F.col(price))
-    return average_of_parts(F.sum(whole), F.sum(units), F.count(F.col(price)), scale).cast(f"decimal(38,{scale})")
+    """``avg(price)`` of non-negative DECIMAL(38,18), exact, HALF_UP at ``scale``."""
+    return average_of_sums(*price_sums(price).values(), F.count(F.col(price)), scale)
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -71,8 +71,9 @@ def fence(c: Column) -> Column:
 
 
 _INT_LITERAL = r"\A[+-]?[0-9]+\z"
-# Numerals of more digits than a double is sure to hold, and a price with an exponent.
-_LONG_NUMBER = r"[0-9][0-9.]{15,}|\"price\"\s*:\s*-?[0-9.]+[eE]"
+# A price of more digits than a double is sure to hold, or with an exponent
+# (the pattern starts with a literal, which is searched for quickly).
+_LONG_NUMBER = r"\"price\"\s*:\s*-?[0-9.]*(?:[0-9.]{16}|[eE])"
 _PRICE_NUMBER = r"\"price\"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 _JSON_NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 _TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in WIRE_FIELDS]

@@ -1,12 +1,15 @@
 """Tumbling-window metrics per (symbol, scenario) - the flagship aggregate.
 
-Two steps. ``window_partials`` groups by (window, symbol, scenario, latency)
-with plain sums, counts and extremes: a hash aggregate with a map-side phase,
-so a hot key is combined before the exchange. ``metrics_of_partials`` reads all
-measures off this small histogram: sums of sums, and the nearest-rank
-percentiles from running counts over each group's distinct latencies. Partials
-of several deliveries of one window simply add up, in any order, which is what
-the streaming job relies on for events that arrive late.
+In batch form one ``groupBy(window, symbol, scenario)`` with built-in
+aggregates: every one of them has a map-side phase (the percentiles keep a
+value->count map per group), so a hot key is combined before the single
+exchange. ``session.prepare`` sets how many groups a task may hold in memory
+before it sorts instead.
+
+The streaming job keeps ``window_partials``, grouped by latency as well:
+partials of several deliveries of one window simply add up, in any order, and
+``metrics_of_partials`` reads all measures off them, the nearest-rank
+percentiles from running counts over each group's distinct latencies.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import average_of_parts, exact_avg_half_up, price_parts
+from ..functions.numeric import average_of_sums, average_price, exact_avg_half_up, nearest_rank, price_sums
 from ..functions.timefn import interval_micros, time_bucket
 from ..schema import METRIC_COLUMNS, PRICE
 
@@ -27,7 +30,7 @@ _WIDE = T.DecimalType(38, 0)
 PARTIALS_SCHEMA = T.StructType([
     T.StructField("bucket_start", T.TimestampType()), T.StructField("symbol", T.StringType()),
     T.StructField("scenario", T.StringType()), T.StructField(LATENCY, T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("price_whole", _WIDE), T.StructField("price_units", _WIDE),
+    T.StructField("n", T.LongType()), T.StructField("price_sum", PRICE), T.StructField("price_whole", _WIDE), T.StructField("price_units", _WIDE),
     T.StructField("min_price", PRICE), T.StructField("max_price", PRICE),
     T.StructField("quantity", T.LongType()), T.StructField("lag", T.LongType()),
 ])
@@ -37,11 +40,10 @@ def window_partials(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECON
                     time_col: str = "processing_time") -> DataFrame:
     """Counts, sums and extremes per (window, symbol, scenario, latency).
     Window bounds are aligned to the Unix epoch."""
-    whole, units = price_parts(F.col("price"))
     bucket = time_bucket(F.col(time_col), window_seconds)
     return (valid.groupBy(bucket.alias("bucket_start"), "symbol", "scenario", LATENCY)
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(whole).cast(_WIDE).alias("price_whole"), F.sum(units).cast(_WIDE).alias("price_units"),
+                 *[c.alias(name) for name, c in price_sums("price").items()],
                  F.min("price").alias("min_price"), F.max("price").alias("max_price"),
                  F.sum("quantity").cast("long").alias("quantity"), F.sum("event_lag_ms").cast("long").alias("lag")))
 
@@ -50,7 +52,7 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     """One row per (window, symbol, scenario, latency) of any number of partials."""
     add = lambda c: F.sum(c).cast(partials.schema[c].dataType).alias(c)
     return partials.groupBy(*KEY, LATENCY).agg(
-        add("n"), add("price_whole"), add("price_units"), F.min("min_price").alias("min_price"),
+        add("n"), add("price_sum"), add("price_whole"), add("price_units"), F.min("min_price").alias("min_price"),
         F.max("max_price").alias("max_price"), add("quantity"), add("lag"))
 
 
@@ -68,7 +70,7 @@ def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDO
     n = F.sum("n")
     agg = ranked.groupBy(*KEY).agg(
         n.alias("event_count"),
-        average_of_parts(F.sum("price_whole"), F.sum("price_units"), n, 6).alias("avg_price"),
+        average_of_sums(F.sum("price_sum"), F.sum("price_whole"), F.sum("price_units"), n, 6).alias("avg_price"),
         F.min("min_price").alias("min_price"),
         F.max("max_price").alias("max_price"),
         F.sum("quantity").cast("long").alias("total_quantity"),
@@ -77,13 +79,29 @@ def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDO
         rank(95).alias("p95_ingestion_latency_ms"),
         F.max(LATENCY).alias("max_ingestion_latency_ms"),
         exact_avg_half_up(F.sum("lag"), n, 2).alias("avg_event_lag_ms"))
+    return _with_end(agg, window_seconds)
+
+
+def _with_end(agg: DataFrame, window_seconds: int) -> DataFrame:
     end = F.timestamp_micros(F.unix_micros("bucket_start") + F.lit(interval_micros(window_seconds)))
     return agg.withColumn("bucket_end", end).select(*METRIC_COLUMNS)
 
 
 def window_metrics(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS,
                    time_col: str = "processing_time") -> DataFrame:
-    """Metrics of ``valid`` events per tumbling window of ``time_col``.
-    Duplicated deliveries are counted (the raw table de-duplicates, the
-    metrics do not)."""
-    return metrics_of_partials(window_partials(valid, window_seconds, time_col), window_seconds)
+    """Metrics of ``valid`` events per tumbling window of ``time_col``, aligned
+    to the Unix epoch. Duplicated deliveries are counted (the raw table
+    de-duplicates, the metrics do not)."""
+    n = F.count(F.lit(1))
+    agg = (valid.groupBy(time_bucket(F.col(time_col), window_seconds).alias("bucket_start"), "symbol", "scenario")
+           .agg(n.alias("event_count"),
+                average_price("price", 6).alias("avg_price"),
+                F.min("price").alias("min_price"),
+                F.max("price").alias("max_price"),
+                F.sum("quantity").cast("long").alias("total_quantity"),
+                exact_avg_half_up(F.sum(LATENCY), n, 2).alias("avg_ingestion_latency_ms"),
+                nearest_rank(LATENCY, 0.5).cast("long").alias("p50_ingestion_latency_ms"),
+                nearest_rank(LATENCY, 0.95).cast("long").alias("p95_ingestion_latency_ms"),
+                F.max(LATENCY).alias("max_ingestion_latency_ms"),
+                exact_avg_half_up(F.sum("event_lag_ms"), n, 2).alias("avg_event_lag_ms")))
+    return _with_end(agg, window_seconds)

@@ -65,13 +65,24 @@ def test_window_metrics_small(spark):
     assert m[t0 + dt.timedelta(seconds=10)]["event_count"] == 1
 
 
-def test_metrics_plan_hashes_and_combines_map_side(spark):
-    """Hash aggregates with a map-side phase; no aggregate that can fall back to sorting."""
+def test_metrics_plan_is_partial_then_one_exchange(spark):
     from eventspark.plans.derive import from_sf
     from tests.conftest import SF001
     plan = from_sf(spark, SF001).metrics._jdf.queryExecution().executedPlan().toString()
-    assert "partial_sum" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert "partial_percentile" in plan or "partial_" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert int(spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")) == 4096
+
+
+def test_partials_of_any_deliveries_give_the_batch_metrics(spark):
+    from eventspark.operators.metrics import merge_partials, metrics_of_partials, window_partials
+    from eventspark.plans.derive import from_sf
+    from tests.conftest import SF001
+    valid = from_sf(spark, SF001).valid
+    thirds = [window_partials(valid.where(F.col("sequence") % 3 == k)) for k in (2, 0, 1)]
+    got = metrics_of_partials(merge_partials(thirds[0].union(thirds[1]).union(thirds[2])))
+    want = window_metrics(valid)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_average_price_is_exact_at_any_size(spark):
