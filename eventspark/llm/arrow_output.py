@@ -15,8 +15,12 @@ repeated attempt leaves at most files that nothing refers to.
 Encoding: a text is cut only where the byte-level pre-tokeniser must end a
 token, whatever stands around: before white space that follows a letter, digit
 or mark, and where letters, digits and marks meet (never after an apostrophe,
-never next to a character outside ASCII and the Latin-1 letters). A piece
-then has the same ids anywhere, so each worker lets the library encode a
+never next to a character outside ASCII and the Latin-1 letters), and around the
+literals of the vocabulary's added tokens, such as <|endoftext|>, which the
+library takes out of a text before all else: a literal is one uncut piece and
+gets the added token's id. A text with the literal of an added token that looks
+at its surroundings (``lstrip``, ``rstrip``, ``single_word``) is not cut at all.
+A piece then has the same ids anywhere, so each worker lets the library encode a
 distinct piece once, and keeps at most ``KNOWN_PIECES`` of them.
 
 Rows: a null text is empty (only the end id). A null id comes first. Rows that
@@ -26,6 +30,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from urllib.parse import unquote
@@ -56,8 +61,42 @@ _CLASS[0x27] = 5
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 4
 
 
-def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces start, and the end of the data; every text starts one."""
+class AddedTokens:
+    """Finds the spans that stay whole because of added tokens."""
+
+    def __init__(self, tokens: list):
+        self.literals = [t.content.encode() for t in tokens if t.content]
+        alone = [t for t in tokens if t.content and not (t.lstrip or t.rstrip or t.single_word)]
+        self.rooted = [t.content.encode() for t in tokens if t.content and (t.lstrip or t.rstrip or t.single_word)]
+        # as the library: those of the plain text first, the leftmost longest of each kind
+        kinds = ([t.content.encode() for t in alone if t.normalized == n] for n in (False, True))
+        self.patterns = [re.compile(b"|".join(re.escape(x) for x in sorted(k, key=len, reverse=True))) for k in kinds if k]
+
+    def _in_text(self, raw: bytes, start: int, end: int) -> list[tuple[int, int]]:
+        if any(raw.find(x, start, end) >= 0 for x in self.rooted):
+            return [(start, end)]
+        found, gaps = [], [(start, end)]
+        for pattern in self.patterns:
+            rest = []
+            for a, b in gaps:
+                for m in pattern.finditer(raw, a, b):
+                    found.append(m.span())
+                    rest.append((a, m.start()))
+                    a = m.end()
+                rest.append((a, b))
+            gaps = rest
+        return found
+
+    def spans(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        if not any(x in raw for x in self.literals):
+            return []
+        edges = offsets.tolist()
+        return [s for a, b in zip(edges[:-1], edges[1:]) for s in self._in_text(raw, a, b)]
+
+
+def piece_bounds(data: np.ndarray, offsets: np.ndarray, whole: list[tuple[int, int]] = ()) -> np.ndarray:
+    """Where pieces start, and the end of the data; every text starts one, and
+    every span of ``whole`` is one."""
     kind = _CLASS[data]
     lead = np.flatnonzero(data[:-1] == 0xC3)
     lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # no letters: times and division signs
@@ -67,6 +106,9 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(len(data) + 1, dtype=bool)
     meets = (before != 5) & (after > 0) & (group[:-1] != group[1:])
     cut[1:-1] = (before > 0) & (before != 4) & ((after == 4) | meets)
+    for a, b in whole:
+        cut[a + 1: b] = False
+        cut[a] = cut[b] = True
     cut[offsets] = True
     return np.flatnonzero(cut)
 
@@ -77,7 +119,7 @@ class Encoder:
     def __init__(self, tokenizer_path: str, most: int = KNOWN_PIECES):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = AddedTokens(list(self.tokenizer.get_added_tokens_decoder().values()))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.most = most
@@ -108,7 +150,8 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.empty(0, self.dtype), np.zeros(n, np.int64)
-        bounds = piece_bounds(data, offsets)
+        raw = data.tobytes()
+        bounds = piece_bounds(data, offsets, self.added.spans(raw, offsets))
         start, end = bounds[:-1], bounds[1:]
         which, keys = pd.factorize(K.span_codes(data, start, end, K.BYTE_CODES))
         if len(self.keys) + len(keys) > self.most:
@@ -121,7 +164,6 @@ class Encoder:
             at = np.empty(len(keys), np.int64)
             at[which[::-1]] = np.arange(len(which))[::-1]
             at = at[unknown]
-            raw = data.tobytes()
             self._learn(keys[unknown], [raw[start[i]: end[i]].decode("utf-8", "replace") for i in at])
             row = np.searchsorted(self.keys, keys)
         first, count = self.first[row][which], self.count[row][which]

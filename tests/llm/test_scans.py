@@ -198,6 +198,52 @@ def test_pieces_give_the_library_s_ids(most):
     assert all(ids[e - c: e].tolist() == w.ids for e, c, w in zip(ends, n, want))
 
 
+END = "<|endoftext|>"
+
+
+def same_as_the_library(path, texts, most=1 << 20):
+    from tokenizers import Tokenizer
+    data, offsets = K.string_buffers(pa.array(texts))
+    ids, n = arrow_output.Encoder(path, most).encode(data, offsets)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[e - c: e].tolist() for e, c in zip(np.cumsum(n), n)] == want
+    return want
+
+
+@pytest.mark.parametrize("most", [1 << 21, 50])
+def test_literals_of_added_tokens_have_the_library_s_ids(most):
+    import random
+    rng = random.Random(12)
+    texts = [f"a{END}b", END, END * 2, f"a {END} b", f"<{END}>", END[:-1], END[:5], END[5:], f"{END}日本{END}", f"don't{END}'s \n{END}\n ", ""]
+    texts += ["".join(rng.choice(PIECES + [END[:5], END[5:], "<|", "|>"]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    assert same_as_the_library(tokenizer_path(), texts, most)[0] == [64, 50256, 65]
+
+
+def test_added_tokens_of_every_kind(tmp_path):
+    import random
+    from tokenizers import AddedToken, Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.add_special_tokens([AddedToken("<s>", normalized=False), AddedToken("<s>x", normalized=False), AddedToken(" [L]", lstrip=True, normalized=False)])
+    tokenizer.add_tokens([AddedToken("x<", normalized=True), AddedToken("é 1", normalized=True), AddedToken("one", single_word=True), AddedToken("[R]", rstrip=True)])
+    path = str(tmp_path / "t.json")
+    tokenizer.save(path)
+    rng = random.Random(13)
+    plain = [END, "<s>", "<s>x", "x<", "é 1", "x", "s>", "<", " ", "  ", "é", " 1", "ab", ".", "日"]
+    texts = ["".join(rng.choice(plain + more) for _ in range(rng.randrange(12))) for more in ([], ["one", " [L]", "[R]", "\n"]) for _ in range(1500)]
+    same_as_the_library(path, texts)
+
+
+def test_token_files_of_texts_with_an_added_token(spark):
+    from tokenizers import Tokenizer
+    texts = [f"one{END}two", "three", f"{END}{prose(4, 30)} {END}"]
+    fresh = Tokenizer.from_file(tokenizer_path())
+    start = 0
+    for r, text in zip(arrow_output.digest(spark, docs_of(spark, texts), tokenizer_path()).orderBy("start").collect(), texts):
+        want = fresh.encode(text, add_special_tokens=False).ids + [0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+
+
 def test_token_files_round_trip(spark):
     texts = [prose(i, i * 13 % 400) for i in range(60)] + [None, ""]
     docs = docs_of(spark, texts).repartition(5)
