@@ -10,10 +10,13 @@
    buckets; in every round each pivot's list and a sample of the lists it
    stands on are compared with each other, and better neighbours replace worse
    ones, until few change. A list that is full of neighbours within reach is
-   saturated, and doubles.
+   saturated, and doubles, up to ``GROWN`` times; pivots whose lists are
+   saturated then are compared with all pivots, by exact products of two blocks
+   of at most about ``BLOCK`` pivots a task.
 4. Audit. For a sample of pivots all neighbours within reach are found by exact
    blocked products over all pivots; below ``RECALL`` all lists double and the
-   descent goes on.
+   descent goes on. If the audit of what was found in the end is below
+   ``LEAST``, all pivots are compared with all by the same exact products.
 5. Links. With the angle t of the threshold, pivots p and q at angle d, and
    classes of radius a and b: if d + a + b <= t all members are linked, if
    d - a - b > t none are. Between, the same test is made for each member of the
@@ -51,7 +54,9 @@ LIST, REVERSE = 10, 10
 TABLES, BUCKET = 6, 48
 ROUNDS, SETTLED = 10, 0.01
 AUDIT, RECALL = 512, 0.99
-#: Members of a large class in one block of exact comparison.
+#: Doublings of a list before its pivot is compared with all, and the recall below which all pivots are.
+GROWN, LEAST = 6, 0.9
+#: Vectors on either side of one task of exact comparison.
 BLOCK = 2048
 _SLACK = 1e-9
 
@@ -237,6 +242,39 @@ def _audit(nodes: DataFrame, graph: DataFrame, theta: float) -> float:
     return (got or 0) / n if n else 1.0
 
 
+def _within_reach(theta: float):
+    """Pairs within reach of one block of asked pivots (left) and one block of
+    all pivots (right); a pair of two asked pivots comes once."""
+    def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = left.column("id").to_numpy(), right.column("id").to_numpy()
+        out = []
+        if len(u) and len(v):
+            x, y = _matrix(left.column("unit")), _matrix(right.column("unit"))
+            own, reach = left.column("radius").to_numpy(), right.column("radius").to_numpy() + theta + _SLACK
+            asked = right.column("asked").to_numpy()
+            for i in range(0, len(u), 512):
+                angle = np.arccos(np.clip(x[i: i + 512] @ y.T, -1, 1))
+                ids = u[i: i + 512, None]
+                a, b = np.nonzero((angle <= own[i: i + 512, None] + reach) & (ids != v) & (~asked | (ids < v)))
+                out.append((u[i + a], v[b]))
+        u, v = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+    return run
+
+
+def _settle(ws: Workspace, pivots: DataFrame, asked: DataFrame, theta: float, name: str) -> DataFrame:
+    """(u, v): all pivots within reach of the asked ones (id), by exact products
+    of blocks of asked pivots and blocks of all pivots."""
+    marked = ws.save(pivots.select("id", "unit", "radius").join(asked.select("id", F.lit(True).alias("asked")), "id", "left").fillna(False, ["asked"]), f"{name}-asked")
+    n, n_asked = marked.agg(F.count(F.lit(1)), F.count_if("asked")).first()
+    rows, columns = max(1, math.ceil(n_asked / BLOCK)), max(1, math.ceil(n / BLOCK))
+    dealt = lambda k: F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = marked.where("asked").select("id", "unit", "radius", dealt(rows).alias("row")).withColumn("col", every(columns))
+    right = marked.withColumn("col", dealt(columns)).withColumn("row", every(rows))
+    return ws.save(left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInArrow(_within_reach(theta), "u long, v long"), name)
+
+
 def _angle(a: str, b: str, out: str):
     """Adds the angle between two columns of unit vectors, dropping both."""
     def run(batches):
@@ -340,20 +378,29 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     empty = F.lit(0).cast("long")
     graph = ws.save(_by(offers.select("u", "v", "sim", F.lit(True).alias("fresh"), F.lit(-2.0).alias("floor"), empty.alias("size")), "u")
                     .mapInArrow(_merge, _LISTS), "start")
-    for grown in range(12):
+    for grown in range(GROWN + 1):
         graph = _descend(ws, pivots, graph, f"lists-{grown}")
         recall = _audit(pivots, graph, theta)
         reach = pivots.select(F.col("id").alias("u"), F.cos(F.least(F.col("radius") + theta + widest, F.lit(math.pi))).alias("reach"))
         state = graph.join(reach, "u").withColumn("saturated", F.col("floor") >= F.col("reach"))
         all_grow = recall < RECALL and grown < 4
-        if not all_grow and state.where("saturated").isEmpty():
+        if grown == GROWN or not all_grow and state.where("saturated").isEmpty():
             break
         grow = F.lit(all_grow) | F.col("saturated")
         graph = ws.save(state.select("u", "v", "sim", grow.alias("fresh"), F.when(grow, F.lit(-2.0)).otherwise(F.col("floor")).alias("floor"),
                                      F.when(grow, F.col("size") * 2).otherwise(F.col("size")).alias("size")), f"grown-{grown}")
 
+    # what the lists cannot hold, or did not find
+    found, saturated = graph.select("u", "v"), state.where("saturated").select(F.col("u").alias("id")).distinct()
+    if not saturated.isEmpty():
+        found = found.union(_settle(ws, pivots, saturated, theta, "settled"))
+        recall = _audit(pivots, found, theta)
+    if recall < LEAST:
+        found = _settle(ws, pivots, pivots, theta, "settled-all")
+        recall = _audit(pivots, found, theta)
+
     # pivot pairs within reach, the larger class first
-    found = graph.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     cols = ("radius", "class_size", "class_nodes")
     ends = [pivots.select(F.col("id").alias(e), F.col("unit").alias(f"unit_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in cols]) for e in ("u", "v")]
     pairs = _with_angle(found.join(ends[0], "u").join(ends[1], "v"), "unit_u", "unit_v", "d")

@@ -213,6 +213,34 @@ def test_near_vectors_match_brute_force(spark):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
 
 
+def loose_group(seed, n, dim=64, offset=0.277):
+    """Vectors that are all linked, but too far apart (22 degrees) for a class."""
+    rng = np.random.default_rng(seed)
+    centre = np.eye(dim)[0]
+    return [(centre + offset / math.sqrt(dim) * rng.standard_normal(dim)).tolist() for _ in range(n)]
+
+
+@pytest.mark.parametrize("least", [0.9, 0.0])
+def test_what_the_lists_cannot_hold_is_compared_exactly(spark, monkeypatch, least):
+    """No rounds of descent, and lists of 4 that never grow: by an audit of 0.9,
+    or else because they are saturated, all pivots are compared."""
+    for name, value in (("LIST", 4), ("ROUNDS", 0), ("GROWN", 0), ("LEAST", least), ("BLOCK", 64)):
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    rows = loose_group(5, 250)
+    if least:  # and some whose lists are not saturated
+        rows += clouds_of(6, 150)
+    rows = list(enumerate(rows))
+    got = nn_descent.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == vectors_by_force(rows, 0.9)
+    assert {r["audited_recall"] for r in got} == {1.0}
+
+
+def clouds_of(seed, n, dim=64):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((10, dim))
+    return [(centres[k % 10] + 0.3 * rng.standard_normal(dim)).tolist() for k in range(n)]
+
+
 def test_near_vectors_of_special_rows(spark):
     schema = "vec_id long, embedding array<float>, id long, unit string, u long"
     good = [0.0, 1.0, 0.0]
