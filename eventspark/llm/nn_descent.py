@@ -21,7 +21,8 @@
    classes of radius a and b: if d + a + b <= t all members are linked, if
    d - a - b > t none are. Between, the same test is made for each member of the
    smaller class against the larger pivot, and only members that are still
-   open are compared with the members of the larger class, in blocks.
+   open are compared with the members of the larger class, a block of either
+   in a task.
 
 Angles and cosines that decide are in double precision. Links are found with
 the recall of the descent, and are never below the threshold.
@@ -321,8 +322,8 @@ def _classes(ws: Workspace, nodes: DataFrame, dim: int, radius: float) -> DataFr
 
 
 def _members_apart(theta_cos: float):
-    """Counts of links between open members of smaller classes (left) and one
-    block of a larger class (right)."""
+    """Counts of links between one block of open members of smaller classes
+    (left) and one block of a larger class (right)."""
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = left.column("id").to_numpy(), right.column("id").to_numpy()
         q = left.column("q").to_numpy()
@@ -422,13 +423,17 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     for_class = for_class.union(linked.select(F.col("p").alias("pivot"), F.col("size").alias("n")))
     for_node = linked.select("id", F.col("class_size_p").alias("n"))
     open_nodes = tested.where(~all_of_p & (F.col("d") - F.col("radius_p") <= theta + _SLACK)).select("p", "q", "id", "size")
-    blocks = pivots.select(F.col("id").alias("p"), F.ceil(F.col("class_nodes") / BLOCK).alias("blocks"))
-    left = (open_nodes.join(nodes.select("id", "unit"), "id").join(blocks, "p").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select("p", "block", "q", "id", "size", "unit"))
-    right = (nodes.join(member, "id").withColumnRenamed("pivot", "p").join(open_nodes.select("p").distinct(), "p").join(blocks, "p")
-             .select("p", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")).alias("block"), "id", "size", "unit"))
+    # both sides of a class in blocks: its members, and the open nodes around it
+    parts = open_nodes.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    blocks = ws.save(pivots.select(F.col("id").alias("p"), F.ceil(F.col("class_nodes") / BLOCK).alias("blocks")).join(parts, "p"), "block-counts")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = (open_nodes.join(nodes.select("id", "unit"), "id").join(blocks, "p").withColumn("block", every("blocks"))
+            .select("p", "block", F.pmod(F.xxhash64(F.lit(10), "id"), F.col("parts")).alias("part"), "q", "id", "size", "unit"))
+    right = (nodes.join(member, "id").withColumnRenamed("pivot", "p").join(blocks, "p").withColumn("part", every("parts"))
+             .select("p", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("blocks")).alias("block"), "part", "id", "size", "unit"))
     left, right = ws.save(left, "open"), ws.save(right, "blocks")
-    exact = ws.save(left.groupBy("p", "block").cogroup(right.groupBy("p", "block")).applyInArrow(_members_apart(threshold), "p long, q long, id long, n long"), "exact")
+    cell = ("p", "block", "part")
+    exact = ws.save(left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_members_apart(threshold), "p long, q long, id long, n long"), "exact")
     for_node = for_node.union(exact.select("id", "n"))
 
     links = sure.select(F.col("p").alias("a"), F.col("q").alias("b")).union(linked.select("p", "q")).union(exact.where("q != -1").select("p", "q"))

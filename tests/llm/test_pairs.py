@@ -241,6 +241,29 @@ def clouds_of(seed, n, dim=64):
     return [(centres[k % 10] + 0.3 * rng.standard_normal(dim)).tolist() for k in range(n)]
 
 
+def test_both_sides_of_an_exact_comparison_are_blocks(spark, monkeypatch):
+    compare, most = nn_descent._members_apart, 80
+
+    def bounded(theta_cos):
+        run = compare(theta_cos)
+
+        def checked(key, left, right):
+            assert left.num_rows <= most and right.num_rows <= most, (left.num_rows, right.num_rows)
+            return run(key, left, right)
+        return checked
+
+    monkeypatch.setattr(nn_descent, "_members_apart", bounded)
+    monkeypatch.setattr(nn_descent, "BLOCK", 32)
+    rng = np.random.default_rng(7)
+    axis = np.eye(64)[0]
+    tight = [axis + 0.07 / 8 * rng.standard_normal(64) for _ in range(120)]
+    around = rng.standard_normal((250, 64)) * (np.arange(64) > 0)
+    around = axis + math.tan(math.acos(0.9)) * around / np.linalg.norm(around, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate([*tight, *around])]
+    got = nn_descent.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == vectors_by_force(rows, 0.9)
+
+
 def test_near_vectors_of_special_rows(spark):
     schema = "vec_id long, embedding array<float>, id long, unit string, u long"
     good = [0.0, 1.0, 0.0]
