@@ -182,23 +182,28 @@ def _refresh_as_of(d: Derived) -> int:
     return (d.raw.agg(F.max(F.unix_micros("event_time"))).first()[0] // QUARTER + 1) * QUARTER
 
 
+def _refresh_from(d: Derived) -> int:
+    """The start of the quarter hour of the oldest event."""
+    return (d.raw.agg(F.min(F.unix_micros("event_time"))).first()[0] // QUARTER) * QUARTER
+
+
 def _m5_minute(spark, sf):
     """1-minute roll-up built by range refresh into a table: first a partial
-    range, then the manual 25-hour refresh over it."""
+    range, then a refresh over the whole stream."""
     d = _d(spark, sf)
     path = work_path(spark, "m1")
     as_of = _refresh_as_of(d)
     refresh(spark, d.raw, path, "events_1min", as_of - 1_050_000_000, as_of - 190_000_000)
-    refresh(spark, d.raw, path, "events_1min", as_of - 25 * HOUR, as_of)
+    refresh(spark, d.raw, path, "events_1min", _refresh_from(d), as_of)
     return present(read_rollup(spark, path, "events_1min").drop("bucket_date"))
 
 
 def _m5_quarter(spark, sf):
     d = _d(spark, sf)
     mpath, qpath = work_path(spark, "m1"), work_path(spark, "m15")
-    as_of = _refresh_as_of(d)
-    refresh(spark, d.raw, mpath, "events_1min", as_of - 25 * HOUR, as_of)
-    refresh(spark, read_rollup(spark, mpath, "events_1min"), qpath, "events_15min", as_of - 26 * HOUR, as_of)
+    since, as_of = _refresh_from(d), _refresh_as_of(d)
+    refresh(spark, d.raw, mpath, "events_1min", since, as_of)
+    refresh(spark, read_rollup(spark, mpath, "events_1min"), qpath, "events_15min", since, as_of)
     return present(read_rollup(spark, qpath, "events_15min").drop("bucket_date"))
 
 

@@ -271,3 +271,18 @@ def test_touched_spans(spark):
     minutes = lambda *m: tuple(to_micros(T0 + dt.timedelta(minutes=x)) for x in m)
     assert touched_spans(df) == [minutes(0, 15), minutes(15, 30), minutes(45, 60)]
     assert merged(touched_spans(df)) == [minutes(0, 30), minutes(45, 60)]
+
+
+@pytest.mark.parametrize("query", ["_m5_minute", "_m5_quarter"])
+def test_refresh_queries_cover_a_stream_of_many_days(spark, monkeypatch, query):
+    import types
+
+    import __spark_entry__ as E
+    rows = []
+    for k, hours in enumerate((0, 30, 75)):
+        t = T0 + dt.timedelta(hours=hours, minutes=3)
+        rows.append((f"e{k}", "p", "BTC", Decimal("1.5"), 2, t, t, t, "s", "a", k, 5, 6, t, t.date()))
+    raw = _raw_rows(spark, rows)
+    monkeypatch.setattr(E, "_d", lambda *_: types.SimpleNamespace(raw=raw))
+    got = getattr(E, query)(spark, SF001).collect()
+    assert len(got) == 3 and sum(r["event_count"] for r in got) == 3
