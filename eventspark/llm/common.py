@@ -7,6 +7,8 @@ and all executors, so a lost executor costs only the tasks that were running.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,20 @@ from eventspark.session import work_path
 ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python task holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Bound what a Python task of the jobs run inside holds at once; the
+    session has its own settings again afterwards. (A result that is returned
+    without being run goes by the session's settings.)"""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ARROW_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Workspace:
@@ -27,14 +39,14 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, work_path(spark, name)
-        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and continue from the files."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with bounded_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventspark.llm import arrow_output, lexicon_toxicity, lsa_vote, mixing, nn_descent, odd_sketch, script_viterbi, secret_ledger, suffix_dedup, wu_manber
+from eventspark.llm import (arrow_output, diagonal_runs, laesa, lexicon_toxicity, lsa_vote, mixing, nn_descent, odd_sketch, risk_rules, script_viterbi,
+                            secret_ledger, suffix_dedup, wu_manber)
 from eventspark.llm.common import read_table
 
 
@@ -56,6 +57,18 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.digest(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagonal_runs.digest(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op12_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.digest(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.digest(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_odd_sketch": op1_minhash_odd_sketch,
@@ -68,6 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_script_viterbi": op8_script_viterbi,
         "op9_lexicon_toxicity": op9_lexicon_toxicity,
         "op10_wu_manber": op10_wu_manber,
+        "op11_diagonal_runs": op11_diagonal_runs,
+        "op12_risk_rules": op12_risk_rules,
+        "op13_laesa_clusters": op13_laesa_clusters,
     }
 
 
@@ -76,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.SQL,
         "op6_secret_ledger": secret_ledger.SQL,
         "op10_wu_manber": wu_manber.SQL,
+        "op11_diagonal_runs": diagonal_runs.SQL,
+        "op13_laesa_clusters": laesa.SQL,
     }

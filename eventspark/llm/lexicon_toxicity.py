@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, small_batches
+from eventspark.llm.common import fold_of
 
 SAMPLE = 9000
 FOLDS, HELD_OUT = 3, 1
@@ -276,7 +276,6 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    small_batches(spark)
     lexicon = spark.sparkContext.broadcast(fit(spark, docs, labels))
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_head, small_batches
+from eventspark.llm.common import fold_of, hash_head
 
 SAMPLE = 3000
 DIMENSIONS, NEIGHBOURS = 48, 25
@@ -190,7 +190,6 @@ def _scored(space, columns, keep: bool):
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    small_batches(spark)
     space = spark.sparkContext.broadcast(fit(docs, labels))
     rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -200,7 +199,6 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
-    small_batches(spark)
     space = spark.sparkContext.broadcast(fit(docs, labels))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
     rows = docs.select(row)

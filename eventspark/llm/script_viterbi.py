@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_place, small_batches
+from eventspark.llm.common import fold_of, hash_place
 
 FOLDS, HELD_OUT = 4, 2
 DOCS_EACH = 300
@@ -242,7 +242,6 @@ def identify(spark: SparkSession, docs: DataFrame, with_spans: bool = False) ->
     """One row per document: doc_id, held_out, lang_pred (the language of most
     letters), score (their share); with ``with_spans`` also the labelled
     spans, as array of start, end (code points) and lang."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs))
     names = ["doc_id", "held_out", "lang_pred", "score"] + ["spans"] * with_spans
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
