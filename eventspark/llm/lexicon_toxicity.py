@@ -3,10 +3,12 @@
 Folding: texts are reduced to the letters a-z and blanks. Case, accents and
 compatibility forms go; look-alike letters of other scripts and digits or
 signs that stand in for letters are replaced by what they look like (a sign
-only next to a letter); invisible characters vanish.
+only next to a letter); invisible characters vanish. A 1 next to letters is read
+both as i and as l.
 
 Lexicon: in a bounded sample of labelled documents of the training folds every
-word beginning is counted once a document. Beginnings that are far more
+word beginning of four letters or more, and every whole word of two or three,
+is counted once a document. Beginnings that are far more
 frequent in toxic documents are candidates; of nested ones the longest stays
 that still covers nearly as many toxic documents, so a word's own stem is found
 whatever its endings. An automaton finds all stems at word starts in one pass
@@ -21,7 +23,11 @@ Score: the summed weight of the hits, also divided by the root of the number
 of words, the heaviest hit, and whether there is one go into a logistic curve
 fitted on the same sample.
 
-Rows: a null, empty or letterless text has the score of a text without hits.
+Ties: of equally frequent stems or phrases beyond ``LEXICON`` (a bound on the
+learned model) the first in the alphabet stay.
+
+Rows: a null, empty or letterless text has the score of a text without hits. Of
+several texts under a labelled id the one with the least hash is learned from.
 Without toxic labels every score is 0; without clean ones 1. Each input row
 gives one output row, whatever its id; a null id is not held out. Extra
 columns are ignored.
@@ -38,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of
+from eventspark.llm.common import Workspace, fold_of
+from eventspark.llm.lsa_vote import sample_of
 
 SAMPLE = 9000
 FOLDS, HELD_OUT = 3, 1
@@ -47,6 +54,8 @@ PREDICT = 0.7
 #: deviations over chance; the share of its documents that must be toxic after
 #: exceptions; the share of a shorter stem's toxic documents that a longer one covers.
 SHORTEST, LONGEST, SUPPORT, DEVIATIONS, PRECISION, COVER = 4, 12, 6, 6.0, 0.6, 0.95
+#: Shorter words, down to this length, count only as whole words.
+WHOLE = 2
 LEXICON = 5000
 #: An exception phrase occurs in so many clean documents, and so many times as often as in toxic ones.
 CLEAN_SUPPORT, CLEAN_TIMES = 3, 4
@@ -57,13 +66,15 @@ LOOK_ALIKES = {
     "a": "аαɑ", "b": "вβь", "c": "сϲ", "d": "ԁ", "e": "еεєҽ", "g": "ɡց", "h": "һнհ", "i": "іιıї", "j": "јϳ", "k": "кκ", "l": "ӏⅼ",
     "m": "мμ", "n": "пηո", "o": "оοօσ", "p": "рρ", "q": "ԛ", "r": "гᴦ", "s": "ѕꜱ", "t": "тτ", "u": "υսц", "v": "νѵ", "w": "ԝωш", "x": "хχ", "y": "уγү", "z": "ᴢ",
 }
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 
 _BLANK, _INVISIBLE, _STAND_IN = 0, 255, 100
 _table: list[np.ndarray] = []
+#: Readings of a stand-in with more than one.
+READINGS = 2
 
 
-def fold_table() -> np.ndarray:
+def fold_table(reading: int = 0) -> np.ndarray:
     """For every code point: 0 blank, 1-26 a letter, 100 + letter a stand-in,
     255 nothing."""
     if not _table:
@@ -89,16 +100,18 @@ def fold_table() -> np.ndarray:
             elif kind[0] == "L":
                 # other letters keep a word together: folded to one of a-z by rule
                 letters[i] = 1 + (ord(low or c) * 7) % 26
-        for c, to in SUBSTITUTES.items():
-            letters[ord(c)] = _STAND_IN + ord(to) - 96
-        _table.append(letters)
-    return _table[0]
+        for r in range(READINGS):
+            for c, to in SUBSTITUTES.items():
+                letters[ord(c)] = _STAND_IN + ord(to[min(r, len(to) - 1)]) - 96
+            _table.append(letters.copy())
+    return _table[reading]
 
 
-def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
-    """All texts folded, each between blanks, and where each starts."""
+def fold(data: np.ndarray, offsets: np.ndarray, reading: int = 0) -> tuple[str, np.ndarray]:
+    """All texts folded, each between blanks, and where each starts. All
+    readings have their letters at the same places."""
     code, lead = K.code_points(data, offsets)
-    kind = fold_table()[code]
+    kind = fold_table(reading)[code]
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(lead))
     seen = kind != _INVISIBLE
     kind, text, code = kind[seen], text[seen], code[seen]
@@ -122,6 +135,19 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
     return full.tobytes().decode("ascii"), start
 
 
+def readings(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The different foldings of the texts."""
+    first, start = fold(data, offsets)
+    return list(dict.fromkeys([first, *[fold(data, offsets, r)[0] for r in range(1, READINGS)]])) if (data == ord("1")).any() else [first], start
+
+
+def stems_of(word: str) -> list[str]:
+    """What a word is counted under: its beginnings, or itself with a blank after it."""
+    if len(word) < SHORTEST:
+        return [word + " "] if len(word) >= WHOLE else []
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+
+
 def _beginnings(batches):
     """Per batch: how many documents of either label have a word beginning."""
     for batch in batches:
@@ -129,10 +155,10 @@ def _beginnings(batches):
         data, offsets = K.string_buffers(batch.column("text"))
         seen: dict[str, list[int]] = {}
         for i, j in K.slices(offsets, 1 << 20):
-            folded, start = fold(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+            texts, start = readings(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
             for d in range(j - i):
-                words = set(folded[start[d]: start[d + 1]].split())
-                for stem in {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}:
+                words = {w for folded in texts for w in folded[start[d]: start[d + 1]].split()}
+                for stem in {stem for w in words for stem in stems_of(w)}:
                     seen.setdefault(stem, [0, 0])[label[i + d]] += 1
         rows = list(seen.items())
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([n[0] for _, n in rows], pa.int64()),
@@ -178,26 +204,36 @@ class Lexicon:
                 found[end - len(stem) + 1] = stem  # later ones are longer
         return found.items()
 
-    def phrases(self, folded: str, at: int, stem: str) -> tuple[str, str]:
-        before = folded[max(0, at - 40): at].rsplit(None, 1)
-        after = folded[at: at + 80].split(None, 2)
-        return (f"{before[-1] if before else ''} {stem}", f"{stem} {after[1] if len(after) > 1 else ''}")
+    @staticmethod
+    def phrases(folded: str, lo: int, hi: int, at: int, stem: str) -> tuple[str, str]:
+        """The stem at ``at`` with the whole word before it and after it in
+        folded[lo: hi], a text between blanks."""
+        last = at - 1
+        while last > lo and folded[last - 1] == " ":
+            last -= 1
+        before = folded[max(lo, folded.rfind(" ", lo, last) + 1): last] if last > lo else ""
+        first = folded.find(" ", at, hi)
+        while 0 <= first < hi and folded[first] == " ":
+            first += 1
+        after = folded[first: folded.find(" ", first, hi)] if 0 <= first < hi else ""
+        return f"{before} {stem.strip()}", f"{stem.strip()} {after}"
 
     def features(self, data: np.ndarray, offsets: np.ndarray, collect: str | None = None):
         """The inputs of the curve for each text; and its ``phrases`` around
         hits or its ``stems`` hit outside exceptions, if asked for."""
-        folded, start = fold(data, offsets)
-        n = len(offsets) - 1
+        texts, start = readings(data, offsets)
+        folded, n = texts[0], len(offsets) - 1
         total, top, seen = np.zeros(n), np.zeros(n), [set() for _ in range(n)]
         raw = np.frombuffer(folded.encode("ascii"), np.uint8) != 32
         first = np.flatnonzero(raw[1:] & ~raw[:-1])
         n_words = np.bincount(np.searchsorted(start, first, side="right") - 1, minlength=n)[:n] if len(first) else np.zeros(n, np.int64)
-        for at, stem in self.hits(folded):
+        found = {}
+        for k, text in reversed(list(enumerate(texts))):
+            found.update({at: (stem, k) for at, stem in self.hits(text)})
+        for at, (stem, k) in found.items():
             d = int(np.searchsorted(start, at, side="right")) - 1
             if collect == "phrases" or self.exceptions:
-                # phrases stay within the text
-                own = folded[start[d]: start[d + 1]]
-                two = self.phrases(own, at - int(start[d]), stem)
+                two = self.phrases(texts[k], int(start[d]), int(start[d + 1]), at, stem)
                 if collect == "phrases":
                     seen[d].update(two)
                 if not self.exceptions.isdisjoint(two):
@@ -241,8 +277,8 @@ def _measured(lexicon, collect: str | None):
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "toxic", exceptions: set[str] = frozenset()) -> Lexicon:
-    from eventspark.llm.lsa_vote import sample_of
-    sample = sample_of(docs, labels, column, FOLDS, HELD_OUT, SAMPLE)
+    ws = Workspace(spark, "lexicon-fit")
+    sample = sample_of(ws, docs, labels, column, FOLDS, HELD_OUT, SAMPLE)
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return Lexicon({}, base=1.0 if n.get(1) else 0.0)
@@ -269,6 +305,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "
     weight = {r["what"]: float(np.log((r["t"] + 0.5) / (n[1] + 1)) - np.log((r["c"] + 0.5) / (n[0] + 1))) for r in left}
     model = Lexicon(dict(sorted(weight.items())), model.exceptions)
     rows = sorted((r["label"], *r["x"]) for r in measured(model, None).select("label", "x").collect())
+    ws.drop("sample")
     table = np.array(rows)
     model.curve = _curve(table[:, 1:], table[:, 0])
     return model
@@ -290,4 +327,4 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
     out = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
+    return Workspace(spark, "lexicon-toxicity").finish(out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int")))

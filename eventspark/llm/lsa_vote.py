@@ -4,17 +4,22 @@ space.
 A document's terms are counted over its whole text: three-byte shapes (letter
 case, digits, white space, single marks), words and word lengths, hashed to
 fixed numbers of columns; and a few ratios (repeated words, capitals, marks).
-Log counts times inverse document frequency, scaled to length 1, are projected
-on the leading right singular vectors of the labelled sample's matrix.
+Log counts times inverse document frequency (counted over all documents),
+scaled to length 1, are projected on the leading right singular vectors of the
+labelled sample's matrix.
 
 The labelled vectors (at most ``SAMPLE`` documents, taken in hash order from
 the training folds; a bounded table) go to every executor. Every document's
 cosine with each of them is computed exactly, in blocks, and the ``NEIGHBOURS``
 nearest vote with weights that grow with similarity.
 
+Ties: of equally similar labelled documents at the last place, those with
+label 0 vote first.
+
 Rows: a null or empty text has the zero vector and the share of label 1 as its
 score. Without any labelled document the score is 0.5. Each input row gives
-one output row, whatever its id; a null id is not held out. Labels without an
+one output row, whatever its id; a null id is not held out. Of several texts
+under a labelled id the one with the least hash is learned from. Labels without an
 id or a value are ignored; of repeated labels the lowest counts. Extra columns
 are ignored by ``score`` and kept by ``keep``.
 """
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_head
+from eventspark.llm.common import Workspace, fold_of, hash_head
 
 SAMPLE = 3000
 DIMENSIONS, NEIGHBOURS = 48, 25
@@ -90,37 +95,44 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Space:
-    """Term weights, projection and labelled vectors."""
+    """Term weights, projection and labelled vectors. ``rows`` are the sample's
+    counts, and are overwritten; ``having`` says how many of ``n`` documents
+    have each of the hashed terms."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
-        n = len(rows)
-        self.idf = np.log((1 + n) / (1 + (rows[:, :-RATIOS] > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, having: np.ndarray, n: int, dimensions: int = DIMENSIONS):
+        self.idf = np.log((1 + n) / (1 + having)).astype(np.float32) + np.float32(0.1)
         x = self.weigh(rows)
         # leading right singular vectors, by a random range and power steps
         rng = np.random.default_rng(13)
-        k = min(dimensions, n)
+        k = min(dimensions, len(rows))
         basis = x.T @ (x @ rng.standard_normal((x.shape[1], k + 16)).astype(np.float32))
         for _ in range(4):
             basis = x.T @ (x @ np.linalg.qr(basis)[0])
         q = np.linalg.qr(basis)[0]
         _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
         self.project = np.ascontiguousarray((q @ vt[:k].T).astype(np.float32))
-        self.vectors, self.labels = self.place(rows), labels.astype(np.float32)
+        self.vectors, self.labels = self.place(x), labels.astype(np.float32)
         self.prior = float(labels.mean())
 
     def weigh(self, rows: np.ndarray) -> np.ndarray:
-        terms = np.log1p(rows[:, :-RATIOS]) * self.idf
-        norm = np.linalg.norm(terms, axis=1, keepdims=True)
-        return np.hstack([terms / np.maximum(norm, 1e-9), rows[:, -RATIOS:] * np.float32(RATIO_WEIGHT)])
-
-    def place(self, rows: np.ndarray) -> np.ndarray:
-        x = self.weigh(rows) @ self.project
+        """Weighted counts, in the place of the counts."""
+        terms = rows[:, :-RATIOS]
+        np.log1p(terms, out=terms)
+        terms *= self.idf
+        for i in range(0, len(rows), 256):
+            terms[i: i + 256] /= np.maximum(np.linalg.norm(terms[i: i + 256], axis=1, keepdims=True), 1e-9)
+        rows[:, -RATIOS:] *= np.float32(RATIO_WEIGHT)
+        return rows
+
+    def place(self, weighed: np.ndarray) -> np.ndarray:
+        x = weighed @ self.project
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.where(norm > 1e-9, x / np.maximum(norm, 1e-9), 0)
 
     def vote(self, rows: np.ndarray) -> np.ndarray:
-        """Scores of documents: exact cosines with all labelled vectors."""
-        x = self.place(rows)
+        """Scores of documents: exact cosines with all labelled vectors. Of equally
+        near ones those of the lower label vote first. ``rows`` is overwritten."""
+        x = self.place(self.weigh(rows))
         score = np.full(len(x), self.prior)
         known = np.abs(x).sum(axis=1) > 0
         k = min(NEIGHBOURS, len(self.vectors))
@@ -128,6 +140,10 @@ class Space:
             part = slice(i, i + 512)
             sim = x[part] @ self.vectors.T
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+            # ties at the last place go by label, so that the vote doesn't hang on an order
+            edge = np.take_along_axis(sim, near, 1).min(axis=1, keepdims=True)
+            for r in np.flatnonzero((sim >= edge).sum(axis=1) > k):
+                near[r] = np.lexsort((self.labels, -sim[r]))[:k]
             s = np.take_along_axis(sim, near, 1).astype(np.float64)
             w = np.exp(SHARPNESS * (s - s.max(axis=1, keepdims=True)))
             score[part] = np.where(known[part], (w * self.labels[near]).sum(axis=1) / w.sum(axis=1), self.prior)
@@ -141,32 +157,66 @@ def _sparse(batches):
             rows = counts(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
             at = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label").slice(i, j - i), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
-                 pa.array([r[a] for r, a in zip(rows, at)], pa.list_(pa.float32()))], names=["label", "at", "value"])
+                [batch.column("id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
+                 pa.array([r[a] for r, a in zip(rows, at)], pa.list_(pa.float32()))], names=["id", "label", "at", "value"])
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, most: int) -> DataFrame:
-    """(label, text) of at most ``most`` labelled documents of the training
-    folds, in hash order: a bounded table."""
+def _having(batches):
+    """One row a task: documents, and how many of them have each hashed term."""
+    n, having = 0, np.zeros(COLUMNS - RATIOS, np.int64)
+    for batch in batches:
+        data, offsets = K.string_buffers(batch.column("text"))
+        for i, j in K.slices(offsets, 1 << 20):
+            for a in range(i, j, 512):
+                b = min(a + 512, j)
+                having += (counts(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])[:, :-RATIOS] > 0).sum(axis=0)
+        n += batch.num_rows
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([having], pa.list_(pa.int64()))], names=["n", "having"])
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents with a text, and of those that have each term."""
+    each = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_having, "n long, having array<long>")
+    sums = (each.select("n", F.posexplode("having").alias("term", "own")).groupBy("term")
+            .agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect())  # a row a term
+    having = np.zeros(COLUMNS - RATIOS)
+    for r in sums:
+        having[r["term"]] = r["own"]
+    return (sums[0]["n"] if sums else 0), having
+
+
+def sample_of(ws: Workspace, docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, most: int) -> DataFrame:
+    """(id, label, text) of at most ``most`` labelled documents of the training
+    folds, in hash order: a bounded table, written once. Of the texts of a
+    repeated id the one with the least hash counts, and the lowest label."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold_of("doc_id", folds) != held_out))
-             .groupBy(F.col("doc_id").alias("_id")).agg(F.min(column).cast("int").alias("label")))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+             .groupBy(F.col("doc_id").alias("id")).agg(F.min(column).cast("int").alias("label")))
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # hash order over labelled ids that have a document
-    there = known.join(texts.select("_id").distinct(), "_id", "left_semi")
-    chosen = hash_head(there, most, "_id")
-    return texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("label", "text")
-
-
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Space | None:
-    rows = sample_of(docs, labels, column, FOLDS, HELD_OUT, SAMPLE).mapInArrow(_sparse, "label int, at array<int>, value array<float>").toArrow()
-    if not rows.num_rows:
+    there = known.join(texts.select("id").distinct(), "id", "left_semi")
+    chosen = hash_head(there, most, "id")
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    return ws.save(one.select("id", "label", "t.text"), "sample")
+
+
+def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, column: str = "quality") -> Space | None:
+    sample = sample_of(ws, docs, labels, column, FOLDS, HELD_OUT, SAMPLE)
+    kind = sample.schema["id"].dataType.simpleString()
+    table = sample.mapInArrow(_sparse, f"id {kind}, label int, at array<int>, value array<float>").toArrow()
+    ws.drop("sample")
+    if not table.num_rows:
         return None
-    dense = np.zeros((rows.num_rows, COLUMNS), np.float32)
-    for r, (at, value) in enumerate(zip(rows.column("at"), rows.column("value"))):
+    # by id: the same model whatever the order of the rows
+    ids, label = table.column("id").to_pylist(), table.column("label").to_numpy()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    dense = np.zeros((len(ids), COLUMNS), np.float32)
+    for r, at, value in zip(place, table.column("at"), table.column("value")):
         dense[r, at.values.to_numpy()] = value.values.to_numpy()
-    label = rows.column("label").to_numpy()
-    order = np.lexsort((*dense[:, :: COLUMNS // 64].T, dense.sum(axis=1), label))  # the same model whatever the row order
-    return Space(dense[order], label[order])
+    del table
+    n, having = document_frequencies(docs)
+    return Space(dense, label[order], having, n)
 
 
 def _scored(space, columns, keep: bool):
@@ -190,16 +240,17 @@ def _scored(space, columns, keep: bool):
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    space = spark.sparkContext.broadcast(fit(docs, labels))
+    ws = Workspace(spark, "lsa-vote")
+    space = spark.sparkContext.broadcast(fit(ws, docs, labels))
     rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = rows.mapInArrow(_scored(space, ["doc_id", "held_out"], False), f"doc_id {kind}, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int"))
+    return ws.finish(out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int")))
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
-    space = spark.sparkContext.broadcast(fit(docs, labels))
+    space = spark.sparkContext.broadcast(fit(Workspace(spark, "lsa-vote"), docs, labels))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
     rows = docs.select(row)
     return rows.mapInArrow(_scored(space, ["row"], True), rows.schema).select("row.*")

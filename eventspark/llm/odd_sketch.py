@@ -219,10 +219,9 @@ def _prefix_pairs(ws: Workspace, open_nodes: DataFrame, nodes: DataFrame, texts:
             .join(ids.select(F.col("id").alias("id_b"), F.col("node").alias("b")), "id_b").select("a", "b"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100),
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest id
-    reachable over links of Jaccard similarity >= threshold), kept."""
+def _groups(spark: SparkSession, docs: DataFrame, shingle_words: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[Workspace, DataFrame]:
+    """(doc_id, text_key, n_shingles, low: the smallest (doc_id, text_key) of
+    the row's group, null without a group) for every row."""
     ws = Workspace(spark, "odd-sketch")
     num, den = threshold
     docs = text_docs(docs, id_col, text_col).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -277,25 +276,44 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5
         comp = ws.save(components(links.union(found), ws, "cc"), "components")
 
     # the smallest id of each component, over all rows
-    keyed = feats.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn(
+    keyed = feats.select("doc_id", "text_key", "n_shingles", "node").join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     # written, so that the join below can split a large component
-    low = ws.save(keyed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("low")), "low")
-    out = (keyed.join(low, "component", "left")
-           .select("doc_id", "n_shingles",
-                   F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
+    low = ws.save(keyed.where(F.col("component").isNotNull() & F.col("doc_id").isNotNull()).groupBy("component").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("low")), "low")
+    return ws, keyed.join(low, "component", "left")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100),
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest id
+    reachable over links of Jaccard similarity >= threshold), kept."""
+    ws, found = _groups(spark, docs, shingle_words, threshold, id_col, text_col)
+    out = (found.select("doc_id", "n_shingles",
+                        F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("low.doc_id", "doc_id")).alias("component_id"))
            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
     return ws.finish(out)
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that a near-duplicate filter keeps: of each group
-    the document with the smallest id. Rows that repeat an id are one document
-    (the row with the smallest plain values stands for it); rows without an id
-    all stay."""
-    gone = near_duplicates(spark, docs, **options).where("not kept").select("doc_id").distinct()
-    named = docs.where(docs["doc_id"].isNotNull())
+def keep_one(spark: SparkSession, docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs`` that a near-duplicate filter keeps: of each group of
+    texts the one with the smallest (id, md5 of the text). Decisions are by id
+    and text, so a row goes only if its own text's group keeps another one; of
+    rows that repeat both, the one with the smallest plain values stays. Rows
+    without an id, and texts without words, all stay."""
+    ws, found = _groups(spark, docs, shingle_words, threshold, "doc_id", "text")
+    own = F.struct("doc_id", "text_key")
+    marked = ws.save(found.where(F.col("low").isNotNull()).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+                     .agg(F.first(own != F.col("low")).alias("_gone"), F.count(F.lit(1)).alias("_n")).where("_gone OR _n > 1"), "marked")
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        # equal texts are found by their md5; only the keys of marked rows are shuffled against the documents
+        return docs.join(keys, (docs["doc_id"].cast("long") == keys["_id"]) & (F.unhex(F.md5(docs["text"].cast("string").cast("binary"))) == keys["_key"]), how)
+
+    kept = met(marked, "left_anti")
+    twice = marked.where("NOT _gone").select("_id", "_key")
+    if twice.isEmpty():
+        return kept
     plain = [docs[f.name] for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(*plain)).alias("row"))
-    kept = one.join(gone, "doc_id", "left_anti").select("row.*")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    rows = met(twice, "inner").groupBy(twice["_id"], twice["_key"]).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.struct(*plain)).alias("row"))
+    return kept.unionByName(rows.select("row.*"))

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventspark.llm import kernels as K
-from eventspark.llm.common import fold_of, hash_place
+from eventspark.llm.common import Workspace, fold_of, hash_place
 
 FOLDS, HELD_OUT = 4, 2
 DOCS_EACH = 300
@@ -266,4 +266,4 @@ def identify(spark: SparkSession, docs: DataFrame, with_spans: bool = False) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
     more = ", spans array<struct<start:long,end:long,lang:string>>" if with_spans else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")
+    return Workspace(spark, "script-viterbi").finish(rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}"))

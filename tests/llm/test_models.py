@@ -1,6 +1,8 @@
 """Learned operators: held-out accuracy and special rows; the pipeline."""
 
+import collections
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 import corpus_pipeline
 from eventspark.llm import arrow_output, lexicon_toxicity, lsa_vote, script_viterbi
 from eventspark.llm import kernels as K
-from eventspark.llm.common import read_table
+from eventspark.llm.common import Workspace, read_table
 from eventspark.llm.entry import tokenizer_path
 from tests.conftest import SF01
 from tests.llm.fixtures import edge_docs, no_docs, prose
@@ -45,13 +47,76 @@ def test_cosines_are_exact():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 4, (60, lsa_vote.COLUMNS)).astype(np.float32)
     labels = rng.integers(0, 2, 60)
-    space = lsa_vote.Space(rows, labels)
-    x = space.place(rows[:5]).astype(float)
+    space = lsa_vote.Space(rows.copy(), labels, (rows[:, :-lsa_vote.RATIOS] > 0).sum(axis=0), 60)
+    x = space.place(space.weigh(rows[:5].copy())).astype(float)
     for i in range(5):
         s = space.vectors.astype(float) @ x[i]
         near = np.argsort(-s)[: lsa_vote.NEIGHBOURS]
         w = np.exp(lsa_vote.SHARPNESS * (s[near] - s[near].max()))
-        assert abs(space.vote(rows[i:i + 1])[0] - (w * labels[near]).sum() / w.sum()) < 1e-3
+        assert abs(space.vote(rows[i:i + 1].copy())[0] - (w * labels[near]).sum() / w.sum()) < 1e-3
+
+
+def plain_counts(text):
+    """The counts of one text, word by word."""
+    data = (text or "").encode()
+    out = collections.Counter()
+    kinds = [int(lsa_vote._SHAPE[b]) for b in data]
+    for a, b, c in zip(kinds, kinds[1:], kinds[2:]):
+        out[int(lsa_vote._SHAPE_COLUMN[(a * lsa_vote._KINDS + b) * lsa_vote._KINDS + c])] += 1
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", data):
+        code = K.span_codes(np.frombuffer(m[0], np.uint8), np.array([0]), np.array([len(m[0])]), K.FOLDED_CODES)
+        out[lsa_vote.SHAPES + int(lsa_vote._hashed(code, lsa_vote.WORDS)[0])] += 1
+        out[lsa_vote.SHAPES + lsa_vote.WORDS + min(len(m[0]), lsa_vote.LENGTHS) - 1] += 1
+    return out
+
+
+def test_quality_query_matches_a_plain_recomputation(spark, tables):
+    docs = tables["documents"].where("doc_id < 200")
+    ws = Workspace(spark, "test")
+    space = lsa_vote.fit(ws, docs, tables["labels"])
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    # document frequencies are those of all documents
+    having = collections.Counter(t for text in rows.values() if text is not None for t in plain_counts(text))
+    n, found = lsa_vote.document_frequencies(docs)
+    assert n == sum(t is not None for t in rows.values()) and {i: int(c) for i, c in enumerate(found) if c} == having
+    scores = {r["doc_id"]: r["score"] for r in lsa_vote.score(spark, docs, tables["labels"]).collect()}
+    assert len(scores) == len(rows)
+    for i, text in rows.items():
+        x = np.zeros((1, lsa_vote.COLUMNS), np.float32)
+        for t, c in plain_counts(text).items():
+            x[0, t] = c
+        raw = (text or "").encode()
+        x[0, -lsa_vote.RATIOS:] = lsa_vote.counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0, -lsa_vote.RATIOS:]
+        terms = np.log1p(x[0, :-lsa_vote.RATIOS].astype(float)) * space.idf
+        v = np.concatenate([terms / max(np.linalg.norm(terms), 1e-9), x[0, -lsa_vote.RATIOS:] * lsa_vote.RATIO_WEIGHT]) @ space.project.astype(float)
+        if not np.linalg.norm(v) > 1e-9:
+            assert abs(scores[i] - space.prior) < 1e-9
+            continue
+        s = space.vectors.astype(float) @ (v / np.linalg.norm(v))
+        near = np.argsort(-s)[: lsa_vote.NEIGHBOURS]
+        w = np.exp(lsa_vote.SHARPNESS * (s[near] - s[near].max()))
+        assert abs(scores[i] - (w * space.labels[near]).sum() / w.sum()) < 2e-3, i
+
+
+def test_scores_do_not_hang_on_row_placement(spark):
+    """Ids with several texts: any partitioning learns from the same ones."""
+    rows = [(i, prose(3 * i + k, 40 + i % 30) + (" !!!" * 20 if k == i % 3 else ""), k) for i in range(250) for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2, (i // 2) % 2) for i in range(250)], LABELS)
+    for model in (lsa_vote, lexicon_toxicity):
+        a, b = (sorted((r["doc_id"], r["score"]) for r in model.score(spark, spark.createDataFrame(own, "doc_id long, text string, k int").repartition(n), labels).collect())
+                for own, n in ((rows, 2), (rows[::-1], 7)))
+        # (products of single-precision blocks differ in their last bits)
+        assert [x[0] for x in a] == [x[0] for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b], atol=1e-6, rtol=0)
+
+
+def test_tied_neighbours_vote_alike():
+    """Copies on both sides of the last place: label 0 goes first, in any order."""
+    base = np.zeros((1, lsa_vote.COLUMNS), np.float32)
+    base[0, :5] = 3
+    rows = np.repeat(base, 60, axis=0)
+    for labels in (np.arange(60) % 2, 1 - np.arange(60) % 2):
+        space = lsa_vote.Space(rows.copy(), labels, np.ones(lsa_vote.COLUMNS - lsa_vote.RATIOS), 10)
+        assert space.vote(base.copy())[0] == 0  # 30 of each label, 25 vote
 
 
 def test_models_on_special_rows(spark, tables):
@@ -93,6 +158,42 @@ def test_languages_of_several_scripts_and_spans(spark):
     assert mixed[first["start"]: first["end"]] == mixed.split(".")[0]
 
 
+def test_language_query_matches_a_plain_recomputation(spark, tables):
+    """Word by word: features counted one at a time, the path by plain Viterbi."""
+    docs = tables["documents"].where("doc_id < 60 OR lang IS NULL")
+    model = script_viterbi.fit(docs)
+    lower, scripts = script_viterbi.letter_tables()
+    got = {r["doc_id"]: r for r in script_viterbi.identify(spark, docs).collect()}
+    for r in docs.collect():
+        text = (r["text"] or "")[:200_000]
+        words = [m for m in re.finditer(r"[^\W\d_]+", text)]
+        letters, best, back = collections.Counter(), None, []
+        for m in words:
+            raw = m[0].encode()
+            w = script_viterbi.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            s = np.zeros(len(model.languages))
+            for two, three in zip(w.two, w.three):
+                s += model.logs[two] + model.logs[three]
+            s += model.logs[w.whole[0]] + model.excluded[w.script[0]]
+            if best is None:
+                best, stay = s, np.arange(len(s))
+            else:
+                jump = best.max() - script_viterbi.SWITCH
+                stay = np.where(best >= jump, np.arange(len(s)), best.argmax())
+                best = np.maximum(best, jump) + s
+            back.append(stay)
+        if not words:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        k = int(best.argmax())
+        for m, stay in zip(reversed(words), reversed(back)):
+            letters[k] += len(m[0])
+            k = int(stay[k])
+        top = max(letters.values())
+        assert abs(got[r["doc_id"]]["score"] - top / sum(letters.values())) < 0.02
+        assert got[r["doc_id"]]["lang_pred"] in {model.languages[k] for k, n in letters.items() if n >= 0.98 * top}
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(25):
@@ -165,6 +266,62 @@ def test_toxicity_on_held_out_documents(spark, tables):
     assert np.mean([p == y for _, p, y in rows]) > 0.93
 
 
+def plain_features(model, text):
+    """The inputs of the curve for one text, by looking at every word."""
+    sums, heaviest, n_words = 0.0, 0.0, 0
+    versions = [[w for w in lexicon_toxicity.fold(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), r)[0].split()] for r in range(lexicon_toxicity.READINGS)]
+    for at in range(len(versions[0])):
+        n_words += 1
+        for words in versions:
+            own = [s for s in model.stems if (words[at] + " ").startswith(s)]
+            if own:
+                stem = max(own, key=len)
+                two = {f"{words[at - 1] if at else ''} {stem.strip()}", f"{stem.strip()} {words[at + 1] if at + 1 < len(words) else ''}"}
+                if not two & model.exceptions:
+                    sums, heaviest = sums + model.stems[stem], max(heaviest, model.stems[stem])
+                break
+    return [1.0, np.log1p(sums), sums / np.sqrt(max(1, n_words)), heaviest, float(heaviest > 0)]
+
+
+def test_toxicity_query_matches_a_plain_recomputation(spark, tables):
+    docs = tables["documents"].where("doc_id < 200")
+    model = lexicon_toxicity.fit(spark, docs, tables["labels"])
+    model = model if model.stems else lexicon_toxicity.fit(spark, tables["documents"], tables["labels"])
+    rows = docs.collect()
+    data, offsets = K.string_buffers(pa.array([r["text"] or "" for r in rows]))
+    x, _ = model.features(data, offsets)
+    assert model.stems and np.allclose(x, [plain_features(model, r["text"] or "") for r in rows])
+    again = {r["doc_id"]: r["score"] for r in lexicon_toxicity.score(spark, tables["documents"], tables["labels"]).collect()}
+    full = lexicon_toxicity.fit(spark, tables["documents"], tables["labels"])
+    assert np.allclose([again[r["doc_id"]] for r in rows], full.score(full.features(data, offsets)[0]))
+
+
+def test_short_words_and_both_readings_of_a_one(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        words = prose(i + 70_000, rng.randrange(20, 100)).split()
+        if i % 3 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["zug", "qo", "wortling"]))
+        elif i % 3 == 1:
+            words.insert(rng.randrange(len(words)), rng.choice(["zugspitze", "qora"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    extra = [(2000, "a ZUG here"), (2001, "zugspitze"), (2002, "the q0 one"), (2003, "wort1ing"), (2004, "wortl1ng"), (2005, "zug"), (2006, "qora qo")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lexicon_toxicity.score(spark, docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert [found[i]["predicted"] for i in range(2000, 2007)] == [1, 0, 1, 1, 1, 1, 1]
+    assert sum(found[i]["predicted"] != y for i, _, y in labels) <= 9
+
+
+def test_neighbours_are_whole_words():
+    long_word = "x" * 300
+    text = f" {long_word} grum {long_word}y "
+    at = text.index("grum")
+    assert lexicon_toxicity.Lexicon.phrases(text, 0, len(text), at, "grum") == (f"{long_word} grum", f"grum {long_word}y")
+    assert lexicon_toxicity.Lexicon.phrases("  ab  ", 0, 6, 2, "ab ") == (" ab", "ab ")
+
+
 def test_automaton_finds_the_longest_stem():
     model = lexicon_toxicity.Lexicon({"grum": 1.0, "grumbold": 3.0, "old": 2.0}, base=0.0)
     texts = ["grumbolds are old, bold", "grumpy"]
@@ -192,7 +349,6 @@ def test_pipeline_matches_brute_force(spark, tables):
         per_id.setdefault(r["doc_id"], []).append(r)
     assert set(per_id) <= set(ids) and max(map(len, per_id.values())) <= 2
     # rates of the mix
-    import re
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", rows[i]["text"] or "")) for i in ids}
     per_source = {}
     for i in ids:

@@ -102,6 +102,16 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark):
     assert odd_sketch.keep_one(spark, no_docs(spark)).count() == 0
 
 
+def test_keep_one_decides_by_text(spark):
+    """Rows under one id are judged each by its own text."""
+    a, b, c = (prose(k, 80) for k in (41, 42, 43))
+    near = b.replace(b.split()[40], "changed", 1)
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, near, "x"), (2, c, "w"), (2, c, "y"), (4, None, "z"), (4, None, "z")],
+                                 "doc_id long, text string, _id string").repartition(4)
+    kept = sorted(map(tuple, odd_sketch.keep_one(spark, docs).collect()), key=str)
+    assert kept == sorted([(1, a, "x"), (1, b, "x"), (2, c, "w"), (4, None, "z"), (4, None, "z")], key=str)
+
+
 def repeats_by_force(texts, n):
     raw = [(t or "").encode() for t in texts]
     count = collections.Counter(b[i:i + n] for b in raw for i in range(len(b) - n + 1))
