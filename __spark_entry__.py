@@ -25,7 +25,8 @@ from eventspark.functions.timefn import instant
 from eventspark.operators.ingest import (PROCESSED_COLUMNS, invalid_events, invalid_json, process_events, processed_json,
                                          valid_events)
 from eventspark.operators.metrics import window_metrics
-from eventspark.operators.rollups import read_rollup, refresh
+from eventspark.operators.recent import rows_for_last_seconds, rows_for_recent_events
+from eventspark.operators.rollups import read_rollup, refresh, refresh_from_log
 from eventspark.operators.tables import insert_ignore_duplicates, metrics_table, raw_table_rows, upsert_metrics, write_raw
 from eventspark.plans import feeds, queries as Q, reports as R
 from eventspark.plans.derive import Derived, from_sf
@@ -122,6 +123,19 @@ def _k3_insert(spark, sf):
     return present(spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*RAW_TABLE_COLUMNS))
 
 
+def _k3_late(spark, sf):
+    """Three deliveries through the key index: the newer half of the events,
+    then the older half with a part of the first again (a late delivery that
+    lies before everything stored), then everything once more."""
+    d = _d(spark, sf)
+    path = work_path(spark, "k3-late")
+    rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
+    half, more = rows.select(F.percentile_approx("sequence", [0.5, 0.6])).first()[0]
+    for part in (rows.filter(F.col("sequence") > half), rows.filter(F.col("sequence") <= more), rows):
+        insert_ignore_duplicates(spark, part, path, ["processing_time"])
+    return present(spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*RAW_TABLE_COLUMNS))
+
+
 def _k4_upsert(spark, sf):
     """Metrics upserted twice: first every window from half of its events (even
     sequence numbers), then every window complete, so that each stored row with
@@ -144,6 +158,32 @@ def _w1_out_of_order(spark, sf):
     return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
 
 
+def _w2_compacted(spark, sf):
+    """The same in ten deliveries, each of all windows, with the state compacted
+    after every third; the sixth is delivered twice, and the second once more
+    after it has been merged (neither may count again)."""
+    d = _d(spark, sf)
+    partials, path = work_path(spark, "w2-partials"), work_path(spark, "w2-metrics")
+    for epoch in (0, 1, 2, 3, 4, 5, 5, 1, 6, 7, 8, 9):
+        batch = d.valid.where(F.col("sequence") % 10 == (epoch * 7) % 10)
+        upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10, merge_after=3), path, F.col("bucket_end"))
+    return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
+
+
+def _m7_log(spark, sf):
+    """Roll-ups refreshed from the log of changed spans: after the newer events
+    came, after a late delivery of every seventh event, and after the rest."""
+    d = _d(spark, sf)
+    raw, minute, quarter = (work_path(spark, n) for n in ("m7-raw", "m7-minute", "m7-quarter"))
+    rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
+    newer = F.col("sequence") > rows.select(F.percentile_approx("sequence", 0.5)).first()[0]
+    seventh = F.col("sequence") % 7 == 0
+    for part in (rows.filter(newer & ~seventh), rows.filter(seventh), rows.filter(~newer)):
+        insert_ignore_duplicates(spark, part, raw, ["processing_time"])
+        refresh_from_log(spark, raw, minute, quarter)
+    return present(read_rollup(spark, minute, "events_1min").drop("bucket_date"))
+
+
 def _messages(spark, sf):
     prepare(spark)
     return process_events(rule_stream(spark, sf), "value", "processing_time")
@@ -248,6 +288,17 @@ def _stored(fn, table):
     return run
 
 
+def _top_stored(rows_of, fn, limit):
+    """A top-k report over the stored table of the 30-day stream, from the days
+    that the bounds noted by its writes leave."""
+    def run(spark, sf):
+        prepare(spark)
+        path = work_path(spark, "top-raw")
+        write_raw(from_sf(spark, sf, table_times=True).raw, path)
+        return present(fn(rows_of(spark, path, limit), limit))
+    return run
+
+
 def _raw_q(fn, with_as_of=True):
     def run(spark, sf):
         d = _d(spark, sf)
@@ -289,7 +340,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "v_rejected_events": _v_rejected,
         "k3_raw_table": _k3,
         "k3_raw_insert_two_deliveries": _k3_insert,
+        "k3_raw_insert_late_delivery": _k3_late,
         "k4_metrics_upsert": _k4_upsert,
+        "w2_metrics_after_compaction": _w2_compacted,
+        "m7_refresh_from_log": _m7_log,
+        "q05_stored_30_days": _top_stored(rows_for_last_seconds, Q.q05_throughput_per_second, 120),
+        "q06_stored_30_days": _top_stored(rows_for_recent_events, Q.q06_recent_events, 20),
         "w1_stream_metrics_out_of_order": _w1_out_of_order,
         "v_rule_errors": _v_rules,
         "v_processed_messages": _v_processed_messages,
@@ -608,17 +664,20 @@ def oracle_sql() -> dict[str, str]:
         "d8_recent_events": _with(recent, ("price",)),
     }
     on_table_clock = lambda q: q.replace(f"({REPLAY_CLOCK})", f"({TABLE_CLOCK})")
-    for stored, name in {"q02": "q02_last_1_hour", "q03": "q03_last_24_hours", "q11": "q11_rollup_last_1_hour", "q12": "q12_rollup_last_24_hours",
+    for stored, name in {"q05": "q05_throughput_per_second", "q06": "q06_recent_events", "q02": "q02_last_1_hour", "q03": "q03_last_24_hours", "q11": "q11_rollup_last_1_hour", "q12": "q12_rollup_last_24_hours",
                          "d6": "d6_total_events_last_hour", "d7": "d7_avg_latency_last_hour"}.items():
         sql[f"{stored}_stored_30_days"] = on_table_clock(sql[name])
     sql["m5_refresh_emptied_days"] = on_table_clock(sql["m1_rollup_1min"]).replace("FROM valid WHERE copy = 0", "FROM valid WHERE copy = 0 AND day(event_time) % 3 != 0")
-    sql["w1_stream_metrics_out_of_order"] = sql["a1_window_metrics"]
+    sql["w1_stream_metrics_out_of_order"] = sql["w2_metrics_after_compaction"] = sql["a1_window_metrics"]
+    sql["k3_raw_insert_late_delivery"] = sql["k3_raw_table"]
+    sql["m7_refresh_from_log"] = sql["m1_rollup_1min"]
     rules = "WITH " + _RULES
     stamp = lambda t: f"strftime({t}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
     sql["v_rule_errors"] = rules + "SELECT validation_error, count(*) AS events FROM outcome GROUP BY validation_error"
     sql["v_processed_messages"] = rules + f"""
       SELECT '00000000-0000-4000-a000-' || lpad(event_id::VARCHAR, 12, '0') AS event_id, CASE c WHEN 16 THEN 'unknown' ELSE 'producer-' || user_id % 5 END AS producer_id,
-        symbol, CASE c WHEN 19 THEN '0.123456789012345678' WHEN 20 THEN '123456789.123456789012000000' ELSE (event_id % 900 + 1) || '.250000000000000000' END AS price,
+        symbol, CASE c WHEN 19 THEN '0.123456789012345678' WHEN 20 THEN '123456789.123456789012000000'
+          WHEN 21 THEN '987654321.123456789012345678' ELSE (event_id % 900 + 1) || '.250000000000000000' END AS price,
         CASE c WHEN 18 THEN 2 ELSE event_id % 7 + 1 END::INTEGER AS quantity, {stamp("t - to_milliseconds(5)")} AS event_time, {stamp("t - to_milliseconds(2)")} AS producer_time,
         {stamp("t")} AS processing_time, 'rules' AS source, 'low' AS scenario, event_id AS sequence, 2::BIGINT AS ingestion_latency_ms, 5::BIGINT AS event_lag_ms, true AS valid
       FROM outcome WHERE validation_error IS NULL"""

@@ -74,7 +74,6 @@ _INT_LITERAL = r"\A[+-]?[0-9]+\z"
 # A price of more digits than a double is sure to hold, or with an exponent
 # (the pattern starts with a literal, which is searched for quickly).
 _LONG_NUMBER = r"\"price\"\s*:\s*-?[0-9.]*(?:[0-9.]{16}|[eE])"
-_PRICE_NUMBER = r"\"price\"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 _JSON_NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 _TEXT_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in WIRE_FIELDS]
                             + [T.StructField("_corrupt_record", T.StringType(), True)])
@@ -96,12 +95,10 @@ def _decode_stages(ctx: int, value_col: str, columns: tuple[str, ...]) -> list[l
     raw = F.col(value_col)
     keep = [F.col(f"`{c}`") for c in columns]
     stages: list[list[Column]] = []
-    # 1: text parse
-    stages.append([*keep, F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS).alias("_j")])
-    # A number's text went through a double. Where it may have lost digits, the
-    # digits come from the message, if they name the same double.
-    exact = F.regexp_extract(raw, _PRICE_NUMBER, 1)
-    long_number = F.coalesce(raw.rlike(_LONG_NUMBER), F.lit(False))
+    # 1: text parse. A number's text goes through a double; where that may lose
+    #    digits, the root's price is parsed once more, as an exact decimal.
+    exact = F.from_json(raw, T.StructType([T.StructField("price", PRICE)]), _JSON_OPTIONS).getField("price")
+    stages.append([*keep, F.from_json(raw, _TEXT_SCHEMA, _JSON_OPTIONS).alias("_j"), F.when(raw.rlike(_LONG_NUMBER), exact).alias("_exact")])
     # 2: field texts, trimmed numeric texts, root check, ambiguity flag
     j = lambda f: F.col(f"_j.{f}")
     ambiguous = F.lit(False)
@@ -112,7 +109,9 @@ def _decode_stages(ctx: int, value_col: str, columns: tuple[str, ...]) -> list[l
                                            F.lit(False))
     root_bad = (F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull()
                 | ~F.coalesce(raw.rlike(r"\A\s*\{"), F.lit(False)))
-    price = F.when(long_number & (exact.try_cast("double") == j("price").try_cast("double")), exact).otherwise(java_trim(j("price")))
+    # (a decimal that is another number than the text is none of the message's)
+    same = F.col("_exact").cast("double") == j("price").try_cast("double")
+    price = F.when(same, F.col("_exact").cast("string")).otherwise(java_trim(j("price")))
     stages.append([*keep, root_bad.alias("_root_bad"), ambiguous.alias("_amb"),
                    *[j(f).alias(f"_s_{f}") for f in WIRE_FIELDS],
                    price.alias("_t_price"), *[java_trim(j(f)).alias(f"_t_{f}") for f in ("quantity", "sequence")]])

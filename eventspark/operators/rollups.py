@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import average_price
 from ..functions.timefn import interval_micros, time_bucket, to_micros
 from ..schema import RAW_TABLE_SCHEMA, ROLLUP_15MIN_FIELDS, ROLLUP_1MIN_FIELDS, rollup_schema
+from .spans import SpanLog, Spans, at_most, common, merged, widened, without
 from .store import HOUR_MICROS, HourTable
 from .tables import read_days
 
@@ -32,6 +33,9 @@ ROLLUP_15MIN = {"name": "events_15min", "width": "15 minutes",
 # Manual refresh ranges used after a run: 25 h for 1 min, then 26 h for 15 min.
 MANUAL_REFRESH = [("events_1min", "25 hours"), ("events_15min", "26 hours")]
 
+#: Spans in one refresh's predicates; beyond that, the smallest gaps are recomputed as well.
+MOST_SPANS = 64
+
 _COLS_1MIN = [n for n, _ in ROLLUP_1MIN_FIELDS]
 _COLS_15MIN = [n for n, _ in ROLLUP_15MIN_FIELDS]
 
@@ -93,26 +97,14 @@ def aligned_range(start, end, width: str) -> tuple[int, int]:
     return lo, max(to_micros(end) // w * w, lo)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans, touching and overlapping ones joined; empty ones left out."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if lo < hi:
-            if out and lo <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], hi)
-            else:
-                out.append([lo, hi])
-    return [tuple(x) for x in out]
-
-
-def _in_spans(time_col: str, spans: list[tuple[int, int]]) -> Column:
+def _in_spans(time_col: str, spans: Spans) -> Column:
     at, cond = F.unix_micros(time_col), F.lit(False)
     for lo, hi in spans:
         cond = cond | ((at >= F.lit(lo)) & (at < F.lit(hi)))
     return cond
 
 
-def _source_rows(source: DataFrame, time_col: str, spans: list[tuple[int, int]]) -> DataFrame:
+def _source_rows(source: DataFrame, time_col: str, spans: Spans) -> DataFrame:
     """The source's rows in the spans; day predicates prune its partitions."""
     instant = lambda m: F.timestamp_micros(F.lit(m).cast("long"))
     day = next((c for c in ("event_date", "bucket_date") if c in source.columns), None)
@@ -125,10 +117,10 @@ def _source_rows(source: DataFrame, time_col: str, spans: list[tuple[int, int]])
     return source.where(cond)
 
 
-def refresh_spans(spark: SparkSession, source: DataFrame, rollup_path: str, which: str, spans: list[tuple[int, int]]) -> None:
+def refresh_spans(spark: SparkSession, source: DataFrame, rollup_path: str, which: str, spans: Spans) -> None:
     """Recompute the buckets of ``which`` inside all (bucket-aligned) spans, in
     one pass over the source and one switch of the table."""
-    spans = merged(spans)
+    spans = at_most(spans, MOST_SPANS)
     if not spans:
         return
     time_col, build = ("event_time", rollup_1min) if which == "events_1min" else ("bucket", rollup_15min)
@@ -163,22 +155,57 @@ def raw_days(spark: SparkSession, raw_path: str, days: list[str]) -> DataFrame:
     return spark.createDataFrame([], RAW_TABLE_SCHEMA) if rows is None else rows
 
 
-def days_of(spark: SparkSession, lo: int, hi: int) -> list[str]:
-    """The days that ``[lo, hi)`` touches, as text."""
+def days_of(spark: SparkSession, spans: Spans) -> list[str]:
+    """The days that spans touch, as text."""
     day = 24 * HOUR_MICROS
-    days = spark.range(lo // day, -(-hi // day)).select(F.date_from_unix_date(F.col("id").cast("int")).cast("string"))
-    return [r[0] for r in days.collect()]
+    numbers = [(d,) for d in sorted({d for lo, hi in spans for d in range(lo // day, -(-hi // day))})]
+    return [r[0] for r in spark.createDataFrame(numbers, "d int").select(F.date_from_unix_date("d").cast("string")).collect()]
 
 
 def refresh_by_policy(spark: SparkSession, raw_path: str, minute_path: str, quarter_path: str, as_of) -> None:
     """Both refresh policies at ``as_of``, in dependency order: the range
     behind the open bucket, of the last 2 hours (1 min) and 26 hours (15 min)."""
     lo, hi = refresh_policy_window(as_of, "events_1min")
-    refresh(spark, raw_days(spark, raw_path, days_of(spark, lo, hi)), minute_path, "events_1min", lo, hi)
+    refresh(spark, raw_days(spark, raw_path, days_of(spark, [(lo, hi)])), minute_path, "events_1min", lo, hi)
     lo, hi = refresh_policy_window(as_of, "events_15min")
     refresh(spark, read_rollup(spark, minute_path, "events_1min", lo, hi), quarter_path, "events_15min", lo, hi)
 
 
+def refresh_from_log(spark: SparkSession, raw_path: str, minute_path: str, quarter_path: str, as_of=None) -> dict[str, Spans]:
+    """Refresh both roll-ups where rows have changed since the last time, in
+    dependency order, and return the spans refreshed.
+
+    The raw table's writes log the spans they touch. The 1-minute refresh takes
+    them, and logs what it recomputed for the 15-minute refresh, which takes it
+    in turn. With ``as_of`` the two policies apply: only what lies in their
+    ranges at that time is refreshed; newer spans (the open bucket) stay in the
+    log for a later run, and older ones are given up, as the policies say. An
+    entry is removed only after its spans have been refreshed, so a run that
+    dies is simply repeated."""
+    done = {}
+    for which, source_path, target in (("events_1min", raw_path, minute_path), ("events_15min", minute_path, quarter_path)):
+        width = interval_micros((ROLLUP_1MIN if which == "events_1min" else ROLLUP_15MIN)["width"])
+        log = SpanLog(spark, source_path)
+        names, changed = log.take()
+        changed, later = widened(changed, width), []
+        if as_of is not None:
+            lo, hi = refresh_policy_window(as_of, which)
+            lo, hi = aligned_range(lo, hi, ROLLUP_1MIN["width"] if which == "events_1min" else ROLLUP_15MIN["width"])
+            later = without(changed, [(min([lo, *[s[0] for s in changed]]), hi)])
+            changed = common(changed, [(lo, hi)])
+        if changed:
+            if which == "events_1min":
+                source = raw_days(spark, raw_path, days_of(spark, changed))
+            else:
+                source = rollup_table(spark, minute_path, "events_1min").read(hours={h for lo, hi in changed for h in range(lo // HOUR_MICROS, -(-hi // HOUR_MICROS))})
+            refresh_spans(spark, source, target, which, changed)
+            if which == "events_1min":
+                SpanLog(spark, minute_path).add(changed)
+        log.settle(names, later)
+        done[which] = changed
+    return done
+
+
 def refresh_all(spark: SparkSession, raw: DataFrame, minute_path: str, quarter_path: str, as_of, ranges=None) -> None:
     """Manual refresh in dependency order: 1 minute first, then 15 minutes
     (the second reads what the first wrote)."""

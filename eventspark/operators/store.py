@@ -13,6 +13,11 @@ and a write that fails, or is repeated, leaves the table as it was. Hours that
 have no rows any more leave the manifest. The bytes written by a small batch
 depend on the hours it touches, not on how full the day or the table is.
 
+Two writers at once: the manifest is renamed without replacing, so on file
+systems where that is atomic (HDFS and others with a name node) the second one
+fails with ``WriteConflict`` and changes nothing. On plain object stores and on
+a raw local disk a table must have one writer at a time.
+
 The manifest has one entry per hour of data and is read by the driver. Hours
 are integers, days text: no timestamp passes through Python.
 """
@@ -28,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import Folder
+
 HOUR_MICROS = 3_600_000_000
 KEEP_MANIFESTS = 10
 
@@ -70,17 +77,8 @@ class HourTable:
         return self._load(numbers[-1]) if numbers else {}
 
     def _commit(self, number: int, hours: dict[int, tuple[str, str]]) -> None:
-        name = f"{self.path}/manifest/{number:020d}.json"
-        made = self._path(f"{name}.{uuid.uuid4().hex[:8]}.tmp")
-        out = self._fs.create(made, False)
-        try:
-            out.write(bytearray(json.dumps(hours), "ascii"))
-        finally:
-            out.close()
-        final = self._path(name)
-        if self._fs.exists(final) or not self._fs.rename(made, final):
-            self._fs.delete(made, False)
-            raise WriteConflict(f"{name} exists")
+        if not Folder(self.spark, f"{self.path}/manifest").create(f"{number:020d}.json", json.dumps(hours)):
+            raise WriteConflict(f"{self.path}: version {number} exists")
         for old in self._numbers()[:-KEEP_MANIFESTS]:
             self._fs.delete(self._path(f"{self.path}/manifest/{old:020d}.json"), False)
 

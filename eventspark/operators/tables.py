@@ -2,7 +2,12 @@
 
 The raw table is plain Parquet partitioned by ``event_date``, rows sorted by
 time inside each file so that Parquet min/max statistics skip row groups for
-time-range predicates. The metrics table is an ``HourTable``.
+time-range predicates. Beside the days it keeps Bloom filters of its files' keys
+(``keyindex``), the greatest stamps of each day (``recent``) and a log of the
+spans that changed (``spans``), in folders that Parquet readers skip. A write
+puts its files into a folder of its own, notes them, and moves them to their
+days only then: a write that dies half-way leaves no rows of unfinished files.
+The metrics table is an ``HourTable``.
 
 * ``insert_ignore_duplicates`` - insert, first copy of a key wins; keys
   already in the table are left alone (ON CONFLICT DO NOTHING).
@@ -15,6 +20,9 @@ never as timestamps, so neither the machine's zone nor a calendar matters.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +30,12 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, matches_symbol
 from ..schema import (METRIC_COLUMNS, METRICS_KEY, METRICS_TABLE_COLUMNS, METRICS_TABLE_SCHEMA, RAW_KEY,
                       RAW_TABLE_COLUMNS, RAW_TABLE_SCHEMA)
-from .store import HourTable, hour_of
+from . import keyindex, recent
+from .files import Folder
+from .spans import SpanLog, Spans, merged
+from .store import HOUR_MICROS, HourTable, hour_of
+
+QUARTER_MICROS = 900_000_000
 
 
 class ConstraintError(ValueError):
@@ -82,17 +95,23 @@ def enforce(df: DataFrame, violation: Column) -> tuple[DataFrame, DataFrame]:
             tagged.filter(F.col("constraint_error").isNotNull()))
 
 
-def pass_or_put_aside(df: DataFrame, violation: Column, rejected_path: str | None) -> DataFrame:
-    """The rows that keep the table's rules. The others are appended to
-    ``rejected_path`` with their reason; without a path they are an error."""
-    good, bad = enforce(df, violation)
-    if rejected_path:
-        bad.write.mode("append").parquet(rejected_path)
-    else:
-        first = bad.select("constraint_error").first()
+@contextmanager
+def rows_in_order(df: DataFrame, violation: Column, rejected_path: str | None):
+    """The rows that keep the table's rules, for use inside a ``with`` block.
+    The others are appended to ``rejected_path`` with their reason; without a
+    path they are an error. ``df`` is computed once: its rows are kept, with
+    their verdict, until the block ends (a lost part is computed again)."""
+    tagged = df.withColumn("constraint_error", violation).persist()
+    try:
+        bad = tagged.filter(F.col("constraint_error").isNotNull())
+        first = bad.agg(F.min("constraint_error")).first()[0]
         if first is not None:
-            raise ConstraintError(first[0])
-    return good
+            if not rejected_path:
+                raise ConstraintError(first)
+            bad.write.mode("append").parquet(rejected_path)
+        yield tagged.filter(F.col("constraint_error").isNull()).drop("constraint_error")
+    finally:
+        tagged.unpersist()
 
 
 # ----------------------------------------------------------- de-duplication
@@ -155,42 +174,102 @@ def time_range(df: DataFrame, time_col: str, lo: int | Column, hi: int | Column
 
 # ------------------------------------------------------------------ writes
 
-def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = True) -> None:
-    """Append (or overwrite) raw-table rows, time-sorted inside each file.
+def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = True, log_spans: Spans | None = None) -> None:
+    """Append raw-table rows, time-sorted inside each file, or (``overwrite``)
+    give the days they hold these rows only.
 
     ``spread=True`` (bulk loads) range-partitions on (day, time): a busy day
     is spread over many tasks - never one task per day - and every file covers
     a narrow time range. ``spread=False`` keeps the input partitioning (rows
     that come out of the key de-duplication are already hash-spread), which
-    saves the sampling job of range partitioning in every micro-batch."""
+    saves the sampling job of range partitioning in every micro-batch.
+
+    Files are written aside, indexed, and then moved to their days one by one.
+    ``log_spans`` (default: those of the rows) go to the span log at last."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    table, aside = Folder(spark, path), f"_staging/{uuid.uuid4().hex}"
     out = rows.select(*RAW_TABLE_COLUMNS)
     if spread:
         out = out.repartitionByRange("event_date", "event_time")
-    (out.sortWithinPartitions("event_date", "event_time")
-     .write.mode(mode).partitionBy("event_date").parquet(path))
+    # an index is complete or absent: files that came before it are read now
+    if not table.exists(keyindex.FOLDER):
+        before = table.glob("event_date=*/*.parquet")
+        if before and mode == "append":
+            keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, path, before), path)
+            _note(spark, path, read_days(spark, path, "event_date", [f.split("/")[0].split("=", 1)[1] for f in before], RAW_TABLE_SCHEMA))
+    out.sortWithinPartitions("event_date", "event_time").write.partitionBy("event_date").parquet(f"{path}/{aside}")
+    files = table.glob(f"{aside}/event_date=*/*.parquet")
+    if files:
+        staged = spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", f"{path}/{aside}").parquet(*[f"{path}/{f}" for f in files])
+        spans = _note(spark, path, staged)
+        keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, f"{path}/{aside}", [f[len(aside) + 1:] for f in files]), path)
+        if mode == "overwrite":
+            for day in sorted({f.split("/")[-2] for f in files}):
+                table.delete(day)
+        for f in files:
+            table.move(f, f[len(aside) + 1:])
+        SpanLog(spark, path).add(spans if log_spans is None else log_spans)
+    elif log_spans:
+        SpanLog(spark, path).add(log_spans)
+    table.delete(aside)
+
+
+def touched(rows: DataFrame) -> tuple[list[str], Spans]:
+    """The days (as text) and the quarter hours of ``event_time`` that rows
+    hold. Bounded by the time a delivery covers."""
+    at = F.unix_micros("event_time")
+    found = (rows.where("event_time IS NOT NULL").groupBy(F.col("event_date").cast("string").alias("day"), (at - F.pmod(at, F.lit(QUARTER_MICROS))).alias("lo"))
+             .agg(F.count(F.lit(1))).collect())
+    return sorted({r["day"] for r in found}), merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
+
+
+def _note(spark: SparkSession, path: str, rows: DataFrame) -> Spans:
+    """Note the days' bounds of rows that are about to come; their spans."""
+    at, stamp = F.unix_micros("event_time"), lambda c: F.max(F.unix_micros(c))
+    found = (rows.groupBy(F.col("event_date").cast("string").alias("day"), (at - F.pmod(at, F.lit(QUARTER_MICROS))).alias("lo"))
+             .agg(stamp("created_at").alias("created"), stamp("processing_time").alias("processed")).collect())
+    days: dict[str, tuple[int, int]] = {}
+    for r in found:
+        most = days.get(r["day"], (r["created"], r["processed"]))
+        days[r["day"]] = max(most[0], r["created"]), max(most[1], r["processed"])
+    recent.note(spark, path, days)
+    return merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
 
 
 def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
-                             order: list[str] | None = None, rejected_path: str | None = None) -> None:
+                             order: list[str] | None = None, rejected_path: str | None = None) -> list[str]:
     """Insert raw-table ``rows`` into the table at ``path``; keys already present
     (or repeated inside ``rows``) keep their first row. Rows breaking a table
-    rule are appended to ``rejected_path``, or an error without one.
-
-    Meant for one delivery (a micro-batch): the de-duplicated batch is kept
-    with ``persist`` for its two uses (its days, insert) - its lineage is one
-    shuffle long, and a lost block is recomputed from the replayable source.
-    Re-running the same delivery inserts nothing twice. Only the days that the
-    batch holds are read, however far apart they are."""
-    rows = pass_or_put_aside(rows, raw_constraint_violation(rows), rejected_path)
-    batch = dedupe_raw(rows, order).persist()
-    try:
-        touched = read_days(spark, path, "event_date", distinct_days(batch, "event_date"), RAW_TABLE_SCHEMA)
-        new = batch
-        if touched is not None:
-            new = batch.join(touched.select(*RAW_KEY), RAW_KEY, "left_anti")
-        write_raw(new, path, "append", spread=False)
-    finally:
-        batch.unpersist()
+    rule are appended to ``rejected_path``, or an error without one. Returns the
+    files that were opened to look for known keys.
+
+    Meant for one delivery (a micro-batch): the rows and the de-duplicated batch
+    are kept with ``persist`` - their lineage is one shuffle long, and a lost
+    block is recomputed from the replayable source. Re-running the same delivery
+    inserts nothing twice. Of the table only the files are read whose Bloom
+    filters say that they may hold a key of the batch; an index from before
+    (or of rows that were added by other means) is completed first. The spans of
+    the whole batch are logged, so that a delivery that is repeated after a
+    failure is also refreshed again."""
+    path = path.rstrip("/")
+    with rows_in_order(rows, raw_constraint_violation(rows), rejected_path) as good:
+        batch = dedupe_raw(good, order).persist()
+        try:
+            _, spans = touched(batch)
+            if not spans:
+                return []
+            hours = sorted({h for lo, hi in spans for h in range(lo // HOUR_MICROS, -(-hi // HOUR_MICROS))})
+            if not Folder(spark, path).exists(keyindex.FOLDER) and Folder(spark, path).glob("event_date=*"):
+                write_raw(batch.limit(0), path, "append", spread=False)  # indexes what is there
+            opened = keyindex.files_that_may_hold(spark, path, batch, hours)
+            new = batch
+            if opened:
+                known = spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in opened])
+                new = batch.join(known.select(*RAW_KEY), RAW_KEY, "left_anti")
+            write_raw(new, path, "append", spread=False, log_spans=spans)
+            return opened
+        finally:
+            batch.unpersist()
 
 
 def metrics_table(spark: SparkSession, path: str) -> HourTable:
@@ -203,12 +282,9 @@ def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
     non-key column of an existing key is replaced (last write wins, not
     additive) and ``created_at`` is refreshed. Rows breaking a table rule are
     appended to ``rejected_path``, or an error without one."""
-    good = pass_or_put_aside(metrics, metrics_constraint_violation(metrics), rejected_path)
-    new = metrics_table_rows(good, created_at).persist()
-    try:
+    with rows_in_order(metrics, metrics_constraint_violation(metrics), rejected_path) as good:
+        new = metrics_table_rows(good, created_at)
         hours = distinct_hours(new, "bucket_start")
         if hours:
             metrics_table(spark, path).replace(
                 lambda old: old.join(new.select(*METRICS_KEY), METRICS_KEY, "left_anti").select(*METRICS_TABLE_COLUMNS).unionByName(new), hours)
-    finally:
-        new.unpersist()

@@ -98,7 +98,10 @@ BROKEN = {
     6: ("quantity", '"x1"'), 7: ("event_time", None), 8: ("producer_time", '""'), 9: ("event_time", '"2024-01-01"'), 10: ("producer_time", '"yesterday"'),
     11: ("source", '" "'), 12: ("scenario", None), 13: ("sequence", "-5"), 14: ("sequence", None), 15: ("price", "12,"), 16: ("producer_id", None),
     17: ("symbol", None), 18: ("quantity", "2.9"), 19: ("price", "0.123456789012345678"), 20: ("price", "123456789.123456789012"),
+    21: ("price", "987654321.123456789012345678"),
 }
+#: And a further field before all others, which is none of the event's.
+FURTHER = {21: '"meta":{"price":987654321.123456789012345699}', 22: '"price_list":[{"price":1.5e3}]'}
 
 
 def rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +123,7 @@ def rule_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scenario": F.lit('"low"'),
         "sequence": eid.cast("string"),
     }
-    members = []
+    members = [F.when(case == n, F.lit(member)) for n, member in FURTHER.items()]
     for name, text in fields.items():
         for n, (field, broken) in BROKEN.items():
             if field == name:

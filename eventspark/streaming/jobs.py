@@ -5,7 +5,7 @@ A: raw messages -> decode/validate/enrich -> per micro-batch: processed JSON
 B: processed messages (A's output, duplicates included, carrying A's
    processing stamp) -> partial metrics per window, kept in the query's
    checkpoint folder -> the touched windows' metrics, upserted.
-R: the raw table's new files -> roll-up refresh.
+R: the raw table's log of changed spans -> roll-up refresh.
 
 Sinks are functions of a DataFrame of messages (``connect.text_sink``,
 ``connect.kafka_sink``). Each query has its own checkpoint, and every write can
@@ -16,7 +16,7 @@ messages twice.
 
 B keeps no watermark. A window's partials add up in any order, so an event that
 arrives after its window, whatever its delay, still changes the stored metrics.
-The partials are kept for as long as the query's checkpoint.
+The partials are kept for as long as the query's checkpoint, compacted by hour.
 
 The trigger is the checkpoint interval; a micro-batch starts only after the
 one before it has ended, so a least pause between checkpoints has no
@@ -37,10 +37,12 @@ from ..functions.timefn import interval_micros
 from ..operators.ingest import invalid_events, invalid_json, process_events, processed_json, valid_events
 from ..operators.metrics import (DEFAULT_WINDOW_SECONDS, PARTIALS_SCHEMA, merge_partials, metrics_of_partials,
                                  window_partials)
-from ..operators.rollups import raw_days, refresh_by_policy, refresh_spans, rollup_table
-from ..operators.store import HOUR_MICROS, hour_of
-from ..operators.tables import distinct_days, insert_ignore_duplicates, raw_table_rows, upsert_metrics
-from ..schema import PRICE, RAW_TABLE_SCHEMA
+from ..operators.partials import MERGE_AFTER, PartialStore
+from ..operators.rollups import refresh_from_log
+from ..operators.spans import SpanLog
+from ..operators.store import hour_of
+from ..operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_metrics
+from ..schema import PRICE
 from ..sources.connect import (DEFAULT_ERRORS_TOPIC, DEFAULT_PROCESSED_TOPIC, kafka_sink, kafka_source, raw_topic,
                                text_sink, text_source, with_line_order)
 
@@ -106,19 +108,18 @@ def parse_processed(messages: DataFrame, value_col: str = "value") -> DataFrame:
         "m.source", "m.scenario", "m.sequence", "m.ingestion_latency_ms", "m.event_lag_ms")
 
 
-def add_partials(spark: SparkSession, batch: DataFrame, path: str, epoch_id: int, window_seconds: int) -> DataFrame:
-    """Keep a micro-batch's partials below ``path`` and return the metrics of
-    the windows it touched, from all partials of these windows."""
-    (window_partials(batch, window_seconds).withColumns({"bucket_hour": hour_of("bucket_start"), "epoch": F.lit(epoch_id)})
-     .sortWithinPartitions("bucket_hour", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket_hour", "epoch").parquet(path))
+def add_partials(spark: SparkSession, batch: DataFrame, path: str, epoch_id: int, window_seconds: int, merge_after: int = MERGE_AFTER) -> DataFrame:
+    """Keep a micro-batch's partials below ``path`` (compacted as they become
+    many) and return the metrics of the windows it touched, from all partials
+    of these windows."""
+    store = PartialStore(spark, path, merge_after)
     windows = batch.select(F.window("processing_time", f"{window_seconds} seconds").alias("w")).select(F.col("w.start").alias("bucket_start")).distinct()
-    hours = [r[0] for r in windows.select(hour_of("bucket_start")).distinct().collect()]
+    hours = sorted(r[0] for r in windows.select(hour_of("bucket_start")).distinct().collect())
     if not hours:
         return spark.createDataFrame([], PARTIALS_SCHEMA).transform(metrics_of_partials, window_seconds)
-    stored = spark.read.schema(PARTIALS_SCHEMA).option("basePath", path).parquet(*[f"{path}/bucket_hour={h}" for h in hours])
-    stored = stored.select(*PARTIALS_SCHEMA.names).join(windows, "bucket_start", "left_semi")
-    return metrics_of_partials(merge_partials(stored), window_seconds)
+    store.add(window_partials(batch, window_seconds), hours, epoch_id)
+    store.compact(hours, epoch_id)
+    return metrics_of_partials(merge_partials(store.read(hours).join(windows, "bucket_start", "left_semi")), window_seconds)
 
 
 def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Paths,
@@ -151,21 +152,20 @@ def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "
 
 def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str, quarter_table: str, checkpoint: str,
                          trigger: dict | None = None, policy_clock: Callable[[], int] | None = None) -> StreamingQuery:
-    """Query R: a stream over the raw table's new files. Each micro-batch
-    recomputes the 15-minute spans it touched, all in one pass, 1 minute first
-    and then 15 minutes (the second reads what the first wrote). With
-    ``policy_clock`` (epoch microseconds) it applies the two refresh policies at
-    that time instead, which leave the open bucket and older data alone."""
+    """Query R: a stream over the raw table's log of changed spans, whose entries
+    are gone once they are dealt with, so a trigger costs what was written since
+    the last one, whatever the table's size. It recomputes the changed spans,
+    all in one pass, 1 minute first and then 15 minutes (the second reads what
+    the first wrote). With ``policy_clock`` (epoch microseconds) the two refresh
+    policies apply at that time, which leave the open bucket and older data
+    alone."""
+    log = SpanLog(spark, raw_table)
+    log.create()
+
     def run(batch: DataFrame, epoch_id: int) -> None:
-        if policy_clock is not None:
-            refresh_by_policy(spark, raw_table, minute_table, quarter_table, policy_clock())
-            return
-        spans = touched_spans(batch)
-        refresh_spans(spark, raw_days(spark, raw_table, distinct_days(batch, "event_date")), minute_table, "events_1min", spans)
-        hours = {lo // HOUR_MICROS for lo, _ in spans}
-        refresh_spans(spark, rollup_table(spark, minute_table, "events_1min").read(hours=hours), quarter_table, "events_15min", spans)
-
-    return (spark.readStream.schema(RAW_TABLE_SCHEMA).parquet(raw_table).writeStream.foreachBatch(run)
+        refresh_from_log(spark, raw_table, minute_table, quarter_table, policy_clock() if policy_clock else None)
+
+    return (spark.readStream.schema("lo long, hi long").json(log.folder.path).writeStream.foreachBatch(run)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or DEFAULT_TRIGGER)).start())
 
 
