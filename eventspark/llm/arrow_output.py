@@ -21,7 +21,10 @@ library takes out of a text before all else: a literal is one uncut piece and
 gets the added token's id. A text with the literal of an added token that looks
 at its surroundings (``lstrip``, ``rstrip``, ``single_word``) is not cut at all.
 A piece then has the same ids anywhere, so each worker lets the library encode a
-distinct piece once, and keeps at most ``KNOWN_PIECES`` of them.
+distinct piece once, and keeps at most ``KNOWN_PIECES`` of them (found by a hash,
+and compared by their bytes). These rules are those of a byte-level BPE file
+without prefix space, normaliser, dropout or truncation; texts are handed to the
+library whole if the file says anything else.
 
 Rows: a null text is empty (only the end id). A null id comes first. Rows that
 repeat an id stand in the order of their texts' hash. Extra columns are
@@ -30,14 +33,15 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -113,12 +117,23 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray, whole: list[tuple[int, i
     return np.flatnonzero(cut)
 
 
+def cuts_like_gpt(settings: dict) -> bool:
+    """Whether a tokenizer file cuts and encodes as ``piece_bounds`` assumes."""
+    cutter, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    return (cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) is True
+            and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+            and not any(settings.get(k) for k in ("normalizer", "truncation", "padding")))
+
+
 class Encoder:
     """Ids of texts, through the library, with a bounded table of known pieces."""
 
     def __init__(self, tokenizer_path: str, most: int = KNOWN_PIECES):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.cuts = cuts_like_gpt(json.load(f))
+        self.salt = 0
         self.added = AddedTokens(list(self.tokenizer.get_added_tokens_decoder().values()))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
@@ -129,8 +144,11 @@ class Encoder:
         self.keys = np.empty(0, K.U64)
         self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, self.dtype)
+        self.pieces = pa.array([], pa.large_binary())
+        self.row_of = np.empty(0, np.int64)  # which of the pieces a key stands for
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, found_pieces: pa.Array) -> None:
+        pieces = [x.decode("utf-8", "replace") for x in found_pieces.to_pylist()]
         ids, count = [self.ids], []
         for i in range(0, len(pieces), ENCODE_AT_ONCE):  # the library's results are large
             found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i: i + ENCODE_AT_ONCE], add_special_tokens=False)]
@@ -138,10 +156,12 @@ class Encoder:
             ids.append(np.fromiter((i for x in found for i in x), self.dtype, int(count[-1].sum())))
         count = np.concatenate(count)
         first = len(self.ids) + np.cumsum(count) - count
+        self.row_of = np.concatenate([self.row_of, len(self.pieces) + np.arange(len(pieces))])
+        self.pieces = pa.concat_arrays([self.pieces, found_pieces])
         self.ids = np.concatenate(ids)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
+        self.keys, self.row_of = keys[order], self.row_of[order]
         self.first = np.concatenate([self.first, first])[order]
         self.count = np.concatenate([self.count, count])[order]
 
@@ -151,20 +171,28 @@ class Encoder:
         if not len(data):
             return np.empty(0, self.dtype), np.zeros(n, np.int64)
         raw = data.tobytes()
-        bounds = piece_bounds(data, offsets, self.added.spans(raw, offsets))
-        start, end = bounds[:-1], bounds[1:]
-        which, keys = pd.factorize(K.span_codes(data, start, end, K.BYTE_CODES))
+        bounds = piece_bounds(data, offsets, self.added.spans(raw, offsets)) if self.cuts else np.unique(offsets)
+        start = bounds[:-1]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        which, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        own, ends = K.string_buffers(distinct)
+        keys = K.span_codes(own, ends[:-1], ends[1:], K.BYTE_CODES if not self.salt else K.mix64(K.BYTE_CODES + K.U64(self.salt)))
         if len(self.keys) + len(keys) > self.most:
             self.forget()
         row = np.searchsorted(self.keys, keys)
         unknown = np.ones(len(keys), dtype=bool)
         if len(self.keys):
-            unknown = self.keys[np.minimum(row, len(self.keys) - 1)] != keys
+            near = np.minimum(row, len(self.keys) - 1)
+            unknown = self.keys[near] != keys
+        known = ~unknown
+        clash = len(np.unique(keys[unknown])) < unknown.sum() or (
+            known.any() and not pc.all(pc.equal(self.pieces.take(pa.array(self.row_of[row[known]])), distinct.filter(pa.array(known)))).as_py())
+        if clash:  # two pieces under one hash: begin again with another
+            self.salt += 1
+            self.forget()
+            return self.encode(data, offsets)
         if unknown.any():
-            at = np.empty(len(keys), np.int64)
-            at[which[::-1]] = np.arange(len(which))[::-1]
-            at = at[unknown]
-            self._learn(keys[unknown], [raw[start[i]: end[i]].decode("utf-8", "replace") for i in at])
+            self._learn(keys[unknown], distinct.filter(pa.array(unknown)))
             row = np.searchsorted(self.keys, keys)
         first, count = self.first[row][which], self.count[row][which]
         total = np.cumsum(count)

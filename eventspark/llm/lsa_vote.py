@@ -250,7 +250,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
-    space = spark.sparkContext.broadcast(fit(Workspace(spark, "lsa-vote"), docs, labels))
+    ws = Workspace(spark, "lsa-vote")
+    space = spark.sparkContext.broadcast(fit(ws, docs, labels))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
     rows = docs.select(row)
-    return rows.mapInArrow(_scored(space, ["row"], True), rows.schema).select("row.*")
+    return ws.finish(rows.mapInArrow(_scored(space, ["row"], True), rows.schema)).select("row.*")

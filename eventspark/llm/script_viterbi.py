@@ -7,7 +7,10 @@ letters are in; counted on at most ``DOCS_EACH`` documents a language from the
 training folds, taken in hash order, over their whole texts.
 
 Words are runs of letters. A word's script is its first letter's; only
-languages that use this script are candidates for it. The best sequence of
+languages that use this script are candidates for it. So texts are sorted by the
+languages that any of their scripts allows, and each such group is scored and
+solved with these languages alone: a batch needs memory for the languages of
+its texts' scripts, not for all languages. The best sequence of
 languages pays ``SWITCH`` for every change. It is exact, and computed for all
 texts of a batch at once: blocks of ``STEP`` words are first solved from every
 entry language (max-plus products), entries then follow from block to block,
@@ -15,7 +18,8 @@ and all blocks trace back together.
 
 Rows: null texts and texts without letters are ``und`` with score 0, and so is
 everything if nothing could be learned. Each input row gives one output row,
-whatever its id; a null id is not held out. Extra columns are ignored.
+whatever its id; a null id is not held out. Extra columns are ignored. Ties (of
+scores, or of letters) go to the language that comes first in the alphabet.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ DOCS_EACH = 300
 BUCKETS = 1 << 15
 SWITCH = 8.0
 STEP = 64
+#: Words whose letters are scored at once.
+LETTER_WORDS = 1 << 14
 #: Pseudo-count, share of a language's letters that makes a script its own, and the score of a language without the word's script.
 ALPHA, SCRIPT_SHARE, EXCLUDED = 0.5, 0.01, -50.0
 UNKNOWN = "und"
@@ -121,15 +127,46 @@ class Model:
         uses = share >= SCRIPT_SHARE
         self.excluded = np.where(uses | ~uses.any(axis=1, keepdims=True), 0, EXCLUDED).astype(np.float32)
 
-    def word_scores(self, w: Words) -> np.ndarray:
-        if not len(w.start):
-            return np.empty((0, len(self.languages)), np.float32)
-        each = self.logs[w.two] + self.logs[w.three]
-        return np.add.reduceat(each, w.edge, axis=0) + self.logs[w.whole] + self.excluded[w.script]
+    def groups(self, w: Words):
+        """(languages, texts): which languages are candidates for which texts.
+        A script that no language uses allows all of them."""
+        pairs = np.unique(w.text * len(self.excluded) + w.script)
+        allowed = np.zeros((w.n_texts, len(self.languages)), bool)
+        np.logical_or.at(allowed, pairs // len(self.excluded), self.excluded[pairs % len(self.excluded)] == 0)
+        sets, which = np.unique(np.packbits(allowed, axis=1), axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        for g in range(len(sets)):
+            texts = which == g
+            languages = np.flatnonzero(allowed[np.argmax(texts)])
+            if len(languages):
+                yield languages, texts
+
+    def word_scores(self, w: Words, words: np.ndarray, languages: np.ndarray) -> np.ndarray:
+        """Scores of some words (numbers, ascending) for some languages."""
+        logs = self.logs if len(languages) == self.logs.shape[1] else self.logs[:, languages]
+        length = w.length[words]
+        first = np.cumsum(length) - length
+        letters = np.arange(length.sum()) - np.repeat(first, length) + np.repeat(w.edge[words], length)
+        out = np.empty((len(words), len(languages)), np.float32)
+        for i in range(0, len(words), LETTER_WORDS):
+            part = slice(i, i + LETTER_WORDS)
+            a = first[i]
+            own = letters[a: a + length[part].sum()]
+            each = logs[w.two[own]]
+            each += logs[w.three[own]]
+            out[part] = np.add.reduceat(each, first[part] - a, axis=0)
+        out += logs[w.whole[words]]
+        out += self.excluded[:, languages][w.script[words]]
+        return out
 
     def label(self, w: Words) -> np.ndarray:
         """The language number of every word."""
-        return viterbi(self.word_scores(w), w.text, w.n_texts, SWITCH)
+        out = np.zeros(len(w.start), np.int64)
+        for languages, texts in self.groups(w):
+            words = np.flatnonzero(texts[w.text])
+            number = np.cumsum(texts) - 1
+            out[words] = languages[viterbi(self.word_scores(w, words, languages), number[w.text[words]], int(texts.sum()), SWITCH)]
+        return out
 
     def shares(self, w: Words) -> np.ndarray:
         """For each text, the share of its letters in each language."""

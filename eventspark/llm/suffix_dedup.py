@@ -88,26 +88,26 @@ def anchors(data: np.ndarray, n: int, k: int, block: int = BLOCK):
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, K.U64)] * 2 + [np.empty(0, np.int64)] * 3
 
 
-_ANCHOR = "gram long, hull long, text_key long, place long, lead binary"
+_ANCHOR = "gram long, hull long, text_key binary, place long, lead binary"
 
 
 def _anchor_rows(n: int, k: int, sample: int, block: int):
     def run(batches):
         for batch in batches:
             data, offsets = K.string_buffers(batch.column("text"))
-            keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             rows, leads = [], []
             for d in np.flatnonzero(np.diff(offsets) >= n):
                 own = data[offsets[d]: offsets[d + 1]]
                 gram, hull, first, windows, offset = anchors(own, n, k, block)
-                rows.append((gram, hull, np.full(len(gram), keys[d]), (first << (_SPAN_BITS + _OFFSET_BITS)) | (windows << _OFFSET_BITS) | offset))
+                rows.append((gram, hull, np.full(len(gram), d), (first << (_SPAN_BITS + _OFFSET_BITS)) | (windows << _OFFSET_BITS) | offset))
                 lead = np.full(len(gram), None, dtype=object)
                 for i in np.flatnonzero((K.mix64(hull) & K.U64(sample - 1)) == 0):
                     lead[i] = own[first[i] + offset[i]: first[i] + windows[i] - 1 + n].tobytes()
                 leads.append(lead)
             if rows:
-                cols = [np.concatenate(x) for x in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(c)) for c in cols] + [pa.array(np.concatenate(leads), pa.binary())],
+                gram, hull, text, place = (np.concatenate(x) for x in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(gram)), pa.array(K.as_long(hull)), batch.column("text_key").take(pa.array(text)),
+                                                  pa.array(K.as_long(place)), pa.array(np.concatenate(leads), pa.binary())],
                                                  names=["gram", "hull", "text_key", "place", "lead"])
     return run
 
@@ -142,9 +142,9 @@ def _deal(n: int, splitters: list[bytes]):
     return run
 
 
-_DEALT = "bucket int, text_key long, place long, once boolean, hull binary"
+_DEALT = "bucket int, text_key binary, place long, once boolean, hull binary"
 _DEALT_NAMES = ["bucket", "text_key", "place", "once", "hull"]
-_DEALT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+_DEALT_TYPES = [pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
 
 
 def multikey_sort(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def _runs(row: np.ndarray, start: np.ndarray, end: np.ndarray):
     return row[at], start[at], wall[last] - row[at] * (1 << 40)
 
 
-_FOUND = "text_key long, lo long, hi long, window long"
+_FOUND = "text_key binary, lo long, hi long, window long"
 
 
 def _compare(n: int, k: int, splitters: list[bytes]):
@@ -251,7 +251,7 @@ def _compare(n: int, k: int, splitters: list[bytes]):
     def work(table: pa.Table, bucket: int):
         hulls = table.column("hull").to_pylist()
         places = table.column("place").to_numpy()
-        keys = table.column("text_key").to_numpy()
+        keys = table.column("text_key").combine_chunks()
         low = splitters[bucket - 1] if bucket else None
         high = splitters[bucket] if bucket < len(splitters) else None
         row, j, code, here, across = compare_bucket(hulls, places, n, k, low, high)
@@ -259,14 +259,14 @@ def _compare(n: int, k: int, splitters: list[bytes]):
         start = _unpack(places)[0][row] + j
         own = here & once
         r, lo, hi = _runs(row[own], start[own], start[own] + n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[r]), pa.array(lo), pa.array(hi), pa.nulls(len(r), pa.int64())], names=["text_key", "lo", "hi", "window"])
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)), pa.array(lo), pa.array(hi), pa.nulls(len(r), pa.int64())], names=["text_key", "lo", "hi", "window"])
         # a window whose equals are all here is settled, but stands for them elsewhere
         out = np.flatnonzero(across)
         for i in range(0, len(out), 100_000):
             o = out[i: i + 100_000]
             settled = here[o] | ~once[o]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[row[o]], mask=settled), pa.array(start[o], mask=settled), pa.array(start[o] + n), pa.array(K.as_long(code[o]))],
+                [keys.take(pa.array(row[o], mask=settled)), pa.array(start[o], mask=settled), pa.array(start[o] + n), pa.array(K.as_long(code[o]))],
                 names=["text_key", "lo", "hi", "window"])
 
     def run(batches):
@@ -305,6 +305,26 @@ def _cut(batches):
                                          names=["text_key", "n_removed", "kept_sha256", "spans"])
 
 
+def _at_equal_ranks(ws: Workspace, sample: DataFrame, parts: int) -> list[bytes]:
+    """``parts - 1`` values at equal ranks of ``lead``, of all that there are. The
+    sample is sorted by Spark, range by range; only the ranges' sizes and the
+    chosen values reach the driver."""
+    place = F.monotonically_increasing_id()
+    ranked = ws.save(sample.repartitionByRange("lead").sortWithinPartitions("lead")
+                     .select("lead", F.shiftright(place, 33).alias("range"), place.bitwiseAND((1 << 33) - 1).alias("nth")), "ranked")
+    first, total = {}, 0
+    for r in sorted(ranked.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["range"]):
+        first[r["range"]], total = total, total + r["n"]
+    if not total:
+        return []
+    spark = sample.sparkSession
+    offsets = spark.createDataFrame(list(first.items()), "range long, first long")
+    wanted = spark.range(1, parts).select((F.col("id") * total / parts).cast("long").alias("rank"), "id")
+    chosen = (ranked.join(offsets, "range").select("lead", (F.col("nth") + F.col("first")).alias("rank"))
+              .join(wanted, "rank").orderBy("id").select("lead").collect())
+    return [bytes(r["lead"]) for r in chosen]
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (the maximal
     removed runs, array of lo and hi) and kept_sha256."""
@@ -312,7 +332,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
         raise ValueError(f"length must be over {gram} and under {1 << _OFFSET_BITS}")
     ws = Workspace(spark, "suffix-dedup")
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    docs = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     texts = docs.where(F.col("n_bytes") >= length).groupBy("text_key").agg(F.first("text").alias("text"))
 
     found = ws.save(docs.select("text_key", "text").mapInArrow(_anchor_rows(length, gram, SAMPLE, BLOCK), _ANCHOR), "anchors")
@@ -325,12 +345,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     n_rest = rest.count()
     buckets = min(BUCKETS, max(1, -(-n_rest // BUCKET_ROWS)))
     share = min(1.0, CANDIDATES * buckets * SAMPLE / max(1, n_rest))
-    lead = []
+    splitters: list[bytes] = []
     if buckets > 1:
         sample = found.where(F.col("lead").isNotNull() & (F.pmod(F.xxhash64("hull"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)))
         sample = sample.groupBy("gram", "hull").agg(F.first("lead").alias("lead")).join(rest, ["gram", "hull"], "left_semi")
-        lead = sorted(bytes(r["lead"]) for r in sample.select("lead").collect())
-    splitters = [lead[i * len(lead) // buckets] for i in range(1, buckets)] if lead else []
+        splitters = _at_equal_ranks(ws, sample.select("lead"), buckets)
 
     spots = rest.select("at.text_key", F.struct("at.place", "hull", (F.col("n") == 1).alias("once")).alias("spot")).groupBy("text_key").agg(
         F.collect_list("spot").alias("spots"))
@@ -349,7 +368,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     covered = whole.union(compared.where(F.col("window").isNull()).select("text_key", "lo", "hi")).union(across)
     spans = covered.groupBy("text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     cut = ws.save(texts.join(spans, "text_key").select("text_key", "text", "spans").mapInArrow(
-        _cut, "text_key long, n_removed long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"), "cut")
+        _cut, "text_key binary, n_removed long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"), "cut")
     each = docs.select("doc_id", "text_key", "n_bytes", F.sha2("text", 256).alias("whole"))
     out = each.join(cut, "text_key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

@@ -4,17 +4,24 @@ The patterns are all windows of 13 consecutive words of the benchmark items
 (an item of fewer words is one window). Patterns of one length m are searched
 together, with blocks of two words:
 
-* Shift table: any occurrence of a pattern holds exactly one block that starts
-  at a multiple of the largest shift, m - 1. Only these blocks of a text are
-  looked up; one that is in no pattern lets the search skip all m - 1 places.
-* A block that is in some pattern gives, by its offsets there, the places where
-  a window could start; the hash of the window's words picks the bucket of
-  patterns that could stand there.
-* Direct comparison of the words confirms every occurrence.
+* Shift table: for every block in a pattern, how far its last place in any
+  pattern is from that pattern's end; for all other blocks m - 1. The search
+  looks at the last block of the place where a window could end, and moves on
+  by its shift.
+* Where the shift is 0 the block ends some pattern: the hash of this suffix and
+  that of the window's first block pick the bucket of patterns that could stand
+  there.
+* Direct comparison of the words confirms every occurrence; then the search
+  moves on by one.
+
+A text is searched from many places at once: it is dealt into stretches of
+``STRETCH`` window ends, each with a pointer of its own, and all pointers of a
+batch move together.
 
 The patterns go to the executors in blocks of at most ``BLOCK_BYTES`` of item
-text; each block is searched in all documents, and the hit places of further
-blocks are added up in a written table.
+text; items that are longer are dealt out in overlapping pieces. With several
+blocks, the documents are read once for each, and only the hits are written, by
+the md5 of the text; they are joined to the documents at the end.
 
 Rows: a null text has no words. Items with a null id or without words are
 ignored, repeated items count once. Each input row gives one output row,
@@ -23,12 +30,14 @@ whatever its id. Extra columns are ignored by ``scan`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventspark.llm import kernels as K
 from eventspark.llm.common import Workspace
@@ -36,6 +45,8 @@ from eventspark.llm.common import Workspace
 WINDOW = 13
 #: Item text searched for in one pass (its windows take some 60 times as much memory, at most).
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+STRETCH = 256
 _LOWER = K.fold_case()
 
 
@@ -48,7 +59,7 @@ def _keyed(code: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 class Patterns:
-    """All windows of one length, with their block table and their buckets."""
+    """All windows of one length, with their shift table and their buckets."""
 
     def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str]]):
         self.length, self.block = length, min(2, length)
@@ -59,38 +70,50 @@ class Patterns:
         data = np.frombuffer(b"".join(flat), np.uint8)
         code = K.span_codes(data, ends - [len(w) for w in flat], ends, K.FOLDED_CODES)
         first = np.arange(len(self.words)) * length
-        key = _keyed(code, first, length)
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
-        self.shift = length - self.block + 1
-        places = (first[:, None] + np.arange(self.shift)).ravel()
-        pair = np.stack([_keyed(code, places, self.block), np.tile(np.arange(self.shift), len(first)).astype(K.U64)], axis=1)
-        pair = np.unique(pair, axis=0)
-        self.blocks, at, self.n_offsets = np.unique(pair[:, 0], return_index=True, return_counts=True)
-        self.first_offset, self.offsets = at, pair[:, 1].astype(np.int64)
+        # the shift of a block: its least distance from the end of a pattern
+        self.most = length - self.block + 1
+        places = (first[:, None] + np.arange(self.most)).ravel()
+        block = _keyed(code, places, self.block)
+        to_end = np.tile(np.arange(self.most)[::-1], len(first))
+        order = np.lexsort((to_end, block))
+        self.blocks, at = np.unique(block[order], return_index=True)
+        self.shifts = to_end[order][at]
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[(self.blocks >> K.U64(44)).astype(np.int64)] = True
+        # buckets by suffix and prefix
+        key = self._bucket(code, first)
+        self.order = np.argsort(key, kind="stable")
+        self.keys = key[self.order]
+
+    def _bucket(self, code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        suffix = _keyed(code, first + self.length - self.block, self.block)
+        return K.mix64(suffix * K.U64(0x9FB21C651E98DF25) + _keyed(code, first, self.block))
 
     def search(self, data, start, end, code, text):
         """Places (word numbers) and pattern numbers of all occurrences."""
-        at = np.arange(0, len(code) - self.block + 1, self.shift)
-        key = _keyed(code, at, self.block)
-        seen = self.bits[(key >> K.U64(44)).astype(np.int64)]
-        at, key = at[seen], key[seen]
-        row = np.searchsorted(self.blocks, key)
-        seen = self.blocks[np.minimum(row, len(self.blocks) - 1)] == key
-        at, row = at[seen], row[seen]
-        n = self.n_offsets[row]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        q = np.repeat(at, n) - self.offsets[np.repeat(self.first_offset[row], n) + nth]
-        q = np.unique(q[(q >= 0) & (q + self.length <= len(code))])
-        q = q[text[q] == text[q + self.length - 1]]
-        key = _keyed(code, q, self.length)
+        m = self.length
+        at = np.arange(m - 1, len(code), STRETCH)
+        limit = np.minimum(at + STRETCH, len(code))
+        found = []
+        while len(at):
+            key = _keyed(code, at - (self.block - 1), self.block)
+            shift = np.full(len(at), self.most)
+            maybe = np.flatnonzero(self.bits[(key >> K.U64(44)).astype(np.int64)])
+            row = np.minimum(np.searchsorted(self.blocks, key[maybe]), len(self.blocks) - 1)
+            there = self.blocks[row] == key[maybe]
+            shift[maybe[there]] = self.shifts[row[there]]
+            found.append(at[shift == 0])
+            at = at + np.maximum(shift, 1)
+            left = at < limit
+            at, limit = at[left], limit[left]
+        q = np.sort(np.concatenate(found)) - (m - 1) if found else np.empty(0, np.int64)
+        q = q[text[q] == text[q + m - 1]]
+        key = self._bucket(code, q)
         lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
         out_q, out_p = [], []
         for i in np.flatnonzero(hi > lo):
             p = int(q[i])
-            here = tuple(_LOWER[data[start[k]: end[k]]].tobytes() for k in range(p, p + self.length))
+            here = tuple(_LOWER[data[start[k]: end[k]]].tobytes() for k in range(p, p + m))
             for j in range(lo[i], hi[i]):
                 if self.words[self.order[j]] == here:
                     out_q.append(p), out_p.append(int(self.order[j]))
@@ -131,46 +154,79 @@ def _scan_texts(patterns, data, offsets):
     return n_words, hit, first, items
 
 
-def _scanner(patterns, columns):
-    """Adds the hits of these patterns to ``_words``, ``_hits`` and ``_items``."""
+def _scanner(patterns, columns, hits_only: bool):
+    """The words, hits and items of every text (or of those with hits only)."""
     def run(batches):
         tables = patterns.value
         for batch in batches:
-            data, offsets = K.string_buffers(K.text_in(batch.column("row")))
+            data, offsets = K.string_buffers(batch.column("text") if hits_only else K.text_in(batch.column("row")))
             for i, j in K.slices(offsets, 1 << 21):
                 part = batch.slice(i, j - i)
                 n_words, hit, first, items = _scan_texts(tables, data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                old_hits, old_items = part.column("_hits"), part.column("_items")
                 cut = np.searchsorted(hit, first)
-                hits = []
-                for d in range(j - i):
-                    own = hit[cut[d]: cut[d + 1]] - first[d]
-                    if len(old_hits[d]):
-                        own = np.union1d(own, old_hits[d].values.to_numpy())
-                    hits.append(own)
-                    items[d].update(old_items[d].as_py())
-                done = {"_words": pa.array(n_words, pa.int64()), "_hits": pa.array(hits, pa.list_(pa.int64())),
+                done = {"_words": pa.array(n_words, pa.int64()), "_hits": pa.array([hit[cut[d]: cut[d + 1]] - first[d] for d in range(j - i)], pa.list_(pa.int64())),
                         "_items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([done[c] if c in done else part.column(c) for c in columns], names=columns)
+                out = pa.RecordBatch.from_arrays([done[c] if c in done else part.column(c) for c in columns], names=columns)
+                yield out.filter(pa.array(cut[1:] > cut[:-1])) if hits_only else out
+    return run
+
+
+def _pieces(window: int):
+    """Items in pieces of at most about ``PIECE_BYTES``; neighbours share all but
+    one word of a window, so every window lies whole in one of them."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text")):
+                raw = text.as_py().encode()
+                data = np.frombuffer(raw, np.uint8)
+                start, end, _ = K.words(data, np.array([0, len(data)]), K.ALNUM)
+                a = 0
+                while a < len(start):
+                    b = max(a + window, int(np.searchsorted(end, start[a] + PIECE_BYTES, side="right")))
+                    out.append((item, int(a), raw[start[a]: end[min(b, len(end)) - 1]].decode()))
+                    if b >= len(start):
+                        break
+                    a = b - (window - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.string(), pa.int64(), pa.string()))], names=["item", "piece", "text"])
     return run
 
 
-def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Workspace, DataFrame]:
     """(row, _words, _hits, _items): each row of ``docs`` as a struct, so that
     its own columns may have any names."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     ws = Workspace(spark, "wu-manber")
+    items = ws.save(items.mapInArrow(_pieces(window), "item string, piece long, text string"), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<long>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+
+    def patterns(k: int):
+        own = items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == k).collect()
+        return spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], window))
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kinds = "_words long, _hits array<long>, _items array<string>"
+    if blocks == 1:
+        schema = T.StructType([*rows.schema, *T.StructType.fromDDL(kinds)])
+        return ws, rows.mapInArrow(_scanner(patterns(0), schema.names, False), schema)
+    text = docs["text"].cast("string")
+    keyed = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).where("text IS NOT NULL")
+    parts = []
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        tables = spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], window))
-        out = out.mapInArrow(_scanner(tables, out.columns), out.schema)
-        if k < blocks - 1:
-            out = ws.save(out, f"block-{k}")
-    return out
+        table = patterns(k)
+        found = keyed.mapInArrow(_scanner(table, ["key", "_hits", "_items"], True), "key binary, _hits array<long>, _items array<string>")
+        parts.append(ws.save(found.groupBy("key").agg(F.first("_hits").alias("_hits"), F.first("_items").alias("_items")), f"hits-{k}"))
+        table.unpersist()
+    every = functools.reduce(DataFrame.union, parts)
+    # at most one row a block and text
+    merged = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"),
+                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+    merged = ws.save(merged, "hits")
+    joined = rows.withColumn("key", F.unhex(F.md5(F.col("row.text").cast("string").cast("binary")))).join(merged, "key", "left")
+    return ws, joined.select("row", F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("_words"),
+                         F.coalesce("_hits", F.array().cast("array<long>")).alias("_hits"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
 
 
 def _contaminated() -> Column:
@@ -181,14 +237,15 @@ def _contaminated() -> Column:
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (their numbers),
     item_ids (sorted as text) and contaminated (hit words are a twentieth)."""
-    found = _hits(spark, docs.select("doc_id", "text"), benchmark, window)
-    return found.select("row.doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"),
-                        F.col("_items").alias("item_ids"), _contaminated().alias("contaminated"))
+    ws, found = _hits(spark, docs.select("doc_id", "text"), benchmark, window)
+    return ws.finish(found.select("row.doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"),
+                        F.col("_items").alias("item_ids"), _contaminated().alias("contaminated")))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
-    return _hits(spark, docs, benchmark, window).where(~_contaminated()).select("row.*")
+    ws, found = _hits(spark, docs, benchmark, window)
+    return ws.finish(found.where(~_contaminated()).select("row")).select("row.*")
 
 
 def digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

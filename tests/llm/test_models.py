@@ -194,6 +194,42 @@ def test_language_query_matches_a_plain_recomputation(spark, tables):
         assert got[r["doc_id"]]["lang_pred"] in {model.languages[k] for k, n in letters.items() if n >= 0.98 * top}
 
 
+def _many_languages(n, per_script, seed=0):
+    """Languages with scripts of their own, ``per_script`` of them in each."""
+    rng = np.random.default_rng(seed)
+    _, scripts = script_viterbi.letter_tables()
+    known = [int(scripts[ord(c)]) for c in "aд山λ"]
+    use = np.zeros((256, n))
+    order = known + [k for k in range(1, 200) if k not in known]
+    for lang in range(n):
+        use[order[lang // per_script], lang] = 1
+    return script_viterbi.Model([f"l{k:03d}" for k in range(n)], rng.integers(0, 50, (3 * script_viterbi.BUCKETS, n)).astype(float), use)
+
+
+def test_narrowing_changes_no_label(monkeypatch):
+    model = _many_languages(12, 3)
+    texts = [prose(1, 300), "", "дом река " * 40 + prose(2, 50), "山川木 ab " * 30, "123", "ελ δω " * 20 + "дом " * 10]
+    w = script_viterbi.Words(*K.string_buffers(pa.array(texts)))
+    narrow = model.label(w)
+    assert sorted(len(languages) for languages, _ in model.groups(w)) == [3, 6, 6, 6]
+    monkeypatch.setattr(script_viterbi.Model, "groups", lambda self, w: [(np.arange(len(self.languages)), np.ones(w.n_texts, bool))])
+    assert np.array_equal(model.label(w), narrow)
+
+
+def test_memory_does_not_grow_with_languages_of_other_scripts():
+    import tracemalloc
+    w = script_viterbi.Words(*K.string_buffers(pa.array([prose(k, 300) for k in range(100)])))
+    peaks = []
+    for n in (10, 150):
+        model = _many_languages(n, 5)
+        model.label(w)
+        tracemalloc.start()
+        model.label(w)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0], peaks
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(25):

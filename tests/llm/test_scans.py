@@ -103,9 +103,11 @@ def contaminated_by_force(texts, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [4 << 20, 400])
-def test_decontamination_matches_brute_force(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(wu_manber, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("block_bytes, piece_bytes, stretch", [(4 << 20, 1 << 20, 256), (1200, 60, 3)])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block_bytes, piece_bytes, stretch):
+    monkeypatch.setattr(wu_manber, "BLOCK_BYTES", block_bytes)   # small: several blocks, items in pieces
+    monkeypatch.setattr(wu_manber, "PIECE_BYTES", piece_bytes)
+    monkeypatch.setattr(wu_manber, "STRETCH", stretch)
     items = [(k, prose(k, 13 + k)) for k in range(12)] + [(20, "the only"), (21, "Single"), (22, ""), (23, None), (None, prose(90, 20)), (3, prose(3, 16)),
                                                           (30, "a a a a a a a a a a a a a a"), (31, "été ÀB naïve x1")]
     texts = [None, "", "the only single", "THE ONLY!", "a " * 40, "ÉTÉ été Àb naïve x1", "été ÀB naïve X1"]
@@ -119,6 +121,35 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_bytes):
     assert got == contaminated_by_force(texts, items)
 
 
+def test_shift_search_finds_what_a_plain_search_finds():
+    """Few different words, so that shifts are small and buckets full."""
+    rng = np.random.default_rng(4)
+    for window in (1, 2, 3, 5, 13):
+        items = [(str(k), " ".join(rng.choice(["a", "b", "c"], int(rng.integers(1, 30))))) for k in range(30)]
+        texts = [" ".join(rng.choice(["a", "b", "c", "d"], int(rng.integers(0, 700)))) for _ in range(12)]
+        data, offsets = K.string_buffers(pa.array(texts))
+        n_words, hit, first, found = wu_manber._scan_texts(wu_manber.build(items, window), data, offsets)
+        for d, text in enumerate(texts):
+            words, own, named = text.split(), set(), set()
+            for item, other in items:
+                w = other.split()
+                m = min(window, len(w))
+                for p in {tuple(w[i: i + m]) for i in range(len(w) - m + 1)}:
+                    at = [i for i in range(len(words) - m + 1) if tuple(words[i: i + m]) == p]
+                    own |= {i + k for i in at for k in range(m)}
+                    named |= {item} if at else set()
+            assert set((hit[(hit >= first[d]) & (hit < first[d + 1])] - first[d]).tolist()) == own and found[d] == named and n_words[d] == len(words)
+
+
+def test_long_items_come_in_overlapping_pieces(monkeypatch):
+    monkeypatch.setattr(wu_manber, "PIECE_BYTES", 100)
+    text = prose(9, 300)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([text])], names=["item", "text"])
+    pieces = next(wu_manber._pieces(13)(iter([batch]))).column("text").to_pylist()
+    windows = lambda w: {tuple(w[i: i + 13]) for i in range(len(w) - 12)}
+    assert len(pieces) > 10 and set().union(*[windows(p.split()) for p in pieces]) == windows(text.split()) and max(map(len, pieces)) < 300
+
+
 def test_decontamination_of_special_rows(spark):
     docs = edge_docs(spark)
     bench = spark.createDataFrame([(1, prose(3, 400)), (2, None)], "item_id long, text string")
@@ -233,6 +264,39 @@ def test_added_tokens_of_every_kind(tmp_path):
     same_as_the_library(path, texts)
 
 
+@pytest.mark.parametrize("change", [{}, {"pre_tokenizer": {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"use_regex": False}}])
+def test_files_with_other_rules_have_the_library_s_ids(tmp_path, change):
+    import json
+
+    from tokenizers import Tokenizer
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        settings = json.load(f)
+    for k, v in change.items():
+        settings[k] = {**settings[k], **v} if settings[k] else v
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(settings, f)
+    enc, plain = arrow_output.Encoder(path), Tokenizer.from_file(path)
+    assert enc.cuts == (not change)
+    texts = ["", " leading", "Two  Words, it's 12 or\n13!", "É日本 <|endoftext|> x", prose(4, 200), " leading"]
+    data, offsets = K.string_buffers(pa.array(texts))
+    for _ in range(2):
+        ids, n = enc.encode(data, offsets)
+        assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids]
+        assert n.tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_under_one_hash_are_told_apart(monkeypatch):
+    texts = [prose(k, 50) for k in range(6)]
+    data, offsets = K.string_buffers(pa.array(texts))
+    want = arrow_output.Encoder(tokenizer_path()).encode(data, offsets)
+    enc, spans = arrow_output.Encoder(tokenizer_path()), K.span_codes
+    poor = lambda d, a, b, codes: spans(d, a, b, codes) % np.uint64(7 if codes is K.BYTE_CODES else 1 << 62)
+    monkeypatch.setattr(arrow_output.K, "span_codes", poor)
+    ids, n = enc.encode(data, offsets)
+    assert enc.salt >= 1 and ids.tolist() == want[0].tolist() and n.tolist() == want[1].tolist()
+
+
 def test_token_files_of_texts_with_an_added_token(spark):
     from tokenizers import Tokenizer
     texts = [f"one{END}two", "three", f"{END}{prose(4, 30)} {END}"]
