@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from eventspark.functions.timefn import instant
 from eventspark.operators.ingest import (PROCESSED_COLUMNS, invalid_events, invalid_json, process_events, processed_json,
                                          valid_events)
-from eventspark.operators.metrics import window_metrics
+from eventspark.operators.metrics import window_metrics, window_partials
+from eventspark.operators.moments import insert_and_add
 from eventspark.operators.recent import rows_for_last_seconds, rows_for_recent_events
 from eventspark.operators.rollups import read_rollup, refresh, refresh_from_log
 from eventspark.operators.tables import insert_ignore_duplicates, metrics_table, raw_table_rows, upsert_metrics, write_raw
@@ -184,6 +185,18 @@ def _m7_log(spark, sf):
     return present(read_rollup(spark, minute, "events_1min").drop("bucket_date"))
 
 
+def _m1_delta(spark, sf):
+    """The 1-minute roll-up kept by additive moments over four deliveries, each
+    with rows of all hours, the state compacted on the way; the third comes
+    twice, and the first once more at the end."""
+    d = _d(spark, sf)
+    raw, state, minute = (work_path(spark, n) for n in ("md-raw", "md-state", "md-minute"))
+    rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
+    for delivery, part in enumerate((0, 1, 2, 2, 3, 0)):
+        insert_and_add(spark, rows.filter(F.col("sequence") % 4 == part), raw, state, minute, delivery, ["processing_time"], merge_after=2)
+    return present(read_rollup(spark, minute, "events_1min").drop("bucket_date"))
+
+
 def _messages(spark, sf):
     prepare(spark)
     return process_events(rule_stream(spark, sf), "value", "processing_time")
@@ -299,6 +312,10 @@ def _top_stored(rows_of, fn, limit):
     return run
 
 
+def _d4_exact(spark, sf):
+    return present(feeds.d4_exact_p95_per_scenario(window_partials(_d(spark, sf).valid)))
+
+
 def _raw_q(fn, with_as_of=True):
     def run(spark, sf):
         d = _d(spark, sf)
@@ -344,6 +361,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "k4_metrics_upsert": _k4_upsert,
         "w2_metrics_after_compaction": _w2_compacted,
         "m7_refresh_from_log": _m7_log,
+        "m1_delta_refresh": _m1_delta,
         "q05_stored_30_days": _top_stored(rows_for_last_seconds, Q.q05_throughput_per_second, 120),
         "q06_stored_30_days": _top_stored(rows_for_recent_events, Q.q06_recent_events, 20),
         "w1_stream_metrics_out_of_order": _w1_out_of_order,
@@ -382,6 +400,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d2_volume_per_symbol": _metrics_q(feeds.d2_volume_per_symbol),
         "d3_avg_latency_per_scenario": _metrics_q(feeds.d3_avg_latency_per_scenario),
         "d4_p95_latency": _metrics_q(feeds.d4_p95_latency),
+        "d4_exact_p95_per_scenario": _d4_exact,
         "d5_persisted_throughput": _metrics_q(feeds.d5_persisted_throughput),
         "d6_total_events_last_hour": _period_q(feeds.d6_total_events),
         "d7_avg_latency_last_hour": _period_q(feeds.d7_avg_latency),
@@ -655,6 +674,9 @@ def oracle_sql() -> dict[str, str]:
         "d4_p95_latency": _with(
             "SELECT bucket_start AS time, scenario, max(p95_ingestion_latency_ms) AS p95_latency_ms_upper "
             "FROM metrics GROUP BY ALL"),
+        "d4_exact_p95_per_scenario": _with(
+            "SELECT time_bucket(INTERVAL '10 seconds', processing_time) AS time, scenario, "
+            "percentile_disc(0.95) WITHIN GROUP (ORDER BY ingestion_latency_ms) AS p95_latency_ms FROM valid GROUP BY ALL"),
         "d5_persisted_throughput": _with(throughput),
         "d6_total_events_last_hour": _with(
             f"SELECT CAST(coalesce(sum(event_count), 0) AS BIGINT) AS total_events FROM metrics {period}"),
@@ -670,7 +692,7 @@ def oracle_sql() -> dict[str, str]:
     sql["m5_refresh_emptied_days"] = on_table_clock(sql["m1_rollup_1min"]).replace("FROM valid WHERE copy = 0", "FROM valid WHERE copy = 0 AND day(event_time) % 3 != 0")
     sql["w1_stream_metrics_out_of_order"] = sql["w2_metrics_after_compaction"] = sql["a1_window_metrics"]
     sql["k3_raw_insert_late_delivery"] = sql["k3_raw_table"]
-    sql["m7_refresh_from_log"] = sql["m1_rollup_1min"]
+    sql["m7_refresh_from_log"] = sql["m1_delta_refresh"] = sql["m1_rollup_1min"]
     rules = "WITH " + _RULES
     stamp = lambda t: f"strftime({t}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
     sql["v_rule_errors"] = rules + "SELECT validation_error, count(*) AS events FROM outcome GROUP BY validation_error"

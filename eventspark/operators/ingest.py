@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.plan import fence
 from ..functions.text import canonical_uuid, is_blank, is_uuid_text, java_trim, matches_symbol
 from ..functions.timefn import format_instant, nonneg_millis_between, parse_instant
 from ..schema import PRICE, PROCESSED_FIELDS, TEXT_FIELDS, WIRE_FIELDS
@@ -63,13 +64,6 @@ def _kind(t: Column) -> Column:
             .otherwise(F.lit("NUMBER")))
 
 
-def fence(c: Column) -> Column:
-    """The same value, marked non-deterministic: a filter on it is not pushed
-    below the projection that computes it, so the JSON decode and the rule
-    chain are evaluated once per row instead of being copied into the filter."""
-    return F.when(F.spark_partition_id() < 0, F.lit(None)).otherwise(c)
-
-
 _INT_LITERAL = r"\A[+-]?[0-9]+\z"
 # A price of more digits than a double is sure to hold, or with an exponent
 # (the pattern starts with a literal, which is searched for quickly).

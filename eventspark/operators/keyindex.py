@@ -71,6 +71,12 @@ def add(rows: DataFrame, path: str) -> None:
     (filters(rows).repartition("event_hour").write.mode("append").partitionBy("event_hour").parquet(f"{path}/{FOLDER}"))
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether the table has an index (of all files that came before it, too:
+    they are indexed by the first write, which leaves this mark at its end)."""
+    return Folder(spark, f"{path}/{FOLDER}").exists("_SUCCESS")
+
+
 def hour_folders(spark: SparkSession, path: str, hours: list[int]) -> list[str]:
     folder = Folder(spark, f"{path}/{FOLDER}")
     return [f"{folder.path}/event_hour={h}" for h in sorted(set(hours)) if folder.exists(f"event_hour={h}")]

@@ -82,6 +82,18 @@ def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDO
     return _with_end(agg, window_seconds)
 
 
+def percentiles_of_partials(partials: DataFrame, keys: list[str], wanted: dict[str, int]) -> DataFrame:
+    """Nearest-rank percentiles (percent) of all latencies of any coarser groups
+    than the windows': exact, since latency counts add up where percentiles
+    don't. One row per group of ``keys``."""
+    counts = partials.groupBy(*keys, LATENCY).agg(F.sum("n").alias("n"))
+    by_key = Window.partitionBy(*keys)
+    so_far = by_key.orderBy(LATENCY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"_upto": F.sum("n").over(so_far), "_all": F.sum("n").over(by_key)})
+    return ranked.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * percent, F.col(LATENCY))).alias(name) for name, percent in wanted.items()])
+
+
 def _with_end(agg: DataFrame, window_seconds: int) -> DataFrame:
     end = F.timestamp_micros(F.unix_micros("bucket_start") + F.lit(interval_micros(window_seconds)))
     return agg.withColumn("bucket_end", end).select(*METRIC_COLUMNS)

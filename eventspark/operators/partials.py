@@ -1,6 +1,7 @@
-"""The streaming metrics' state: partial aggregates per window and micro-batch.
+"""State of a streaming aggregate: partial aggregates per bucket and micro-batch
+(of the window metrics, or of the roll-ups' ``moments``).
 
-``bucket_hour=<h>/epoch=<e>`` holds what micro-batch e added to the windows of
+``bucket_hour=<h>/epoch=<e>`` holds what micro-batch e added to the buckets of
 hour h. An hour that has collected ``MERGE_AFTER`` of them is compacted: all
 micro-batches before the running one are merged into
 ``_base/bucket_hour=<h>/upto=<w>``, w being the last one merged, and removed. The
@@ -17,9 +18,11 @@ the base and add to it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .files import Folder
 from .metrics import PARTIALS_SCHEMA, merge_partials
@@ -31,8 +34,13 @@ BASE = "_base"
 
 
 class PartialStore:
-    def __init__(self, spark: SparkSession, path: str, merge_after: int = MERGE_AFTER):
+    """``merge`` turns partials of ``schema`` into one row for each group; the
+    buckets start at ``time_col``."""
+
+    def __init__(self, spark: SparkSession, path: str, merge_after: int = MERGE_AFTER, schema: T.StructType = PARTIALS_SCHEMA,
+                 merge: Callable[[DataFrame], DataFrame] = merge_partials, time_col: str = "bucket_start"):
         self.spark, self.folder, self.merge_after = spark, Folder(spark, path), merge_after
+        self.schema, self.merge, self.time_col = schema, merge, time_col
 
     def _marked(self, folder: str, mark: str) -> list[int]:
         return sorted(int(n.split("=", 1)[1]) for n in self.folder.names(folder) if n.startswith(f"{mark}="))
@@ -52,17 +60,17 @@ class PartialStore:
 
     def _read(self, parts: list[str]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], PARTIALS_SCHEMA)
-        return self.spark.read.schema(PARTIALS_SCHEMA).parquet(*[f"{self.folder.path}/{p}" for p in parts])
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder.path}/{p}" for p in parts])
 
     def add(self, partials: DataFrame, hours: list[int], epoch: int) -> None:
         """Keep a micro-batch's partials, which lie in ``hours``. What a base
         holds already is left out (a micro-batch from long ago run again)."""
         known = [h for h in hours if self.watermark(h) >= epoch]
-        rows = partials.withColumns({"bucket_hour": hour_of("bucket_start"), "epoch": F.lit(epoch)})
+        rows = partials.withColumns({"bucket_hour": hour_of(self.time_col), "epoch": F.lit(epoch)})
         if known:
             rows = rows.where(~F.col("bucket_hour").isin(known))
-        (rows.sortWithinPartitions("bucket_hour", "bucket_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.sortWithinPartitions("bucket_hour", self.time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket_hour", "epoch").parquet(self.folder.path))
 
     def compact(self, hours: list[int], epoch: int) -> list[int]:
@@ -73,8 +81,8 @@ class PartialStore:
         if not due:
             return []
         aside = f"_merge/{uuid.uuid4().hex}"
-        merged = merge_partials(self._read([x for p in due.values() for x in p]))
-        (merged.withColumns({"bucket_hour": hour_of("bucket_start"), "upto": F.lit(epoch - 1)}).sortWithinPartitions("bucket_hour", "bucket_start")
+        merged = self.merge(self._read([x for p in due.values() for x in p]))
+        (merged.withColumns({"bucket_hour": hour_of(self.time_col), "upto": F.lit(epoch - 1)}).sortWithinPartitions("bucket_hour", self.time_col)
          .write.partitionBy("bucket_hour", "upto").parquet(f"{self.folder.path}/{aside}"))
         for h, old in due.items():
             base = f"bucket_hour={h}/upto={epoch - 1}"

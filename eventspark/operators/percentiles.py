@@ -23,6 +23,8 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plan import fence
+
 #: Width of a value range; a range has at most so many distinct whole values.
 RANGE = 1024
 
@@ -30,9 +32,20 @@ RANGE = 1024
 def spread_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
                        *aggs: Column) -> DataFrame:
     """``df.groupBy(keys).agg(*aggs)`` plus ``{name: percentile_cont(p)}`` of
-    ``value`` (DOUBLE; NULL values ignored), for every ``name, p`` in ``wanted``."""
-    measures = df.groupBy(*keys).agg(*aggs)
-    hist = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ``value`` (DOUBLE; NULL values ignored), for every ``name, p`` in ``wanted``.
+
+    One scan: ``GROUPING SETS ((keys), (keys, value))`` gives the measures and
+    the histogram in one aggregation, spread by value. Range totals, the ranges
+    that hold a wanted rank, and the values inside them are read off the same
+    shuffled rows (Spark reuses the exchange, as all three see all columns)."""
+    both = (df.groupingSets([list(keys), [*keys, value]], *keys, value)
+            .agg(*aggs, F.count(F.lit(1)).alias("_c"), F.grouping_id().alias("_gid")))
+    names = [c for c in both.columns if c not in (*keys, value, "_c", "_gid")]
+    # whole rows behind a fence: neither a filter nor a column list gets below it, so the exchanges stay alike
+    row = both.select(fence(F.struct("*")).alias("_r"))
+    of = lambda *columns: [F.col(f"_r.{c}").alias(c) for c in columns]
+    measures = row.where(F.col("_r._gid") == 1).select(*of(*keys, *names))
+    hist = (row.where((F.col("_r._gid") == 0) & F.col(f"_r.{value}").isNotNull()).select(*of(*keys, value, "_c"))
             .withColumn("_range", F.floor(F.col(value) / RANGE)))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

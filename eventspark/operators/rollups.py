@@ -131,6 +131,11 @@ def refresh_spans(spark: SparkSession, source: DataFrame, rollup_path: str, whic
     table.replace(lambda old: old.where(~_in_spans("bucket", spans)).unionByName(fresh.select(*old.columns)), has)
 
 
+def refresh_hours_with(table: HourTable, rows: DataFrame, hours: list[int]) -> None:
+    """Give whole hours of a roll-up these rows."""
+    table.replace(lambda old: rows.select(*old.columns), hours)
+
+
 def refresh(spark: SparkSession, source: DataFrame, rollup_path: str, which: str, start, end) -> tuple[int, int]:
     """Recompute the buckets of ``which`` wholly inside ``[start, end)`` from
     ``source`` (raw table for 1 min, 1-minute table for 15 min): rows of those

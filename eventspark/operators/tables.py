@@ -21,6 +21,7 @@ never as timestamps, so neither the machine's zone nor a calendar matters.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,7 +175,7 @@ def time_range(df: DataFrame, time_col: str, lo: int | Column, hi: int | Column
 
 # ------------------------------------------------------------------ writes
 
-def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = True, log_spans: Spans | None = None) -> None:
+def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = True, noted: tuple[Bounds, Spans] | None = None) -> None:
     """Append raw-table rows, time-sorted inside each file, or (``overwrite``)
     give the days they hold these rows only.
 
@@ -184,60 +185,59 @@ def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = T
     that come out of the key de-duplication are already hash-spread), which
     saves the sampling job of range partitioning in every micro-batch.
 
-    Files are written aside, indexed, and then moved to their days one by one.
-    ``log_spans`` (default: those of the rows) go to the span log at last."""
+    Files are written aside, indexed, and then moved to their days one by one;
+    the days' bounds are noted before that, the spans logged at last. ``noted``
+    gives both where the caller knows them (they may cover more than the rows)."""
     spark, path = rows.sparkSession, path.rstrip("/")
     table, aside = Folder(spark, path), f"_staging/{uuid.uuid4().hex}"
     out = rows.select(*RAW_TABLE_COLUMNS)
     if spread:
         out = out.repartitionByRange("event_date", "event_time")
     # an index is complete or absent: files that came before it are read now
-    if not table.exists(keyindex.FOLDER):
+    if not keyindex.complete(spark, path):
         before = table.glob("event_date=*/*.parquet")
-        if before and mode == "append":
+        if before:
             keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, path, before), path)
-            _note(spark, path, read_days(spark, path, "event_date", [f.split("/")[0].split("=", 1)[1] for f in before], RAW_TABLE_SCHEMA))
+            recent.note(spark, path, touched(read_days(spark, path, "event_date", [f.split("/")[0].split("=", 1)[1] for f in before], RAW_TABLE_SCHEMA))[0])
     out.sortWithinPartitions("event_date", "event_time").write.partitionBy("event_date").parquet(f"{path}/{aside}")
     files = table.glob(f"{aside}/event_date=*/*.parquet")
+    spans: Spans = noted[1] if noted else []
     if files:
-        staged = spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", f"{path}/{aside}").parquet(*[f"{path}/{f}" for f in files])
-        spans = _note(spark, path, staged)
-        keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, f"{path}/{aside}", [f[len(aside) + 1:] for f in files]), path)
+        own = [f[len(aside) + 1:] for f in files]
+        if noted is None:
+            noted = touched(spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", f"{path}/{aside}").parquet(*[f"{path}/{f}" for f in files]))
+            spans = noted[1]
+        recent.note(spark, path, noted[0])
+        keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, f"{path}/{aside}", own), path)
         if mode == "overwrite":
             for day in sorted({f.split("/")[-2] for f in files}):
                 table.delete(day)
-        for f in files:
-            table.move(f, f[len(aside) + 1:])
-        SpanLog(spark, path).add(spans if log_spans is None else log_spans)
-    elif log_spans:
-        SpanLog(spark, path).add(log_spans)
+        for f, to in zip(files, own):
+            table.move(f, to)
+    SpanLog(spark, path).add(spans)
     table.delete(aside)
 
 
-def touched(rows: DataFrame) -> tuple[list[str], Spans]:
-    """The days (as text) and the quarter hours of ``event_time`` that rows
-    hold. Bounded by the time a delivery covers."""
-    at = F.unix_micros("event_time")
-    found = (rows.where("event_time IS NOT NULL").groupBy(F.col("event_date").cast("string").alias("day"), (at - F.pmod(at, F.lit(QUARTER_MICROS))).alias("lo"))
-             .agg(F.count(F.lit(1))).collect())
-    return sorted({r["day"] for r in found}), merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
+Bounds = dict[str, tuple[int, int]]
 
 
-def _note(spark: SparkSession, path: str, rows: DataFrame) -> Spans:
-    """Note the days' bounds of rows that are about to come; their spans."""
-    at, stamp = F.unix_micros("event_time"), lambda c: F.max(F.unix_micros(c))
-    found = (rows.groupBy(F.col("event_date").cast("string").alias("day"), (at - F.pmod(at, F.lit(QUARTER_MICROS))).alias("lo"))
-             .agg(stamp("created_at").alias("created"), stamp("processing_time").alias("processed")).collect())
-    days: dict[str, tuple[int, int]] = {}
+def touched(rows: DataFrame) -> tuple[Bounds, Spans]:
+    """The greatest ``created_at`` and ``processing_time`` of each day, and the
+    quarter hours of ``event_time``, that rows hold. Bounded by the time a
+    delivery covers."""
+    at, most = F.unix_micros("event_time"), lambda c: F.max(F.unix_micros(c))
+    found = (rows.where("event_time IS NOT NULL").groupBy(F.col("event_date").cast("string").alias("day"), (at - F.pmod(at, F.lit(QUARTER_MICROS))).alias("lo"))
+             .agg(most("created_at").alias("created"), most("processing_time").alias("processed")).collect())
+    days: Bounds = {}
     for r in found:
-        most = days.get(r["day"], (r["created"], r["processed"]))
-        days[r["day"]] = max(most[0], r["created"]), max(most[1], r["processed"])
-    recent.note(spark, path, days)
-    return merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
+        own = days.get(r["day"], (r["created"], r["processed"]))
+        days[r["day"]] = max(own[0], r["created"]), max(own[1], r["processed"])
+    return days, merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
 
 
 def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
-                             order: list[str] | None = None, rejected_path: str | None = None) -> list[str]:
+                             order: list[str] | None = None, rejected_path: str | None = None,
+                             before: Callable[[DataFrame, Spans], None] | None = None) -> list[str]:
     """Insert raw-table ``rows`` into the table at ``path``; keys already present
     (or repeated inside ``rows``) keep their first row. Rows breaking a table
     rule are appended to ``rejected_path``, or an error without one. Returns the
@@ -250,23 +250,27 @@ def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
     filters say that they may hold a key of the batch; an index from before
     (or of rows that were added by other means) is completed first. The spans of
     the whole batch are logged, so that a delivery that is repeated after a
-    failure is also refreshed again."""
+    failure is also refreshed again. ``before`` gets the new rows, and the spans
+    of the batch, before any of them comes into the table."""
     path = path.rstrip("/")
     with rows_in_order(rows, raw_constraint_violation(rows), rejected_path) as good:
         batch = dedupe_raw(good, order).persist()
         try:
-            _, spans = touched(batch)
+            noted = touched(batch)
+            spans = noted[1]
             if not spans:
                 return []
             hours = sorted({h for lo, hi in spans for h in range(lo // HOUR_MICROS, -(-hi // HOUR_MICROS))})
-            if not Folder(spark, path).exists(keyindex.FOLDER) and Folder(spark, path).glob("event_date=*"):
+            if not keyindex.complete(spark, path) and Folder(spark, path).glob("event_date=*"):
                 write_raw(batch.limit(0), path, "append", spread=False)  # indexes what is there
             opened = keyindex.files_that_may_hold(spark, path, batch, hours)
             new = batch
             if opened:
                 known = spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in opened])
                 new = batch.join(known.select(*RAW_KEY), RAW_KEY, "left_anti")
-            write_raw(new, path, "append", spread=False, log_spans=spans)
+            if before:
+                before(new, spans)
+            write_raw(new, path, "append", spread=False, noted=noted)
             return opened
         finally:
             batch.unpersist()

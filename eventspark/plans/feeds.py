@@ -1,8 +1,9 @@
 """Dashboard feeds (D1-D8) over the metrics and raw tables.
 
 Means over metric rows are weighted by ``event_count`` (a mean of window
-means would over-weight quiet windows). A p95 cannot be merged from p95s;
-D4 reports the largest window p95, an upper bound of the bucket's p95.
+means would over-weight quiet windows). A p95 cannot be merged from p95s:
+``d4_p95_latency`` reports the largest one, an upper bound of the bucket's p95,
+and ``d4_exact_p95_per_scenario`` the p95 itself, from latency counts.
 Weighted means are exact: the stored averages have a fixed scale, so
 ``sum(avg * 10^s * count)`` is an integer and the quotient is rounded HALF_UP
 with integer arithmetic.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio_half_up
+from ..operators.metrics import percentiles_of_partials
 from .queries import as_of_column, q06_recent_events, throughput_per_window
 
 
@@ -57,6 +59,13 @@ def d4_p95_latency(metrics: DataFrame, start=None, end=None) -> DataFrame:
             .orderBy("time", "scenario"))
 
 
+def d4_exact_p95_per_scenario(partials: DataFrame, start=None, end=None) -> DataFrame:
+    """The p95 over all symbols of a window, from the latency counts that the
+    streaming job keeps (``operators.partials``; in batch ``window_partials``)."""
+    of = percentiles_of_partials(_period(partials, start, end), ["bucket_start", "scenario"], {"p95_latency_ms": 95})
+    return of.withColumnRenamed("bucket_start", "time").orderBy("time", "scenario")
+
+
 def d5_persisted_throughput(metrics: DataFrame, start=None, end=None) -> DataFrame:
     return throughput_per_window(_period(metrics, start, end)).orderBy("time", "scenario")
 

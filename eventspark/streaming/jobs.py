@@ -18,9 +18,8 @@ B keeps no watermark. A window's partials add up in any order, so an event that
 arrives after its window, whatever its delay, still changes the stored metrics.
 The partials are kept for as long as the query's checkpoint, compacted by hour.
 
-The trigger is the checkpoint interval; a micro-batch starts only after the
-one before it has ended, so a least pause between checkpoints has no
-counterpart, and a stuck one is ended by the cluster's task and job limits.
+The trigger is the checkpoint interval. ``limits.Limits`` keep the least pause
+between micro-batches, and end a query whose micro-batch takes too long.
 """
 
 from __future__ import annotations
@@ -45,9 +44,11 @@ from ..operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_
 from ..schema import PRICE
 from ..sources.connect import (DEFAULT_ERRORS_TOPIC, DEFAULT_PROCESSED_TOPIC, kafka_sink, kafka_source, raw_topic,
                                text_sink, text_source, with_line_order)
+from .limits import Limits, within_limits
 
 Sink = Callable[[DataFrame], None]
 DEFAULT_TRIGGER = {"processingTime": "30 seconds"}
+DEFAULT_LIMITS = Limits()
 
 
 @dataclass
@@ -78,13 +79,18 @@ def _ingest_batch(spark: SparkSession, paths: Paths, processed_sink: Sink, inval
 
 def start_ingest(spark: SparkSession, source: DataFrame, paths: Paths, processed_sink: Sink, invalid_sink: Sink,
                  value_col: str = "value", processing_time_col: str | None = None, order: list[str] | None = None,
-                 trigger: dict | None = None) -> StreamingQuery:
+                 trigger: dict | None = None, limits: Limits | None = DEFAULT_LIMITS) -> StreamingQuery:
     """Query A. ``trigger`` e.g. ``{"processingTime": "30 seconds"}`` or
-    ``{"availableNow": True}``."""
+    ``{"availableNow": True}`` (which makes no pauses)."""
     order = order or ["processing_time", "arrival"]
     run = _ingest_batch(spark, paths, processed_sink, invalid_sink, value_col, processing_time_col, order)
-    return (source.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint_a)
-            .trigger(**(trigger or DEFAULT_TRIGGER)).start())
+    return _start(spark, source, run, paths.checkpoint_a, trigger, limits)
+
+
+def _start(spark: SparkSession, source: DataFrame, run, checkpoint: str, trigger: dict | None, limits: Limits | None) -> StreamingQuery:
+    trigger = trigger or DEFAULT_TRIGGER
+    limited = within_limits(spark, run, limits, pauses="processingTime" in trigger)
+    return source.writeStream.foreachBatch(limited).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 PROCESSED_MESSAGE_SCHEMA = T.StructType([
@@ -124,7 +130,7 @@ def add_partials(spark: SparkSession, batch: DataFrame, path: str, epoch_id: int
 
 def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Paths,
                   window_seconds: int = DEFAULT_WINDOW_SECONDS, trigger: dict | None = None,
-                  created_at_col: str | None = None) -> StreamingQuery:
+                  created_at_col: str | None = None, limits: Limits | None = DEFAULT_LIMITS) -> StreamingQuery:
     """Query B: windowed metrics, upserted per micro-batch (an open window is
     replaced until its last event, so the table ends equal to a once-per-window
     emission). ``created_at`` is the write time unless a column is named
@@ -137,8 +143,7 @@ def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Pat
         finally:
             events.unpersist()
 
-    return (processed_messages.writeStream.foreachBatch(run).option("checkpointLocation", paths.checkpoint_b)
-            .trigger(**(trigger or DEFAULT_TRIGGER)).start())
+    return _start(spark, processed_messages, run, paths.checkpoint_b, trigger, limits)
 
 
 def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "15 minutes") -> list[tuple[int, int]]:
@@ -151,7 +156,8 @@ def touched_spans(batch: DataFrame, time_col: str = "event_time", width: str = "
 
 
 def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str, quarter_table: str, checkpoint: str,
-                         trigger: dict | None = None, policy_clock: Callable[[], int] | None = None) -> StreamingQuery:
+                         trigger: dict | None = None, policy_clock: Callable[[], int] | None = None,
+                         limits: Limits | None = DEFAULT_LIMITS) -> StreamingQuery:
     """Query R: a stream over the raw table's log of changed spans, whose entries
     are gone once they are dealt with, so a trigger costs what was written since
     the last one, whatever the table's size. It recomputes the changed spans,
@@ -165,8 +171,7 @@ def start_rollup_refresh(spark: SparkSession, raw_table: str, minute_table: str,
     def run(batch: DataFrame, epoch_id: int) -> None:
         refresh_from_log(spark, raw_table, minute_table, quarter_table, policy_clock() if policy_clock else None)
 
-    return (spark.readStream.schema("lo long, hi long").json(log.folder.path).writeStream.foreachBatch(run)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or DEFAULT_TRIGGER)).start())
+    return _start(spark, spark.readStream.schema("lo long, hi long").json(log.folder.path), run, checkpoint, trigger, limits)
 
 
 # ---------------------------------------------------------------- the job
