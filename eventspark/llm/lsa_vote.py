@@ -193,10 +193,12 @@ def sample_of(ws: Workspace, docs: DataFrame, labels: DataFrame, column: str, fo
              .groupBy(F.col("doc_id").alias("id")).agg(F.min(column).cast("int").alias("label")))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # hash order over labelled ids that have a document
-    there = known.join(texts.select("id").distinct(), "id", "left_semi")
+    there = ws.save(known.join(texts.select("id").distinct(), "id", "left_semi"), "there")
     chosen = hash_head(there, most, "id")
     one = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
-    return ws.save(one.select("id", "label", "t.text"), "sample")
+    sample = ws.save(one.select("id", "label", "t.text"), "sample")
+    ws.drop("there")
+    return sample
 
 
 def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, column: str = "quality") -> Space | None:
