@@ -34,18 +34,20 @@ def spread_percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[
     """``df.groupBy(keys).agg(*aggs)`` plus ``{name: percentile_cont(p)}`` of
     ``value`` (DOUBLE; NULL values ignored), for every ``name, p`` in ``wanted``.
 
-    One scan: ``GROUPING SETS ((keys), (keys, value))`` gives the measures and
-    the histogram in one aggregation, spread by value. Range totals, the ranges
-    that hold a wanted rank, and the values inside them are read off the same
-    shuffled rows (Spark reuses the exchange, as all three see all columns)."""
-    both = (df.groupingSets([list(keys), [*keys, value]], *keys, value)
-            .agg(*aggs, F.count(F.lit(1)).alias("_c"), F.grouping_id().alias("_gid")))
-    names = [c for c in both.columns if c not in (*keys, value, "_c", "_gid")]
+    One scan: every row is grouped with its value and without, in one
+    aggregation, which gives the histogram, spread by value, and the measures.
+    Range totals, the ranges that hold a wanted rank, and the values inside them
+    are read off the same shuffled rows (Spark reuses the exchange, as all three
+    see all columns; an exploded pair stands for GROUPING SETS, whose plan Spark
+    does not recognise as the same twice)."""
+    twice = df.withColumn("_whole", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_v", F.when(~F.col("_whole"), F.col(value)))
+    both = twice.groupBy(*keys, "_v", "_whole").agg(*aggs, F.count(F.lit(1)).alias("_c"))
+    names = [c for c in both.columns if c not in (*keys, "_v", "_whole", "_c")]
     # whole rows behind a fence: neither a filter nor a column list gets below it, so the exchanges stay alike
     row = both.select(fence(F.struct("*")).alias("_r"))
     of = lambda *columns: [F.col(f"_r.{c}").alias(c) for c in columns]
-    measures = row.where(F.col("_r._gid") == 1).select(*of(*keys, *names))
-    hist = (row.where((F.col("_r._gid") == 0) & F.col(f"_r.{value}").isNotNull()).select(*of(*keys, value, "_c"))
+    measures = row.where(F.col("_r._whole")).select(*of(*keys, *names))
+    hist = (row.where(~F.col("_r._whole") & F.col("_r._v").isNotNull()).select(*of(*keys, "_c"), F.col("_r._v").alias(value))
             .withColumn("_range", F.floor(F.col(value) / RANGE)))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
