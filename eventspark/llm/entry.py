@@ -93,5 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_ledger": secret_ledger.SQL,
         "op10_wu_manber": wu_manber.SQL,
         "op11_diagonal_runs": diagonal_runs.SQL,
+        "op12_risk_rules": risk_rules.SQL,
         "op13_laesa_clusters": laesa.SQL,
     }

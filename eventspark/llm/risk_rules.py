@@ -219,11 +219,13 @@ def certified(spark: SparkSession, counted: DataFrame, labels: DataFrame, column
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", **options) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept and
-    broken_rules (names of the certified rules that it breaks)."""
+    broken_rules (names of the certified rules that it breaks; none for a
+    document that the base rules reject)."""
     ws = Workspace(spark, "risk-rules")
     counted = ws.save(counts(docs, stratum), "counts")
     cutoffs = certified(spark, counted, labels, ws=ws, **options).select("stratum", "rules")
-    joined = counted.join(cutoffs, "stratum", "left").withColumn("broken_rules", F.coalesce(broken_rules(), F.array().cast("array<string>")))
+    names = F.when(~F.col("base_failed"), broken_rules())
+    joined = counted.join(cutoffs, "stratum", "left").withColumn("broken_rules", F.coalesce(names, F.array().cast("array<string>")))
     out = joined.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
     return ws.finish(out.select("doc_id", *COUNTS, "base_failed", "kept", "broken_rules"))
 
@@ -231,3 +233,70 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, stratum: str
 def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(spark, docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                                              F.array_join("broken_rules", ",").alias("broken_rules"))
+
+
+def _sql() -> str:
+    values = ", ".join(f"({i}, '{name}', '{part}', '{whole}', {list(grid)}, {1 if grid[0] < grid[-1] else -1})" for i, (name, (part, whole, grid)) in enumerate(RULES.items()))
+    counts_of = ", ".join(f"'{c}': {c}" for c in COUNTS)
+    rungs = ", ".join(f"({i}, {r / len(RULES)!r}::DOUBLE)" for i, r in enumerate(RUNGS))
+    return rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), gram AS (
+  SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM doc, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS u(i)
+), twice AS (
+  SELECT r, unnest(list(i)) AS i FROM gram GROUP BY r, g HAVING count(*) > 1
+), repeated AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest(range({WINDOW})) AS u(k) GROUP BY r
+), lines AS (
+  SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM doc
+), counted AS (
+  SELECT doc.r, doc_id, stratum, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(regexp_extract_all(t, '[0-9]')) AS n_digits, len(regexp_extract_all(t, '[!-/:-@\[-`{{-~]')) AS n_marks,
+    len(list_distinct(w)) AS n_distinct_words FROM doc JOIN lines USING (r) LEFT JOIN repeated USING (r)
+), judged AS (
+  SELECT *, coalesce(chars, 0) AS word_chars, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counted
+), rules AS (
+  SELECT * FROM (VALUES {values}) AS v(nth, rule, part, whole, grid, sign)
+), broken AS (
+  SELECT r, doc_id, stratum, nth, rule, len(list_filter(grid, lambda g: sign * (m[part] * 1000 - g * m[whole]) > 0)) AS n
+  FROM (SELECT r, doc_id, stratum, MAP {{{counts_of}}} AS m FROM judged WHERE NOT base_failed), rules
+), known AS (
+  SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), halves AS (
+  SELECT doc_id, good, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(crc, b)), 4294967295), 4294967295) % 2 = 0 AS proposes
+  FROM known
+), labelled AS (
+  SELECT * FROM broken JOIN halves USING (doc_id)
+), tally AS (
+  SELECT stratum, rule, n - 1 AS cutoff, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM labelled WHERE proposes GROUP BY ALL
+), sums AS (
+  SELECT stratum, rule, cutoff, sum(good) OVER stricter AS lost, sum(bad) OVER stricter AS caught, sum(good) OVER (PARTITION BY stratum, rule) AS n_good
+  FROM tally WINDOW stricter AS (PARTITION BY stratum, rule ORDER BY cutoff DESC)
+), proposed AS (
+  SELECT stratum, rung, rule, arg_max(cutoff, {{'a': caught, 'b': cutoff}}) AS cutoff FROM sums, (VALUES {rungs}) AS v(rung, share)
+  WHERE cutoff >= 0 AND caught > 0 AND lost <= n_good * share GROUP BY ALL
+), held AS (
+  SELECT r, stratum, rung, bool_or(n > cutoff) AS lost FROM labelled JOIN proposed USING (stratum, rule) WHERE good AND NOT proposes GROUP BY ALL
+), tested AS (
+  SELECT stratum, rung, count(*) AS n, count(*) FILTER (lost) AS k FROM held GROUP BY ALL
+), tails AS (
+  SELECT stratum, rung, CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS p FROM tested
+), passed AS (
+  SELECT stratum, rung, bool_and(p <= {DELTA} / (SELECT count(DISTINCT stratum) FROM labelled)) OVER (PARTITION BY stratum ORDER BY rung) AS holds FROM tails
+), force AS (
+  SELECT stratum, rule, cutoff FROM proposed JOIN (SELECT stratum, max(rung) AS rung FROM passed WHERE holds GROUP BY stratum) USING (stratum, rung)
+), out AS (
+  SELECT r, string_agg(rule, ',' ORDER BY nth) AS names FROM broken JOIN force USING (stratum, rule) WHERE n > cutoff GROUP BY r
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND names IS NULL AS kept, coalesce(names, '') AS broken_rules
+FROM judged LEFT JOIN out USING (r)
+"""
+
+
+SQL = _sql()
