@@ -99,12 +99,6 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]: offs[-1]], offs - offs[0]
 
 
-def text_in(rows: pa.StructArray) -> pa.Array:
-    """The column ``text`` of whole rows."""
-    column = rows.field("text")
-    return column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string())
-
-
 def slices(offsets: np.ndarray, most: int):
     """Ranges i, j of texts with at most ``most`` bytes together (or one text)."""
     i, n = 0, len(offsets) - 1

@@ -26,6 +26,8 @@ are ignored by ``score`` and kept by ``keep``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -221,39 +223,36 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, column: str = "qualit
     return Space(dense, label[order], having, n)
 
 
-def _scored(space, columns, keep: bool):
-    def run(batches):
-        model = space.value
-        for batch in batches:
-            data, offsets = K.string_buffers(K.text_in(batch.column("row")) if keep else batch.column("_text"))
-            for i, j in K.slices(offsets, 1 << 20):
-                part = batch.slice(i, j - i)
-                if model is None:
-                    score = np.full(j - i, 0.5)
-                else:
-                    score = np.concatenate([model.vote(counts(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]))
-                                            for a, b in ((a, min(a + 512, j)) for a in range(i, j, 512))])
-                if keep:
-                    yield part.select(columns).filter(pa.array(score >= PREDICT))
-                else:
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(score)], names=[*columns, "score"])
-    return run
+def _scores(model: Space | None, column: pa.Array) -> pa.Array:
+    """The scores of a column of texts."""
+    data, offsets = K.string_buffers(column)
+    out = np.full(len(column), 0.5)
+    if model is not None:
+        for i, j in K.slices(offsets, 1 << 20):
+            for a in range(i, j, 512):
+                b = min(a + 512, j)
+                out[a:b] = model.vote(counts(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]))
+    return pa.array(out)
+
+
+def scorer(space):
+    """A function from a text column to its scores."""
+    @F.arrow_udf("double")
+    def score_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield _scores(space.value, column)
+    return score_of
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     ws = Workspace(spark, "lsa-vote")
     space = spark.sparkContext.broadcast(fit(ws, docs, labels))
-    rows = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_scored(space, ["doc_id", "held_out"], False), f"doc_id {kind}, held_out boolean, score double")
+    out = docs.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), scorer(space)(docs["text"].cast("string")).alias("score"))
     return ws.finish(out.withColumn("predicted", (F.col("score") >= PREDICT).cast("int")))
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1."""
-    ws = Workspace(spark, "lsa-vote")
-    space = spark.sparkContext.broadcast(fit(ws, docs, labels))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # its own columns may have any names
-    rows = docs.select(row)
-    return ws.finish(rows.mapInArrow(_scored(space, ["row"], True), rows.schema)).select("row.*")
+    space = spark.sparkContext.broadcast(fit(Workspace(spark, "lsa-vote"), docs, labels))
+    return docs.where(scorer(space)(docs["text"].cast("string")) >= PREDICT)

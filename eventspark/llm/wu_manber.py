@@ -32,12 +32,12 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventspark.llm import kernels as K
 from eventspark.llm.common import Workspace
@@ -159,7 +159,7 @@ def _scanner(patterns, columns, hits_only: bool):
     def run(batches):
         tables = patterns.value
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column("text") if hits_only else K.text_in(batch.column("row")))
+            data, offsets = K.string_buffers(batch.column("text"))
             for i, j in K.slices(offsets, 1 << 21):
                 part = batch.slice(i, j - i)
                 n_words, hit, first, items = _scan_texts(tables, data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
@@ -192,60 +192,92 @@ def _pieces(window: int):
     return run
 
 
-def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Workspace, DataFrame]:
-    """(row, _words, _hits, _items): each row of ``docs`` as a struct, so that
-    its own columns may have any names."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    ws = Workspace(spark, "wu-manber")
-    items = ws.save(items.mapInArrow(_pieces(window), "item string, piece long, text string"), "items")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
-
-    def patterns(k: int):
-        own = items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == k).collect()
-        return spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], window))
-
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kinds = "_words long, _hits array<long>, _items array<string>"
-    if blocks == 1:
-        schema = T.StructType([*rows.schema, *T.StructType.fromDDL(kinds)])
-        return ws, rows.mapInArrow(_scanner(patterns(0), schema.names, False), schema)
-    text = docs["text"].cast("string")
-    keyed = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).where("text IS NOT NULL")
-    parts = []
-    for k in range(blocks):
-        table = patterns(k)
-        found = keyed.mapInArrow(_scanner(table, ["key", "_hits", "_items"], True), "key binary, _hits array<long>, _items array<string>")
-        parts.append(ws.save(found.groupBy("key").agg(F.first("_hits").alias("_hits"), F.first("_items").alias("_items")), f"hits-{k}"))
-        table.unpersist()
-    every = functools.reduce(DataFrame.union, parts)
-    # at most one row a block and text
-    merged = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"),
-                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    merged = ws.save(merged, "hits")
-    joined = rows.withColumn("key", F.unhex(F.md5(F.col("row.text").cast("string").cast("binary")))).join(merged, "key", "left")
-    return ws, joined.select("row", F.coalesce(F.regexp_count(F.col("row.text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("_words"),
-                         F.coalesce("_hits", F.array().cast("array<long>")).alias("_hits"), F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
-
-
-def _contaminated() -> Column:
-    n_hit = F.size("_hits").cast("long")
-    return (n_hit > 0) & (n_hit * 20 >= F.col("_words"))
+class _Search:
+    """The benchmark in blocks, each searched for in all documents."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, window: int):
+        self.spark, self.window, self.ws = spark, window, Workspace(spark, "wu-manber")
+        items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
+            F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+        self.items = self.ws.save(items.mapInArrow(_pieces(window), "item string, piece long, text string"), "items")
+        size = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
+
+    def patterns(self, k: int = 0):
+        own = self.items.where(F.pmod(F.xxhash64("item", "piece"), F.lit(self.blocks)) == k).collect()
+        return self.spark.sparkContext.broadcast(build([(r["item"], r["text"]) for r in own], self.window))
+
+    def by_text(self, docs: DataFrame) -> DataFrame:
+        """(key: md5 of the text, _hits, _items) of texts with hits."""
+        text = docs["text"].cast("string")
+        keyed = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).where("text IS NOT NULL")
+        parts = []
+        for k in range(self.blocks):
+            table = self.patterns(k)
+            found = keyed.mapInArrow(_scanner(table, ["key", "_hits", "_items"], True), "key binary, _hits array<long>, _items array<string>")
+            parts.append(self.ws.save(found.groupBy("key").agg(F.first("_hits").alias("_hits"), F.first("_items").alias("_items")), f"hits-{k}"))
+            table.unpersist()
+        every = functools.reduce(DataFrame.union, parts)
+        # at most one row a block and text
+        merged = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"),
+                                          F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+        return self.ws.save(merged, "hits")
+
+
+def _n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.unhex(F.md5(docs["text"].cast("string").cast("binary")))
+
+
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (their numbers),
     item_ids (sorted as text) and contaminated (hit words are a twentieth)."""
-    ws, found = _hits(spark, docs.select("doc_id", "text"), benchmark, window)
-    return ws.finish(found.select("row.doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"),
-                        F.col("_items").alias("item_ids"), _contaminated().alias("contaminated")))
+    search = _Search(spark, benchmark, window)
+    if search.blocks == 1:
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        found = docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(
+            _scanner(search.patterns(), ["doc_id", "_words", "_hits", "_items"], False), f"doc_id {kind}, _words long, _hits array<long>, _items array<string>")
+    else:
+        hits = search.by_text(docs)
+        found = docs.join(hits, _key(docs) == hits["key"], "left").select(
+            docs["doc_id"], _n_words(docs["text"].cast("string")).alias("_words"), F.coalesce(hits["_hits"], F.array().cast("array<long>")).alias("_hits"),
+            F.coalesce(hits["_items"], F.array().cast("array<string>")).alias("_items"))
+    return search.ws.finish(found.select(
+        "doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("hit_words"), F.col("_items").alias("item_ids"),
+        _contaminated(F.size("_hits").cast("long"), F.col("_words")).alias("contaminated")))
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
-    ws, found = _hits(spark, docs, benchmark, window)
-    return ws.finish(found.where(~_contaminated()).select("row")).select("row.*")
+    search = _Search(spark, benchmark, window)
+    text = docs["text"].cast("string")
+    if search.blocks > 1:
+        hits = search.by_text(docs).select("key", F.size("_hits").cast("long").alias("n_hit"))
+        # only texts with hits are counted again and met with the documents
+        dirty = docs.join(hits, _key(docs) == hits["key"]).where(_contaminated(hits["n_hit"], _n_words(text))).select(hits["key"].alias("_dirty")).distinct()
+        dirty = search.ws.save(dirty, "dirty")
+        return docs.join(dirty, _key(docs) == dirty["_dirty"], "left_anti")
+    patterns = search.patterns()
+
+    @F.arrow_udf("boolean")
+    def is_dirty(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, offsets = K.string_buffers(column)
+            out = []
+            for i, j in K.slices(offsets, 1 << 21):
+                n_words, hit, first, _ = _scan_texts(patterns.value, data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                n_hit = np.diff(np.searchsorted(hit, first))
+                out.append((n_hit > 0) & (20 * n_hit >= n_words))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(~is_dirty(text))
 
 
 def digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

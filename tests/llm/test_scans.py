@@ -118,7 +118,10 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_bytes, pi
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, item string")
     rows = wu_manber.scan(spark, docs_of(spark, texts).repartition(3), bench).collect()
     got = {r["doc_id"]: (r["n_words"], len(r["hit_words"]), r["item_ids"], r["contaminated"]) for r in rows}
-    assert got == contaminated_by_force(texts, items)
+    want = contaminated_by_force(texts, items)
+    assert got == want
+    kept = wu_manber.clean(spark, docs_of(spark, texts).repartition(3), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d for d in range(len(texts)) if not want[d][3]]
 
 
 def test_shift_search_finds_what_a_plain_search_finds():
