@@ -78,8 +78,10 @@ def complete(spark: SparkSession, path: str) -> bool:
 
 
 def hour_folders(spark: SparkSession, path: str, hours: list[int]) -> list[str]:
-    folder = Folder(spark, f"{path}/{FOLDER}")
-    return [f"{folder.path}/event_hour={h}" for h in sorted(set(hours)) if folder.exists(f"event_hour={h}")]
+    """The index folders of some hours, looked for one by one if they are few."""
+    folder, wanted = Folder(spark, f"{path}/{FOLDER}"), [f"event_hour={h}" for h in sorted(set(hours))]
+    there = {n for n in wanted if folder.exists(n)} if len(wanted) <= 100 else set(folder.names())
+    return [f"{folder.path}/{n}" for n in wanted if n in there]
 
 
 def files_that_may_hold(spark: SparkSession, path: str, keys: DataFrame, hours: list[int]) -> list[str]:

@@ -28,8 +28,13 @@ def note(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int]]) ->
     """Note bounds of days; older notes that they exceed are removed."""
     folder = Folder(spark, f"{path}/{FOLDER}")
     folder.fs.mkdirs(folder.at())
+    noted: dict[str, list[tuple[str, int, int]]] = {}
+    for name in folder.names():
+        if not name.startswith("."):
+            day, created, processed = name.split(",")
+            noted.setdefault(day, []).append((name, int(created), int(processed)))
     for day, (created, processed) in bounds.items():
-        old = [(n, *map(int, n.split(",")[1:])) for n in folder.names() if n.split(",")[0] == day]
+        old = noted.get(day, [])
         created, processed = max([created, *[o[1] for o in old]]), max([processed, *[o[2] for o in old]])
         name = f"{day},{created},{processed}"
         if name not in {o[0] for o in old}:
