@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,17 @@ def _k3(spark, sf):
     return present(_d(spark, sf).raw)
 
 
+@contextmanager
+def _kept(df: DataFrame):
+    """``df`` computed once for the deliveries that are cut out of it: its
+    messages are not made and parsed again for each of them."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _quantile(df: DataFrame, col: str, p: float) -> int:
     return df.select(F.percentile_approx(F.unix_micros(col), p)).first()[0]
 
@@ -118,9 +130,10 @@ def _k3_insert(spark, sf):
     path = work_path(spark, "k3-raw")
     rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
     stamp = F.unix_micros("processing_time")
-    cut, cut2 = _quantile(rows, "processing_time", 0.5), _quantile(rows, "processing_time", 0.4)
-    insert_ignore_duplicates(spark, rows.filter(stamp <= cut), path, ["processing_time"])
-    insert_ignore_duplicates(spark, rows.filter(stamp >= cut2), path, ["processing_time"])
+    with _kept(rows) as rows:
+        cut, cut2 = _quantile(rows, "processing_time", 0.5), _quantile(rows, "processing_time", 0.4)
+        insert_ignore_duplicates(spark, rows.filter(stamp <= cut), path, ["processing_time"])
+        insert_ignore_duplicates(spark, rows.filter(stamp >= cut2), path, ["processing_time"])
     return present(spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*RAW_TABLE_COLUMNS))
 
 
@@ -131,9 +144,10 @@ def _k3_late(spark, sf):
     d = _d(spark, sf)
     path = work_path(spark, "k3-late")
     rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
-    half, more = rows.select(F.percentile_approx("sequence", [0.5, 0.6])).first()[0]
-    for part in (rows.filter(F.col("sequence") > half), rows.filter(F.col("sequence") <= more), rows):
-        insert_ignore_duplicates(spark, part, path, ["processing_time"])
+    with _kept(rows) as rows:
+        half, more = rows.select(F.percentile_approx("sequence", [0.5, 0.6])).first()[0]
+        for part in (rows.filter(F.col("sequence") > half), rows.filter(F.col("sequence") <= more), rows):
+            insert_ignore_duplicates(spark, part, path, ["processing_time"])
     return present(spark.read.schema(RAW_TABLE_SCHEMA).parquet(path).select(*RAW_TABLE_COLUMNS))
 
 
@@ -153,9 +167,10 @@ def _w1_out_of_order(spark, sf):
     third of every window, the latest events first."""
     d = _d(spark, sf)
     partials, path = work_path(spark, "w1-partials"), work_path(spark, "w1-metrics")
-    for epoch, third in enumerate((2, 0, 1)):
-        batch = d.valid.where(F.col("sequence") % 3 == third)
-        upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10), path, F.col("bucket_end"))
+    with _kept(d.valid) as valid:
+        for epoch, third in enumerate((2, 0, 1)):
+            batch = valid.where(F.col("sequence") % 3 == third)
+            upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10), path, F.col("bucket_end"))
     return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
 
 
@@ -165,9 +180,10 @@ def _w2_compacted(spark, sf):
     after it has been merged (neither may count again)."""
     d = _d(spark, sf)
     partials, path = work_path(spark, "w2-partials"), work_path(spark, "w2-metrics")
-    for epoch in (0, 1, 2, 3, 4, 5, 5, 1, 6, 7, 8, 9):
-        batch = d.valid.where(F.col("sequence") % 10 == (epoch * 7) % 10)
-        upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10, merge_after=3), path, F.col("bucket_end"))
+    with _kept(d.valid) as valid:
+        for epoch in (0, 1, 2, 3, 4, 5, 5, 1, 6, 7, 8, 9):
+            batch = valid.where(F.col("sequence") % 10 == (epoch * 7) % 10)
+            upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10, merge_after=3), path, F.col("bucket_end"))
     return present(metrics_table(spark, path).read().select(*METRIC_COLUMNS))
 
 
@@ -177,11 +193,12 @@ def _m7_log(spark, sf):
     d = _d(spark, sf)
     raw, minute, quarter = (work_path(spark, n) for n in ("m7-raw", "m7-minute", "m7-quarter"))
     rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
-    newer = F.col("sequence") > rows.select(F.percentile_approx("sequence", 0.5)).first()[0]
-    seventh = F.col("sequence") % 7 == 0
-    for part in (rows.filter(newer & ~seventh), rows.filter(seventh), rows.filter(~newer)):
-        insert_ignore_duplicates(spark, part, raw, ["processing_time"])
-        refresh_from_log(spark, raw, minute, quarter)
+    with _kept(rows) as rows:
+        newer = F.col("sequence") > rows.select(F.percentile_approx("sequence", 0.5)).first()[0]
+        seventh = F.col("sequence") % 7 == 0
+        for part in (rows.filter(newer & ~seventh), rows.filter(seventh), rows.filter(~newer)):
+            insert_ignore_duplicates(spark, part, raw, ["processing_time"])
+            refresh_from_log(spark, raw, minute, quarter)
     return present(read_rollup(spark, minute, "events_1min").drop("bucket_date"))
 
 
@@ -192,8 +209,9 @@ def _m1_delta(spark, sf):
     d = _d(spark, sf)
     raw, state, minute = (work_path(spark, n) for n in ("md-raw", "md-state", "md-minute"))
     rows = raw_table_rows(d.valid.withColumn("arrival", F.lit(0)), created_at=F.col("processing_time"))
-    for delivery, part in enumerate((0, 1, 2, 2, 3, 0)):
-        insert_and_add(spark, rows.filter(F.col("sequence") % 4 == part), raw, state, minute, delivery, ["processing_time"], merge_after=2)
+    with _kept(rows) as rows:
+        for delivery, part in enumerate((0, 1, 2, 2, 3, 0)):
+            insert_and_add(spark, rows.filter(F.col("sequence") % 4 == part), raw, state, minute, delivery, ["processing_time"], merge_after=2)
     return present(read_rollup(spark, minute, "events_1min").drop("bucket_date"))
 
 

@@ -16,6 +16,8 @@ against the table before they are used.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +39,21 @@ def _hash(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "event_id", "event_time")
 
 
-def _probes() -> Column:
+#: A key's three hashes give four probes of 15 bits each.
+HASHES = [f"h{i}" for i in range(1, PROBES // 4 + 1)]
+
+
+def _hashes() -> list[Column]:
+    return [_hash(i) for i in range(1, len(HASHES) + 1)]
+
+
+def _named_hashes() -> list[Column]:
+    return [h.alias(name) for h, name in zip(_hashes(), HASHES)]
+
+
+def _probes(hashes: list[Column] | None = None) -> Column:
     """The bits of a key in its block: four of 15 bits from each hash."""
-    parts = [F.pmod(F.shiftrightunsigned(_hash(1 + i // 4), 16 * (i % 4)), F.lit(BLOCK_BITS)) for i in range(PROBES)]
-    return F.array(*parts)
+    return F.array(*[F.pmod(F.shiftrightunsigned(h, 16 * j), F.lit(BLOCK_BITS)) for h in hashes or _hashes() for j in range(4)])
 
 
 def _is_set(bit: Column) -> Column:
@@ -48,15 +61,28 @@ def _is_set(bit: Column) -> Column:
     return byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
 
 
+def _block_bits():
+    """A function of one block's keys (their hashes) that gives its index row."""
+    def bits_of(keys: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOCK_BITS, np.uint8)
+        for name in HASHES:
+            h = keys.column(name).to_numpy().view(np.uint64)
+            for j in range(4):
+                bits[(h >> np.uint64(16 * j)) & np.uint64(BLOCK_BITS - 1)] = 1
+        one = keys.slice(0, 1).select(["file", "block", "n_blocks", "lo", "hi", "event_hour"])
+        return one.add_column(5, "bits", pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()))
+    return bits_of
+
+
 def filters(rows: DataFrame) -> DataFrame:
-    """The index rows of (file, event_id, event_time)."""
+    """The index rows of (file, event_id, event_time). A key is dealt to its
+    block as three hashes, once; a block's bits are set in one go."""
     keyed = rows.withColumn("event_hour", hour_of("event_time"))
     sizes = keyed.groupBy("event_hour", "file").agg(
         F.ceil(F.count(F.lit(1)) / KEYS_A_BLOCK).cast("long").alias("n_blocks"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
-    placed = keyed.join(sizes, ["event_hour", "file"]).withColumn("block", F.pmod(_hash(0), F.col("n_blocks")))
-    return (placed.select("event_hour", "file", "block", "n_blocks", "lo", "hi", F.explode(_probes()).alias("bit"))
-            .groupBy("event_hour", "file", "block", "n_blocks", "lo", "hi").agg(F.bitmap_construct_agg("bit").alias("bits"))
-            .select(*SCHEMA.names))
+    placed = keyed.join(sizes, ["event_hour", "file"])
+    return (placed.select("event_hour", "file", F.pmod(_hash(0), F.col("n_blocks")).alias("block"), "n_blocks", "lo", "hi", *_named_hashes())
+            .groupBy("event_hour", "file", "block").applyInArrow(_block_bits(), SCHEMA))
 
 
 def keys_of_files(spark: SparkSession, path: str, schema: T.StructType, folder: str, files: list[str] | None = None) -> DataFrame:
@@ -92,14 +118,16 @@ def files_that_may_hold(spark: SparkSession, path: str, keys: DataFrame, hours:
         return []
     index = spark.read.schema(SCHEMA).option("basePath", f"{path}/{FOLDER}").parquet(*folders)
     minute = lambda c: F.floor(F.unix_micros(c) / MINUTE_MICROS)
-    # a file stands under every minute it covers, so a busy hour spreads over its minutes
-    zones = (index.select("file", "event_hour", "n_blocks", "lo", "hi").distinct()
+    # a file stands under every minute it covers, so a busy hour spreads over its
+    # minutes; a key meets it by a number (two files of one number: both are looked at)
+    number = F.xxhash64("file").alias("number")
+    zones = (index.select("event_hour", number, "n_blocks", "lo", "hi").distinct()
              .withColumn("minute", F.explode(F.sequence(minute("lo"), minute("hi")))))
-    near = (keys.select("event_id", "event_time", minute("event_time").alias("minute")).join(zones, "minute")
+    near = (keys.select("event_time", minute("event_time").alias("minute"), _hash(0).alias("h0"), *_named_hashes()).join(zones, "minute")
             .where((F.col("event_time") >= F.col("lo")) & (F.col("event_time") <= F.col("hi"))
                    & (F.col("event_hour") == hour_of("event_time")))
-            .select("event_hour", "file", F.pmod(_hash(0), F.col("n_blocks")).alias("block"), _probes().alias("probes")))
-    met = near.join(index.select("event_hour", "file", "block", "bits"), ["event_hour", "file", "block"]).where(F.forall("probes", _is_set))
+            .select("event_hour", "number", F.pmod("h0", F.col("n_blocks")).alias("block"), *HASHES))
+    met = near.join(index.select("event_hour", number, "block", "file", "bits"), ["event_hour", "number", "block"]).where(F.forall(_probes([F.col(h) for h in HASHES]), _is_set))
     names = [r[0] for r in met.select("file").distinct().collect()]
     table = Folder(spark, path)
     return sorted(f for f in names if table.exists(f))

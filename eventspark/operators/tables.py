@@ -179,11 +179,12 @@ def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = T
     """Append raw-table rows, time-sorted inside each file, or (``overwrite``)
     give the days they hold these rows only.
 
-    ``spread=True`` (bulk loads) range-partitions on (day, time): a busy day
-    is spread over many tasks - never one task per day - and every file covers
-    a narrow time range. ``spread=False`` keeps the input partitioning (rows
-    that come out of the key de-duplication are already hash-spread), which
-    saves the sampling job of range partitioning in every micro-batch.
+    ``spread=True`` range-partitions on (day, time): a busy day is spread over
+    many tasks - never one task per day - and every file covers a narrow time
+    range, so that a key of a later delivery lies within the times of few files.
+    (Rows that come out of the key de-duplication are hash-spread: written as
+    they are, each of their files would cover the whole delivery.)
+    ``spread=False`` keeps the input partitioning.
 
     Files are written aside, indexed, and then moved to their days one by one;
     the days' bounds are noted before that, the spans logged at last. ``noted``
@@ -267,10 +268,14 @@ def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
             new = batch
             if opened:
                 known = spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", path).parquet(*[f"{path}/{f}" for f in opened])
-                new = batch.join(known.select(*RAW_KEY), RAW_KEY, "left_anti")
-            if before:
-                before(new, spans)
-            write_raw(new, path, "append", spread=False, noted=noted)
+                new = batch.join(known.select(*RAW_KEY), RAW_KEY, "left_anti").persist()
+            try:
+                if before:
+                    before(new, spans)
+                write_raw(new, path, noted=noted)
+            finally:
+                if opened:
+                    new.unpersist()
             return opened
         finally:
             batch.unpersist()
