@@ -70,7 +70,7 @@ class PartialStore:
         rows = partials.withColumns({"bucket_hour": hour_of(self.time_col), "epoch": F.lit(epoch)})
         if known:
             rows = rows.where(~F.col("bucket_hour").isin(known))
-        (rows.sortWithinPartitions("bucket_hour", self.time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.repartitionByRange("bucket_hour", self.time_col).sortWithinPartitions("bucket_hour", self.time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket_hour", "epoch").parquet(self.folder.path))
 
     def compact(self, hours: list[int], epoch: int) -> list[int]:
@@ -82,8 +82,8 @@ class PartialStore:
             return []
         aside = f"_merge/{uuid.uuid4().hex}"
         merged = self.merge(self._read([x for p in due.values() for x in p]))
-        (merged.withColumns({"bucket_hour": hour_of(self.time_col), "upto": F.lit(epoch - 1)}).sortWithinPartitions("bucket_hour", self.time_col)
-         .write.partitionBy("bucket_hour", "upto").parquet(f"{self.folder.path}/{aside}"))
+        (merged.withColumns({"bucket_hour": hour_of(self.time_col), "upto": F.lit(epoch - 1)}).repartitionByRange("bucket_hour", self.time_col)
+         .sortWithinPartitions("bucket_hour", self.time_col).write.partitionBy("bucket_hour", "upto").parquet(f"{self.folder.path}/{aside}"))
         for h, old in due.items():
             base = f"bucket_hour={h}/upto={epoch - 1}"
             self.folder.move(f"{aside}/{base}", f"{BASE}/{base}")
