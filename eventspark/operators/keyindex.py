@@ -10,6 +10,11 @@ blocks only if their time lies within the file's (the time is part of the key),
 so a delivery in time order meets the last few files, however full the day is.
 Files that hold none of the delivery's keys are never opened.
 
+A delivery of more than ``WIDE`` hours (a first load, a replay) would write a
+small file for each of them. Its rows go to ``_keys_by_day/event_day=<d>``, by
+hour in each file, so it writes about as many index files as the table gets
+days; a look-up reads both folders.
+
 Rows of files that are gone, or never came, do no harm: names are checked
 against the table before they are used.
 """
@@ -25,7 +30,9 @@ from pyspark.sql import types as T
 from .files import Folder
 from .store import hour_of
 
-FOLDER = "_keys"
+FOLDER, BY_DAY = "_keys", "_keys_by_day"
+#: Hours of a delivery from which on its index rows are kept by day.
+WIDE = 48
 BLOCK_BITS, KEYS_A_BLOCK, PROBES = 32_768, 1024, 12
 MINUTE_MICROS = 60_000_000
 SCHEMA = T.StructType([
@@ -33,6 +40,7 @@ SCHEMA = T.StructType([
     T.StructField("lo", T.TimestampType()), T.StructField("hi", T.TimestampType()), T.StructField("bits", T.BinaryType()),
     T.StructField("event_hour", T.LongType()),
 ])
+DAY_SCHEMA = T.StructType([*SCHEMA.fields, T.StructField("event_day", T.LongType())])
 
 
 def _hash(seed: int) -> Column:
@@ -93,8 +101,17 @@ def keys_of_files(spark: SparkSession, path: str, schema: T.StructType, folder:
     return df.select(F.concat(F.lit("event_date="), F.element_at(F.split("_metadata.file_path", "event_date="), -1)).alias("file"), "event_id", "event_time")
 
 
-def add(rows: DataFrame, path: str) -> None:
-    (filters(rows).repartition("event_hour").write.mode("append").partitionBy("event_hour").parquet(f"{path}/{FOLDER}"))
+def add(rows: DataFrame, path: str, hours: int) -> None:
+    """Index the keys of files that cover ``hours`` hours."""
+    index = filters(rows)
+    if hours <= WIDE:
+        index.repartition("event_hour").write.mode("append").partitionBy("event_hour").parquet(f"{path}/{FOLDER}")
+        return
+    # a busy day is split by its bytes, and small days share a task
+    by_day = index.withColumn("event_day", F.floor(F.col("event_hour") / 24)).hint("rebalance", F.col("event_day"))
+    by_day.sortWithinPartitions("event_day", "event_hour").write.mode("append").partitionBy("event_day").parquet(f"{path}/{BY_DAY}")
+    if not complete(rows.sparkSession, path):
+        Folder(rows.sparkSession, f"{path}/{FOLDER}").create("_SUCCESS")
 
 
 def complete(spark: SparkSession, path: str) -> bool:
@@ -105,18 +122,36 @@ def complete(spark: SparkSession, path: str) -> bool:
 
 def hour_folders(spark: SparkSession, path: str, hours: list[int]) -> list[str]:
     """The index folders of some hours, looked for one by one if they are few."""
-    folder, wanted = Folder(spark, f"{path}/{FOLDER}"), [f"event_hour={h}" for h in sorted(set(hours))]
+    return _folders(Folder(spark, f"{path}/{FOLDER}"), "event_hour", hours)
+
+
+def _folders(folder: Folder, part_col: str, values) -> list[str]:
+    wanted = [f"{part_col}={v}" for v in sorted(set(values))]
     there = {n for n in wanted if folder.exists(n)} if len(wanted) <= 100 else set(folder.names())
     return [f"{folder.path}/{n}" for n in wanted if n in there]
 
 
+def index_of(spark: SparkSession, path: str, hours: list[int]) -> DataFrame | None:
+    """The index rows of some hours, or None if there is no folder of theirs."""
+    found = []
+    folders = hour_folders(spark, path, hours)
+    if folders:
+        found.append(spark.read.schema(SCHEMA).option("basePath", f"{path}/{FOLDER}").parquet(*folders))
+    folders = _folders(Folder(spark, f"{path}/{BY_DAY}"), "event_day", {h // 24 for h in hours})
+    if folders:
+        by_day = spark.read.schema(DAY_SCHEMA).option("basePath", f"{path}/{BY_DAY}").parquet(*folders)
+        found.append(by_day.where(F.col("event_hour").between(min(hours), max(hours))).select(*SCHEMA.names))
+    if not found:
+        return None
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def files_that_may_hold(spark: SparkSession, path: str, keys: DataFrame, hours: list[int]) -> list[str]:
     """The files of the table that may hold any of ``keys`` (event_id,
     event_time), which lie in ``hours``. A list of names of touched hours."""
-    folders = hour_folders(spark, path, hours)
-    if not folders:
+    index = index_of(spark, path, hours)
+    if index is None:
         return []
-    index = spark.read.schema(SCHEMA).option("basePath", f"{path}/{FOLDER}").parquet(*folders)
     minute = lambda c: F.floor(F.unix_micros(c) / MINUTE_MICROS)
     # a file stands under every minute it covers, so a busy hour spreads over its
     # minutes; a key meets it by a number (two files of one number: both are looked at)

@@ -2,8 +2,8 @@
 
 Every write notes, for each day it holds, the greatest ``created_at`` and
 ``processing_time`` (epoch microseconds) in the name of an empty file below
-``_bounds``; the bounds of a day are the greatest noted ones. A top-k query
-opens days from the newest bound down, one, two, four ... more at a time, and
+``_bounds``, or, if it holds more than ``SINGLE`` days, in one list of them; the
+bounds of a day are the greatest noted ones. A top-k query opens days from the newest bound down, one, two, four ... more at a time, and
 stops when its k-th row beats every bound left. That is exact: no row of a day
 left out can be among the first k. A bound may be too high (a write that died
 before its rows came), which costs a look at a day and nothing else.
@@ -11,6 +11,8 @@ before its rows came), which costs a look at a day and nothing else.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,17 +24,24 @@ from .files import Folder
 
 FOLDER = "_bounds"
 CREATED, PROCESSED = 0, 1
+#: Days of one write that are noted one by one.
+SINGLE = 32
 
 
 def note(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int]]) -> None:
     """Note bounds of days; older notes that they exceed are removed."""
     folder = Folder(spark, f"{path}/{FOLDER}")
     folder.fs.mkdirs(folder.at())
+    if len(bounds) > SINGLE:
+        lists = _lists(folder)
+        every = _greatest([*_listed(spark, folder, lists), *[(day, *own) for day, own in bounds.items()]])
+        folder.create(f"{uuid.uuid4().hex}.json", "".join(json.dumps({"day": d, "created": c, "processed": p}) + "\n" for d, (c, p) in sorted(every.items())))
+        for name in lists:
+            folder.delete(name)
+        return
     noted: dict[str, list[tuple[str, int, int]]] = {}
-    for name in folder.names():
-        if not name.startswith("."):
-            day, created, processed = name.split(",")
-            noted.setdefault(day, []).append((name, int(created), int(processed)))
+    for day, created, processed in _single(folder):
+        noted.setdefault(day, []).append((f"{day},{created},{processed}", created, processed))
     for day, (created, processed) in bounds.items():
         old = noted.get(day, [])
         created, processed = max([created, *[o[1] for o in old]]), max([processed, *[o[2] for o in old]])
@@ -44,17 +53,42 @@ def note(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int]]) ->
                 folder.delete(o[0])
 
 
-def bounds(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
-    """Day -> greatest created_at and processing_time of its rows."""
+def _single(folder: Folder) -> list[tuple[str, int, int]]:
+    names = [n.split(",") for n in folder.names() if not n.startswith(".") and not n.endswith(".json")]
+    return [(day, int(created), int(processed)) for day, created, processed in names]
+
+
+def _lists(folder: Folder) -> list[str]:
+    return [n for n in folder.names() if not n.startswith(".") and n.endswith(".json")]
+
+
+def _listed(spark: SparkSession, folder: Folder, lists: list[str]) -> list[tuple[str, int, int]]:
+    if not lists:
+        return []
+    rows = spark.read.schema("day string, created long, processed long").json([f"{folder.path}/{n}" for n in lists]).collect()
+    return [(r["day"], r["created"], r["processed"]) for r in rows]
+
+
+def _greatest(notes: list[tuple[str, int, int]]) -> dict[str, tuple[int, int]]:
     out: dict[str, tuple[int, int]] = {}
-    for name in Folder(spark, f"{path}/{FOLDER}").names():
-        if not name.startswith("."):
-            day, created, processed = name.split(",")
-            before = out.get(day, (int(created), int(processed)))
-            out[day] = max(before[0], int(created)), max(before[1], int(processed))
+    for day, created, processed in notes:
+        before = out.get(day, (created, processed))
+        out[day] = max(before[0], created), max(before[1], processed)
     return out
 
 
+def bounds(spark: SparkSession, path: str) -> dict[str, tuple[int, int]]:
+    """Day -> greatest created_at and processing_time of its rows."""
+    folder = Folder(spark, f"{path}/{FOLDER}")
+    while True:
+        lists = _lists(folder)
+        try:
+            return _greatest([*_listed(spark, folder, lists), *_single(folder)])
+        except Exception:  # noqa: BLE001 - a writer may have put the lists into a new one meanwhile
+            if set(lists) <= set(_lists(folder)):
+                raise
+
+
 def days_for_top(spark: SparkSession, path: str, which: int, last: Callable[[DataFrame], int | None]) -> list[str]:
     """The days that hold all of a top-k. ``last`` gives the k-th value (epoch
     microseconds) of some rows, or None if they are fewer than k."""

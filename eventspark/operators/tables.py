@@ -198,8 +198,9 @@ def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = T
     if not keyindex.complete(spark, path):
         before = table.glob("event_date=*/*.parquet")
         if before:
-            keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, path, before), path)
-            recent.note(spark, path, touched(read_days(spark, path, "event_date", [f.split("/")[0].split("=", 1)[1] for f in before], RAW_TABLE_SCHEMA))[0])
+            old_days, old_spans = touched(read_days(spark, path, "event_date", [f.split("/")[0].split("=", 1)[1] for f in before], RAW_TABLE_SCHEMA))
+            keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, path, before), path, len(hours_of(old_spans)))
+            recent.note(spark, path, old_days)
     out.sortWithinPartitions("event_date", "event_time").write.partitionBy("event_date").parquet(f"{path}/{aside}")
     files = table.glob(f"{aside}/event_date=*/*.parquet")
     spans: Spans = noted[1] if noted else []
@@ -209,7 +210,7 @@ def write_raw(rows: DataFrame, path: str, mode: str = "append", spread: bool = T
             noted = touched(spark.read.schema(RAW_TABLE_SCHEMA).option("basePath", f"{path}/{aside}").parquet(*[f"{path}/{f}" for f in files]))
             spans = noted[1]
         recent.note(spark, path, noted[0])
-        keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, f"{path}/{aside}", own), path)
+        keyindex.add(keyindex.keys_of_files(spark, path, RAW_TABLE_SCHEMA, f"{path}/{aside}", own), path, len(hours_of(noted[1])))
         if mode == "overwrite":
             for day in sorted({f.split("/")[-2] for f in files}):
                 table.delete(day)
@@ -236,6 +237,11 @@ def touched(rows: DataFrame) -> tuple[Bounds, Spans]:
     return days, merged([(r["lo"], r["lo"] + QUARTER_MICROS) for r in found])
 
 
+def hours_of(spans: Spans) -> list[int]:
+    """The hours (since 1970) that spans touch."""
+    return sorted({h for lo, hi in spans for h in range(lo // HOUR_MICROS, -(-hi // HOUR_MICROS))})
+
+
 def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
                              order: list[str] | None = None, rejected_path: str | None = None,
                              before: Callable[[DataFrame, Spans], None] | None = None) -> list[str]:
@@ -261,7 +267,7 @@ def insert_ignore_duplicates(spark: SparkSession, rows: DataFrame, path: str,
             spans = noted[1]
             if not spans:
                 return []
-            hours = sorted({h for lo, hi in spans for h in range(lo // HOUR_MICROS, -(-hi // HOUR_MICROS))})
+            hours = hours_of(spans)
             if not keyindex.complete(spark, path) and Folder(spark, path).glob("event_date=*"):
                 write_raw(batch.limit(0), path, "append", spread=False)  # indexes what is there
             opened = keyindex.files_that_may_hold(spark, path, batch, hours)

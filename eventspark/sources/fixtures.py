@@ -57,13 +57,11 @@ def event_stream(spark: SparkSession, sf_dir: str, splits: int | None = None, ta
     With ``table_times`` the stream runs over the table's own ``ts`` (30 days,
     whole milliseconds) instead of the replay clock."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", "ts")
-    ev = spread(ev, splits)
-    first = ev.withColumn("copy", F.lit(0))
-    again = ev.filter(F.get_json_object("props", "$.k").cast("int") == RESEND_K).withColumn("copy", F.lit(1))
-    src = first.unionByName(again)
+    ev = spread(ev, splits).select("event_id", "user_id", "event_type", "value", "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    # one scan, with k read once a row, for both deliveries
+    eid, k = F.col("event_id"), F.col("k")
+    src = ev.withColumn("copy", F.explode(F.when(k == RESEND_K, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
 
-    eid = F.col("event_id")
-    k = F.get_json_object("props", "$.k").cast("int")
     own = F.unix_micros(F.col("ts").cast("timestamp"))
     base = own - F.pmod(own, F.lit(1000)) if table_times else _epoch_micros() + eid * (STEP_MS * 1000)
     pt = F.timestamp_micros(base + F.col("copy") * (COPY_DELAY_MS * 1000))
