@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from eventspark.functions.timefn import instant
 from eventspark.operators.ingest import (PROCESSED_COLUMNS, invalid_events, invalid_json, process_events, processed_json,
                                          valid_events)
-from eventspark.operators.metrics import window_metrics, window_partials
+from eventspark.operators.metrics import MEASURED, window_metrics, window_partials
 from eventspark.operators.moments import insert_and_add
 from eventspark.operators.recent import rows_for_last_seconds, rows_for_recent_events
 from eventspark.operators.rollups import read_rollup, refresh, refresh_from_log
@@ -180,7 +180,7 @@ def _w2_compacted(spark, sf):
     after it has been merged (neither may count again)."""
     d = _d(spark, sf)
     partials, path = work_path(spark, "w2-partials"), work_path(spark, "w2-metrics")
-    with _kept(d.valid) as valid:
+    with _kept(d.valid.select(*MEASURED, "sequence")) as valid:
         for epoch in (0, 1, 2, 3, 4, 5, 5, 1, 6, 7, 8, 9):
             batch = valid.where(F.col("sequence") % 10 == (epoch * 7) % 10)
             upsert_metrics(spark, add_partials(spark, batch, partials, epoch, 10, merge_after=3), path, F.col("bucket_end"))

@@ -22,14 +22,29 @@ def ratio_half_up(num: Column, den: Column, scale: int) -> Column:
 
     Integer arithmetic on DECIMAL(38,0): no intermediate rounding can turn a
     value just below a tie into a tie (as a DOUBLE or a fixed-scale quotient
-    can, once groups are large).
+    can, once groups are large). Numbers that leave room for it are divided as
+    BIGINT, which is the same and many times as fast.
     """
     f = 10 ** scale
     d38 = "decimal(38,0)"
     n = num.cast(d38) * F.lit(2 * f).cast(d38) + den.cast(d38)
     d = den.cast(d38) * F.lit(2).cast(d38)
     q = ((n - F.pmod(n, d)) / d).cast(d38)
-    return (q / F.lit(f).cast(d38)).cast(f"decimal(38,{scale})")
+    any_size = (q / F.lit(f).cast(d38)).cast(f"decimal(38,{scale})")
+    most = 2**61 // f
+    num64, den64 = num.cast("long"), den.cast("long")
+    q64 = F.call_function("div", num64 * F.lit(2 * f) + den64, den64 * F.lit(2))
+    fits = (num >= 0) & (num < F.lit(most)) & (den > 0) & (den < F.lit(most))
+    return F.when(fits, _of_units(q64, scale)).otherwise(any_size)
+
+
+def _unit(scale: int, times: int = 1) -> Column:
+    return F.lit(times).cast("decimal(1,0)") * F.lit(f"1e-{scale}").cast(f"decimal({scale + 1},{scale})")
+
+
+def _of_units(count: Column, scale: int) -> Column:
+    """A BIGINT of units of 10^-scale as a decimal."""
+    return (count.cast("decimal(19,0)") * _unit(scale)).cast(f"decimal(38,{scale})")
 
 
 def exact_avg_half_up(total: Column, n: Column, scale: int) -> Column:
@@ -53,7 +68,23 @@ def price_sums(price: str) -> dict[str, Column]:
 
 
 def average_of_sums(price_sum: Column, price_whole: Column, price_units: Column, n: Column, scale: int) -> Column:
-    """Exact HALF_UP average at ``scale`` (at most 18) from ``price_sums``."""
+    """Exact HALF_UP average at ``scale`` (at most 18) from ``price_sums``.
+
+    Up to scale 6, sums below 10^11 of prices that are all below ``LARGE_PRICE``
+    take one division, ``(2 * sum + n * 10^-s) div (2 * n * 10^-s)``, in decimals
+    that hold every digit of it; the long division of the others is kept out of
+    the generated code, where it would take the room of all that is compiled."""
+    if scale > 6:
+        return _average_of_any_sums(price_sum, price_whole, price_units, n, scale)
+    total, count = price_sum.cast("decimal(30,18)"), n.cast("decimal(10,0)")
+    units = F.call_function("div", total + total + count * _unit(scale), count * _unit(scale, 2))
+    fits = price_whole.isNull() & price_units.isNull() & (price_sum >= 0) & (price_sum < F.lit(10**11)) & (n > 0) & (n < F.lit(10**9))
+    sums = F.array(F.struct(price_sum.alias("s"), price_whole.alias("w"), price_units.alias("u"), n.alias("n")))
+    any_sums = F.transform(sums, lambda x: _average_of_any_sums(x["s"], x["w"], x["u"], x["n"], scale))
+    return F.when(fits, _of_units(units, scale)).otherwise(any_sums[0])
+
+
+def _average_of_any_sums(price_sum: Column, price_whole: Column, price_units: Column, n: Column, scale: int) -> Column:
     d38, zero = "decimal(38,0)", F.lit(0).cast("decimal(38,0)")
     small = F.coalesce(price_sum, F.lit(0).cast("decimal(38,18)"))
     whole = F.floor(small).cast(d38) + F.coalesce(price_whole.cast(d38), zero)

@@ -3,9 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+#: Folders that one call into the JVM lists.
+LISTED_AT_ONCE = 500
+
+
+def in_threads(step: Callable[[int], None], hours: Iterable[int]) -> None:
+    """``step`` for each hour, for some at a time: calls of a file system wait
+    more than they work. The first failure is raised, when all have ended."""
+    with ThreadPoolExecutor(8) as pool:
+        for _ in pool.map(step, hours):
+            pass
+
 
 class Folder:
     """A folder of any Hadoop file system."""
@@ -29,8 +42,27 @@ class Folder:
 
     def glob(self, pattern: str) -> list[str]:
         """Paths relative to this folder."""
-        base = self.at().toUri().getPath().rstrip("/")
-        return sorted(s.getPath().toUri().getPath()[len(base) + 1:] for s in self.fs.globStatus(self.at(pattern)) or [])
+        return self.paths(self.fs.globStatus(self.at(pattern)))
+
+    def paths(self, statuses) -> list[str]:
+        """Paths, relative to this folder, of what a listing found: one call for
+        all of them."""
+        if not statuses:
+            return []
+        base = f"{self.fs.makeQualified(self.at()).toString().rstrip('/')}/"
+        text = self._jvm.org.apache.commons.lang3.ArrayUtils.toString(self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses))
+        return sorted(x.removesuffix(",") for x in text[1:-1].split(base)[1:])  # {path,path}
+
+    def names_in(self, folders: list[str]) -> dict[str, list[str]]:
+        """The entries of many folders below this one, those that aren't there
+        left out: some hundred folders with a call."""
+        found: dict[str, list[str]] = {}
+        for i in range(0, len(folders), LISTED_AT_ONCE):
+            wanted = ",".join(f"{f}/*" for f in folders[i:i + LISTED_AT_ONCE])
+            for path in self.paths(self.fs.globStatus(self.at(f"{{{wanted}}}"))):
+                folder, name = path.rsplit("/", 1)
+                found.setdefault(folder, []).append(name)
+        return found
 
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.at(name), True)

@@ -25,6 +25,8 @@ from ..schema import METRIC_COLUMNS, PRICE
 DEFAULT_WINDOW_SECONDS = 10
 LATENCY = "ingestion_latency_ms"
 KEY = ["bucket_start", "symbol", "scenario"]
+#: What the metrics read of an event.
+MEASURED = ["processing_time", "symbol", "scenario", LATENCY, "price", "quantity", "event_lag_ms"]
 
 _WIDE = T.DecimalType(38, 0)
 PARTIALS_SCHEMA = T.StructType([
@@ -48,17 +50,19 @@ def window_partials(valid: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECON
                  F.sum("quantity").cast("long").alias("quantity"), F.sum("event_lag_ms").cast("long").alias("lag")))
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
-    """One row per (window, symbol, scenario, latency) of any number of partials."""
+def merge_partials(partials: DataFrame, *also: str) -> DataFrame:
+    """One row per (window, symbol, scenario, latency) of any number of partials
+    (and per value of ``also``)."""
     add = lambda c: F.sum(c).cast(partials.schema[c].dataType).alias(c)
-    return partials.groupBy(*KEY, LATENCY).agg(
+    return partials.groupBy(*also, *KEY, LATENCY).agg(
         add("n"), add("price_sum"), add("price_whole"), add("price_units"), F.min("min_price").alias("min_price"),
         F.max("max_price").alias("max_price"), add("quantity"), add("lag"))
 
 
 def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS) -> DataFrame:
-    """Metrics of merged partials. The percentile p of n latencies is the one at
-    rank ceil(p * n), in integer arithmetic."""
+    """Metrics of any number of partials, merged or not: sums add up, and rows of
+    one latency follow each other in the running counts. The percentile p of n
+    latencies is the one at rank ceil(p * n), in integer arithmetic."""
     by_key = Window.partitionBy(*KEY)
     so_far = by_key.orderBy(LATENCY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = partials.withColumns({"_upto": F.sum("n").over(so_far), "_all": F.sum("n").over(by_key)})
@@ -67,19 +71,21 @@ def metrics_of_partials(partials: DataFrame, window_seconds: int = DEFAULT_WINDO
         reached = F.col("_upto") * 100 >= F.col("_all") * percent
         return F.min(F.when(reached, F.col(LATENCY)))
 
-    n = F.sum("n")
-    agg = ranked.groupBy(*KEY).agg(
-        n.alias("event_count"),
-        average_of_sums(F.sum("price_sum"), F.sum("price_whole"), F.sum("price_units"), n, 6).alias("avg_price"),
+    sums = ranked.groupBy(*KEY).agg(
+        F.sum("n").alias("event_count"),
+        *[F.sum(c).alias(c) for c in ("price_sum", "price_whole", "price_units", "lag")],
         F.min("min_price").alias("min_price"),
         F.max("max_price").alias("max_price"),
         F.sum("quantity").cast("long").alias("total_quantity"),
-        exact_avg_half_up(F.sum(F.col(LATENCY) * F.col("n")), n, 2).alias("avg_ingestion_latency_ms"),
+        F.sum(F.col(LATENCY) * F.col("n")).alias("latency"),
         rank(50).alias("p50_ingestion_latency_ms"),
         rank(95).alias("p95_ingestion_latency_ms"),
-        F.max(LATENCY).alias("max_ingestion_latency_ms"),
-        exact_avg_half_up(F.sum("lag"), n, 2).alias("avg_event_lag_ms"))
-    return _with_end(agg, window_seconds)
+        F.max(LATENCY).alias("max_ingestion_latency_ms"))
+    n = F.col("event_count")
+    return _with_end(sums.withColumns({
+        "avg_price": average_of_sums(F.col("price_sum"), F.col("price_whole"), F.col("price_units"), n, 6),
+        "avg_ingestion_latency_ms": exact_avg_half_up(F.col("latency"), n, 2),
+        "avg_event_lag_ms": exact_avg_half_up(F.col("lag"), n, 2)}), window_seconds)
 
 
 def percentiles_of_partials(partials: DataFrame, keys: list[str], wanted: dict[str, int]) -> DataFrame:

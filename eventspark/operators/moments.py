@@ -53,10 +53,10 @@ def moments(raw: DataFrame) -> DataFrame:
                  F.sum(wide).cast(_WIDE).alias("latency"), F.sum(wide * wide).cast(_WIDE).alias("latency_squares"), F.max(LATENCY).alias("max_latency")))
 
 
-def merge(parts: DataFrame) -> DataFrame:
-    """One row per group of any number of moments."""
+def merge(parts: DataFrame, *also: str) -> DataFrame:
+    """One row per group (and per value of ``also``) of any number of moments."""
     add = lambda c: F.sum(c).cast(SCHEMA[c].dataType).alias(c)
-    return parts.groupBy(*KEY).agg(
+    return parts.groupBy(*also, *KEY).agg(
         add("n"), add("price_sum"), add("price_whole"), add("price_units"), F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"),
         add("quantity"), add("latency"), add("latency_squares"), F.max("max_latency").alias("max_latency"))
 

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import Folder
+from .files import Folder, in_threads
 from .metrics import PARTIALS_SCHEMA, merge_partials
-from .store import hour_of
+from .store import BY_HOUR, by_hour, hour_of
 
 #: Micro-batches of an hour that are kept apart before they are merged.
 MERGE_AFTER = 16
@@ -34,29 +34,33 @@ BASE = "_base"
 
 
 class PartialStore:
-    """``merge`` turns partials of ``schema`` into one row for each group; the
-    buckets start at ``time_col``."""
+    """``merge`` turns partials of ``schema`` into one row for each group (and of
+    further columns it is given); the buckets start at ``time_col``."""
 
     def __init__(self, spark: SparkSession, path: str, merge_after: int = MERGE_AFTER, schema: T.StructType = PARTIALS_SCHEMA,
-                 merge: Callable[[DataFrame], DataFrame] = merge_partials, time_col: str = "bucket_start"):
+                 merge: Callable[..., DataFrame] = merge_partials, time_col: str = "bucket_start"):
         self.spark, self.folder, self.merge_after = spark, Folder(spark, path), merge_after
         self.schema, self.merge, self.time_col = schema, merge, time_col
 
-    def _marked(self, folder: str, mark: str) -> list[int]:
-        return sorted(int(n.split("=", 1)[1]) for n in self.folder.names(folder) if n.startswith(f"{mark}="))
+    def _marked(self, folders: list[str], mark: str) -> dict[str, list[int]]:
+        return {f: sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{mark}=")) for f, names in self.folder.names_in(folders).items()}
+
+    def watermarks(self, hours: list[int]) -> dict[int, int]:
+        """The last micro-batch that each hour's base holds (-1: no base)."""
+        marks = self._marked([f"{BASE}/bucket_hour={h}" for h in hours], "upto")
+        return {h: max(marks.get(f"{BASE}/bucket_hour={h}", []), default=-1) for h in hours}
 
     def watermark(self, hour: int) -> int:
-        """The last micro-batch that the hour's base holds (-1: no base)."""
-        return max(self._marked(f"{BASE}/bucket_hour={hour}", "upto"), default=-1)
+        return self.watermarks([hour])[hour]
 
-    def parts(self, hour: int, before: int | None = None) -> list[str]:
-        """The folders that make up an hour, or its state before a micro-batch."""
-        mark = self.watermark(hour)
-        later = [e for e in self._marked(f"bucket_hour={hour}", "epoch") if e > mark and (before is None or e < before)]
-        return [f"{BASE}/bucket_hour={hour}/upto={mark}"] * (mark >= 0) + [f"bucket_hour={hour}/epoch={e}" for e in later]
+    def parts(self, hours: list[int], before: int | None = None) -> dict[int, list[str]]:
+        """The folders that make up each hour, or its state before a micro-batch."""
+        marks, epochs = self.watermarks(hours), self._marked([f"bucket_hour={h}" for h in hours], "epoch")
+        return {h: [f"{BASE}/bucket_hour={h}/upto={marks[h]}"] * (marks[h] >= 0)
+                + [f"bucket_hour={h}/epoch={e}" for e in epochs.get(f"bucket_hour={h}", []) if e > marks[h] and (before is None or e < before)] for h in hours}
 
     def read(self, hours: list[int]) -> DataFrame:
-        return self._read([p for h in hours for p in self.parts(h)])
+        return self._read([p for parts in self.parts(hours).values() for p in parts])
 
     def _read(self, parts: list[str]) -> DataFrame:
         if not parts:
@@ -66,28 +70,30 @@ class PartialStore:
     def add(self, partials: DataFrame, hours: list[int], epoch: int) -> None:
         """Keep a micro-batch's partials, which lie in ``hours``. What a base
         holds already is left out (a micro-batch from long ago run again)."""
-        known = [h for h in hours if self.watermark(h) >= epoch]
+        known = [h for h, mark in self.watermarks(hours).items() if mark >= epoch]
         rows = partials.withColumns({"bucket_hour": hour_of(self.time_col), "epoch": F.lit(epoch)})
         if known:
             rows = rows.where(~F.col("bucket_hour").isin(known))
-        (rows.repartitionByRange("bucket_hour", self.time_col).sortWithinPartitions("bucket_hour", self.time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.hint("rebalance", "bucket_hour").sortWithinPartitions("bucket_hour", self.time_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket_hour", "epoch").parquet(self.folder.path))
 
     def compact(self, hours: list[int], epoch: int) -> list[int]:
         """Merge what is due of ``hours``: all micro-batches before ``epoch``.
         Returns the hours merged."""
-        parts = {h: self.parts(h, before=epoch) for h in hours}
-        due = {h: p for h, p in parts.items() if sum("/epoch=" in x for x in p) >= self.merge_after}
+        due = {h: p for h, p in self.parts(hours, before=epoch).items() if sum("/epoch=" in x for x in p) >= self.merge_after}
         if not due:
             return []
         aside = f"_merge/{uuid.uuid4().hex}"
-        merged = self.merge(self._read([x for p in due.values() for x in p]))
-        (merged.withColumns({"bucket_hour": hour_of(self.time_col), "upto": F.lit(epoch - 1)}).repartitionByRange("bucket_hour", self.time_col)
+        rows = by_hour(self._read([x for p in due.values() for x in p]), self.time_col, len(due))
+        (self.merge(rows, *BY_HOUR).withColumn("upto", F.lit(epoch - 1)).drop("bucket_part")
          .sortWithinPartitions("bucket_hour", self.time_col).write.partitionBy("bucket_hour", "upto").parquet(f"{self.folder.path}/{aside}"))
-        for h, old in due.items():
+
+        def switch(h: int) -> None:
             base = f"bucket_hour={h}/upto={epoch - 1}"
             self.folder.move(f"{aside}/{base}", f"{BASE}/{base}")
-            for x in old:
+            for x in due[h]:
                 self.folder.delete(x)
+
+        in_threads(switch, due)
         self.folder.delete(aside)
         return sorted(due)

@@ -30,6 +30,7 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,22 @@ def hour_of(column) -> F.Column:
     return ((m - F.pmod(m, F.lit(HOUR_MICROS))) / F.lit(HOUR_MICROS)).cast("long")
 
 
+#: Columns that ``by_hour`` adds.
+BY_HOUR = ["bucket_hour", "bucket_part"]
+
+
+def by_hour(rows: DataFrame, time_col: str, hours: int) -> DataFrame:
+    """Rows of ``hours`` hours dealt to tasks by hour, or by equal parts of an
+    hour where there are fewer hours than tasks: in one exchange, without a look
+    at the rows before. What is grouped by ``BY_HOUR`` and more, or written by
+    hour, needs no other one."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(360, max(1, -(-tasks // max(1, hours))))
+    at = F.pmod(F.unix_micros(time_col), F.lit(HOUR_MICROS)) * F.lit(parts)
+    part = ((at - F.pmod(at, F.lit(HOUR_MICROS))) / F.lit(HOUR_MICROS)).cast("int")
+    return rows.withColumns({"bucket_hour": hour_of(time_col), "bucket_part": part}).repartition(*BY_HOUR)
+
+
 class HourTable:
     """A table of rows with a time column and the day column ``bucket_date``."""
 
@@ -111,16 +128,36 @@ class HourTable:
         """Give ``hours`` new contents. ``build`` gets the present rows of these
         hours and returns all of their new rows (further hours may get rows if
         the table has none there)."""
+        def rows(live, hours):
+            new = build(self._read(live, hours=hours)).select(*self.schema.names).withColumn("bucket_hour", hour_of(self.time_col))
+            return new.repartitionByRange("bucket_hour", self.time_col)
+        self._switch(rows, hours)
+
+    def upsert(self, new: DataFrame, keys: list[str], hours: Iterable[int]) -> None:
+        """``new`` rows, which lie in ``hours``, take the place of the rows of
+        their ``keys``. Old and new rows meet in one exchange by hour, and are
+        written from there."""
+        def rows(live, hours):
+            new_rows = new.select(*self.schema.names)
+            if not set(live) & hours:
+                return by_hour(new_rows, self.time_col, len(hours))
+            both = self._read(live, hours=hours).withColumn("_old", F.lit(True)).unionByName(new_rows.withColumn("_old", F.lit(False)))
+            newest = W.partitionBy(*keys, "bucket_date", *BY_HOUR).orderBy("_old")
+            return by_hour(both, self.time_col, len(hours)).withColumn("_rank", F.rank().over(newest)).where("_rank = 1").drop("_rank", "_old")
+        self._switch(rows, hours)
+
+    def _switch(self, build, hours: Iterable[int]) -> None:
+        """Give ``hours`` the rows that ``build`` makes, dealt to tasks by
+        ``bucket_hour``, from the table's hours as they are now."""
         numbers = self._numbers()
         live = self._load(numbers[-1]) if numbers else {}
         hours, version = set(hours), uuid.uuid4().hex
-        rows = build(self._read(live, hours=hours)).select(*self.schema.names)
         folder = f"{self.path}/data/version={version}"
-        (rows.withColumn("bucket_hour", hour_of(self.time_col)).repartitionByRange("bucket_hour", self.time_col)
-         .sortWithinPartitions("bucket_hour", self.time_col).write.partitionBy("bucket_date", "bucket_hour").parquet(folder))
+        (build(live, hours).sortWithinPartitions("bucket_date", "bucket_hour", self.time_col).drop("bucket_part")
+         .write.partitionBy("bucket_date", "bucket_hour").parquet(folder))
         new = {}
-        for status in self._fs.globStatus(self._path(f"{folder}/bucket_date=*/bucket_hour=*")) or []:
-            day, hour = re.search(r"bucket_date=([^/]+)/bucket_hour=(-?\d+)$", str(status.getPath().toUri().getPath())).groups()
+        for name in Folder(self.spark, folder).glob("bucket_date=*/bucket_hour=*"):
+            day, hour = re.fullmatch(r"bucket_date=([^/]+)/bucket_hour=(-?\d+)", name).groups()
             new[int(hour)] = (version, day)
         clash = (set(new) - hours) & set(live)
         if clash:

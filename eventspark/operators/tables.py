@@ -301,5 +301,4 @@ def upsert_metrics(spark: SparkSession, metrics: DataFrame, path: str,
         new = metrics_table_rows(good, created_at)
         hours = distinct_hours(new, "bucket_start")
         if hours:
-            metrics_table(spark, path).replace(
-                lambda old: old.join(new.select(*METRICS_KEY), METRICS_KEY, "left_anti").select(*METRICS_TABLE_COLUMNS).unionByName(new), hours)
+            metrics_table(spark, path).upsert(new, METRICS_KEY, hours)

@@ -32,15 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timefn import interval_micros
+from ..functions.timefn import interval_micros, time_bucket
 from ..operators.ingest import invalid_events, invalid_json, process_events, processed_json, valid_events
-from ..operators.metrics import (DEFAULT_WINDOW_SECONDS, PARTIALS_SCHEMA, merge_partials, metrics_of_partials,
-                                 window_partials)
+from ..operators.metrics import DEFAULT_WINDOW_SECONDS, PARTIALS_SCHEMA, metrics_of_partials, window_partials
 from ..operators.partials import MERGE_AFTER, PartialStore
 from ..operators.rollups import refresh_from_log
 from ..operators.spans import SpanLog
-from ..operators.store import hour_of
-from ..operators.tables import insert_ignore_duplicates, raw_table_rows, upsert_metrics
+from ..operators.tables import distinct_hours, insert_ignore_duplicates, raw_table_rows, upsert_metrics
 from ..schema import PRICE
 from ..sources.connect import (DEFAULT_ERRORS_TOPIC, DEFAULT_PROCESSED_TOPIC, kafka_sink, kafka_source, raw_topic,
                                text_sink, text_source, with_line_order)
@@ -119,13 +117,15 @@ def add_partials(spark: SparkSession, batch: DataFrame, path: str, epoch_id: int
     many) and return the metrics of the windows it touched, from all partials
     of these windows."""
     store = PartialStore(spark, path, merge_after)
-    windows = batch.select(F.window("processing_time", f"{window_seconds} seconds").alias("w")).select(F.col("w.start").alias("bucket_start")).distinct()
-    hours = sorted(r[0] for r in windows.select(hour_of("bucket_start")).distinct().collect())
+    windows = batch.select(time_bucket(F.col("processing_time"), window_seconds).alias("bucket_start")).distinct()
+    hours = distinct_hours(batch, "processing_time")
     if not hours:
         return spark.createDataFrame([], PARTIALS_SCHEMA).transform(metrics_of_partials, window_seconds)
     store.add(window_partials(batch, window_seconds), hours, epoch_id)
     store.compact(hours, epoch_id)
-    return metrics_of_partials(merge_partials(store.read(hours).join(windows, "bucket_start", "left_semi")), window_seconds)
+    state = store.read(hours).join(windows, "bucket_start", "left_semi")
+    # one exchange, by window, serves all that follows; partials of one group meet in it
+    return metrics_of_partials(state.repartition("bucket_start"), window_seconds)
 
 
 def start_metrics(spark: SparkSession, processed_messages: DataFrame, paths: Paths,
